@@ -20,7 +20,6 @@ or null doc_id are packed like any others; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -31,15 +30,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from . import store, text
+from . import bpe, store, text
 
 WINDOW = 2048
 END = 1
 LEAST_POWER = 256
 #: Tokens that are solved at once.
 BLOCK = 1 << 19
-#: Words whose ids a worker keeps.
-CACHE = 300_000
 
 
 @dataclass(frozen=True)
@@ -53,50 +50,6 @@ class Penalties:
     long_sentence: int = 256
 
 
-class Tokens:
-    """A tokenizer whose results are kept by word.
-
-    ``word_bpe`` tokenizers drop white space and never join text across it, so a text's
-    ids are those of its pieces between blanks and line ends, one after another.
-    """
-
-    GAP = re.compile(r"[^ \t\r\n]+")
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.inner = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        n = self.inner.get_vocab_size(with_added_tokens=True)
-        names = [self.inner.id_to_token(i) or "" for i in range(n)]
-        self.word_end = np.array([x.endswith("</w>") for x in names])
-        self.sentence_end = np.array([bool(re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*</w>", x)) and x.isascii() for x in names])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.GAP.findall(x) for x in texts]
-        new = set().union(*cut).difference(self.cache) if cut else set()
-        if new:
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {}
-                new = set().union(*cut)
-            new = list(new)
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                for w, e in zip(some, self.inner.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
-
-
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -204,7 +157,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, penalti
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(it):
-        t = tokens(path)
+        t = bpe.tokens(path)
         end = np.array([END], "<u4")
         packer = Packer(t.sentence_end, t.word_end, window, penalties)
         first = TaskContext.get().partitionId() << 40
