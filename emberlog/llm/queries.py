@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, packing, pieces, secrets, store
+from . import fingerprint, minhash, packing, pieces, rollup, secrets, store, units
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.next_pairs(store.table(spark, sf_dir, "documents"))
 
 
+def op2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.listing(units.deduplicated(store.table(spark, sf_dir, "documents")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(store.table(spark, sf_dir, "documents")))
 
@@ -25,16 +29,25 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(store.table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op8_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.history(store.table(spark, sf_dir, "documents")).totals()
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(store.table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_units": op2_units,
     "op5_secrets": op5_secrets,
     "op6_pieces": op6_pieces,
     "op7_minhash": op7_minhash,
+    "op8_rollup": op8_rollup,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_units": units.ORACLE,
+    "op8_rollup": rollup.ORACLE,
+}
