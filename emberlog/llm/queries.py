@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, packing, pieces, rollup, secrets, store, units
+from . import fingerprint, minhash, packing, pieces, rollup, secrets, store, units, vectors
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.next_pairs(store.table(spark, sf_dir, "documents"))
 
 
+def op1_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(store.table(spark, sf_dir, "embeddings"))
+
+
 def op2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.listing(units.deduplicated(store.table(spark, sf_dir, "documents")))
 
@@ -38,6 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_codes": op1_codes,
     "op2_units": op2_units,
     "op5_secrets": op5_secrets,
     "op6_pieces": op6_pieces,
