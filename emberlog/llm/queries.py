@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, packing, pieces, rollup, secrets, store, units, vectors
+from . import fingerprint, minhash, packing, pieces, pitman, rollup, secrets, store, units, vectors
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.listing(units.deduplicated(store.table(spark, sf_dir, "documents")))
 
 
+def op3_pitman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman.scores(store.table(spark, sf_dir, "documents"), modulus=7, rest=2)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(store.table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_codes": op1_codes,
     "op2_units": op2_units,
+    "op3_pitman": op3_pitman,
     "op5_secrets": op5_secrets,
     "op6_pieces": op6_pieces,
     "op7_minhash": op7_minhash,
