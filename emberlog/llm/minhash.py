@@ -249,3 +249,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = facts.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).otherwise(F.col("doc_id")).alias("id"))
     out = named.join(linked_, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps, with all their columns.
+
+    Only the doc_ids of rows that go are joined back. A doc_id whose rows hold different
+    texts stays if any of them is kept.
+    """
+    judged = near_duplicates(docs, size, percent)
+    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("any")).where("not any").select("_gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

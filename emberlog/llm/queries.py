@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, packing, pieces, pitman, rollup, secrets, store, units, vectors
+from . import fingerprint, minhash, packing, pieces, pitman, rollup, secrets, store, toxicity, units, vectors
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_pitman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman.scores(store.table(spark, sf_dir, "documents"), modulus=7, rest=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, store.table(spark, sf_dir, "labels"), modulus=5), modulus=5)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(store.table(spark, sf_dir, "documents")))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_codes": op1_codes,
     "op2_units": op2_units,
     "op3_pitman": op3_pitman,
+    "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_pieces": op6_pieces,
     "op7_minhash": op7_minhash,
