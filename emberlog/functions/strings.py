@@ -98,7 +98,7 @@ def highlight_class(row: Column, needles: list[str]) -> Column:
 
 
 def path_column(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\\\\\"), r"^\\\\\?\\", "")
+    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "")
 
 
 def plain_path(path: str) -> str:

@@ -25,11 +25,10 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, layout:
         F.xxhash64(F.col("_metadata.file_path")).alias("file_id"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("mid"),
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
+        kept = batch.withColumn("mid", F.monotonically_increasing_id()).persist()
         entries, _ = assemble(lines.number(kept.drop("path")), layout)
         entries.join(kept.select("file_id", "path").distinct(), "file_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
         kept.unpersist()
