@@ -22,7 +22,7 @@ _LOWER[65:91] += 32
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
