@@ -266,14 +266,23 @@ def is_held_out(modulus: int = 5) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> Model:
     """Labels of held-out rows are never read into the model; null labels are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~is_held_out(modulus)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = store.documents(docs).where(~is_held_out(modulus)).join(known, "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= LONGEST)
+    # lengths, not texts, meet the labels
+    sizes = store.documents(docs).where(~is_held_out(modulus)).select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    fitting = sizes.where(F.col("n") <= LONGEST).groupBy("doc_id").agg(F.count("*").alias("rows")).join(known, "doc_id")
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     share = math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else 0.0
-    chosen = []
+    least = []
     for y in (0, 1):
-        least = rows.where(F.col("toxic") == y).select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(sample)
-        chosen.append([r.text for r in least.collect()])
+        ids = fitting.where(F.col("toxic") == y).select("doc_id", F.lit(y).alias("toxic"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
+        least += [(r.doc_id, y, r.h) for r in ids.collect()]
+    chosen: tuple[list[str], list[str]] = ([], [])
+    if least:
+        ids = F.broadcast(docs.sparkSession.createDataFrame(least, "doc_id long, toxic int, h long"))  # 2 * sample rows at most
+        found = store.documents(docs).join(ids, "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= LONGEST)
+        texts = found.groupBy("toxic", "h", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+        for r in sorted(texts, key=lambda r: (r.h, r.doc_id)):
+            chosen[r.toxic].append(r.text)
     if not all(chosen):
         return Model(None, share)
     toxic = np.repeat([0, 1], [len(x) for x in chosen])
