@@ -11,6 +11,7 @@ time of an ingest with a job group and the cluster's own limits.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import has_control, is_format_id, without_line_end
 from ..functions.times import to_millis
-from .layouts import LAYOUTS, PARSED
+from .layouts import LAYOUTS, PARSED, with_groups
 
 #: Limits of a definition (fixed values).
 MAX_ID, MAX_NAME, MAX_PATTERN, MAX_TIMESTAMP = 40, 100, 4000, 100
@@ -165,11 +166,11 @@ class TimePattern:
     def dated(self) -> bool:
         return {"year", "month", "day"} <= set(self.fields)
 
-    def _value(self, text: Column, name: str) -> Column:
+    def _value(self, part: Callable[[int], Column], name: str) -> Column:
         if name not in self.fields:
             return F.lit(0)
         group, kind = self.fields[name]
-        got = F.regexp_extract(text, self.regex, group)
+        got = part(group)
         if kind == "short":
             return got.try_cast("int") + 2000
         if kind in ("abbreviated", "full"):
@@ -185,17 +186,20 @@ class TimePattern:
         """Null for another shape, a missing date, or a time that does not exist."""
         if not self.dated():
             return F.lit(None).cast("long")
-        y, mo, d, mi, s, ms = (self._value(text, f) for f in ("year", "month", "day", "minute", "second", "fraction"))
+        return with_groups(text, self.regex, self.groups, self._millis)
+
+    def _millis(self, part: Callable[[int], Column]) -> Column:
+        y, mo, d, mi, s, ms = (self._value(part, f) for f in ("year", "month", "day", "minute", "second", "fraction"))
         if "hour" in self.fields or "half" not in self.fields:
-            h = self._value(text, "hour")
-        else:
-            half = self._value(text, "half")
-            group = self.fields.get("noon")
-            late = F.regexp_extract(text, self.regex, group[0]) == "PM" if group else F.lit(False)
-            # without AM or PM the hour of the day is not known, and counts as 0
-            h = F.when((half < 1) | (half > 12), None).otherwise(half % 12 + F.when(late, 12).otherwise(0)) if group else F.lit(0)
+            h = self._value(part, "hour")
+        elif "noon" in self.fields:
+            half = self._value(part, "half")
+            late = part(self.fields["noon"][0]) == "PM"
+            h = F.when((half >= 1) & (half <= 12), half % 12 + F.when(late, 12).otherwise(0))
+        else:  # without AM or PM the hour of the day is not known, and counts as 0
+            h = F.lit(0)
         real = F.try_make_timestamp_ntz(F.when(y > 0, y), mo, d, h, mi, F.when(s < 60, s).cast("decimal(8,6)")).isNotNull()
-        return F.when(self.shape(text) & real, to_millis(y, mo, d, h, mi, s, ms))
+        return F.when(real, to_millis(y, mo, d, h, mi, s, ms))
 
 
 @dataclass(frozen=True)
@@ -225,9 +229,15 @@ class CustomLayout:
         return F.regexp_extract(without_line_end(line), self.regex, self.groups.names[name])
 
     def parse(self, line: Column) -> Column:
-        ts = self.times.millis(self.group(line, "ts"))
-        made = F.struct(ts.alias("ts_millis"), self.group(line, "logger").alias("logger"), F.upper(self.group(line, "level")).alias("level"), self.group(line, "thread").alias("thread"), self.group(line, "message").alias("message"))
-        return F.when(self.shape(line) & ts.isNotNull(), made).cast(PARSED)
+        text = without_line_end(line)
+
+        def build(part: Callable[[int], Column]) -> Column:
+            ts = self.times.millis(part(self.groups.names["ts"]))
+            level, thread, logger, message = (part(self.groups.names[f]) if f in self.groups.names else F.lit("") for f in FIELDS)
+            made = F.struct(ts.alias("ts_millis"), logger.alias("logger"), F.upper(level).alias("level"), thread.alias("thread"), message.alias("message"))
+            return F.when((text != "") & made["ts_millis"].isNotNull(), made)
+
+        return with_groups(text, self.regex, max(self.groups.names.values()), build).cast(PARSED)
 
 
 def _needed(what: str, value: str, longest: int) -> str:

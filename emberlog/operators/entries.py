@@ -25,17 +25,17 @@ Format = str | CustomLayout
 
 
 def parser(layout: Format) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Functions of a line: its parsed header (or null), and whether it is an unreadable one."""
+    """Functions of a line: its parsed header (or null), and whether it looks like a header."""
     if isinstance(layout, CustomLayout):
-        return layout.parse, lambda line: layout.shape(line) & layout.parse(line).isNull()
+        return layout.parse, layout.shape
     return lambda line: parse(layout, line), lambda line: F.lit(False)
 
 
 def marked(lines: DataFrame, layout: Format) -> DataFrame:
     """Lines with head (parsed), skip flag and entry_line, the line number of their header."""
-    header, unreadable = parser(layout)
+    header, shape = parser(layout)
     value = F.col("value")
-    seen = lines.withColumn("head", header(value)).withColumn("broken", unreadable(value)).withColumn("blank", is_blank_line(value))
+    seen = lines.withColumn("head", header(value)).withColumn("broken", F.col("head").isNull() & shape(value)).withColumn("blank", is_blank_line(value))
     at = F.when(F.col("head").isNotNull(), F.col("line_no"))
     last = seen.groupBy("file_id", "split").agg(F.max(at).alias("last"))
     before = Window.partitionBy("file_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ skipped and not applied; calendar values are not checked.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -82,10 +83,23 @@ LAYOUTS = {
 }
 
 PARSED = "struct<ts_millis:bigint,logger:string,level:string,thread:string,message:string>"
+#: Stands between groups while they are cut apart.
+_CUT = "\x01\x02\x01"
+
+
+def with_groups(text: Column, regex: str, count: int, build: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """``build`` of the groups of a text that the (anchored) regex matches, else null.
+
+    The regex runs once for each line: it rewrites the text into its groups, which are then
+    bound to one variable, however often ``build`` uses them.
+    """
+    spread = F.regexp_replace(text, regex, "".join(f"{_CUT}${i}" for i in range(1, count + 1)))
+    parts = F.split(spread, _CUT, count + 1)
+    return F.element_at(F.transform(F.array(parts), lambda p: F.when((F.size(p) == count + 1) & (p[0] == ""), build(lambda i: p[i]))), 1)
 
 
 def parse(layout: str, line: Column) -> Column:
     """Header fields of a line (its end is ignored), or null."""
     x = LAYOUTS[layout]
     text = F.regexp_replace(line, r"[\r\n]+\z", "")
-    return F.when(text.rlike(x.regex), x.build(lambda i: F.regexp_extract(text, x.regex, i))).cast(PARSED)
+    return with_groups(text, x.regex, re.compile(x.regex.replace("?+", "?").replace("*+", "*").replace("++", "+").replace("\\z", "\\Z")).groups, x.build).cast(PARSED)

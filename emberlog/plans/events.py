@@ -181,9 +181,9 @@ def _line(layout: str) -> Column:
     return F.concat(ts, lit("["), thread, lit("]["), level, lit("]["), logger, lit("] - "), message)
 
 
-def _parsed(name: str, layout: str, line: Column | None = None) -> None:
+def _parsed(name: str, layout: str, line: Callable[[], Column] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = entries(spark, sf_dir).select("event_id", (_line(layout) if line is None else line).alias("line"))
+        rows = entries(spark, sf_dir).select("event_id", (_line(layout) if line is None else line()).alias("line"))
         return rows.select("event_id", parse(layout, F.col("line")).alias("p")).where("p is not null").select("event_id", "p.*")
 
     query(f"{E} SELECT event_id, ts_millis, logger, level, thread, message FROM entries", name)(run)
@@ -191,7 +191,7 @@ def _parsed(name: str, layout: str, line: Column | None = None) -> None:
 
 for _name, _id in (("q_parse_default", "default"), ("q_parse_spring", "spring-boot"), ("q_parse_logback", "logback"), ("q_parse_iso", "iso8601"), ("q_parse_juli", "tomcat-juli")):
     _parsed(_name, _id)
-_parsed("q_role_swap", "default", F.concat(spaced(F.col("ts_millis")), F.lit("["), "logger", F.lit("]["), F.lower("level"), F.lit("]["), "thread", F.lit("] - "), "message"))
+_parsed("q_role_swap", "default", lambda: F.concat(spaced(F.col("ts_millis")), F.lit("["), "logger", F.lit("]["), F.lower("level"), F.lit("]["), "thread", F.lit("] - "), "message"))
 
 
 @query("""SELECT line_layout, layout, CASE WHEN line_layout = layout OR (line_layout = 'iso8601' AND layout = 'iso8601') THEN n ELSE 0 END AS hits
