@@ -30,13 +30,13 @@ class Engine:
         self.state, self.error = "idle", ""
         self.index: index.Index | None = None
 
-    def load(self, directory: str, layout: str = "auto") -> dict:
+    def load(self, directory: str, layout: str = "auto", trigrams: bool = False) -> dict:
         root = os.path.realpath(directory)
         if not os.path.isdir(root):
             raise ValueError(f"not a directory: {directory}")
         self.state, self.error = "loading", ""
         try:
-            self.index = index.load(self.spark, os.path.join(self.home, "index"), root, self.formats.list(), layout)
+            self.index = index.load(self.spark, os.path.join(self.home, "index"), root, self.formats.list(), layout, trigrams)
         except BaseException as e:
             self.state, self.error = "error", str(e)
             raise
@@ -94,12 +94,13 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--dir", required=True)
     p.add_argument("--home", default=os.path.join(os.path.expanduser("~"), ".emberlog"))
     p.add_argument("--format", default="auto")
+    p.add_argument("--trigrams", action="store_true")
     for name in ("level", "since", "until", "source", "logger", "thread", "message", "grep", "offset", "limit"):
         p.add_argument(f"--{name}")
     a = vars(p.parse_args(args))
     spark = SparkSession.builder.appName("emberlog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, a.pop("home"))
-    engine.load(a.pop("dir"), a.pop("format"))
+    engine.load(a.pop("dir"), a.pop("format"), a.pop("trigrams"))
     print(json.dumps(engine.logs(**{k: v for k, v in a.items() if v is not None}), ensure_ascii=False, indent=2))
     return 0
 

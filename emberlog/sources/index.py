@@ -13,10 +13,12 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.strings import root_key
+from ..functions.strings import ascii_lower, root_key, trigram_column
 from ..operators import entries as assembly
 from ..operators.custom import CustomLayout
+from ..operators.filters import GRAMS
 from ..operators.layouts import LAYOUTS, parse
 from . import discovery, lines, scratch
 
@@ -31,10 +33,10 @@ class Index:
     path: str | None = None
 
 
-def fingerprint(paths: list[str], layout: str | CustomLayout) -> str:
-    """Sorted path:mtime (whole seconds):size lines and the layout's own fingerprint."""
+def fingerprint(paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> str:
+    """Sorted path:mtime (whole seconds):size lines, the trigram option and the layout's own fingerprint."""
     rows = [f"{p}:{int((s := os.stat(p)).st_mtime)}:{s.st_size}" for p in sorted(paths)]
-    return "\n".join([*rows, "format:" + (layout.fingerprint() if isinstance(layout, CustomLayout) else layout)])
+    return "\n".join([*rows, f"trigrams:{int(trigrams)}", "format:" + (layout.fingerprint() if isinstance(layout, CustomLayout) else layout)])
 
 
 def choose_layout(spark: SparkSession, paths: list[str], custom: list[CustomLayout], wanted: str = "auto") -> str | CustomLayout:
@@ -64,10 +66,12 @@ def read_entries(spark: SparkSession, paths: list[str], layout: str | CustomLayo
     return found, skipped, files
 
 
-def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, path: str) -> Index:
-    """Parse, write and publish."""
-    mark = fingerprint(paths, layout)
+def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, path: str, trigrams: bool = False) -> Index:
+    """Parse, write and publish; ``trigrams`` adds a column that literal searches try first."""
+    mark = fingerprint(paths, layout, trigrams)
     found, skipped, files = read_entries(spark, paths, layout)
+    if trigrams:
+        found = found.withColumn(GRAMS, trigram_column(ascii_lower(F.col("raw"))))
     new = f"{path}.new"
     shutil.rmtree(new, ignore_errors=True)
     try:
@@ -107,23 +111,23 @@ def in_memory(spark: SparkSession, paths: list[str], layout: str | CustomLayout)
     return Index(kept, files, {"fingerprint": fingerprint(paths, layout), "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples})
 
 
-def needs_rebuild(path: str, paths: list[str], layout: str | CustomLayout) -> bool:
+def needs_rebuild(path: str, paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> bool:
     if not paths:
         return False
     try:
-        return read_meta(path)["fingerprint"] != fingerprint(paths, layout)
+        return read_meta(path)["fingerprint"] != fingerprint(paths, layout, trigrams)
     except (OSError, ValueError, KeyError):
         return True
 
 
-def load(spark: SparkSession, home: str, root: str, custom: list[CustomLayout] | None = None, wanted: str = "auto") -> Index:
+def load(spark: SparkSession, home: str, root: str, custom: list[CustomLayout] | None = None, wanted: str = "auto", trigrams: bool = False) -> Index:
     """Discover, choose a layout, and build the index or use the stored one."""
     paths = discovery.find_log_files(root)
     layout = choose_layout(spark, paths, custom or [], wanted)
     path = place(home, root)
-    if needs_rebuild(path, paths, layout) or not os.path.exists(f"{path}/meta.json"):
+    if needs_rebuild(path, paths, layout, trigrams) or not os.path.exists(f"{path}/meta.json"):
         os.makedirs(home, exist_ok=True)
-        out = build(spark, paths, layout, path)
+        out = build(spark, paths, layout, path, trigrams)
     else:
         out = open_index(spark, path)
     collect_garbage(home, path)

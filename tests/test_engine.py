@@ -139,6 +139,19 @@ def test_meta_and_reuse(engine, spark):
     engine.load(engine.root, "default")
 
 
+def test_trigrams_change_no_result(spark, tmp_path):
+    root = tmp_path / "logs"
+    root.mkdir()
+    write(root, a=head(1, "Out of Stock É") + "x\n" + head(2, "stock") + head(3, "st"))
+    plain, sieved = Engine(spark, str(tmp_path / "h1")), Engine(spark, str(tmp_path / "h2"))
+    plain.load(str(root))
+    sieved.load(str(root), trigrams=True)
+    assert "grams" in sieved.index.entries.columns
+    for grep in ("STOCK", "st", "é", "É", "t of s", "s.o", "none", ""):
+        assert plain.logs(grep=grep) == sieved.logs(grep=grep)
+    assert index.needs_rebuild(sieved.index.path, sorted(str(p) for p in root.iterdir()), "default", False)
+
+
 def test_failed_builds_leave_nothing(spark, tmp_path):
     paths = write(tmp_path, a=head(1, "x"))
     with pytest.raises(Exception):
