@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,9 +56,15 @@ def _part(text: Column, at: int, n: int) -> Column:
     return F.substring(text, at, n).try_cast("int")
 
 
+def bound(values: list[Column], build: Callable[..., Column]) -> Column:
+    """``build`` of integer values that are worked out once each, however often it uses them."""
+    given = F.array(*[v.cast("int") for v in values])
+    return F.element_at(F.transform(F.array(given), lambda a: build(*[a[i] for i in range(len(values))])), 1)
+
+
 def log_millis(text: Column) -> Column:
     """Millis of the first 23 characters; digits by position, separators ignored, no range checks."""
-    return to_millis(*(_part(text, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2), (21, 3))))
+    return bound([_part(text, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2), (21, 3))], to_millis)
 
 
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC"
@@ -67,7 +74,7 @@ def month_day_millis(text: Column) -> Column:
     """Millis of ``dd-MMM-yyyy HH:mm:ss.SSS``; null for an unknown month."""
     at = F.position(F.upper(F.substring(text, 4, 3)), F.lit(MONTHS))
     month = F.when((at > 0) & (at % 4 == 1), ((at - 1) / 4 + 1).cast("int"))
-    return to_millis(_part(text, 8, 4), month, _part(text, 1, 2), _part(text, 13, 2), _part(text, 16, 2), _part(text, 19, 2), _part(text, 22, 3))
+    return bound([_part(text, 8, 4), month, _part(text, 1, 2), _part(text, 13, 2), _part(text, 16, 2), _part(text, 19, 2), _part(text, 22, 3)], to_millis)
 
 
 def millis_of(y: int, m: int, d: int, h: int = 0, mi: int = 0, s: int = 0, ms: int = 0) -> int:

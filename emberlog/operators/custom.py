@@ -18,7 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import has_control, is_format_id, without_line_end
-from ..functions.times import to_millis
+from ..functions.times import bound, to_millis
 from .layouts import LAYOUTS, PARSED, with_groups
 
 #: Limits of a definition (fixed values).
@@ -198,8 +198,12 @@ class TimePattern:
             h = F.when((half >= 1) & (half <= 12), half % 12 + F.when(late, 12).otherwise(0))
         else:  # without AM or PM the hour of the day is not known, and counts as 0
             h = F.lit(0)
-        real = F.try_make_timestamp_ntz(F.when(y > 0, y), mo, d, h, mi, F.when(s < 60, s).cast("decimal(8,6)")).isNotNull()
-        return F.when(real, to_millis(y, mo, d, h, mi, s, ms))
+        return bound([y, mo, d, h, mi, s, ms], _existing)
+
+
+def _existing(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, ms: Column) -> Column:
+    real = F.try_make_timestamp_ntz(F.when(y > 0, y), mo, d, h, mi, F.when(s < 60, s).cast("decimal(8,6)")).isNotNull()
+    return F.when(real, to_millis(y, mo, d, h, mi, s, ms))
 
 
 @dataclass(frozen=True)

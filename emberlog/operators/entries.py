@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import is_blank_line, preview
+from ..sources import scratch
 from .custom import CustomLayout
 from .layouts import parse
 
@@ -32,10 +33,14 @@ def parser(layout: Format) -> tuple[Callable[[Column], Column], Callable[[Column
 
 
 def marked(lines: DataFrame, layout: Format) -> DataFrame:
-    """Lines with head (parsed), skip flag and entry_line, the line number of their header."""
+    """Lines with head (parsed), skip flag and entry_line, the line number of their header.
+
+    Parsed lines are written once; all that follows reads that copy.
+    """
     header, shape = parser(layout)
     value = F.col("value")
     seen = lines.withColumn("head", header(value)).withColumn("broken", F.col("head").isNull() & shape(value)).withColumn("blank", is_blank_line(value))
+    seen, _ = scratch.save(seen)
     at = F.when(F.col("head").isNotNull(), F.col("line_no"))
     last = seen.groupBy("file_id", "split").agg(F.max(at).alias("last"))
     before = Window.partitionBy("file_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,8 +85,9 @@ def assemble(lines: DataFrame, layout: Format, sizes: DataFrame | None = None) -
 
 def skipped_summary(skipped: DataFrame) -> tuple[int, list[tuple[int, int, str]]]:
     """How many lines were skipped, and the first few in order."""
-    first = skipped.orderBy("file_id", "line_no").limit(SAMPLES).collect()
-    return skipped.count(), [(r.file_id, r.line_no, r.preview) for r in first]
+    kept, _ = scratch.save(skipped)
+    first = kept.orderBy("file_id", "line_no").limit(SAMPLES).collect()
+    return kept.count(), [(r.file_id, r.line_no, r.preview) for r in first]
 
 
 DETECT_LINES = 500

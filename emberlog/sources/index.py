@@ -75,8 +75,10 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
     new = f"{path}.new"
     shutil.rmtree(new, ignore_errors=True)
     try:
-        # ranges of time by file: min/max statistics then prune time conditions
+        # ranges of time: min/max statistics then prune time conditions; ranges are found on a copy
+        found, copy = scratch.save(found)
         found.repartitionByRange("ts_millis", "file_id").sortWithinPartitions("ts_millis", "file_id", "line_no").write.parquet(f"{new}/entries")
+        scratch.drop(spark, copy)
         files.coalesce(1).write.parquet(f"{new}/files")
         count, samples = assembly.skipped_summary(skipped)
         meta = {"fingerprint": mark, "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples}
