@@ -32,15 +32,15 @@ def parser(layout: Format) -> tuple[Callable[[Column], Column], Callable[[Column
     return lambda line: parse(layout, line), lambda line: F.lit(False)
 
 
-def marked(lines: DataFrame, layout: Format) -> DataFrame:
-    """Lines with head (parsed), skip flag and entry_line, the line number of their header.
-
-    Parsed lines are written once; all that follows reads that copy.
-    """
+def headed(lines: DataFrame, layout: Format) -> DataFrame:
+    """Lines with head (parsed, or null), broken (a header that cannot be read) and blank."""
     header, shape = parser(layout)
     value = F.col("value")
-    seen = lines.withColumn("head", header(value)).withColumn("broken", F.col("head").isNull() & shape(value)).withColumn("blank", is_blank_line(value))
-    seen, _ = scratch.save(seen)
+    return lines.withColumn("head", header(value)).withColumn("broken", F.col("head").isNull() & shape(value)).withColumn("blank", is_blank_line(value))
+
+
+def marked(seen: DataFrame) -> DataFrame:
+    """Lines of ``headed`` with entry_line, the line number of their header, and a skip flag."""
     at = F.when(F.col("head").isNotNull(), F.col("line_no"))
     last = seen.groupBy("file_id", "split").agg(F.max(at).alias("last"))
     before = Window.partitionBy("file_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,10 +54,11 @@ def marked(lines: DataFrame, layout: Format) -> DataFrame:
 def assemble(lines: DataFrame, layout: Format, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries, skipped lines).
 
-    ``sizes`` (file_id, size) tells where files end; without it every line ends with ``\\n``.
-    ``raw`` is the text of the entry's bytes, with the line ends in it.
+    Lines that went through ``headed`` already are not parsed again. ``sizes`` (file_id,
+    size) tells where files end; without it every line ends with ``\\n``. ``raw`` is the text of the entry's bytes, with the line ends in it.
     """
-    rows = marked(lines, layout)
+    # marked once; entries and skipped lines read that copy
+    rows, _ = scratch.save(marked(lines if "head" in lines.columns else headed(lines, layout)))
     named = rows.where("entry_line is not null")
     # lines of one entry are sorted within its own group
     bodies = named.groupBy("file_id", "entry_line").agg(

@@ -62,7 +62,7 @@ def choose_layout(spark: SparkSession, paths: list[str], custom: list[CustomLayo
 def read_entries(spark: SparkSession, paths: list[str], layout: str | CustomLayout) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, skipped lines, files) of log files."""
     files = discovery.files_table(spark, paths)
-    found, skipped = assembly.assemble(lines.read(spark, files, sorted(paths)), layout, files)
+    found, skipped = assembly.assemble(lines.read(spark, files, sorted(paths), lambda rows: assembly.headed(rows, layout)), layout, files)
     return found, skipped, files
 
 
