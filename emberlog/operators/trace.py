@@ -6,8 +6,8 @@ the anchor to the end pattern, or the next start, after it; in WINDOW mode it is
 within some seconds of anchors that follow one another.
 
 Flags (start, end, anchor, contains, excludes) are JVM columns. Entries are cut down to
-contexts that hold an anchor, and each context is folded on its own, in anchor order, as
-if there were no limits on the number of requests. Limits over all contexts are then
+contexts that hold an anchor and to times within reach of one, and each context is folded
+on its own, in anchor order, as if there were no limits on the number of requests. Limits over all contexts are then
 applied in the order in which requests are created: those are the first
 ``MAX_REQUESTS`` kept or ``MAX_EXAMINED`` tried, found by one bounded top-k.
 
@@ -229,7 +229,7 @@ def _fold(spec: Trace):
 
 
 def flagged(entries: DataFrame, spec: Trace) -> DataFrame:
-    """Entries of contexts with an anchor, without their texts."""
+    """Entries of contexts with an anchor, within reach of one, without their texts."""
     none = F.lit(False)
     rows = entries.select(
         "file_id",
@@ -242,8 +242,10 @@ def flagged(entries: DataFrame, spec: Trace) -> DataFrame:
         (find_ignoring_case(F.col("raw"), spec.contains) if spec.contains else none).alias("has"),
         (find_ignoring_case(F.col("raw"), spec.excludes) if spec.excludes else none).alias("hasnt"),
     )
-    contexts = rows.where("is_anchor").select("file_id", "thread").distinct()
-    return rows.join(contexts, ["file_id", "thread"], "left_semi")
+    # no request reaches further from an anchor than reach_ms: rows in other stretches of time go
+    stretch = F.floor(F.col("ts_millis") / spec.reach_ms)
+    near = rows.where("is_anchor").select("file_id", "thread", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
+    return rows.withColumn("stretch", stretch).join(near, ["file_id", "thread", "stretch"], "left_semi").drop("stretch")
 
 
 def folded(entries: DataFrame, spec: Trace) -> DataFrame:
