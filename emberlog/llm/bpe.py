@@ -15,7 +15,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Words whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 300_000
 LONG = 64
 _FAR = np.int32(2**31 - 1)
 

@@ -33,13 +33,14 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         state = now.agg(F.count("*").alias("n"), F.countDistinct("u").alias("k")).first()
         if state["n"] == state["k"] and now.join(roots, "u", "left_semi").limit(1).count() == 0:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")), [path]
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that Spark can split the join where an id has very many neighbours
+        least, least_path = store.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, large_path = store.save(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = store.save(small)
-        store.drop(spark, path, large_path)
+        store.drop(spark, path, large_path, least_path)
         now, path = new, new_path
 
 

@@ -189,11 +189,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their shingle sets.
     """
-    spark = docs.sparkSession
+    spark = store.small_batches(docs).sparkSession
     n = store.partitions(spark)
     facts, _ = store.save(sketches(docs, size))
     live = facts.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
+    # written, so that joins to them are plain ones, which Spark splits where a digest is hot
+    classes, _ = store.save(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
     ones = live.join(classes, ["d1", "d2"]).where("doc_id = id").select("id", "n_shingles", "regs").dropDuplicates(["id", "regs"])
     reps, reps_path = store.save(ones)
 

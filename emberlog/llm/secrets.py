@@ -270,7 +270,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "text
                     part = part.set_column(where, "text", pa.array(texts, part.column(where).type))
                 yield part.rename_columns(batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return store.small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def joined(spans: Column) -> Column:

@@ -13,9 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Send rows to Python a few MB at a time, not by a number of rows of any length.
+
+    The session's setting is lowered from Spark's default of 64 MB; a setting of the
+    user's own stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "1b") == "67108864b":
+        conf.set(_BATCH, "4m")
+    return df
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id as long and text as string, whatever other columns there are."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -314,4 +314,4 @@ def reject(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
                 keep = sent.value.scores(data, off) < 0.5
                 yield part.filter(pa.array(keep)).rename_columns(batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return store.small_batches(docs).mapInArrow(run, docs.schema)

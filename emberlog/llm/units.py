@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import text
+from . import store, text
 
 MIN_WORDS = 6
 _END = np.zeros(256, bool)
@@ -80,7 +80,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Adds n_units (long enough ones), n_removed and removed, an array of (start, end) in
     code points of the text as it was. Columns of ``docs`` with these names are replaced.
     """
-    docs = docs.drop("n_units", "n_removed", "removed")
+    docs = store.small_batches(docs).drop("n_units", "n_removed", "removed")
     found = occurrences(docs, min_words)
     first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1").select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).where(F.struct("key", "start") != F.col("first"))

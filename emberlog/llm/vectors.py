@@ -35,7 +35,7 @@ from . import graph, store, text
 
 EPSILON = 3.0
 MISS = 1e-4
-BLOCK = 1024
+BLOCK = 256
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -132,7 +132,7 @@ def exact(x: np.ndarray, weight: np.ndarray, flags: np.ndarray, threshold: float
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
-    spark = vectors.sparkSession
+    spark = store.small_batches(vectors).sparkSession
     n_parts = store.partitions(spark)
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
@@ -149,7 +149,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
     rows = given.mapInArrow(read, "vec_id long, k1 long, k2 long, x binary")
     facts, _ = store.save(rows.drop("x"))
     live = facts.where("k1 is not null and vec_id is not null")
-    classes = live.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    # written, so that joins to them are plain ones, which Spark splits where a vector is hot
+    classes, _ = store.save(live.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     ones = rows.where("x is not null").join(classes, ["k1", "k2"]).where("vec_id = id").select("id", "weight", "x", "k1").dropDuplicates(["id", "k1"]).drop("k1")
     reps, reps_path = store.save(ones)
     bits, tables = plan(reps.count(), threshold)
