@@ -260,4 +260,4 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     judged = near_duplicates(docs, size, percent)
     gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("any")).where("not any").select("_gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -108,7 +108,7 @@ class Unigram:
         for b in range(256):
             if self.byte[b] != sp.unk_id():
                 self.out[self.byte[b]] = bytes([b])
-        self.cache: dict[str, bytes] = {}
+        self.cache = text.Cache(CACHE)
         self.stretch = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
     def solve(self, keys: list[bytes]) -> list[np.ndarray]:
@@ -183,18 +183,8 @@ class Unigram:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.stretch.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        get = self.cache.get
-        found = [list(map(get, x)) for x in cut]
-        open_ = [i for i, x in enumerate(found) if None in x]
-        if open_:
-            new = sorted({w for i in open_ for w, ids in zip(cut[i], found[i], strict=True) if ids is None})
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {}
-            for w, ids in zip(new, self.solve([w.encode("utf-8", "replace") for w in new]), strict=True):
-                self.cache[w] = ids.tobytes()
-            for i in open_:
-                found[i] = [self.cache[w] if ids is None else ids for w, ids in zip(cut[i], found[i], strict=True)]
-        return [np.frombuffer(b"".join(x), "<u4") for x in found]
+        learn = lambda new: [ids.tobytes() for ids in self.solve([w.encode("utf-8", "replace") for w in new])]
+        return [np.frombuffer(b"".join(x), "<u4") for x in self.cache.look_up(cut, learn)]
 
     def decode(self, ids) -> str:
         """Bytes that are no valid UTF-8 become U+FFFD; the first blank is the added one."""
@@ -224,7 +214,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(it):
         m = model(path)
-        for part, data, off in text.slices(it):
+        for part, data, off in text.slices(it, text.WORD_SLICE_BYTES):
             found = m.encode(text.strings(data, off))
             flat = np.concatenate(found) if found else np.zeros(0)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -260,7 +250,7 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
         m = model(path)
         is_byte = np.zeros(len(m.out), bool)
         is_byte[m.byte] = True
-        for part, data, off in text.slices(it):
+        for part, data, off in text.slices(it, text.WORD_SLICE_BYTES):
             texts = text.strings(data, off)
             rows = [(len(x), len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), m.decode(ids) == x) for x, ids in zip(texts, m.encode(texts), strict=True)]
             yield text.table(schema, part.column("doc_id"), *map(list, zip(*rows, strict=True)))

@@ -76,10 +76,13 @@ def either(*qs: Query) -> Query:
 
 
 def of_strings(found: set[str]) -> Query:
-    """What a text must hold if it holds one of these (ASCII-lowered) strings."""
+    """What a text must hold if it holds one of these (ASCII-lowered) strings.
+
+    Postings are over bytes, so only trigrams of ASCII characters are asked for.
+    """
     if any(len(x) < 3 for x in found):
         return True
-    return either(*(both(*(x[i : i + 3] for i in range(len(x) - 2))) for x in sorted(found)))
+    return either(*(both(*(g for i in range(len(x) - 2) if (g := x[i : i + 3]).isascii())) for x in sorted(found)))
 
 
 def fold(code: int) -> str:
@@ -175,12 +178,11 @@ class Index:
         self.rules = rules
         self.queries = [trigram_query(r) for r in rules]
         self.regexes = [r.regex for r in rules]
-        # a trigram with characters over one byte is left out of the queries' postings
-        grams = sorted(g for g in set().union(*map(mentioned, self.queries)))
+        grams = sorted(set().union(*map(mentioned, self.queries)))
         self.slots = {g: i for i, g in enumerate(grams)}
         self.lookup = np.full(1 << 24, -1, np.int16)
         for g, i in self.slots.items():
-            a, b, c = g.encode("latin-1")
+            a, b, c = g.encode()
             self.lookup[a << 16 | b << 8 | c] = i
 
     def postings(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:

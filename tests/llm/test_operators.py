@@ -384,6 +384,8 @@ def test_queries_are_implied_by_matches():
     assert by["hex"] is True and by["access"] == ("and", ("aki", "kia"))
     assert secrets.trigram_query(secrets.Rule("x", "ab(c|de)?f+gh*i")) == ("or", (("and", ("abc", "bcf")), ("and", ("abd", "bde", "def")), "abf"))
     assert secrets.trigram_query(secrets.Rule("x", "a[^b]c(?!ddd)")) is True
+    assert secrets.trigram_query(secrets.Rule("x", "clé secrète")) == ("and", (" se", "sec", "ecr"))
+    assert secrets.trigram_query(secrets.Rule("x", "éèà")) is True
     assert secrets.trigram_query(secrets.Rule("x", "(abc|xyz).*(q{3})")) == ("and", (("or", ("abc", "xyz")), "qqq"))
 
 
