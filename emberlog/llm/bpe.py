@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
 
 import numpy as np
 
-#: Words whose ids a worker keeps.
+from . import text
+
+#: Words of each generation whose ids a worker keeps.
 CACHE = 300_000
 LONG = 64
 _FAR = np.int32(2**31 - 1)
@@ -90,7 +91,7 @@ class Tokens:
         names = [self.inner.id_to_token(i) or "" for i in range(n)]
         self.word_end = np.array([x.endswith("</w>") for x in names])
         self.sentence_end = np.array([x.isascii() and bool(re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*</w>", x)) for x in names])
-        self.cache: dict[str, bytes] = {}
+        self.cache = text.Cache(CACHE)
 
     def pieces(self, x: str) -> list[str]:
         """Cached units of a text; only plain words and other whole stretches occur."""
@@ -106,19 +107,10 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(x) for x in texts]
-        get = self.cache.get
-        found = [list(map(get, x)) for x in cut]
-        open_ = [i for i, x in enumerate(found) if None in x]
-        if open_:
-            new = {w for i in open_ for w, ids in zip(cut[i], found[i], strict=True) if ids is None}
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {}
-            self.learn(new)
-            for i in open_:
-                found[i] = [self.cache[w] if ids is None else ids for w, ids in zip(cut[i], found[i], strict=True)]
-        return [np.frombuffer(b"".join(x), "<u4") for x in found]
-
-    def learn(self, units: Iterable[str]) -> None:
+        return [np.frombuffer(b"".join(x), "<u4") for x in self.cache.look_up(cut, self.learn)]
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        known: dict[str, bytes] = {}
         words, rest = [], []
         for x in units:
             (words if self.WORD.fullmatch(x) else rest).append(x)
@@ -131,13 +123,14 @@ class Tokens:
                 to += 1
             group = [keys[i] for i in order[at:to]]
             for i, ids in zip(order[at:to], self.merged(group), strict=True):
-                self.cache[words[i]] = ids
+                known[words[i]] = ids
             at = to
         rest += [words[i] for i in order[at:]]
         for i in range(0, len(rest), 10_000):
             some = rest[i : i + 10_000]
             for w, e in zip(some, self.inner.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        return [known[w] for w in units]
 
     def merged(self, keys: list[bytes]) -> list[bytes]:
         """Lowest rank first, leftmost among equals, in all words at once."""

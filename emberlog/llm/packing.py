@@ -20,8 +20,8 @@ or null doc_id are packed like any others; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,26 +81,34 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
 def cuts(at: list[int], cost: list[int], window: int = WINDOW, least_power: int = LEAST_POWER) -> list[int]:
     """Positions (0 and the end included) of the cheapest packing."""
     sizes = [1 << k for k in range(window.bit_length()) if least_power <= 1 << k < window]
-    place = {p: i for i, p in enumerate(at)}
-    f, back = [0] * len(at), [0] * len(at)
-    queue: deque[int] = deque([0])
-    g = [0] * len(at)  # f + position, ascending along the queue
+    longest = max(sizes, default=0)
+    # boundary at a position, or the last index, whose f stays infinite while it is looked up;
+    # positions below 0 wrap round into the free room at the end
+    none = len(at)
+    place = [none] * (at[-1] + 1 + longest)
+    for i, p in enumerate(at):
+        place[p] = i
+    f, back = [math.inf] * (none + 1), [0] * none
+    f[0] = 0
+    g = [0] * none  # f + position, ascending along the queue
     g[0] = at[0]
-    for j in range(1, len(at)):
+    queue, head = [0], 0
+    for j in range(1, none):
         pos = at[j]
-        while at[queue[0]] < pos - window:
-            queue.popleft()
-        best_i = queue[0]
-        best = g[best_i] + window - pos
+        low = pos - window
+        while at[queue[head]] < low:
+            head += 1
+        best_i = queue[head]
+        best = g[best_i] - low
         for size in sizes:
-            i = place.get(pos - size)
-            if i is not None and f[i] < best:
+            i = place[pos - size]
+            if f[i] < best:
                 best, best_i = f[i], i
         f[j] = best = best + cost[j]
         back[j] = best_i
         g[j] = value = best + pos
-        while queue and g[queue[-1]] >= value:
-            queue.pop()
+        while len(queue) > head and g[queue[-1]] >= value:
+            del queue[-1]
         queue.append(j)
     out, j = [], len(at) - 1
     while j:
@@ -167,7 +175,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, penalti
             for i in range(0, len(rows), 20_000):
                 yield text.table(schema, *map(list, zip(*rows[i : i + 20_000], strict=True)))
 
-        for part, data, off in text.slices(it):
+        for part, data, off in text.slices(it, text.WORD_SLICE_BYTES):
             for k, ids in zip(part.column("doc_id").to_pylist(), t.encode(text.strings(data, off)), strict=True):
                 packer.add(k, np.concatenate([ids, end]))
             yield from out(False)

@@ -6,7 +6,9 @@ text counts as the empty text everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress, repeat
+from operator import is_
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +25,8 @@ _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 #: Bytes of text handled at once; a longer document is handled alone.
 SLICE_BYTES = 1 << 20
+#: The same where new words of a slice are worked out together, without arrays over bytes.
+WORD_SLICE_BYTES = 1 << 23
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,5 +131,37 @@ def strings(data: np.ndarray, off: np.ndarray) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
+class Cache:
+    """Bounded memory of words in two generations: a word in use is never forgotten."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look_up(self, cut: list[list[str]], learn: Callable[[list[str]], Iterable[bytes]]) -> list[list[bytes]]:
+        """Values of all words; ``learn`` gives those of words that are new."""
+        get = self.young.get
+        found = [list(map(get, x)) for x in cut]
+        gaps = [list(compress(range(len(x)), map(is_, x, repeat(None)))) for x in found]
+        wanted = {words[k] for words, at in zip(cut, gaps, strict=True) for k in at}
+        if wanted:
+            if len(self.young) + len(wanted) > self.size:
+                self.old, self.young = self.young, {}
+            fresh = []
+            for w in wanted:
+                if (v := self.old.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    self.young[w] = v
+            if fresh:
+                self.young.update(zip(fresh, learn(fresh), strict=True))
+            young = self.young
+            for words, values, at in zip(cut, found, gaps, strict=True):
+                for k in at:
+                    values[k] = young[words[k]]
+        return found
+
+
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
