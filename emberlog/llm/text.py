@@ -26,7 +26,7 @@ _powers: dict[tuple[int, bool], np.ndarray] = {}
 #: Bytes of text handled at once; a longer document is handled alone.
 SLICE_BYTES = 1 << 20
 #: The same where new words of a slice are worked out together, without arrays over bytes.
-WORD_SLICE_BYTES = 1 << 23
+WORD_SLICE_BYTES = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
