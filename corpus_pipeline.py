@@ -36,8 +36,8 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Units of text that an earlier document holds are cut out."""
-    return _measured(units.deduplicated(docs).select(*docs.columns))
+    """Runs of units of text that stand earlier are cut out, whole lines with their short sentences."""
+    return _measured(units.deduplicated(docs, runs=True).select(*docs.columns))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ unit is normalised to its lower-cased (A-Z) words joined by one blank. Units of
 that ranks first by (doc_id, offset) stays, all later ones are removed, in the same
 document too. Removed spans keep their original code-point offsets.
 
+With ``runs`` the minimum applies to what repeats, not to each unit: a run of neighbouring
+units of a document, short ones included, goes where the same words in a row stand earlier.
+Digests are taken of the shortest runs of ``MIN_WORDS`` words and more that begin, and of
+those that end, with each unit. Together they cover every unit of a longer repeated run, so
+whole repeated lines and paragraphs go. A short unit by itself stays, as may a blank one
+between two runs.
+
 Digests alone are shuffled to find repeated ones; partial aggregation meets hot units, and
 the join that returns to the occurrences is one that Spark splits where it is skewed.
 Null text has no units and stays null. Rows with a null doc_id rank last. Rows of equal
@@ -50,38 +57,61 @@ class Units:
         hashes = text.word_hashes(data, w)
         first, last = w.first[:-1], w.first[1:]
         self.words = last - first
-        self.h1 = text.span_hashes(hashes, first, last, 0).view(np.int64)
-        self.h2 = text.span_hashes(hashes, first, last, 1).view(np.int64)
+        self.hashes, self.first = hashes, w.first
         self.doc = np.searchsorted(off, self.edges[:-1], "right") - 1
         self.off = off
 
+    def spans(self, min_words: int, runs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """First and last unit of whatever is digested: long units, or all shortest runs."""
+        if not runs:
+            on = np.flatnonzero(self.words >= min_words)
+            return on, on
+        on = np.flatnonzero(self.words > 0)
+        a, b = self.first[on], self.first[on + 1]
+        # units that hold the min_words-th word from a unit's begin on, and back from its end
+        word = np.repeat(np.arange(len(self.words)), self.words)
+        n, doc = len(word), self.doc
+        to = np.where(a + min_words <= n, word[np.minimum(a + min_words, n) - 1], -1)
+        begin = np.where(b >= min_words, word[np.maximum(b - min_words, 0)], -1)
+        ahead = (to >= 0) & (doc[to] == doc[on])
+        back = (begin >= 0) & (doc[begin] == doc[on])
+        end = np.full(len(self.words), -1)
+        end[on[ahead]] = to[ahead]
+        back &= end[begin] != on  # not both
+        return np.concatenate([on[ahead], begin[back]]), np.concatenate([to[ahead], on[back]])
+
+    def digest(self, i: np.ndarray, j: np.ndarray, lane: int) -> np.ndarray:
+        """Of the words of units i to j."""
+        return text.span_hashes(self.hashes, self.first[i], self.first[j + 1], lane).view(np.int64)
+
 
 def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """key, start (bytes), h1, h2 of every unit that is long enough."""
+def occurrences(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
+    """key, start (bytes), h1, h2 of every unit that is long enough, or of all shortest runs."""
     schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(it):
         for part, data, off in text.slices(it):
             u = Units(data, off)
-            on = np.flatnonzero(u.words >= min_words)
+            i, j = u.spans(min_words, runs)
             keys = part.column("key").to_numpy()
-            yield text.table(schema, keys[u.doc[on]], u.edges[on] - off[u.doc[on]], u.h1[on], u.h2[on])
+            yield text.table(schema, keys[u.doc[i]], u.edges[i] - off[u.doc[i]], u.digest(i, j, 0), u.digest(i, j, 1))
 
     return docs.select(_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, start long, h1 long, h2 long")
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """``docs`` with later occurrences cut out of ``text``; all rows and columns stay.
 
     Adds n_units (long enough ones), n_removed and removed, an array of (start, end) in
-    code points of the text as it was. Columns of ``docs`` with these names are replaced.
+    code points of the text as it was, one for each unit that goes. Columns of ``docs``
+    with these names are replaced. ``runs`` is told above.
     """
     docs = store.small_batches(docs).drop("n_units", "n_removed", "removed")
-    found = occurrences(docs, min_words)
+    found = occurrences(docs, min_words, runs)
     first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1").select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).where(F.struct("key", "start") != F.col("first"))
     cut = later.groupBy("key").agg(F.collect_set(F.struct("start", "h1")).alias("_cut"))
@@ -103,11 +133,14 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             body = part.column("text")
             if some.any():
                 chars = text.characters(data)
-                first = np.searchsorted(u.doc, np.arange(part.num_rows + 1))
                 texts = body.to_pylist()
+                a, b = u.spans(min_words, runs)
+                a, b, h1 = (x[np.argsort(a, kind="stable")] for x in (a, b, u.digest(a, b, 0)))
+                first = np.searchsorted(u.doc[a], np.arange(part.num_rows + 1))
+                at_, to_, h1 = (u.edges[a] - off[u.doc[a]]).tolist(), b.tolist(), h1.tolist()
                 for i in np.flatnonzero(some).tolist():
                     named = {(x["start"], x["h1"]) for x in cuts[i].as_py()}
-                    ks = [k for k in range(int(first[i]), int(first[i + 1])) if enough[k] and (int(u.edges[k] - off[i]), int(u.h1[k])) in named]
+                    ks = sorted({k for r in range(int(first[i]), int(first[i + 1])) if (at_[r], h1[r]) in named for k in range(int(a[r]), to_[r] + 1)})
                     spans[i] = [{"start": int(chars[u.edges[k]] - chars[off[i]]), "end": int(chars[u.edges[k + 1]] - chars[off[i]])} for k in ks]
                     if ks:
                         x, pieces, to = texts[i], [], 0

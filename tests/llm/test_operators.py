@@ -191,6 +191,34 @@ def test_planted_passage(spark):
     assert all("p30" not in got[i] and f"tail{i}" in got[i] for i in range(2, 6))
 
 
+def test_repeated_runs_go_with_their_short_sentences(spark):
+    line = "Eriner thanea. The and attion to thanedble the, anea. So it ends."
+    short = "One two. Three four. Five six seven."
+    rows = [(1, f"Own lead here.\n{line}\n{short} Tail."), (2, f"{line}\nNew.\n"), (3, f"Before it. {short} After it."), (4, "So it ends. Eriner thanea. Five six seven."), (5, f"\n \n{line}")]
+    got = {r.doc_id: r for r in units.deduplicated(make(spark, rows), runs=True).collect()}
+    assert {k: r.text for k, r in got.items()} == {1: rows[0][1], 2: "New.\n", 3: "Before it. After it.", 4: rows[3][1], 5: "\n \n"}
+    assert got[2].n_removed == 3 and "".join(rows[1][1][s.start : s.end] for s in got[2].removed) == line + "\n"
+
+
+def test_runs_by_brute_force(spark):
+    r = random.Random(8)
+    pool = ["a b. ", "A c d.\n", "b c.", "\n", " ", "d d a b c b!? ", "e f g\n", "c.\n\n"]
+    rows = [(i, "".join(r.choice(pool) for _ in range(r.randrange(20)))) for i in range(60)]
+    seen, gone = {}, collections.defaultdict(set)
+    cut = {k: re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", x) for k, x in rows}
+    for k, us in cut.items():
+        ws = [WORD.findall(u) for u in us]
+        for i in range(len(us)):
+            for j in range(i, len(us)):
+                run = tuple(w for x in ws[i : j + 1] for w in x)
+                if ws[i] and ws[j] and len(run) >= units.MIN_WORDS and seen.setdefault(run, (k, i)) != (k, i):
+                    gone[k].update(range(i, j + 1))
+    got = {x.doc_id: x.text for x in units.deduplicated(make(spark, rows), runs=True).collect()}
+    assert sum(map(len, gone.values())) > 50
+    bare = {k: "".join("".join(u for i, u in enumerate(us) if i not in gone[k]).split()) for k, us in cut.items()}
+    assert {k: "".join(x.split()) for k, x in got.items()} == bare  # blank units between two runs may stay
+
+
 def test_units_of_nothing(none):
     assert units.deduplicated(none).count() == 0
 
