@@ -4,7 +4,8 @@ A word enters as its own vector (words that the sample has often enough) and as
 of its hashed character trigrams' vectors. Two gated recurrent units read a window of
 ``WINDOW`` words from both ends; attention pools their states into one vector and a
 logistic unit gives the window's logit. A document's logit is the greatest of all its
-overlapping windows (``STRIDE`` words apart), each scored in full.
+overlapping windows (``STRIDE`` words apart, half a window: any stretch of up to 33 words
+is whole in one of them), each scored in full.
 
 Training runs on the driver over a bounded sample: at most ``SAMPLE`` labelled documents
 of each class with texts of up to ``LONGEST`` characters, the least by a hash of doc_id.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import store, text
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 SAMPLE, LONGEST = 1500, 20_000
 WORD, CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
 VOCABULARY, TRIGRAMS = 30_000, 4096

@@ -355,6 +355,14 @@ def test_windows_cover_every_word():
         assert set(index[index >= 0].tolist()) == set(range(n)) and length.sum() >= n and length.max() <= toxicity.WINDOW
 
 
+def test_stretches_across_an_edge_are_whole_in_a_window():
+    data, off = text.buffers(pa.array([" ".join(f"v{i:03}" for i in range(300))]))
+    w = toxicity.Words(data, off)
+    seen = [set(x[x >= 0].tolist()) for x in w.windows()[0]]
+    for n in (17, 33):
+        assert all(any(set(w.index[a : a + n].tolist()) <= s for s in seen) for a in range(301 - n))
+
+
 # 5 -------------------------------------------------------------------------------------
 
 SECRETS = [
