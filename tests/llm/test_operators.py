@@ -503,6 +503,19 @@ def test_no_documents_no_duplicates(spark, none):
     assert minhash.representatives(make(spark, [(1, None), (2, ""), (None, "a")])).count() == 3
 
 
+def test_the_estimate_drops_no_link_that_bands_find():
+    # a pair exactly at the threshold: the odds that its equal registers lie below the floor
+    for percent in (80, 85):
+        t, n = percent / 100, np.array(1000)
+        regs = np.arange(minhash.REGISTERS, dtype=np.uint16)
+        miss = 0.0
+        for k in range(minhash.REGISTERS + 1):
+            other = regs + np.uint16(1000) * (np.arange(minhash.REGISTERS) >= k).astype(np.uint16)
+            if not minhash.families(np.stack([regs, other]), np.array([n, n]), np.array([1, 2]), np.zeros(2), False, percent):
+                miss += math.comb(minhash.REGISTERS, k) * t**k * (1 - t) ** (minhash.REGISTERS - k)
+        assert miss < 1e-8
+
+
 def test_estimates_of_similarity():
     rng = np.random.default_rng(0)
     for share in (0.0, 0.5, 0.85, 1.0):
