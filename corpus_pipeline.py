@@ -7,7 +7,7 @@ kept equal to the text's length where a stage changes texts (null text: 0).
 
 Rows with a null doc_id or text pass like others: an empty text is not toxic, has no
 duplicates and no secrets, and packs as one end token. Rows of one doc_id are one document
-to the near-duplicate stage.
+to the near-duplicate stage, which keeps one of equal rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the least doc_id stays."""
+    """Of each group of near duplicates the one with the least doc_id stays, one row of equal ones."""
     return minhash.representatives(docs, SHINGLE, PERCENT)
 
 

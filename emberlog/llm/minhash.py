@@ -256,9 +256,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that near_duplicates keeps, with all their columns.
 
-    Only the doc_ids of rows that go are joined back. A doc_id whose rows hold different
-    texts stays if any of them is kept.
+    Of rows with equal (doc_id, text) one stays. A row without a doc_id is judged under a
+    number made from its text, far above real ids: it may be a copy of any row, but goes
+    before none that has an id. Only the ids of rows that go, or that more rows share, are
+    joined back. A doc_id whose rows hold different texts stays if any of them is kept.
     """
-    judged = near_duplicates(docs, size, percent)
-    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("any")).where("not any").select("_gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    made = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    key = F.coalesce(F.col("doc_id").cast("long"), made)
+    judged = near_duplicates(docs.select(key.alias("doc_id"), "text"), size, percent)
+    by_id = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_any"), F.count("*").alias("_n")).where("not _any or _n > 1")
+    marks, _ = store.save(by_id)
+    keyed = docs.withColumn("_key", key)
+    stays = keyed.join(marks.where("not _any"), F.col("_key") == F.col("_id"), "left_anti")
+    shared = marks.where("_any").select("_id")
+    alone = stays.join(shared, F.col("_key") == F.col("_id"), "left_anti")
+    once = stays.join(shared, F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key", "text"])
+    return alone.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -516,6 +516,17 @@ def test_the_estimate_drops_no_link_that_bands_find():
         assert miss < 1e-8
 
 
+def test_one_row_of_equal_ones_stays(spark):
+    near = words(100, 5)
+    texts = [" ".join(near), " ".join([*near, "more"]), "some other text of its own", "no copy of this anywhere"]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (2, "two"), (2, "versions"), (3, None), (3, None), (None, None), (None, texts[3])]
+    df = make(spark, rows)
+    kept = minhash.representatives(df)
+    assert kept.columns == df.columns
+    want = [(1, texts[0]), (None, texts[2]), (2, "two"), (2, "versions"), (3, None), (None, None), (None, texts[3])]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(want)
+
+
 def test_estimates_of_similarity():
     rng = np.random.default_rng(0)
     for share in (0.0, 0.5, 0.85, 1.0):
