@@ -1,51 +1,65 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Tokens are lower-cased (A-Z) words and one end per document. A context is what the words so
-far in a document are most like: one of ``CLASSES`` mixture components (found without any
-labels), or the beginning, where nothing is read yet. Every context has a restaurant whose
-parent is the root restaurant; the root's parent is uniform over the V known words and one
-unknown one. The chance of word w in context u is
+Tokens are lower-cased (A-Z) words and one end per document. A context is the word before,
+or the start of the document. Every word that comes before another has a restaurant, so
+their number grows with the corpus; all restaurants share one parent, that of no context,
+whose own parent is uniform over the V known words and one unknown one. The chance of word
+w after word u is
 
     P(w | u) = (c_uw - d t_uw) / (theta + c_u) + (theta + d t_u) / (theta + c_u) P(w)
 
-with c customers and t tables, and so on at the root, whose customers are the contexts'
-tables. Seating is sampled by Gibbs: a sweep seats all customers of each word anew, given
-the rest of the state. For up to ``EXACT`` customers the number of tables is drawn from its
-conditional, by generalised Stirling numbers; beyond that customers sit down in growing
-parties. Words are spread over all machines and restaurant totals are refreshed between
-sweeps. Scores use probabilities averaged over the sampled sweeps.
+with c customers and t tables, and so on at the root, whose customers are the restaurants'
+tables. Seating is sampled by Gibbs. A sweep draws the number of tables of each dish in each
+restaurant given all others: its own customers are taken out of the root, and
 
-Counts come from all training documents and grow with them. What is broadcast is bounded:
-the class scores (``BUCKETS`` x ``CLASSES``) and the ``FREQUENT`` most frequent words; all
-other words of a document meet the model in a shuffle, where one row stands for all of a
-word's places in a document and context.
+    p(t) ~ S_d(c, t) prod_{j<t} (theta + d (T + j)) P_j(w)
+
+where S are generalised Stirling numbers and P_j is the root's chance with j customers back.
+Dishes with one customer have one table and are never drawn. Then the root's tables are drawn
+in the same way. Totals of other dishes are those of the sweep before, as is usual where
+Gibbs runs on many machines. Up to ``EXACT`` customers of a dish the numbers S come from their
+recursion, beyond that from a saddle point. Scores use (c - d t), (theta + d t_u) and P(w), each
+averaged over the sampled sweeps, so that P(. | u) sums to one.
+
+Words have codes: the ``FREQUENT`` most frequent ones, which are broadcast, an index, all
+others a negative hash. Pairs of words are counted and looked up by blocks, a hash of both
+words; a row holds a block's pairs as arrays. Dishes of frequent words meet the totals of
+their restaurants by broadcast, those of rare words, none of which can be hot, in joins. In
+scoring, the most frequent pairs are broadcast too and the others of a document meet the
+model in one shuffle; what comes back is summed by document.
 
 Null text is the empty text, whose only token is the end. Rows are scored one by one, also
-those of equal doc_id. A null doc_id counts as the text '' in the split. With no training
+those of equal doc_id; ties do not matter, as nothing is ranked but frequencies, by which
+equal ones fall on the same side. A null doc_id counts as the text '' in the split. With no training
 rows at all every score comes from the uniform parent. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store, text
+from . import graph, store, text
 
-CLASSES = 8
-BUCKETS = 256
-FREQUENT = 1 << 17
-EXACT = 64
+#: Bounds of what is broadcast: words and pairs of words.
+FREQUENT, PAIRS = 1 << 19, 1 << 19
+EXACT = 256
 BURN_IN, SAMPLES = 2, 3
-#: Distinct (word, context) counts that a task holds before it passes them on.
-HELD = 1 << 21
-#: Hash that stands for the end of a document.
-END = np.uint64(0x2545F4914F6CDD1D)
+STRENGTH = 1.0
+#: Distinct pairs, or messages, that a task holds before it passes them on.
+HELD = 1 << 20
+#: Tokens of a block of pairs, about, and pairs of a stored row.
+PER_BLOCK, PER_ROW = 1 << 21, 1 << 17
+#: Hashes that stand for the end of a document and for its start.
+END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B873593CC9E2D51)
+_RARE = -(1 << 63)
 
 
 def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,110 +74,135 @@ def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, first
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(17)).astype(np.int64) % BUCKETS
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, where each stands first, and their summed counts."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[at], order[at], np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, counts.dtype)
 
 
 @dataclass(frozen=True)
-class Mixture:
-    """Log scores of buckets by class, and of the classes."""
-
-    scores: np.ndarray  # BUCKETS x CLASSES
-    prior: np.ndarray
-
-    def contexts(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Context of each token, from the tokens before it in its document; 0 is the beginning."""
-        k = len(self.prior)
-        sums = np.zeros((len(h) + 1, k), np.float32)
-        np.cumsum(self.scores[bucket(h)], axis=0, out=sums[1:])
-        sizes = np.diff(first)
-        sums = sums[:-1] - np.repeat(sums[first[:-1]], sizes, axis=0)
-        out = (sums + self.prior).argmax(1) + 1
-        out[first[:-1][sizes > 0]] = 0
-        return out
-
-
-def mixture(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 300) -> Mixture:
-    """Symmetric factorisation of how often buckets share a document."""
-    m = pairs / max(pairs.sum(), 1.0)
-    rng = np.random.default_rng(11)
-    p = rng.dirichlet(np.full(len(m), 50.0), classes)  # class x bucket
-    pi = np.full(classes, 1 / classes)
-    for _ in range(rounds):  # EM for m ~ sum_k pi_k p_k p_k'
-        mean = np.maximum((p.T * pi) @ p, 1e-300)
-        ratio = m / mean
-        new = p * (p @ ratio) * pi[:, None]
-        pi = np.maximum(new.sum(1), 1e-12)
-        p = np.maximum(new / pi[:, None], 1e-9)
-        p /= p.sum(1, keepdims=True)
-        pi /= pi.sum()
-    # how common a bucket is says nothing of the class: scores are relative to the mean
-    scores = np.log(p) - np.log(np.maximum(pi @ p, 1e-12))
-    return Mixture(scores.T.astype(np.float32), np.log(pi).astype(np.float32))
-
-
-def learn_mixture(train: DataFrame) -> Mixture:
-    """From every training document: counts of buckets by document, summed as products."""
-    schema = pa.schema([("i", pa.int32()), ("row", pa.list_(pa.float64()))])
+class Frequent:
+    """The most frequent words (sorted hashes, start and end always) and their numbers."""
+
+    hashes: np.ndarray
+    count: np.ndarray  # tokens of training
+    guests: np.ndarray  # customers as a context
+    start: int  # code of the start
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, (h | np.uint64(1 << 63)).view(np.int64))
+
+    def before(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The context of each token."""
+        u = np.empty_like(codes)
+        u[1:] = codes[:-1]
+        u[first[:-1]] = self.start  # every document has a token, its end
+        return u
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Both codes of frequent words, or a negative hash if one is rare."""
+    mixed = text.mix(u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ text.mix(w.view(np.uint64)))
+    return np.where((u >= 0) & (w >= 0), (u << 32) | w, (mixed | np.uint64(1 << 63)).view(np.int64))
+
+
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    high = text.mix(keys.view(np.uint64) ^ np.uint64(0x8E9D5A3C6B1F2704)) >> np.uint64(32)
+    return (high * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def by_block(keys: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterable[tuple]:
+    """(block, bytes of each column) with a block's keys ascending; ``keys`` come sorted."""
+    block = block_of(keys, blocks)
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), [len(block)]]) if len(block) else np.zeros(1, np.int64)
+    columns = [c[order] for c in columns]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield (int(block[a]), *(c[a:b].tobytes() for c in columns))
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """w (hash), n: summed within each task."""
+    schema = pa.schema([("w", pa.int64()), ("n", pa.int64())])
 
     def run(it):
-        total = np.zeros((BUCKETS, BUCKETS))
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, size = [], 0
         for _, data, off in text.slices(it):
-            h, first = token_hashes(data, off)
-            docs = len(off) - 1
-            x = np.bincount(np.repeat(np.arange(docs) * BUCKETS, np.diff(first)) + bucket(h), minlength=docs * BUCKETS).reshape(docs, BUCKETS)
-            x = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))  # a document weighs its length, once
-            total += x.T @ x
-        yield text.table(schema, np.arange(BUCKETS, dtype=np.int32), [r.tolist() for r in total])
-
-    rows = train.select("text").mapInArrow(run, "i int, row array<double>")
-    cell = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    pairs = np.zeros((BUCKETS, BUCKETS))
-    got = cell.toArrow()  # BUCKETS squared numbers
-    pairs[got.column("i").to_numpy(), got.column("j").to_numpy()] = got.column("v").to_numpy()
-    return mixture(pairs)
-
-
-def compress(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of (hash, context) packed as a structured sort, with summed counts."""
-    order = np.lexsort((keys[1], keys[0]))
-    h, u = keys[0][order], keys[1][order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])]) if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    ones = np.ones(len(h), np.int64) if counts is None else counts[order]
-    return (h[at], u[at]), np.add.reduceat(ones, at) if len(at) else np.zeros(0, np.int64)
-
-
-def pair_counts(train: DataFrame, mix: Mixture) -> DataFrame:
-    """w (hash), u (context), n: summed within each task."""
-    schema = pa.schema([("w", pa.int64()), ("u", pa.int32()), ("n", pa.int64())])
+            k, _, n = summed(h := token_hashes(data, off)[0], np.ones(len(h), np.int64))
+            held.append((k, n))
+            size += len(k)
+            if size > HELD:
+                keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
+                held, size = [], 0
+                if len(keys) > HELD:
+                    yield text.table(schema, keys.view(np.int64), counts)
+                    keys, counts = keys[:0], counts[:0]
+        keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
+        yield text.table(schema, keys.view(np.int64), counts)
+
+    return train.select("text").mapInArrow(run, "w long, n long")
+
+
+def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
+    """Rows (block, u, w, c): arrays of each block's distinct pairs and their counts."""
+    schema = pa.schema([("block", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
 
     def run(it):
-        keys, counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.int64)
+        known = words.value
+        empty = np.zeros(0, np.int64)
+        keys, u, w, n = empty, empty, empty, empty
         held, size = [], 0
 
-        def fold():
-            return compress((np.concatenate([keys[0], *(k[0] for k, _ in held)]), np.concatenate([keys[1], *(k[1] for k, _ in held)])), np.concatenate([counts, *(c for _, c in held)]))
-
-        def out():
-            for a in range(0, len(counts), 100_000):
-                b = a + 100_000
-                yield text.table(schema, keys[0][a:b].view(np.int64), keys[1][a:b].astype(np.int32), counts[a:b])
+        def fold(sets):
+            k, a, b, c = (np.concatenate(x) for x in zip(*sets, strict=True))
+            k, at, c = summed(k, c)
+            return k, a[at], b[at], c
 
         for _, data, off in text.slices(it):
             h, first = token_hashes(data, off)
-            held.append(compress((h, mix.contexts(h, first))))
-            size += len(held[-1][1])
-            if size > HELD // 4:
-                keys, counts = fold()
+            if not len(h):
+                continue
+            code = known.codes(h)
+            before = known.before(code, first)
+            held.append(fold([(pair_keys(before, code), before, code, np.ones(len(code), np.int64))]))
+            size += len(held[-1][0])
+            if size > HELD // 2:
+                keys, u, w, n = fold([(keys, u, w, n), *held])
                 held, size = [], 0
-                if len(counts) > HELD:
-                    yield from out()
-                    keys, counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.int64)
-        keys, counts = fold()
-        yield from out()
+                if len(keys) > HELD:
+                    yield text.table(schema, *map(list, zip(*by_block(keys, blocks, u, w, n), strict=True)))
+                    keys, u, w, n = empty, empty, empty, empty
+        keys, u, w, n = fold([(keys, u, w, n), *held])
+        if len(keys):
+            yield text.table(schema, *map(list, zip(*by_block(keys, blocks, u, w, n), strict=True)))
 
-    return train.select("text").mapInArrow(run, "w long, u int, n long")
+    def merge(it):
+        for t, edges in graph.whole_groups(it, "block"):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                u, w, c = (np.frombuffer(b"".join(t.column(x).slice(a, b - a).to_pylist()), np.int64) for x in ("u", "w", "c"))
+                keys, at, c = summed(pair_keys(u, w), c)
+                u, w = u[at], w[at]
+                for x in range(0, len(keys), PER_ROW):
+                    s = slice(x, x + PER_ROW)
+                    yield text.table(schema, [t.column("block")[a].as_py()], [u[s].tobytes()], [w[s].tobytes()], [c[s].tobytes()])
+
+    kind = "block long, u binary, w binary, c binary"
+    parts = store.partitions(train.sparkSession)
+    return train.select("text").mapInArrow(run, kind).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merge, kind)
+
+
+def arrays(b: pa.RecordBatch, *names: str) -> Iterable[tuple[np.ndarray, ...]]:
+    """The int64 arrays of each row."""
+    for row in zip(*(b.column(x) for x in names), strict=True):
+        yield tuple(np.frombuffer(x.as_buffer(), np.int64) for x in row)
+
+
+# seating -----------------------------------------------------------------------------------
 
 
 def log_stirling(d: float, n: int) -> np.ndarray:
@@ -177,53 +216,127 @@ def log_stirling(d: float, n: int) -> np.ndarray:
     return out
 
 
-def seat(customers: np.ndarray, mass: np.ndarray, d: float, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
-    """Tables of each dish, given its customers and the weight of a new table for it."""
+@dataclass(frozen=True)
+class Root:
+    """Totals of the root restaurant, the size of the vocabulary and all parameters."""
+
+    customers: float
+    tables: float
+    vocabulary: int
+    discount: float
+    root_discount: float
+    strength: float = STRENGTH
+
+    def chance(self, c, t):
+        s = self.strength
+        return (c - self.root_discount * t + (s + self.root_discount * self.tables) / (self.vocabulary + 1)) / (s + self.customers)
+
+
+def draw(customers: np.ndarray, new, d: float, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
+    """Tables of each dish; new(rows, j) is the weight of a new table when j are there."""
     tables = np.minimum(customers, 1)
-    for c in np.unique(customers[(customers > 1) & (customers <= EXACT)]):
-        at = np.flatnonzero(customers == c)
-        for a in range(0, len(at), 20_000):
-            some = at[a : a + 20_000]
-            t = np.arange(1, c + 1)
-            weight = stirling[c, 1 : c + 1] + t * np.log(mass[some])[:, None]
+    small = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    small = small[np.argsort(customers[small], kind="stable")]
+    sizes, at = np.unique(customers[small], return_index=True)
+    edges = [*at.tolist(), len(small)]
+    for c, a, b in zip(sizes.tolist(), edges, edges[1:], strict=False):
+        room = max(1, (1 << 20) // c)
+        for x in range(a, b, room):
+            some = small[x : min(x + room, b)]
+            weight = np.log(new(some[:, None], np.arange(c)[None, :])).cumsum(1) + stirling[c, 1 : c + 1]
             tables[some] = (weight + rng.gumbel(size=weight.shape)).argmax(1) + 1
     big = np.flatnonzero(customers > EXACT)
-    if len(big):
-        t, seated, left = np.ones(len(big)), np.ones(len(big)), customers[big] - 1.0
-        while (left > 0).any():
-            party = np.minimum(left, np.maximum(1, np.floor(seated / 8)))
-            p = mass[big] / (mass[big] + np.maximum(seated - d * t, 1e-9))
-            t += rng.binomial(party.astype(np.int64), np.clip(p, 0, 1))
-            seated += party
-            left -= party
-        tables[big] = t.astype(np.int64)
+    for x in range(0, len(big), 4096):
+        some = big[x : x + 4096]
+        tables[some] = draw_many(customers[some].astype(np.float64), lambda i, j, some=some: new(some[i], j), d, rng, stirling)
     return tables
 
 
-@dataclass(frozen=True)
-class Totals:
-    """Totals of all restaurants and the discounts and strengths."""
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """For real n >= 0, by Stirling's series."""
+    m = n + 8
+    out = (m + 0.5) * np.log(m) - m + 1 / (12 * m) - 1 / (360 * m**3) + 0.5 * math.log(2 * math.pi)
+    for k in range(8):
+        out = out - np.log(n + k + 1)
+    return out
 
-    customers: np.ndarray  # by context
-    tables: np.ndarray
-    root_customers: float
-    root_tables: float
-    vocabulary: int
-    discount: float
-    root_discount: float
-    strength: float = 1.0
 
+class Seatings:
+    """log S_d(c, t), but for a term of c alone, by the saddle point of its generating function.
 
-def root_chance(c0, t0, z: Totals):
-    s = z.strength
-    return ((c0 - z.root_discount * t0) + (s + z.root_discount * z.root_tables) / (z.vocabulary + 1)) / (s + z.root_customers)
+    S_d(c, t) = c! / t! [x^c] g(x)^t for g(x) = (1 - (1 - x)^d) / d; the saddle point depends on
+    c / t alone. What this lacks for few tables hardly depends on c and is taken from c = EXACT.
+    """
 
+    def __init__(self, d: float, stirling: np.ndarray):
+        self.d = d
+        self.logs = -np.exp(np.linspace(math.log(200.0), math.log(1e-9), 8192))  # log (1 - x)
+        x, g, slope, _ = self.parts(self.logs)
+        self.ratio = np.log(x * slope / g)
+        few = np.arange(1, EXACT // 2)
+        self.lack = stirling[EXACT, 1 : EXACT // 2] - self.plain(np.full(len(few), float(EXACT)), few.astype(np.float64))
+
+    def parts(self, y: np.ndarray):
+        d = self.d
+        return -np.expm1(y), -np.expm1(d * y) / d, np.exp((d - 1) * y), (1 - d) * np.exp((d - 2) * y)
+
+    def plain(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        x, g, g1, g2 = self.parts(np.interp(-np.log(c / t), -self.ratio, self.logs))
+        spread = x * g1 / g + x * x * (g2 / g - (g1 / g) ** 2)
+        return t * np.log(g) - c * np.log(x) - log_factorial(t) - 0.5 * np.log(t * np.maximum(spread, 1e-300))
+
+    def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return self.plain(c, np.minimum(t, c - 0.5)) + self.lack[np.minimum(t.astype(np.int64), len(self.lack)) - 1]
+
+
+def draw_many(c: np.ndarray, new, d: float, rng: np.random.Generator, stirling: np.ndarray, points: int = 64) -> np.ndarray:
+    """The same for dishes of many customers, on a grid that closes in on where the weight lies."""
+    seatings, rows = Seatings(d, stirling), np.arange(len(c))[:, None]
+    lo, hi = np.ones((len(c), 1)), c[:, None].copy()
+    for turn in range(4):
+        k = np.arange(points + 1) / points
+        t = np.rint(lo * (hi / lo) ** k if turn == 0 else lo + (hi - lo) * k)
+        steps = np.diff(t, axis=1)
+        added = np.where(steps > 0, steps * np.log(new(rows, np.maximum(t[:, :-1] + (steps - 1) / 2, 0))), 0)
+        p = seatings(np.broadcast_to(c[:, None], t.shape), t) + np.concatenate([np.zeros((len(c), 1)), added.cumsum(1)], 1)
+        near = p > p.max(1, keepdims=True) - 25
+        if turn < 3:
+            first, last = near.argmax(1), points - near[:, ::-1].argmax(1)
+            lo, hi = (np.take_along_axis(t, np.clip(x, 0, points)[:, None], 1) for x in (first - 1, last + 1))
+    # a point stands for the numbers from half-way back to half-way on; of equal points one counts
+    left = np.concatenate([t[:, :1], np.floor((t[:, 1:] + t[:, :-1]) / 2) + 1], 1)
+    width = np.concatenate([left[:, 1:], t[:, -1:] + 1], 1) - left
+    with np.errstate(divide="ignore"):
+        at = (p + np.log(np.maximum(width, 0)) + rng.gumbel(size=p.shape)).argmax(1)[:, None]
+    start, size = np.take_along_axis(left, at, 1)[:, 0], np.take_along_axis(width, at, 1)[:, 0]
+    return np.clip(start + np.floor(rng.random(len(c)) * size), 1, c).astype(np.int64)
+
+
+def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, c0: np.ndarray, t0: np.ndarray, z: Root, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
+    """New numbers of tables of dishes with c customers at t tables.
+
+    ``total`` are the tables of each one's restaurant, c0 and t0 the customers and tables of
+    its word at the root, all with these t.
+    """
+    rest, other = total - t, np.maximum(c0 - t, 0)
+    kept = np.minimum(t0, other)
+    share = (z.strength + z.root_discount * z.tables) / (z.vocabulary + 1)
 
-def chances(c, t, c0, t0, z: Totals) -> np.ndarray:
-    """P(w | u) by word (row) and context (column)."""
-    s = z.strength
-    free = (s + z.discount * z.tables) / (s + z.customers)
-    return (c - z.discount * t) / (s + z.customers) + free * root_chance(c0, t0, z)[:, None]
+    def new(i, j):
+        here = other[i] + j
+        parent = (here - z.root_discount * np.maximum(kept[i], np.minimum(here, 1)) + share) / (z.strength + z.customers - t[i] + j)
+        return (z.strength + z.discount * (rest[i] + j)) * parent
+
+    return draw(c, new, z.discount, rng, stirling)
+
+
+def seat_root(c0: np.ndarray, t0: np.ndarray, z: Root, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
+    rest = z.tables - t0
+
+    def new(i, j):
+        return (z.strength + z.root_discount * (rest[i] + j)) / (z.vocabulary + 1)
+
+    return draw(c0, new, z.root_discount, rng, stirling)
 
 
 def discount(ones: int, twos: int) -> float:
@@ -231,164 +344,381 @@ def discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / max(ones + 2 * twos, 1)))
 
 
+# the model ---------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class Model:
-    words: DataFrame  # w, c, p (log10 chance by context)
-    unknown: np.ndarray  # log10 chance by context of a word that training lacks
+    """Averages over the samples; ``free`` is (theta + d t_u) / (theta + c_u)."""
+
+    frequent: Frequent
+    free: np.ndarray  # of frequent words
+    chance: np.ndarray  # of frequent words at the root
+    rare: DataFrame  # code, c, free, chance
+    dishes: DataFrame  # u, w, c, t: pairs seen twice and more, t summed over the samples
+    pairs: DataFrame  # all pairs, in blocks
+    root: Root
+    unknown: float  # chance at the root of a word that training lacks
     tokens: int
-    vocabulary: int
-    mix: Mixture
-    contexts: int
+    blocks: int
+    samples: int
+
+    def gain(self, c, t, guests, free, chance):
+        """log10 of how much likelier a pair is than its two words alone make it."""
+        return np.log10(1 + (c - self.root.discount * t) / ((self.root.strength + guests) * free * chance))
+
 
+def bins(c: str) -> Column:
+    return F.floor(F.log2(c) * 16)
 
-def train_model(train: DataFrame, classes: int = CLASSES, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
+
+def cut_off(rows: DataFrame, most: int) -> int:
+    """The least bin of counts c from which on at most ``most`` rows remain (a histogram)."""
+    least = 1 << 20
+    for r in rows.groupBy(bins("c").alias("bin")).count().orderBy(F.desc("bin")).collect():
+        most -= r["count"]
+        if most < 0:
+            break
+        least = r.bin
+    return least
+
+
+def frequent_words(words: DataFrame, docs: int, most: int) -> tuple[Frequent, int]:
+    """The broadcast table and the bin of counts from which on words are in it."""
+    own = F.col("w").isin(int(END.view(np.int64)), int(START.view(np.int64)))
+    least = cut_off(words.where(~own), most)
+    rows = words.where((bins("c") >= least) & ~own).select("w", "c").toArrow().combine_chunks()
+    h = np.concatenate([rows.column("w").to_numpy().astype(np.int64).view(np.uint64), [END, START]])
+    c = np.concatenate([rows.column("c").to_numpy().astype(np.int64), [docs, 0]])
+    guests = np.concatenate([c[:-2], [0, docs]])
+    order = np.argsort(h)
+    return Frequent(h[order], c[order], guests[order], int(np.searchsorted(h[order], START))), least
+
+
+def _by_code(rows: DataFrame, size: int, *names: str) -> list[np.ndarray]:
+    """Columns of frequent words' rows (code, ...) as dense arrays: at most ``size`` rows."""
+    got = rows.where("code >= 0").select("code", *names).toArrow().combine_chunks()
+    out = []
+    for n in names:
+        x = np.zeros(size, np.int64)
+        x[got.column("code").to_numpy()] = got.column(n).to_numpy()
+        out.append(x)
+    return out
+
+
+def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """Counts and seating over all rows of ``train``."""
-    spark = train.sparkSession
-    parts = store.partitions(spark)
-    mix = learn_mixture(train)
-    k = classes + 1
-    pairs = pair_counts(train, mix).repartition(parts, "w").groupBy("w", "u").agg(F.sum("n").alias("n"))
-    by_word = pairs.groupBy("w").agg(*[F.sum(F.when(F.col("u") == u, F.col("n")).otherwise(0)).alias(f"c{u}") for u in range(k)])
-    counts, counts_path = store.save(by_word.select("w", F.array(*[F.col(f"c{u}") for u in range(k)]).alias("c")))
-    every = [F.col("c")[u] for u in range(k)]
-    total = sum(every[1:], every[0])
-    stats = counts.agg(
-        F.count("*").alias("V"),
-        F.coalesce(F.sum(total), F.lit(0)).alias("N"),
-        F.coalesce(F.sum(F.when(total == 1, 1)), F.lit(0)).alias("r1"),
-        F.coalesce(F.sum(F.when(total == 2, 1)), F.lit(0)).alias("r2"),
-        F.coalesce(F.sum(F.size(F.filter("c", lambda x: x == 1))), F.lit(0)).alias("n1"),
-        F.coalesce(F.sum(F.size(F.filter("c", lambda x: x == 2))), F.lit(0)).alias("n2"),
-        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"u{u}") for u, e in enumerate(every)],
-        *[F.coalesce(F.sum((e > 0).cast("long")), F.lit(0)).alias(f"k{u}") for u, e in enumerate(every)],
-    ).first()
-    customers = np.array([stats[f"u{u}"] for u in range(k)], float)
-    kinds = np.array([stats[f"k{u}"] for u in range(k)], float)
-    # to begin with each dish has one table in every restaurant that serves it
-    z = Totals(customers, kinds, float(kinds.sum()), float(stats.V), stats.V, discount(stats.n1, stats.n2), discount(stats.r1, stats.r2))
-
-    def sweep(z: Totals, number: int, first: bool, sample: bool):
-        """Seats everybody anew; adds the chances under the seating before to p, if it is a sample."""
-        schema = pa.schema([("w", pa.int64()), ("c", pa.list_(pa.int64())), ("t", pa.list_(pa.int64())), ("t0", pa.int64()), ("p", pa.list_(pa.float64()))])
-
-        def lists(x: np.ndarray) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, k, dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+    spark = store.small_batches(train).sparkSession
+    words, words_path = store.save(word_counts(train).groupBy("w").agg(F.sum("n").alias("c")))
+    end = int(END.view(np.int64))
+    stats = words.agg(F.count("*").alias("V"), F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.coalesce(F.max(F.when(F.col("w") == end, F.col("c"))), F.lit(0)).alias("docs")).first()
+    known, least = frequent_words(words, stats.docs, frequent)
+    size = len(known.hashes)
+    table = spark.sparkContext.broadcast(known)
+    blocks = max(16, int(stats.N) // PER_BLOCK)
+    pairs, _ = store.save(pair_counts(train, table, blocks))
+
+    def kinds(it):
+        schema = pa.schema([("code", pa.int64()), ("after", pa.int64()), ("before", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64())])
+        for b in it:
+            for u, w, c in arrays(b, "u", "w", "c"):
+                us, after = np.unique(u, return_counts=True)
+                ws, before = np.unique(w, return_counts=True)
+                ones = np.zeros(len(us) + len(ws), np.int64)
+                twos = ones.copy()
+                ones[0], twos[0] = (c == 1).sum(), (c == 2).sum()
+                yield text.table(schema, np.concatenate([us, ws]), np.concatenate([after, 0 * before]), np.concatenate([0 * after, before]), ones, twos)
+
+    rows = pairs.mapInArrow(kinds, "code long, after long, before long, ones long, twos long")
+    kept, kept_path = store.save(rows.groupBy("code").agg(*[F.sum(x).alias(x) for x in ("after", "before", "ones", "twos")]))
+    seen = kept.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("ones", "twos", "before")], F.coalesce(F.sum((F.col("before") == 1).cast("long")), F.lit(0)).alias("r1"), F.coalesce(F.sum((F.col("before") == 2).cast("long")), F.lit(0)).alias("r2")).first()
+    after, before = _by_code(kept, size, "after", "before")
+    # a dish has one table to begin with, in its restaurant and at the root
+    z = Root(float(seen.before), float(stats.V), stats.V, discount(seen.ones, seen.twos), discount(seen.r1, seen.r2))
+    plain = words.where((bins("c") < least) & (F.col("w") != end)).select(F.col("w").bitwiseOR(F.lit(_RARE)).alias("code"), "c")
+    zero = F.lit(0).cast("long")
+    rare, rare_path = store.save(plain.join(kept.where("code < 0"), "code").select("code", "c", "after", "before", F.col("after").alias("total"), F.col("before").alias("c0"), F.lit(1).cast("long").alias("t0"), zero.cast("double").alias("chances"), zero.alias("totals")))
+
+    def twice(it):
+        schema = pa.schema([(x, pa.int64()) for x in ("u", "w", "c", "t", "ts")])
+        for b in it:
+            for u, w, c in arrays(b, "u", "w", "c"):
+                on = c > 1
+                yield text.table(schema, u[on], w[on], c[on], np.ones(on.sum(), np.int64), np.zeros(on.sum(), np.int64))
+
+    kind = "u long, w long, c long, t long, ts long"
+    dishes, path = store.save(pairs.mapInArrow(twice, kind))
+    store.drop(spark, words_path, kept_path)
+    total, c0 = after.copy(), before.copy()
+    t0 = np.minimum(c0, 1)
+    totals, chances, unknown = np.zeros(size), np.zeros(size), 0.0
+
+    def sweep(seed: list[int], z: Root, shared, sampled: bool):
+        schema = pa.schema([(x, pa.int64()) for x in ("u", "w", "c", "t", "ts")])
 
         def run(it):
-            low, top = log_stirling(z.discount, EXACT), log_stirling(z.root_discount, EXACT)
-            rng = np.random.default_rng([number, TaskContext.get().partitionId()])
+            total, c0, t0 = shared.value
+            rng = np.random.default_rng([*seed, TaskContext.get().partitionId()])
+            low = log_stirling(z.discount, EXACT)
             for b in it:
-                for at in range(0, b.num_rows, 20_000):
-                    part = b.slice(at, 20_000)
-                    c = part.column("c").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                    t = (c > 0).astype(np.int64) if first else part.column("t").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                    t0 = np.ones(len(c), np.int64) if first else part.column("t0").to_numpy()
-                    old = np.zeros((len(c), k)) if first else part.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                    if sample:
-                        old = old + chances(c, t, t.sum(1), t0, z)
-                    parent = root_chance(t.sum(1), t0, z)
-                    fresh = np.empty_like(t)
-                    for u in range(k):
-                        mass = (z.strength + z.discount * z.tables[u]) * parent
-                        fresh[:, u] = seat(c[:, u], mass, z.discount, rng, low)
-                    mass = np.full(len(c), (z.strength + z.root_discount * z.root_tables) / (z.vocabulary + 1))
-                    fresh0 = seat(fresh.sum(1), mass, z.root_discount, rng, top)
-                    yield text.table(schema, part.column("w"), lists(c), lists(fresh), fresh0, lists(old))
+                u, w, c, t, ts = (b.column(x).to_numpy() for x in ("u", "w", "c", "t", "ts"))
+                if not len(u):
+                    continue
+                at, at0 = np.maximum(u, 0), np.maximum(w, 0)
+                mine = [total[at], c0[at0], t0[at0]]
+                if "total" in b.schema.names:
+                    for i, (x, code) in enumerate((("total", u), ("c0", w), ("t0", w))):
+                        mine[i] = np.where(code < 0, b.column(x).fill_null(0).to_numpy(), mine[i])
+                fresh = seat(c, t, *mine, z, rng, low)
+                yield text.table(schema, u, w, c, fresh, ts + fresh if sampled else ts)
 
         return run
 
-    kind = "w long, c array<long>, t array<long>, t0 long, p array<double>"
-    state, path = counts, counts_path
-    unknown = np.zeros(k)
-    for number in range(burn_in + samples):
-        if number > burn_in:  # the state before is a sample
-            unknown += chances(np.zeros((1, k)), np.zeros((1, k)), np.zeros(1), np.zeros(1), z)[0]
-        new, new_path = store.save(state.mapInArrow(sweep(z, number, number == 0, number > burn_in), kind))
-        store.drop(spark, path)
-        state, path = new, new_path
-        sums = state.agg(*[F.coalesce(F.sum(F.col("t")[u]), F.lit(0)).alias(f"t{u}") for u in range(k)], F.coalesce(F.sum("t0"), F.lit(0)).alias("root")).first()
-        tables = np.array([sums[f"t{u}"] for u in range(k)], float)
-        z = Totals(customers, tables, float(tables.sum()), float(sums.root), z.vocabulary, z.discount, z.root_discount, z.strength)
-    unknown += chances(np.zeros((1, k)), np.zeros((1, k)), np.zeros(1), np.zeros(1), z)[0]
-
-    def finish(it):
-        schema = pa.schema([("w", pa.int64()), ("c", pa.int64()), ("p", pa.list_(pa.float64()))])
-        for b in it:
-            c, t, p = (b.column(x).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) for x in ("c", "t", "p"))
-            p = np.log10((p + chances(c, t, t.sum(1), b.column("t0").to_numpy(), z)) / samples)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))
-            yield text.table(schema, b.column("w"), c.sum(1), lists)
+    def root_sweep(number: int, z: Root):
+        schema = pa.schema([("code", pa.int64()), ("c", pa.int64()), ("after", pa.int64()), ("before", pa.int64()), ("total", pa.int64()), ("c0", pa.int64()), ("t0", pa.int64()), ("chances", pa.float64()), ("totals", pa.int64())])
 
-    words, _ = store.save(state.mapInArrow(finish, "w long, c long, p array<double>"))
-    store.drop(spark, path)
-    return Model(words, np.log10(unknown / samples), int(stats.N), int(stats.V), mix, k)
+        def run(it):
+            rng = np.random.default_rng([number, 1, TaskContext.get().partitionId()])
+            top = log_stirling(z.root_discount, EXACT)
+            for b in it:
+                c0 = b.column("c0").to_numpy()
+                t0 = seat_root(c0, b.column("t0").to_numpy(), z, rng, top)
+                yield text.table(schema, *(b.column(x) for x in ("code", "c", "after", "before", "total", "c0")), t0, b.column("chances"), b.column("totals"))
 
+        return run
 
-def most_frequent(model: Model, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, counts and chances of the most frequent words, ``most`` of them at most.
+    top = log_stirling(z.root_discount, EXACT)
+    for number in range(burn_in + samples):
+        sampled = number >= burn_in
+        shared = spark.sparkContext.broadcast((total, c0, t0))
+        common = dishes.where("u >= 0 and w >= 0")
+        others = dishes.where("u < 0 or w < 0").join(rare.select(F.col("code").alias("u"), "total"), "u", "left").join(rare.select(F.col("code").alias("w"), "c0", "t0"), "w", "left")
+        new, new_path = store.save(common.mapInArrow(sweep([number, 3], z, shared, sampled), kind).unionByName(others.mapInArrow(sweep([number, 4], z, shared, sampled), kind)))
+        store.drop(spark, path)
+        shared.unpersist()
+        dishes, path = new, new_path
+        more = dishes.where("t > 1")
+        up = more.groupBy(F.col("u").alias("code")).agg(F.sum(F.col("t") - 1).alias("x"))
+        down = more.groupBy(F.col("w").alias("code")).agg(F.sum(F.col("t") - 1).alias("y"))
+        total, c0 = after + _by_code(up, size, "x")[0], before + _by_code(down, size, "y")[0]
+        moved = rare.join(up.where("code < 0"), "code", "left").join(down.where("code < 0"), "code", "left")
+        moved = moved.select("code", "c", "after", "before", (F.col("after") + F.coalesce("x", zero)).alias("total"), (F.col("before") + F.coalesce("y", zero)).alias("c0"), "t0", "chances", "totals")
+        sat, sat_path = store.save(moved.mapInArrow(root_sweep(number, z), rare.schema))
+        store.drop(spark, rare_path)
+        t0 = seat_root(c0, np.minimum(t0, c0), z, np.random.default_rng([number, 2]), top)
+        sums = sat.agg(F.coalesce(F.sum("c0"), zero).alias("c"), F.coalesce(F.sum("t0"), zero).alias("t")).first()
+        z = replace(z, customers=float(sums.c + c0.sum()), tables=float(sums.t + t0.sum()))
+        rare, rare_path = sat, sat_path
+        if sampled:
+            totals, chances, unknown = totals + total, chances + z.chance(c0, t0), unknown + z.chance(0, 0)
+            level = (z.strength + z.root_discount * z.tables) / (z.vocabulary + 1)
+            p = (F.col("c0") - F.lit(z.root_discount) * F.col("t0") + F.lit(level)) / F.lit(z.strength + z.customers)
+            rare = rare.withColumn("chances", F.col("chances") + p).withColumn("totals", F.col("totals") + F.col("total"))
+    table.unpersist()
+    free = (F.lit(z.strength) + F.lit(z.discount / samples) * F.col("totals")) / (F.lit(z.strength) + F.col("c"))
+    rare = rare.select("code", "c", free.alias("free"), (F.col("chances") / samples).alias("chance"))
+    mine = (z.strength + z.discount * totals / samples) / (z.strength + known.guests)
+    return Model(known, mine, chances / samples, rare, dishes, pairs, z, unknown / samples, int(stats.N), blocks, samples)
+
+
+# scores ------------------------------------------------------------------------------------
+
+
+def gains(model: Model, table) -> DataFrame:
+    """Rows (block, kind 0, key, gain, ...) of all pairs of training."""
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("value", pa.binary()), ("n", pa.binary()), ("rid", pa.binary())])
+
+    def packed(u, w, gain):
+        keys = pair_keys(u, w)
+        order = np.argsort(keys)
+        rows = [(b, 0, k, g, None, None) for b, k, g in by_block(keys[order], model_blocks, keys[order], gain[order].astype(np.float32))]
+        return text.table(schema, *map(list, zip(*rows, strict=True))) if rows else text.table(schema, *[[]] * 6)
+
+    model_blocks, samples, gain = model.blocks, model.samples, replace(model, frequent=None, free=None, chance=None, rare=None, dishes=None, pairs=None).gain
+
+    def common(u, w, c, t):
+        known, free, chance, _, _ = table.value
+        return packed(u, w, gain(c, t, known.guests[u], free[u], chance[w]))
+
+    def twice(it):
+        for b in it:
+            u, w, c, ts = (b.column(x).to_numpy() for x in ("u", "w", "c", "ts"))
+            yield common(u, w, c, ts / samples)
 
-    A histogram of counts (a few hundred rows) tells from which count on they fit.
-    """
-    words = model.words.withColumn("bin", F.floor(F.log2("c") * 16))
-    room, least = most, None
-    for r in words.groupBy("bin").count().orderBy(F.desc("bin")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r.bin
-    rows = words.where("false" if least is None else F.col("bin") >= least).select("w", "c", "p").toArrow().combine_chunks()
-    w = rows.column("w").to_numpy()
-    order = np.argsort(w)
-    chance = rows.column("p").combine_chunks().flatten().to_numpy().reshape(-1, model.contexts)
-    return w[order], rows.column("c").to_numpy()[order], chance[order]
+    def once(it):
+        for b in it:
+            for u, w, c in arrays(b, "u", "w", "c"):
+                on = (c == 1) & (u >= 0) & (w >= 0)
+                yield common(u[on], w[on], c[on], c[on])
 
+    def rare_once(it):
+        schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("t", pa.float64())])
+        for b in it:
+            for u, w, c in arrays(b, "u", "w", "c"):
+                on = (c == 1) & ((u < 0) | (w < 0))
+                yield text.table(schema, u[on], w[on], c[on], c[on].astype(np.float64))
 
-def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, frequent: int = FREQUENT) -> DataFrame:
+    def rare(it):
+        known, free, chance, _, _ = table.value
+        for b in it:
+            u, w, c, t = (b.column(x).to_numpy() for x in ("u", "w", "c", "t"))
+            guests, f, p = (b.column(x).to_numpy(zero_copy_only=False) for x in ("guests", "free", "chance"))
+            at, at0 = np.maximum(u, 0), np.maximum(w, 0)
+            yield packed(u, w, gain(c, t, np.where(u < 0, guests, known.guests[at]), np.where(u < 0, f, free[at]), np.where(w < 0, p, chance[at0])))
+
+    kind = "block long, kind int, key binary, value binary, n binary, rid binary"
+    few = model.pairs.mapInArrow(rare_once, "u long, w long, c long, t double").unionByName(model.dishes.where("u < 0 or w < 0").select("u", "w", "c", (F.col("ts") / samples).alias("t")))
+    few = few.join(model.rare.select(F.col("code").alias("u"), F.col("c").alias("guests"), "free"), "u", "left").join(model.rare.select(F.col("code").alias("w"), "chance"), "w", "left")
+    few = few.select("u", "w", "c", "t", F.coalesce("guests", F.lit(0)).alias("guests"), F.coalesce("free", F.lit(1.0)).alias("free"), F.coalesce("chance", F.lit(1.0)).alias("chance"))
+    both = model.dishes.where("u >= 0 and w >= 0")
+    return both.mapInArrow(twice, kind).unionByName(model.pairs.mapInArrow(once, kind)).unionByName(few.mapInArrow(rare, kind))
+
+
+def frequent_pairs(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and gains of the most frequent pairs of frequent words."""
+    rows = model.dishes.where("u >= 0 and w >= 0")
+    got = rows.where(bins("c") >= cut_off(rows, most)).select("u", "w", "c", "ts").toArrow().combine_chunks()
+    u, w, c, ts = (got.column(x).to_numpy() for x in ("u", "w", "c", "ts"))
+    keys = pair_keys(u, w)
+    order = np.argsort(keys)
+    gain = model.gain(c, ts / model.samples, model.frequent.guests[u], model.free[u], model.chance[w])
+    return keys[order], gain[order]
+
+
+def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs: int = PAIRS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark = docs.sparkSession
-    k, unknown, mix = model.contexts, model.unknown, model.mix
-    size = model.tokens + model.vocabulary + 1
-    table = spark.sparkContext.broadcast(most_frequent(model, frequent))
-    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("w", pa.int64()), ("u", pa.int32()), ("n", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-    def run(it):
-        words, counts, chance = table.value
-        bases = np.log10((counts + 1) / size)
+    spark, parts = docs.sparkSession, store.partitions(docs.sparkSession)
+    size = model.tokens + model.root.vocabulary + 1
+    table = spark.sparkContext.broadcast((model.frequent, model.free, model.chance, *frequent_pairs(model, pairs)))
+    blocks, unknown = model.blocks, float(np.log10(model.unknown))
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("value", pa.binary()), ("n", pa.binary()), ("rid", pa.binary())])
+
+    def ask(it):
+        """Each document's sums (kind 3), and its pairs (1) and rare words (2) that others must look up."""
+        known, free, chance, hot, hot_gain = table.value
+        bases, lower, lone = np.log10((known.count + 1) / size), np.log10(chance), np.log10(free)
         rid = TaskContext.get().partitionId() << 40
+        held, total = {1: [], 2: []}, 0
+
+        def flush():
+            rows = []
+            for kind, sets in held.items():
+                if sets:
+                    k, r, n = (np.concatenate(x) for x in zip(*sets, strict=True))
+                    order = np.argsort(k, kind="stable")
+                    k = k[order]
+                    rows += [(b, kind, *x) for b, *x in by_block(k, blocks, k, n[order], r[order])]
+                    sets.clear()
+            if rows:
+                b, kind, k, n, r = map(list, zip(*rows, strict=True))
+                yield text.table(schema, b, kind, k, [None] * len(b), n, r)
+
         for part, data, off in text.slices(it):
             docs_ = len(off) - 1
             h, first = token_hashes(data, off)
-            u = mix.contexts(h, first)
+            w = known.codes(h)
+            u = known.before(w, first)
             doc = np.repeat(np.arange(docs_), np.diff(first))
-            key = h.view(np.int64)
-            at = np.minimum(np.searchsorted(words, key), max(len(words) - 1, 0))
-            hit = words[at] == key if len(words) else np.zeros(len(key), bool)
-            a, d = at[hit], doc[hit]
-            base = np.bincount(d, bases[a], docs_) if len(a) else np.zeros(docs_)
-            points = np.bincount(d, chance[a, u[hit]], docs_) if len(a) else np.zeros(docs_)
-            ids, rids = part.column("doc_id"), rid + np.arange(docs_)
+            fw, fu = w >= 0, u >= 0
+            wf = w[fw]
+            base = np.bincount(doc[fw], bases[wf], docs_)
+            sure = np.bincount(doc[fw & (known.count[np.maximum(w, 0)] > 0)], minlength=docs_)
+            points = np.bincount(doc[fw], lower[wf], docs_) + np.bincount(doc[fu], lone[u[fu]], docs_)
+            keys = pair_keys(u, w)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                hit = hot[at] == keys
+                points += np.bincount(doc[hit], hot_gain[at[hit]], docs_)
+                keys, at = keys[~hit], doc[~hit]
+            else:
+                at = doc
+            rids = rid + np.arange(docs_)
             rid += docs_
-            # the key of a document's own sums is no word; it spreads them evenly
-            own = text.mix(rids.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F)).view(np.int64)
-            yield text.table(schema, ids, rids, own, np.full(docs_, -1, np.int32), np.zeros(docs_, np.int64), np.diff(first), np.bincount(d, minlength=docs_), base, points)
-            miss = np.flatnonzero(~hit)
-            if len(miss):
-                (dk, wk), n = compress((doc[miss] * k + u[miss], key[miss]))
-                some = dk // k
-                zero, none = np.zeros(len(n), np.int64), np.zeros(len(n))
-                yield text.table(schema, ids.take(pa.array(some)), rids[some], wk, (dk % k).astype(np.int32), n, zero, zero, none, none)
-
-    rows = store.documents(docs).mapInArrow(run, "doc_id long, rid long, w long, u int, n long, tokens long, known long, base double, score double")
-    met = rows.join(model.words, "w", "left")
-    lone = F.array(*[F.lit(float(x)) for x in unknown])
-    at = F.greatest(F.col("u"), F.lit(0)) + 1
-    chance = F.element_at(F.coalesce("p", lone), at)
-    sums = met.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"),
+            if len(keys):
+                held[1].append((keys, rids[at], np.ones(len(keys), np.int32)))
+            # n is 1 for a word and 2 for a context
+            if not fw.all():
+                held[2].append((w[~fw], rids[doc[~fw]], np.ones((~fw).sum(), np.int32)))
+            if not fu.all():
+                held[2].append((u[~fu], rids[doc[~fu]], np.full((~fu).sum(), 2, np.int32)))
+            total += len(keys) + 2 * int((~fw).sum())
+            ids = part.column("doc_id")
+            for a in range(0, docs_, 4096):
+                s = slice(a, a + 4096)
+                facts = np.stack([ids[a : a + 4096].fill_null(0).to_numpy().astype(np.int64), ids[a : a + 4096].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
+                yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [facts.tobytes()], [np.stack([base[s], points[s]]).tobytes()], [None], [rids[s].tobytes()])
+            if total > HELD:
+                yield from flush()
+                total = 0
+        yield from flush()
+
+    out_schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    def numbers(t: pa.Table, name: str, at: np.ndarray, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column(name).take(pa.array(at)).to_pylist()), kind)
+
+    def answer(it):
+        for t, edges in graph.whole_groups(it, "block"):
+            kinds = t.column("kind").to_numpy()
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                where = {k: a + np.flatnonzero(kinds[a:b] == k) for k in (0, 1, 2, 3, 4)}
+                rids, known_, base_, score_ = [], [], [], []
+                if len(where[1]) and len(where[0]):
+                    keys, gain = numbers(t, "key", where[0], np.int64), numbers(t, "value", where[0], np.float32)
+                    order = np.argsort(keys, kind="stable")
+                    keys, gain = keys[order], gain[order]
+                    ask_, r, n = numbers(t, "key", where[1], np.int64), numbers(t, "rid", where[1], np.int64), numbers(t, "n", where[1], np.int32)
+                    at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
+                    hit = keys[at] == ask_
+                    rids.append(r[hit])
+                    score_.append(gain[at[hit]] * n[hit])
+                    base_.append(np.zeros(hit.sum()))
+                    known_.append(np.zeros(hit.sum()))
+                if len(where[2]):
+                    ask_, r, n = numbers(t, "key", where[2], np.int64), numbers(t, "rid", where[2], np.int64), numbers(t, "n", where[2], np.int32)
+                    keys = numbers(t, "key", where[4], np.int64) if len(where[4]) else np.full(1, 0)
+                    facts = numbers(t, "value", where[4], np.float64).reshape(-1, 3) if len(where[4]) else np.zeros((1, 3))
+                    order = np.argsort(keys, kind="stable")
+                    keys, facts = keys[order], facts[order]
+                    at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
+                    hit, word = keys[at] == ask_, n == 1
+                    c = np.where(hit, facts[at, 0], 0)
+                    with np.errstate(divide="ignore"):
+                        value = np.where(hit, np.log10(np.where(word, facts[at, 2], facts[at, 1])), np.where(word, unknown, 0.0))
+                    rids.append(r)
+                    score_.append(value)
+                    base_.append(np.where(word, np.log10((c + 1) / size), 0.0))
+                    known_.append((word & hit).astype(np.float64))
+                if rids:
+                    r, at = np.unique(np.concatenate(rids), return_inverse=True)
+                    sums = [np.bincount(at, np.concatenate(x), len(r)) for x in (known_, base_, score_)]
+                    none = pa.nulls(len(r), pa.int64())
+                    yield text.table(out_schema, r, none, np.zeros(len(r), np.int64), np.rint(sums[0]).astype(np.int64), sums[1], sums[2])
+                for i in where[3].tolist():
+                    ids, null, tokens, sure = np.frombuffer(t.column("key")[i].as_buffer(), np.int64).reshape(4, -1)
+                    base, points = np.frombuffer(t.column("value")[i].as_buffer(), np.float64).reshape(2, -1)
+                    r = np.frombuffer(t.column("rid")[i].as_buffer(), np.int64)
+                    yield text.table(out_schema, r, pa.array(ids, mask=null.astype(bool)), tokens, sure, base, points)
+
+    def rare_words(it):
+        for b in it:
+            keys = b.column("code").to_numpy()
+            facts = np.stack([b.column(x).to_numpy().astype(np.float64) for x in ("c", "free", "chance")], 1)
+            order = np.argsort(keys)
+            rows = list(by_block(keys[order], blocks, keys[order], facts[order].copy().view("V24")[:, 0]))
+            if rows:
+                b_, k, f = map(list, zip(*rows, strict=True))
+                yield text.table(schema, b_, np.full(len(rows), 4, np.int32), k, f, [None] * len(rows), [None] * len(rows))
+
+    kind = "block long, kind int, key binary, value binary, n binary, rid binary"
+    met = gains(model, table).unionByName(model.rare.mapInArrow(rare_words, kind)).unionByName(store.documents(docs).mapInArrow(ask, kind))
+    rows = met.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(answer, "rid long, doc_id long, tokens long, known long, base double, score double")
+    sums = rows.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"),  # one row of a document has it, if it has one
         F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(size)))).alias("base_score"),
-        F.sum(F.col("score") + F.col("n") * chance).alias("score"),
+        F.sum("known").alias("n_known"),
+        F.sum("base").alias("base_score"),
+        F.sum("score").alias("score"),
     )
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == rest
     return sums.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

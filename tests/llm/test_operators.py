@@ -244,18 +244,135 @@ def test_scores(spark, docs):
     assert all(r.score < 0 and math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens)) for r in got)
 
 
-def test_chances_sum_to_one(spark):
-    rows = make(spark, [(i, " ".join(words(60, i, 50))) for i in range(30)])
-    m = pitman.train_model(rows.select("text"))
-    p = np.array([r.p for r in m.words.collect()])
-    assert np.allclose((10**p).sum(0) + 10**m.unknown, 1)
-    a, b = (pitman.score(rows, m, frequent=f).orderBy("doc_id").collect() for f in (7, 1 << 17))
-    assert all(math.isclose(x.score, y.score) for x, y in zip(a, b, strict=True))
+def pairs_of(texts):
+    """Every (word before, word) with "<s>" and None for the ends, text by text."""
+    out = []
+    for x in texts:
+        t = [*WORD.findall((x or "").translate(LOWER)), None]
+        out.append(list(zip(["<s>", *t], t, strict=False)))
+    return out
+
+
+def model_by_word(m, texts):
+    """The model's numbers by words instead of codes: chance(u, w)."""
+    names = sorted({w for x in texts for w in WORD.findall((x or "").translate(LOWER))})
+    data, off = text.buffers(pa.array(names, pa.string()))
+    h = dict(zip(names, text.word_hashes(data, text.words(data, off)), strict=True)) | {None: pitman.END, "<s>": pitman.START}
+    code = {w: int(m.frequent.codes(np.array([x], np.uint64))[0]) for w, x in h.items()}
+    rare = {r.code: r for r in m.rare.collect()}
+    t = {(r.u, r.w): (r.c, r.ts / m.samples) for r in m.dishes.collect()}
+    for b in m.pairs.collect():
+        for u, w, c in zip(*(np.frombuffer(x, np.int64).tolist() for x in (b.u, b.w, b.c)), strict=True):
+            t.setdefault((u, w), (c, 1.0))
+
+    def chance(u, w):
+        u, w = code.get(u, -1), code.get(w, -1)
+        p = m.chance[w] if w >= 0 else rare[w].chance if w in rare else m.unknown
+        free, guests = (m.free[u], m.frequent.guests[u]) if u >= 0 else (rare[u].free, rare[u].c) if u in rare else (1.0, 0)
+        c, k = t.get((u, w), (0, 0.0))
+        return (c - m.root.discount * k) / (m.root.strength + guests) + free * p
+
+    return chance
+
+
+@pytest.mark.parametrize("frequent", [7, 1 << 19])
+def test_scores_follow_the_model_and_chances_sum_to_one(spark, frequent):
+    texts = [" ".join(words(60, i, 50)) for i in range(30)] + ["", None]
+    docs = make(spark, list(enumerate(texts)))
+    m = pitman.train_model(docs.where("doc_id % 3 > 0").select("text"), frequent=frequent)
+    chance = model_by_word(m, texts)
+    trained = [x for i, x in enumerate(texts) if i % 3]
+    c = collections.Counter(w for x in pairs_of(trained) for _, w in x)
+    for u in [*[w for w in c if w is not None], "<s>", "never seen"]:
+        assert math.isclose(sum(chance(u, w) for w in c) + chance(u, "never seen"), 1, rel_tol=1e-9)
+    want = {i: sum(math.log10(chance(u, w)) for u, w in x) for i, x in enumerate(pairs_of(texts))}
+    for pairs in (0, 40, 1 << 19):  # none, some and all of the pairs seen twice are broadcast
+        got = pitman.score(docs, m, pairs=pairs).collect()
+        assert len(got) == len(texts) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-5) for r in got)
+
+
+def test_word_order_and_copies_matter(spark):
+    r = random.Random(12)
+    base = [words(50, i, 300) for i in range(60)]
+    twin, mixed = base[5][:], base[5][:]
+    r.shuffle(mixed)
+    docs = make(spark, [(i, " ".join(x)) for i, x in enumerate([*base, twin, mixed])])
+    m = pitman.train_model(docs.where("doc_id < 60").select("text"))
+    got = {x.doc_id: x.score for x in pitman.score(docs, m).collect()}
+    assert got[60] > got[61] + 20 and math.isclose(got[60], got[5])
+
+
+def test_seating_against_gibbs_of_single_customers():
+    r = random.Random(3)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.4)), 7)}" for _ in range(8)) for _ in range(14)]
+    c = collections.Counter(p for x in pairs_of(texts) for p in x)
+    vocabulary, d, d0, s = sorted({w for _, w in c}, key=str), 0.5, 0.4, 1.0
+    contexts = sorted({u for u, _ in c})
+    # one customer at a time, tables with their sizes
+    tables = {k: [1] * n for k, n in c.items()}
+    top = {w: [1] * sum(n for (_, x), n in c.items() if x == w) for w in vocabulary}
+
+    def leave(sizes):
+        i = r.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            return True
+        return False
+
+    def join(sizes, d, mass):
+        i = r.choices(range(len(sizes) + 1), [*(x - d for x in sizes), mass])[0]
+        if i < len(sizes):
+            sizes[i] += 1
+            return False
+        sizes.append(1)
+        return True
+
+    def totals():
+        return sum(map(len, top.values())), sum(map(sum, top.values()))
+
+    def parent(w):
+        t, n = totals()
+        return (sum(top[w]) - d0 * len(top[w]) + (s + d0 * t) / (len(vocabulary) + 1)) / (s + n)
+
+    def chances(parents, t, n):
+        return np.array([[(c[u, w] - d * t.get((u, w), 0)) / (s + n[u]) + (s + d * sum(t.get((u, x), 0) for x in vocabulary)) / (s + n[u]) * parents[w] for w in vocabulary] for u in contexts])
+
+    guests = {u: sum(n for (x, _), n in c.items() if x == u) for u in contexts}
+    total, rounds = 0, 400
+    for number in range(rounds + 50):
+        for (u, w), n in c.items():
+            for _ in range(n):
+                if leave(tables[u, w]):
+                    leave(top[w])
+                if join(tables[u, w], d, (s + d * sum(len(tables.get((u, x), [])) for x in vocabulary)) * parent(w)):
+                    join(top[w], d0, (s + d0 * totals()[0]) / (len(vocabulary) + 1))
+        if number >= 50:
+            total = total + chances({w: parent(w) for w in vocabulary}, {k: len(v) for k, v in tables.items()}, guests)
+    want = total / rounds
+    # the sweeps of the operator
+    keys = sorted(c, key=str)
+    n = np.array([c[k] for k in keys])
+    u, w = np.array([contexts.index(k[0]) for k in keys]), np.array([vocabulary.index(k[1]) for k in keys])
+    t, rng, total = np.ones(len(n), np.int64), np.random.default_rng(1), 0
+    c0, t0 = np.bincount(w, t, len(vocabulary)).astype(int), np.ones(len(vocabulary), int)
+    z = pitman.Root(float(c0.sum()), float(t0.sum()), len(vocabulary), d, d0)
+    low, high = pitman.log_stirling(d, pitman.EXACT), pitman.log_stirling(d0, pitman.EXACT)
+    for number in range(2050):
+        t = pitman.seat(n, t, np.bincount(u, t).astype(int)[u], c0[w], t0[w], z, rng, low)
+        c0 = np.bincount(w, t, len(vocabulary)).astype(int)
+        t0 = pitman.seat_root(c0, np.minimum(t0, c0), z, rng, high)
+        z = pitman.replace(z, customers=float(c0.sum()), tables=float(t0.sum()))
+        if number >= 50:
+            p = z.chance(c0, t0)
+            total = total + chances(dict(zip(vocabulary, p, strict=True)), dict(zip(keys, t, strict=True)), guests)
+    got = total / 2000
+    assert np.abs(np.log10(got / want)).mean() < 0.01 and np.abs(np.log10(got / want)).max() < 0.05
 
 
 def test_table_counts_follow_their_conditional():
     d, mass, c = 0.5, 0.7, 6
-    s = pitman.log_stirling(d, 64)
+    s = pitman.log_stirling(d, pitman.EXACT)
     # S_d(c, t) by its definition over all seatings
     brute = collections.Counter({(1,): 1.0})
     for _ in range(c - 1):
@@ -269,11 +386,25 @@ def test_table_counts_follow_their_conditional():
     for sizes, w in brute.items():
         by[len(sizes)] += w
     assert all(math.isclose(math.exp(s[c, t]), w, rel_tol=1e-9) for t, w in by.items())
-    drawn = pitman.seat(np.full(40_000, c), np.full(40_000, mass), d, np.random.default_rng(0), s)
+    rng, flat = np.random.default_rng(0), lambda i, j: np.full(np.broadcast(i, j).shape, mass)
+    drawn = pitman.draw(np.full(40_000, c), flat, d, rng, s)
     weight = np.array([by[t] * mass**t for t in range(1, c + 1)])
     assert np.allclose(np.bincount(drawn, minlength=c + 1)[1:] / 40_000, weight / weight.sum(), atol=0.01)
-    big = pitman.seat(np.array([1, 0, 100, 100_000]), np.full(4, mass), d, np.random.default_rng(0), s)
-    assert big[0] == 1 and big[1] == 0 and 1 <= big[2] <= 100 and 1 <= big[3] <= 100_000
+    big = pitman.draw(np.array([1, 0, 300, 100_000]), flat, d, rng, s)
+    assert big[0] == 1 and big[1] == 0 and 1 <= big[2] <= 300 and 1 <= big[3] <= 100_000
+
+
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.85])
+@pytest.mark.parametrize("mass", [0.05, 1.0, 30.0, 300.0])
+def test_many_customers_follow_the_conditional_too(mass, d):
+    c, low = 1500, pitman.log_stirling(d, pitman.EXACT)
+    weight = pitman.log_stirling(d, c)[c, 1:] + np.arange(1, c + 1) * math.log(mass)
+    p = np.exp(weight - weight.max())
+    p /= p.sum()
+    t = np.arange(1, c + 1)
+    drawn = pitman.draw(np.full(4000, c), lambda i, j: np.full(np.broadcast(i, j).shape, mass), d, np.random.default_rng(2), low)
+    mean, spread = p @ t, math.sqrt(p @ t**2 - (p @ t) ** 2)
+    assert abs(drawn.mean() - mean) < 0.1 * spread + 0.02 * mean and abs(drawn.std() - spread) < 0.1 * spread + 0.1
 
 
 def test_scores_without_training_rows(spark, none):
