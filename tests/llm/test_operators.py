@@ -148,44 +148,95 @@ def test_no_vectors(spark):
 # 2 -------------------------------------------------------------------------------------
 
 
+def sentences(x):
+    """(first code point, text, words) of each, and the lines as ranges of them."""
+    out, lines, at, begin = [], [], 0, 0
+    for u in re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", x or ""):
+        out.append((at, u, WORD.findall(u.translate(LOWER))))
+        at += len(u)
+        if "\n" in u:
+            lines.append((begin, len(out) - 1))
+            begin = len(out)
+    if begin < len(out):
+        lines.append((begin, len(out) - 1))
+    return out, lines
+
+
+def brute_units(rows, runs):
+    """Each row's text and removed spans; rows rank by doc_id, text hash (here: a rank) and order."""
+    found, seen = [], {}
+    for _, _, x in rows:
+        us, lines = sentences(x)
+        if runs:
+            spans = [(i, j) for i in range(len(us)) for j in range(i, len(us)) if us[i][2] and us[j][2] and sum(len(u[2]) for u in us[i : j + 1]) >= units.MIN_WORDS]
+        else:
+            spans = [(i, i) for i, u in enumerate(us) if len(u[2]) >= units.MIN_WORDS]
+        spans += [(i, j) for i, j in lines if any(u[2] for u in us[i : j + 1])]
+        found.append((us, [(i, j, tuple(w for u in us[i : j + 1] for w in u[2])) for i, j in spans]))
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, rows[r][1], r))
+    for rank, r in enumerate(order):
+        for i, _, unit in sorted(found[r][1]):
+            seen.setdefault(unit, (rank, found[r][0][i][0]))
+    out = {}
+    for rank, r in enumerate(order):
+        us, spans = found[r]
+        gone = {k for i, j, unit in spans if seen[unit] != (rank, us[i][0]) for k in range(i, j + 1)}
+        x = rows[r][2]
+        text_ = None if x is None else "".join(u[1] for k, u in enumerate(us) if k not in gone)
+        out[r] = (text_, sum(bool(u[2]) for u in us), tuple((us[k][0], us[k][0] + len(us[k][1])) for k in sorted(gone)))
+    return out
+
+
+def ranked_rows(spark, rows):
+    """(doc_id, hash of the text, text), the hash being the one that the operator ranks by."""
+    hashes = spark.createDataFrame([(i, x or "") for i, (_, x) in enumerate(rows)], "i long, x string").select("i", F.xxhash64("x")).collect()
+    by = dict(map(tuple, hashes))
+    return [(k, by[i], x) for i, (k, x) in enumerate(rows)]
+
+
+def odd_rows():
+    """Repeated rows, rows without an id and of one id, short units and lines."""
+    shared = "Alpha beta gamma delta epsilon zeta eta. Short one.\n"
+    return [
+        (1, shared + "Read more\nown words of the first text"), (1, shared + "Read more\nown words of the first text"), (1, shared + "other text of one id\n"),
+        (2, "Read more\nread  MORE\nSomething else. Short one.\n"), (None, shared + "null one"), (None, shared + "null two"), (None, shared + "null two"), (None, None), (None, None), (3, ""), (3, ""), (4, None),
+        (5, "ok"), (6, "ok"), (6, "ok"), (7, "a b c d e."), (8, "a b c d e."), (9, "x a b c d e. y"), (10, "\n\n \n"), (11, "...\n...\n"),
+    ]
+
+
 def test_units(spark, docs):
-    out = units.deduplicated(docs)
-    assert set(docs.columns) - {"removed"} <= set(out.columns)
-    got = out.collect()
-    seen, rank = {}, []
-    for k, x in corpus():
-        at = 0
-        for u in re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", x or ""):
-            w = WORD.findall(u.translate(LOWER))
-            if len(w) >= units.MIN_WORDS:
-                rank.append((2**63 if k is None else k, at, " ".join(w)))
-            at += len(u)
-    for k, at, u in sorted(rank):
-        seen.setdefault(u, (k, at))
-    source = collections.defaultdict(list)
-    for k, x in corpus():
-        source[k].append(x)
-    assert len(got) == len(corpus())
-    for r in got:
-        k, kept, spans, n = 2**63 if r.doc_id is None else r.doc_id, [], [], 0
-        for x in source[r.doc_id]:
-            at, kept, spans, n = 0, [], [], 0
-            for u in re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", x or ""):
-                w = WORD.findall(u.translate(LOWER))
-                n += len(w) >= units.MIN_WORDS
-                if len(w) >= units.MIN_WORDS and seen[" ".join(w)] != (k, at):
-                    spans.append((at, at + len(u)))
-                else:
-                    kept.append(u)
-                at += len(u)
-            if (None if x is None else "".join(kept)) == r.text:
-                break
-        assert (r.text, r.n_units, r.n_removed, [(s.start, s.end) for s in r.removed]) == (None if x is None else "".join(kept), n, len(spans), spans)
+    rows = ranked_rows(spark, [*corpus(), *((k and k + 1000, x) for k, x in odd_rows())])
+    df = make(spark, [(k, x) for k, _, x in rows])
+    out = units.deduplicated(df)
+    assert set(df.columns) <= set(out.columns)
+    want = collections.Counter((rows[r][0], *v) for r, v in brute_units(rows, False).items())
+    assert collections.Counter((r.doc_id, r.text, r.n_units, tuple((s.start, s.end) for s in r.removed)) for r in out.collect()) == want
+    assert all(r.n_removed == len(r.removed) for r in out.collect())
+
+
+def test_units_of_odd_rows(spark):
+    got = collections.Counter((r.doc_id, r.text) for r in units.without_repeats(make(spark, odd_rows())).collect())
+    assert got[1, odd_rows()[0][1]] + got[1, "Read more\nown words of the first text"] == 1 and got[6, ""] == 2 and got[5, "ok"] == 1
+    assert got[8, ""] == 1 and got[2, "Something else. Short one.\n"] == 1 and got[11, "...\n...\n"] == 1 and got[None, None] == 2
+    assert sum("Alpha" in (x or "") for _, x in got) == 1 and got[None, ""] == 1
+
+
+def test_columns_of_other_names_stay(spark):
+    df = spark.createDataFrame([(1, "x y", "mine", 3, "again"), (2, "X y", "yours", 4, "c1")], "doc_id long, text string, removed string, n_units long, again string")
+    assert sorted(map(tuple, units.without_repeats(df, runs=True).collect())) == [(1, "x y", "mine", 3, "again"), (2, "", "yours", 4, "c1")]
+
+
+def test_units_equal_their_sql(spark):
+    rows = [(i, x) for i, (_, x) in enumerate([*corpus(), *odd_rows()]) if x is None or "\x1c" not in x]
+    con = duckdb.connect()
+    con.register("documents", make(spark, rows).select("doc_id", "text").toArrow())
+    want = collections.Counter(con.execute(units.ORACLE).fetchall())
+    assert collections.Counter(tuple(r) for r in units.listing(units.deduplicated(make(spark, rows))).collect()) == want
 
 
 def test_planted_passage(spark):
     passage = " ".join(f"p{i}" + ("." if i % 12 == 11 else "") for i in range(60))
-    rows = [(i, f"lead{i} in{i} {passage} tail{i} of text{i}.") for i in range(1, 6)] + [(9, "Quite. Short. Lines.\nThat. Repeat.")] * 2
+    rows = [(i, f"lead{i} in{i} {passage} tail{i} of text{i}.") for i in range(1, 6)] + [(9, "Quite. Short. Lines.\nThat. Repeat.")]
     got = {r.doc_id: r.text for r in units.deduplicated(make(spark, rows)).collect()}
     assert got[1] == rows[0][1] and got[9] == rows[5][1]
     assert all("p30" not in got[i] and f"tail{i}" in got[i] for i in range(2, 6))
@@ -204,19 +255,12 @@ def test_runs_by_brute_force(spark):
     r = random.Random(8)
     pool = ["a b. ", "A c d.\n", "b c.", "\n", " ", "d d a b c b!? ", "e f g\n", "c.\n\n"]
     rows = [(i, "".join(r.choice(pool) for _ in range(r.randrange(20)))) for i in range(60)]
-    seen, gone = {}, collections.defaultdict(set)
-    cut = {k: re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", x) for k, x in rows}
-    for k, us in cut.items():
-        ws = [WORD.findall(u) for u in us]
-        for i in range(len(us)):
-            for j in range(i, len(us)):
-                run = tuple(w for x in ws[i : j + 1] for w in x)
-                if ws[i] and ws[j] and len(run) >= units.MIN_WORDS and seen.setdefault(run, (k, i)) != (k, i):
-                    gone[k].update(range(i, j + 1))
-    got = {x.doc_id: x.text for x in units.deduplicated(make(spark, rows), runs=True).collect()}
-    assert sum(map(len, gone.values())) > 50
-    bare = {k: "".join("".join(u for i, u in enumerate(us) if i not in gone[k]).split()) for k, us in cut.items()}
-    assert {k: "".join(x.split()) for k, x in got.items()} == bare  # blank units between two runs may stay
+    rows = ranked_rows(spark, [*rows, *((k and k + 1000, x) for k, x in odd_rows()), *rows[:5]])
+    want = brute_units(rows, True)
+    got = units.deduplicated(make(spark, [(k, x) for k, _, x in rows]), runs=True).collect()
+    assert sum(len(v[2]) for v in want.values()) > 50
+    bare = lambda x: None if x is None else "".join(x.split())  # noqa: E731  blank units between two runs may stay
+    assert collections.Counter((x.doc_id, bare(x.text)) for x in got) == collections.Counter((rows[k][0], bare(v[0])) for k, v in want.items())
 
 
 def test_units_of_nothing(none):
