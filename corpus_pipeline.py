@@ -7,7 +7,10 @@ kept equal to the text's length where a stage changes texts (null text: 0).
 
 Rows with a null doc_id or text pass like others: an empty text is not toxic, has no
 duplicates and no secrets, and packs as one end token. Rows of one doc_id are one document
-to the near-duplicate stage, which keeps one of equal rows.
+to the near-duplicate stage, which keeps one of equal rows. Of near duplicates the least
+doc_id stays, so ties cannot arise between ids; texts of any length are read whole. Columns
+beside those of ``documents``, whatever their names, come through all stages but the last.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of units of text that stand earlier are cut out, whole lines with their short sentences."""
-    return _measured(units.deduplicated(docs, runs=True).select(*docs.columns))
+    """Lines and runs of sentences that stand earlier are cut out, short sentences with them."""
+    return _measured(units.without_repeats(docs, runs=True))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
