@@ -37,8 +37,9 @@ rows at all every score comes from the uniform parent. Extra columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ STRENGTH = 1.0
 #: Distinct pairs, or messages, that a task holds before it passes them on.
 HELD = 1 << 20
 #: Tokens of a block of pairs, about, and pairs of a stored row.
-PER_BLOCK, PER_ROW = 1 << 21, 1 << 17
+PER_BLOCK, PER_ROW = 1 << 20, 1 << 17
 #: Hashes that stand for the end of a document and for its start.
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B873593CC9E2D51)
 _RARE = -(1 << 63)
@@ -79,7 +80,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[at], order[at], np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, counts.dtype)
+    return k[at], order[at], np.add.reduceat(counts[order], at, dtype=counts.dtype) if len(at) else np.zeros(0, counts.dtype)
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (high * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def by_block(keys: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterable[tuple]:
+def by_block(keys: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[tuple]:
     """(block, bytes of each column) with a block's keys ascending; ``keys`` come sorted."""
     block = block_of(keys, blocks)
     order = np.argsort(block, kind="stable")
@@ -152,42 +153,44 @@ def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
     """Rows (block, u, w, c): arrays of each block's distinct pairs and their counts."""
     schema = pa.schema([("block", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
 
+    def fold(sets):
+        u, w, n = (np.concatenate(x) for x in zip(*sets, strict=True))
+        _, at, n = summed(pair_keys(u, w), n)
+        return u[at], w[at], n
+
     def run(it):
         known = words.value
-        empty = np.zeros(0, np.int64)
-        keys, u, w, n = empty, empty, empty, empty
-        held, size = [], 0
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        all_, held, size = none, [], 0
 
-        def fold(sets):
-            k, a, b, c = (np.concatenate(x) for x in zip(*sets, strict=True))
-            k, at, c = summed(k, c)
-            return k, a[at], b[at], c
+        def out():
+            rows = by_block(pair_keys(all_[0], all_[1]), blocks, *all_)
+            while some := list(islice(rows, 8)):
+                yield text.table(schema, *map(list, zip(*some, strict=True)))
 
         for _, data, off in text.slices(it):
             h, first = token_hashes(data, off)
             if not len(h):
                 continue
             code = known.codes(h)
-            before = known.before(code, first)
-            held.append(fold([(pair_keys(before, code), before, code, np.ones(len(code), np.int64))]))
+            held.append(fold([(known.before(code, first), code, np.ones(len(code), np.int32))]))
             size += len(held[-1][0])
             if size > HELD // 2:
-                keys, u, w, n = fold([(keys, u, w, n), *held])
+                all_ = fold([all_, *held])
                 held, size = [], 0
-                if len(keys) > HELD:
-                    yield text.table(schema, *map(list, zip(*by_block(keys, blocks, u, w, n), strict=True)))
-                    keys, u, w, n = empty, empty, empty, empty
-        keys, u, w, n = fold([(keys, u, w, n), *held])
-        if len(keys):
-            yield text.table(schema, *map(list, zip(*by_block(keys, blocks, u, w, n), strict=True)))
+                if len(all_[0]) > HELD:
+                    yield from out()
+                    all_ = none
+        all_ = fold([all_, *held])
+        held = []
+        yield from out()
 
     def merge(it):
         for t, edges in graph.whole_groups(it, "block"):
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                u, w, c = (np.frombuffer(b"".join(t.column(x).slice(a, b - a).to_pylist()), np.int64) for x in ("u", "w", "c"))
-                keys, at, c = summed(pair_keys(u, w), c)
-                u, w = u[at], w[at]
-                for x in range(0, len(keys), PER_ROW):
+                u, w, c = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name).slice(a, b - a)]) for name, kind in (("u", np.int64), ("w", np.int64), ("c", np.int32)))
+                u, w, c = fold([(u, w, c.astype(np.int64))])
+                for x in range(0, len(u), PER_ROW):
                     s = slice(x, x + PER_ROW)
                     yield text.table(schema, [t.column("block")[a].as_py()], [u[s].tobytes()], [w[s].tobytes()], [c[s].tobytes()])
 
