@@ -54,8 +54,9 @@ FREQUENT, PAIRS = 1 << 19, 1 << 19
 EXACT = 256
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
-#: Distinct pairs, or messages, that a task holds before it passes them on.
-HELD = 1 << 20
+#: Distinct words or pairs, and places to be looked up, that a task holds before it passes them on.
+HELD, ASKED = 1 << 20, 1 << 19
+PER_BATCH = 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
 PER_BLOCK, PER_ROW = 1 << 20, 1 << 17
 #: Hashes that stand for the end of a document and for its start.
@@ -126,6 +127,17 @@ def by_block(keys: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[tu
         yield (int(block[a]), *(c[a:b].tobytes() for c in columns))
 
 
+def some_rows(schema: pa.Schema, *columns) -> Iterator[pa.RecordBatch]:
+    """The columns as batches of a bounded number of rows."""
+    for a in range(0, len(columns[0]), PER_BATCH):
+        yield text.table(schema, *(c[a : a + PER_BATCH] for c in columns))
+
+
+def some_blocks(schema: pa.Schema, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 8)):
+        yield text.table(schema, *map(list, zip(*some, strict=True)))
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """w (hash), n: summed within each task."""
     schema = pa.schema([("w", pa.int64()), ("n", pa.int64())])
@@ -141,10 +153,10 @@ def word_counts(train: DataFrame) -> DataFrame:
                 keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
                 held, size = [], 0
                 if len(keys) > HELD:
-                    yield text.table(schema, keys.view(np.int64), counts)
+                    yield from some_rows(schema, keys.view(np.int64), counts)
                     keys, counts = keys[:0], counts[:0]
         keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
-        yield text.table(schema, keys.view(np.int64), counts)
+        yield from some_rows(schema, keys.view(np.int64), counts)
 
     return train.select("text").mapInArrow(run, "w long, n long")
 
@@ -164,9 +176,7 @@ def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
         all_, held, size = none, [], 0
 
         def out():
-            rows = by_block(pair_keys(all_[0], all_[1]), blocks, *all_)
-            while some := list(islice(rows, 8)):
-                yield text.table(schema, *map(list, zip(*some, strict=True)))
+            return some_blocks(schema, by_block(pair_keys(all_[0], all_[1]), blocks, *all_))
 
         for _, data, off in text.slices(it):
             h, first = token_hashes(data, off)
@@ -430,7 +440,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
                 ones = np.zeros(len(us) + len(ws), np.int64)
                 twos = ones.copy()
                 ones[0], twos[0] = (c == 1).sum(), (c == 2).sum()
-                yield text.table(schema, np.concatenate([us, ws]), np.concatenate([after, 0 * before]), np.concatenate([0 * after, before]), ones, twos)
+                yield from some_rows(schema, np.concatenate([us, ws]), np.concatenate([after, 0 * before]), np.concatenate([0 * after, before]), ones, twos)
 
     rows = pairs.mapInArrow(kinds, "code long, after long, before long, ones long, twos long")
     kept, kept_path = store.save(rows.groupBy("code").agg(*[F.sum(x).alias(x) for x in ("after", "before", "ones", "twos")]))
@@ -447,7 +457,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
         for b in it:
             for u, w, c in arrays(b, "u", "w", "c"):
                 on = c > 1
-                yield text.table(schema, u[on], w[on], c[on], np.ones(on.sum(), np.int64), np.zeros(on.sum(), np.int64))
+                yield from some_rows(schema, u[on], w[on], c[on], np.ones(on.sum(), np.int64), np.zeros(on.sum(), np.int64))
 
     kind = "u long, w long, c long, t long, ts long"
     dishes, path = store.save(pairs.mapInArrow(twice, kind))
@@ -534,8 +544,7 @@ def gains(model: Model, table) -> DataFrame:
     def packed(u, w, gain):
         keys = pair_keys(u, w)
         order = np.argsort(keys)
-        rows = [(b, 0, k, g, None, None) for b, k, g in by_block(keys[order], model_blocks, keys[order], gain[order].astype(np.float32))]
-        return text.table(schema, *map(list, zip(*rows, strict=True))) if rows else text.table(schema, *[[]] * 6)
+        return some_blocks(schema, ((b, 0, k, g, None, None) for b, k, g in by_block(keys[order], model_blocks, keys[order], gain[order].astype(np.float32))))
 
     model_blocks, samples, gain = model.blocks, model.samples, replace(model, frequent=None, free=None, chance=None, rare=None, dishes=None, pairs=None).gain
 
@@ -546,20 +555,20 @@ def gains(model: Model, table) -> DataFrame:
     def twice(it):
         for b in it:
             u, w, c, ts = (b.column(x).to_numpy() for x in ("u", "w", "c", "ts"))
-            yield common(u, w, c, ts / samples)
+            yield from common(u, w, c, ts / samples)
 
     def once(it):
         for b in it:
             for u, w, c in arrays(b, "u", "w", "c"):
                 on = (c == 1) & (u >= 0) & (w >= 0)
-                yield common(u[on], w[on], c[on], c[on])
+                yield from common(u[on], w[on], c[on], c[on])
 
     def rare_once(it):
         schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("t", pa.float64())])
         for b in it:
             for u, w, c in arrays(b, "u", "w", "c"):
                 on = (c == 1) & ((u < 0) | (w < 0))
-                yield text.table(schema, u[on], w[on], c[on], c[on].astype(np.float64))
+                yield from some_rows(schema, u[on], w[on], c[on], c[on].astype(np.float64))
 
     def rare(it):
         known, free, chance, _, _ = table.value
@@ -567,7 +576,7 @@ def gains(model: Model, table) -> DataFrame:
             u, w, c, t = (b.column(x).to_numpy() for x in ("u", "w", "c", "t"))
             guests, f, p = (b.column(x).to_numpy(zero_copy_only=False) for x in ("guests", "free", "chance"))
             at, at0 = np.maximum(u, 0), np.maximum(w, 0)
-            yield packed(u, w, gain(c, t, np.where(u < 0, guests, known.guests[at]), np.where(u < 0, f, free[at]), np.where(w < 0, p, chance[at0])))
+            yield from packed(u, w, gain(c, t, np.where(u < 0, guests, known.guests[at]), np.where(u < 0, f, free[at]), np.where(w < 0, p, chance[at0])))
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"
     few = model.pairs.mapInArrow(rare_once, "u long, w long, c long, t double").unionByName(model.dishes.where("u < 0 or w < 0").select("u", "w", "c", (F.col("ts") / samples).alias("t")))
@@ -604,17 +613,13 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
         held, total = {1: [], 2: []}, 0
 
         def flush():
-            rows = []
             for kind, sets in held.items():
                 if sets:
                     k, r, n = (np.concatenate(x) for x in zip(*sets, strict=True))
-                    order = np.argsort(k, kind="stable")
-                    k = k[order]
-                    rows += [(b, kind, *x) for b, *x in by_block(k, blocks, k, n[order], r[order])]
                     sets.clear()
-            if rows:
-                b, kind, k, n, r = map(list, zip(*rows, strict=True))
-                yield text.table(schema, b, kind, k, [None] * len(b), n, r)
+                    order = np.argsort(k, kind="stable")
+                    k, r, n = k[order], r[order], n[order]
+                    yield from some_blocks(schema, ((b, kind, k, None, n, r) for b, k, n, r in by_block(k, blocks, k, n, r)))
 
         for part, data, off in text.slices(it):
             docs_ = len(off) - 1
@@ -650,7 +655,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 s = slice(a, a + 4096)
                 facts = np.stack([ids[a : a + 4096].fill_null(0).to_numpy().astype(np.int64), ids[a : a + 4096].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
                 yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [facts.tobytes()], [np.stack([base[s], points[s]]).tobytes()], [None], [rids[s].tobytes()])
-            if total > HELD:
+            if total > ASKED:
                 yield from flush()
                 total = 0
         yield from flush()
@@ -695,8 +700,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 if rids:
                     r, at = np.unique(np.concatenate(rids), return_inverse=True)
                     sums = [np.bincount(at, np.concatenate(x), len(r)) for x in (known_, base_, score_)]
-                    none = pa.nulls(len(r), pa.int64())
-                    yield text.table(out_schema, r, none, np.zeros(len(r), np.int64), np.rint(sums[0]).astype(np.int64), sums[1], sums[2])
+                    yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(sums[0]).astype(np.int64), sums[1], sums[2])
                 for i in where[3].tolist():
                     ids, null, tokens, sure = np.frombuffer(t.column("key")[i].as_buffer(), np.int64).reshape(4, -1)
                     base, points = np.frombuffer(t.column("value")[i].as_buffer(), np.float64).reshape(2, -1)
@@ -708,10 +712,8 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             keys = b.column("code").to_numpy()
             facts = np.stack([b.column(x).to_numpy().astype(np.float64) for x in ("c", "free", "chance")], 1)
             order = np.argsort(keys)
-            rows = list(by_block(keys[order], blocks, keys[order], facts[order].copy().view("V24")[:, 0]))
-            if rows:
-                b_, k, f = map(list, zip(*rows, strict=True))
-                yield text.table(schema, b_, np.full(len(rows), 4, np.int32), k, f, [None] * len(rows), [None] * len(rows))
+            found = by_block(keys[order], blocks, keys[order], facts[order].copy().view("V24")[:, 0])
+            yield from some_blocks(schema, ((block, 4, k, f, None, None) for block, k, f in found))
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"
     met = gains(model, table).unionByName(model.rare.mapInArrow(rare_words, kind)).unionByName(store.documents(docs).mapInArrow(ask, kind))
