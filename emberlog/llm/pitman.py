@@ -58,7 +58,7 @@ STRENGTH = 1.0
 HELD, ASKED = 1 << 20, 1 << 19
 PER_BATCH = 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
-PER_BLOCK, PER_ROW = 1 << 20, 1 << 17
+PER_BLOCK, PER_ROW = 1 << 18, 1 << 17
 #: Hashes that stand for the end of a document and for its start.
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B873593CC9E2D51)
 _RARE = -(1 << 63)
@@ -663,44 +663,46 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
     out_schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def numbers(t: pa.Table, name: str, at: np.ndarray, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(t.column(name).take(pa.array(at)).to_pylist()), kind)
+        column = t.column(name).chunk(0)
+        return np.concatenate([np.frombuffer(column[i].as_buffer(), kind) for i in at.tolist()])
+
+    def table_of(t: pa.Table, at: np.ndarray, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's keys in order and what is known of them; never empty."""
+        if not len(at):
+            return np.zeros(1, np.int64), np.zeros((1, width))
+        keys, values = numbers(t, "key", at, np.int64), numbers(t, "value", at, kind).reshape(-1, width)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]
+
+    def met_pairs(t: pa.Table, known, asked):
+        keys, gain = table_of(t, known, np.float32, 1)
+        ask_ = numbers(t, "key", asked, np.int64)
+        at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
+        hit = (keys[at] == ask_) & (len(known) > 0)
+        gains_ = gain[at[hit], 0] * numbers(t, "n", asked, np.int32)[hit]
+        return numbers(t, "rid", asked, np.int64)[hit], None, None, gains_
+
+    def met_words(t: pa.Table, known, asked):
+        keys, facts = table_of(t, known, np.float64, 3)
+        ask_, n = numbers(t, "key", asked, np.int64), numbers(t, "n", asked, np.int32)
+        at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
+        hit, word = (keys[at] == ask_) & (len(known) > 0), n == 1
+        c = np.where(hit, facts[at, 0], 0)
+        with np.errstate(divide="ignore"):
+            value = np.where(hit, np.log10(np.where(word, facts[at, 2], facts[at, 1])), np.where(word, unknown, 0.0))
+        return numbers(t, "rid", asked, np.int64), word & hit, np.where(word, np.log10((c + 1) / size), 0.0), value
 
     def answer(it):
         for t, edges in graph.whole_groups(it, "block"):
             kinds = t.column("kind").to_numpy()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 where = {k: a + np.flatnonzero(kinds[a:b] == k) for k in (0, 1, 2, 3, 4)}
-                rids, known_, base_, score_ = [], [], [], []
-                if len(where[1]) and len(where[0]):
-                    keys, gain = numbers(t, "key", where[0], np.int64), numbers(t, "value", where[0], np.float32)
-                    order = np.argsort(keys, kind="stable")
-                    keys, gain = keys[order], gain[order]
-                    ask_, r, n = numbers(t, "key", where[1], np.int64), numbers(t, "rid", where[1], np.int64), numbers(t, "n", where[1], np.int32)
-                    at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
-                    hit = keys[at] == ask_
-                    rids.append(r[hit])
-                    score_.append(gain[at[hit]] * n[hit])
-                    base_.append(np.zeros(hit.sum()))
-                    known_.append(np.zeros(hit.sum()))
-                if len(where[2]):
-                    ask_, r, n = numbers(t, "key", where[2], np.int64), numbers(t, "rid", where[2], np.int64), numbers(t, "n", where[2], np.int32)
-                    keys = numbers(t, "key", where[4], np.int64) if len(where[4]) else np.full(1, 0)
-                    facts = numbers(t, "value", where[4], np.float64).reshape(-1, 3) if len(where[4]) else np.zeros((1, 3))
-                    order = np.argsort(keys, kind="stable")
-                    keys, facts = keys[order], facts[order]
-                    at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
-                    hit, word = keys[at] == ask_, n == 1
-                    c = np.where(hit, facts[at, 0], 0)
-                    with np.errstate(divide="ignore"):
-                        value = np.where(hit, np.log10(np.where(word, facts[at, 2], facts[at, 1])), np.where(word, unknown, 0.0))
-                    rids.append(r)
-                    score_.append(value)
-                    base_.append(np.where(word, np.log10((c + 1) / size), 0.0))
-                    known_.append((word & hit).astype(np.float64))
-                if rids:
-                    r, at = np.unique(np.concatenate(rids), return_inverse=True)
-                    sums = [np.bincount(at, np.concatenate(x), len(r)) for x in (known_, base_, score_)]
-                    yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(sums[0]).astype(np.int64), sums[1], sums[2])
+                for met_, known, asked in ((met_pairs, where[0], where[1]), (met_words, where[4], where[2])):
+                    if len(asked):
+                        rids, *rest_ = met_(t, known, asked)
+                        r, at = np.unique(rids, return_inverse=True)
+                        k, base, points = (np.zeros(len(r)) if x is None else np.bincount(at, x, len(r)) for x in rest_)
+                        yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(k).astype(np.int64), base, points)
                 for i in where[3].tolist():
                     ids, null, tokens, sure = np.frombuffer(t.column("key")[i].as_buffer(), np.int64).reshape(4, -1)
                     base, points = np.frombuffer(t.column("value")[i].as_buffer(), np.float64).reshape(2, -1)
