@@ -5,14 +5,20 @@ file and thread. In BOUNDARY mode the request runs from the nearest start patter
 the anchor to the end pattern, or the next start, after it; in WINDOW mode it is the rows
 within some seconds of anchors that follow one another.
 
-Flags (start, end, anchor, contains, excludes) are JVM columns. Entries are cut down to
-contexts that hold an anchor and to times within reach of one, and each context is folded
-on its own, in anchor order, as if there were no limits on the number of requests. Limits over all contexts are then
-applied in the order in which requests are created: those are the first
-``MAX_REQUESTS`` kept or ``MAX_EXAMINED`` tried, found by one bounded top-k.
-
-With a request filter in WINDOW mode a request is judged by its final rows; this differs
-from judging it while it grows only where a limit on the number of requests bites.
+Flags (start, end, anchor, contains, excludes) are JVM columns. Rows are cut down to islands:
+stretches of time of a context that follow one another and have an anchor in reach, so that
+nothing in one island bears on another. Inside, running windows give each row its segment
+(what lies between start and end patterns) or its session (anchors with no longer gap than
+the reach), and a segment or session with an anchor is a request. Where that is not all there
+is to it - a segment longer than the reach or than a limit on rows, a session beyond a limit,
+lines whose times run backwards - the island is resolved anchor by anchor over positions in
+sorted arrays, up to as many requests as can be shown. Limits over all contexts are applied in
+the order in which requests are created: those are the first ``MAX_REQUESTS`` kept or
+``MAX_EXAMINED`` tried, found by one bounded top-k.
+
+An anchor without a thread is a request of its own. With a request filter in WINDOW mode a
+request is judged by its final rows; this differs from judging it while it grows only where a
+limit on the number of requests bites.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import find_ignoring_case, holds
+from ..sources import scratch
 from .custom import check_pattern
 
 #: Limits (fixed values).
@@ -85,151 +92,17 @@ class Result:
     rows: DataFrame  # req_no, pos, file_id, line_no, ts_millis, level, logger, thread, message, anchor
 
 
-class _Request:
-    def __init__(self, rows: list[int], anchor: int, start_found: bool, reason: str, truncated: bool = False, cut_at_tail: bool = False):
-        self.rows, self.created, self.start_found, self.reason = rows, anchor, start_found, reason
-        self.truncated, self.cut_at_tail = truncated, cut_at_tail
-        self.joins: list[tuple[int, bool]] = [(anchor, False)]  # anchor, whether it came by expanding
-        self.last_anchor_ts = 0
-        self.range_end = 0
-
-
-class _Context:
-    """One (file, thread): its rows in (ts, line) order and the requests found so far."""
-
-    def __init__(self, ts, line, start, end, spec: Trace, nameless: bool):
-        self.ts, self.line, self.start, self.end = ts, line, start, end
-        self.spec, self.limits, self.nameless = spec, spec.limits, nameless
-        self.found: list[_Request] = []
-
-    def span(self, r: _Request) -> tuple[int, int]:
-        return int(self.line[r.rows[0]]), int(self.line[r.rows[-1]])
-
-    def meet(self, a: int) -> None:
-        last = self.found[-1] if self.found else None
-        if last is not None and self.spec.mode == "window" and (self.line[a] <= self.span(last)[1] or self.ts[a] - last.last_anchor_ts <= self.spec.reach_ms):
-            last.joins.append((a, False))
-            last.last_anchor_ts = max(last.last_anchor_ts, int(self.ts[a]))
-            self.widen(last, last.range_end + 1, int(self.ts[a]) + self.spec.reach_ms, self.span(last)[1])
-            return
-        for r in self.found:
-            low, high = self.span(r)
-            if low <= self.line[a] <= high:
-                r.joins.append((a, False))
-                return
-        new = self.alone(a) if self.nameless else self.by_window(a, last) if self.spec.mode == "window" else self.by_boundary(a, last)
-        if new is last:
-            last.joins.append((a, True))
-        else:
-            self.found.append(new)
-
-    def alone(self, a: int) -> _Request:
-        return _Request([a], a, False, "standalone")
-
-    def between(self, low: int, high: int) -> range:
-        return range(int(np.searchsorted(self.ts, low, "left")), int(np.searchsorted(self.ts, high, "right")))
-
-    def widen(self, r: _Request, low: int, high: int, floor: int) -> None:
-        """Rows of a time range that lie below the request's last line."""
-        if high < low:
-            return
-        for i in self.between(low, high):
-            if self.line[i] > floor:
-                if len(r.rows) >= self.limits.rows:
-                    r.truncated = r.cut_at_tail = True
-                    break
-                r.rows.append(i)
-        r.range_end = max(r.range_end, high)
-
-    def by_window(self, a: int, last: _Request | None) -> _Request:
-        floor = self.span(last)[1] if last else -1
-        before, truncated = [], False
-        for i in reversed(self.between(int(self.ts[a]) - self.spec.reach_ms, int(self.ts[a]))):
-            if self.line[i] >= self.line[a]:
-                continue
-            if self.line[i] <= floor:
-                break
-            if len(before) >= self.limits.before:
-                truncated = True
-                break
-            before.append(i)
-        r = _Request(before[::-1], a, False, "window", truncated)
-        r.last_anchor_ts = int(self.ts[a])
-        self.widen(r, int(self.ts[a]), int(self.ts[a]) + self.spec.reach_ms, max(floor, int(self.line[a]) - 1))
-        if not r.rows:
-            r.rows.append(a)
-        return r
-
-    def by_boundary(self, a: int, last: _Request | None) -> _Request:
-        reach, before, started, cut = self.spec.reach_ms, [], bool(self.start[a]), False
-        for i in reversed(self.between(int(self.ts[a]) - reach, int(self.ts[a]))) if not started else ():
-            if i >= a:
-                continue
-            if last is not None and self.line[i] <= self.span(last)[1]:
-                if last.cut_at_tail:
-                    return last
-                break
-            if self.end[i]:  # tested first: a row that is both ends an earlier request
-                break
-            if self.start[i]:
-                before.append(i)
-                started = True
-                break
-            if len(before) >= self.limits.before:
-                cut = True
-                break
-            before.append(i)
-        before.reverse()
-        begin = int(self.ts[before[0]] if before else self.ts[a])
-        after, reason, tail = [], "not_found", False
-        stop = int(np.searchsorted(self.ts, begin + reach, "right"))
-        for i in range(a, stop):
-            if i != a and self.start[i]:
-                reason = "next_start"
-                break
-            if len(after) >= self.limits.rows - len(before):
-                tail = True
-                break
-            after.append(i)
-            if self.end[i]:
-                reason = "end"
-                break
-        if not started and reason != "end" and not cut and not tail:
-            return self.alone(a)
-        return _Request(before + after, a, started, reason, cut or tail, tail)
-
-
-FOLDED = (
-    "file_id long, thread string, req long, c_ts long, c_line long, start_found boolean, end_reason string, truncated boolean, kept boolean,"
-    " n_anchors long, pos long, line_no long, ts_millis long, join_ts long, join_line long, by_expand boolean"
+CONTEXT, ISLAND = ("file_id", "thread"), ("file_id", "thread", "island")
+#: A row for each member of each request; ``req`` is the line of the anchor that made it.
+MEMBERS = (
+    "file_id long, thread string, req long, c_ts long, start_found boolean, end_reason string, truncated boolean, kept boolean,"
+    " n_anchors long, pos long, line_no long, ts_millis long, joined boolean, by_expand boolean"
 )
-
-
-def _fold(spec: Trace):
-    wanted = bool(spec.contains), bool(spec.excludes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_millis", "line_no"], kind="stable").reset_index(drop=True)
-        ts, line = pdf["ts_millis"].to_numpy(), pdf["line_no"].to_numpy()
-        context = _Context(ts, line, pdf["is_start"].to_numpy(), pdf["is_end"].to_numpy(), spec, not pdf["thread"].iloc[0])
-        for a in np.flatnonzero(pdf["is_anchor"].to_numpy()):
-            context.meet(int(a))
-        out = []
-        for k, r in enumerate(context.found):
-            kept = (not wanted[0] or bool(pdf["has"].to_numpy()[r.rows].any())) and (not wanted[1] or not pdf["hasnt"].to_numpy()[r.rows].any())
-            joined = {a: by for a, by in reversed(r.joins)}
-            for pos, i in enumerate(r.rows):
-                at = (int(ts[i]), int(line[i]), joined[i]) if i in joined else (None, None, None)
-                out.append((int(pdf["file_id"].iloc[0]), pdf["thread"].iloc[0], k, int(ts[r.created]), int(line[r.created]), r.start_found, r.reason, r.truncated, kept, len(r.joins), pos, int(line[i]), int(ts[i]), *at))
-        names = [x.split()[0] for x in FOLDED.split(",")]
-        made = pd.DataFrame(out, columns=names)
-        return made.astype({"join_ts": "Int64", "join_line": "Int64", "by_expand": "boolean"})
-
-    return fold
+_NAMES = [x.split()[0] for x in MEMBERS.split(",")]
 
 
 def flagged(entries: DataFrame, spec: Trace) -> DataFrame:
-    """Entries of contexts with an anchor, within reach of one, without their texts."""
+    """Entries in reach of an anchor of their context, by island, without their texts."""
     none = F.lit(False)
     rows = entries.select(
         "file_id",
@@ -244,19 +117,230 @@ def flagged(entries: DataFrame, spec: Trace) -> DataFrame:
     )
     # no request reaches further from an anchor than reach_ms: rows in other stretches of time go
     stretch = F.floor(F.col("ts_millis") / spec.reach_ms)
-    near = rows.where("is_anchor").select("file_id", "thread", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
-    return rows.withColumn("stretch", stretch).join(near, ["file_id", "thread", "stretch"], "left_semi").drop("stretch")
+    near = rows.where("is_anchor").select(*CONTEXT, F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
+    order = Window.partitionBy(*CONTEXT).orderBy("stretch")
+    gap = F.coalesce(F.col("stretch") - F.lag("stretch").over(order) > 1, F.lit(True))
+    near = near.withColumn("gap", gap).withColumn("island", F.max(F.when(F.col("gap"), F.col("stretch"))).over(order)).drop("gap")
+    return rows.withColumn("stretch", stretch).join(near, [*CONTEXT, "stretch"]).drop("stretch")
+
+
+def _running(*order: Column | str) -> tuple:
+    """Windows of an island up to a row, and up to the row before it."""
+    w = Window.partitionBy(*ISLAND).orderBy(*order)
+    return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+
+def _grouped(rows: DataFrame, spec: Trace) -> DataFrame:
+    """Rows with their group (segment or session; null: none) and whether their island is ``hard``."""
+    here, past = _running("ts_millis", "line_no")
+    later, ahead = _running(F.desc("ts_millis"), F.desc("line_no"))
+    rows = rows.withColumn("backwards", F.coalesce(F.col("line_no") < F.max("line_no").over(past), F.lit(False)))
+    if spec.mode == "boundary":
+        opens = F.col("is_start") | F.coalesce(F.lag("is_end").over(Window.partitionBy(*ISLAND).orderBy("ts_millis", "line_no")), F.lit(False))
+        rows = rows.withColumn("opens", opens)
+        rows = rows.withColumn("grp", F.sum(F.col("opens").cast("int")).over(here))
+        rows = rows.withColumn("next_start", F.min(F.when(F.col("is_start"), F.col("ts_millis"))).over(ahead))
+    else:
+        anchored = F.when(F.col("is_anchor"), F.col("ts_millis"))
+        rows = rows.withColumn("before", F.max(anchored).over(here)).withColumn("after", F.min(anchored).over(later))
+        fresh = F.col("is_anchor") & F.coalesce(F.col("ts_millis") - F.max(anchored).over(past) > spec.reach_ms, F.lit(True))
+        rows = rows.withColumn("fresh", fresh).withColumn("grp", F.sum(F.col("fresh").cast("int")).over(here))
+        held = F.when(F.col("ts_millis") - F.col("before") <= spec.reach_ms, F.col("grp")).when(F.col("after") - F.col("ts_millis") <= spec.reach_ms, F.col("grp") + 1)
+        rows = rows.withColumn("grp", held)
+    one = Window.partitionBy(*ISLAND, "grp")
+    rows = rows.withColumn("anchors", F.sum(F.col("is_anchor").cast("long")).over(one)).withColumn("n", F.count("*").over(one))
+    rows = rows.withColumn("first_ts", F.min("ts_millis").over(one)).withColumn("made", F.min(F.when(F.col("is_anchor"), F.struct("ts_millis", "line_no"))).over(one))
+    if spec.mode == "boundary":
+        beyond = (F.max("ts_millis").over(one) - F.col("first_ts") > spec.reach_ms) | (F.col("n") > min(spec.limits.before, spec.limits.rows))
+    else:
+        early = F.sum((F.struct("ts_millis", "line_no") < F.col("made")).cast("int")).over(one)
+        beyond = (F.col("n") > spec.limits.rows) | (early > spec.limits.before)
+    odd = F.col("backwards") | (beyond & (F.col("anchors") > 0) & F.col("grp").isNotNull())
+    return rows.withColumn("odd", odd).withColumn("hard", F.max("odd").over(Window.partitionBy(*ISLAND)) & (F.col("thread") != ""))
+
+
+def _plain(rows: DataFrame, spec: Trace) -> DataFrame:
+    """Members of the requests of islands that their windows decide."""
+    one = Window.partitionBy(*ISLAND, "grp")
+    alone = F.col("thread") == ""
+    if spec.mode == "boundary":
+        rows = rows.withColumn("started", F.max("is_start").over(one)).withColumn("ended", F.max("is_end").over(one))
+        reason = F.when(F.col("ended"), "end").when(F.col("next_start") <= F.col("first_ts") + spec.reach_ms, "next_start").otherwise("not_found")
+        alone = alone | ~(F.col("started") | F.col("ended"))
+    else:
+        rows, reason = rows.withColumn("started", F.lit(False)), F.lit("window")
+    rows = rows.withColumn("alone", alone).where((F.col("anchors") > 0) & F.col("grp").isNotNull() & (F.col("is_anchor") | ~F.col("alone")))
+    rows = rows.withColumn("req", F.when(F.col("alone"), F.col("line_no")).otherwise(F.col("made.line_no")))
+    request = Window.partitionBy(*ISLAND, "req")
+    return rows.select(
+        *CONTEXT,
+        "req",
+        F.when(F.col("alone"), F.col("ts_millis")).otherwise(F.col("made.ts_millis")).alias("c_ts"),
+        (F.col("started") & ~F.col("alone")).alias("start_found"),
+        F.when(F.col("alone"), "standalone").otherwise(reason).alias("end_reason"),
+        F.lit(False).alias("truncated"),
+        ((F.max("has").over(request) if spec.contains else F.lit(True)) & (~F.max("hasnt").over(request) if spec.excludes else F.lit(True))).alias("kept"),
+        F.when(F.col("alone"), 1).otherwise(F.col("anchors")).cast("long").alias("n_anchors"),
+        (F.row_number().over(request.orderBy("ts_millis", "line_no")) - 1).cast("long").alias("pos"),
+        "line_no",
+        "ts_millis",
+        F.col("is_anchor").alias("joined"),
+        F.lit(False).alias("by_expand"),
+    )
 
 
-def folded(entries: DataFrame, spec: Trace) -> DataFrame:
-    """A row for each member of each request, contexts on their own, before global limits."""
-    return flagged(entries, spec).groupBy("file_id", "thread").applyInPandas(_fold(spec), FOLDED)
+@dataclass
+class _Found:
+    """A request as positions of an island's sorted rows."""
+
+    at: np.ndarray
+    anchor: int
+    started: bool = False
+    reason: str = "standalone"
+    cut: bool = False
+    full: bool = False
+    edge: int = 0  # WINDOW: last time it covers
+
+
+def _nearest(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the last mark before it (or -1) and the first one at or after it (or n)."""
+    n = len(marks)
+    index = np.arange(n)
+    last = np.maximum.accumulate(np.where(marks, index, -1))
+    first = np.minimum.accumulate(np.where(marks, index, n)[::-1])[::-1]
+    return np.concatenate([[-1], last[:-1]]), np.append(first, n)
+
+
+class _Island:
+    """Sorted arrays of one island."""
+
+    def __init__(self, ts, line, start, end, spec: Trace):
+        self.ts, self.line, self.start, self.spec = ts, line, start, spec
+        self.start_before, self.start_from = _nearest(start)
+        self.end_before, self.end_from = _nearest(end)
+
+    def seen(self, low: int, high: int, top: int) -> int:
+        """The last position in [low, high) whose line is at most ``top``, or -1."""
+        hit = np.flatnonzero(self.line[low:high] <= top)
+        return low + int(hit[-1]) if len(hit) else -1
+
+    def segment(self, a: int, last: _Found | None) -> _Found:
+        """The request that an anchor makes between boundaries, or ``last`` where it goes on."""
+        limits, reach = self.spec.limits, self.spec.reach_ms
+        low = int(np.searchsorted(self.ts, self.ts[a] - reach))
+        begin, started, cut = low, bool(self.start[a]), False
+        if started:
+            begin = a
+        else:
+            ended, began, room = int(self.end_before[a]), int(self.start_before[a]), a - 1 - limits.before
+            taken = self.seen(low, a, self.line[last.at[-1]]) if last else -1
+            stop = max(taken, ended, began, room)
+            if stop >= low:
+                if stop == taken and last.full:
+                    return last
+                started = stop == began and stop not in (taken, ended)
+                cut = stop == room and stop not in (taken, ended, began)
+                begin = stop if started else stop + 1
+        over = int(np.searchsorted(self.ts, self.ts[begin] + reach, "right"))
+        next_, end, full = int(self.start_from[a + 1]), int(self.end_from[a]), a + limits.rows - (a - begin)
+        if end < min(next_, full, over):
+            to, reason = end + 1, "end"
+        elif next_ <= full and next_ < over:
+            to, reason = next_, "next_start"
+        else:
+            to, reason = min(full, over), "not_found"
+        filled = reason == "not_found" and full < over
+        if not (started or cut or filled or reason == "end"):
+            return _Found(np.array([a]), a)
+        return _Found(np.arange(begin, to), a, started, reason, cut or filled, filled)
+
+    def session(self, a: int, last: _Found | None) -> _Found:
+        """The request of the rows around an anchor that no earlier one holds."""
+        limits, reach = self.spec.limits, self.spec.reach_ms
+        floor = int(self.line[last.at[-1]]) if last else -1
+        low = int(np.searchsorted(self.ts, self.ts[a] - reach))
+        early = np.arange(max(low, self.seen(low, a, floor) + 1), a)
+        early = early[self.line[early] < self.line[a]]
+        new = _Found(early[-limits.before :] if limits.before else early[:0], a, reason="window", cut=len(early) > limits.before)
+        self.extend(new, int(np.searchsorted(self.ts, self.ts[a])), int(self.ts[a]) + reach, max(floor, int(self.line[a]) - 1))
+        return new
+
+    def extend(self, r: _Found, low: int, upto: int, floor: int) -> None:
+        """Rows from position ``low`` to time ``upto`` below line ``floor``, as far as there is room."""
+        more = np.arange(low, int(np.searchsorted(self.ts, upto, "right")))
+        more = more[self.line[more] > floor]
+        room = self.spec.limits.rows - len(r.at)
+        if len(more) > room:
+            r.cut = r.full = True
+        r.at, r.edge = np.concatenate([r.at, more[:room]]), max(r.edge, upto)
+
+    def requests(self, anchors: np.ndarray) -> tuple[list[_Found], list[list[tuple[int, bool]]]]:
+        """Requests in the order in which they are made, and each one's further anchors."""
+        most, sessions = self.spec.limits.examined + 1, self.spec.mode == "window"
+        found: list[_Found] = []
+        joined: list[list[tuple[int, bool]]] = []
+        low, high = np.empty(most, np.int64), np.empty(most, np.int64)
+        newest = 0  # WINDOW: latest anchor of the last request
+        for a in anchors.tolist():
+            k, line, ts = len(found), self.line[a], int(self.ts[a])
+            if sessions and k and (line <= high[k - 1] or ts - newest <= self.spec.reach_ms):
+                newest = max(newest, ts)
+                joined[-1].append((a, False))
+                if ts + self.spec.reach_ms > found[-1].edge:
+                    self.extend(found[-1], int(np.searchsorted(self.ts, found[-1].edge, "right")), ts + self.spec.reach_ms, int(high[k - 1]))
+                    high[k - 1] = self.line[found[-1].at[-1]]
+                continue
+            over = np.flatnonzero((low[:k] <= line) & (line <= high[:k]))
+            if len(over):
+                joined[over[0]].append((a, False))
+                continue
+            if k == most:
+                continue
+            new = (self.session if sessions else self.segment)(a, found[-1] if k else None)
+            if k and new is found[-1]:
+                joined[-1].append((a, True))
+                continue
+            found.append(new)
+            joined.append([(a, False)])
+            low[k], high[k], newest = self.line[new.at[0]], self.line[new.at[-1]], ts
+        return found, joined
+
+
+def _resolve(spec: Trace):
+    def resolve(island: pd.DataFrame) -> pd.DataFrame:
+        island = island.sort_values(["ts_millis", "line_no"], kind="stable")
+        ts, line, start, end, has, hasnt = (island[c].to_numpy() for c in ("ts_millis", "line_no", "is_start", "is_end", "has", "hasnt"))
+        found, joined = _Island(ts, line, start, end, spec).requests(np.flatnonzero(island["is_anchor"].to_numpy()))
+        parts = []
+        for r, anchors in zip(found, joined, strict=True):
+            by = dict(reversed(anchors))
+            kept = (not spec.contains or bool(has[r.at].any())) and not (spec.excludes and bool(hasnt[r.at].any()))
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "file_id": island["file_id"].iloc[0], "thread": island["thread"].iloc[0], "req": line[r.anchor], "c_ts": ts[r.anchor],
+                        "start_found": r.started, "end_reason": r.reason, "truncated": r.cut, "kept": kept, "n_anchors": len(anchors), "pos": np.arange(len(r.at)),
+                        "line_no": line[r.at], "ts_millis": ts[r.at], "joined": np.isin(r.at, list(by)), "by_expand": [by.get(i, False) for i in r.at.tolist()],
+                    }
+                )
+            )
+        return pd.concat(parts)[_NAMES] if parts else pd.DataFrame(columns=_NAMES)
+
+    return resolve
+
+
+def members(entries: DataFrame, spec: Trace) -> DataFrame:
+    """A row for each member of each request, before limits over all contexts."""
+    rows, path = scratch.save(_grouped(flagged(entries, spec), spec))
+    hard = rows.where("hard").select(*ISLAND, "line_no", "ts_millis", "is_anchor", "is_start", "is_end", "has", "hasnt")
+    return _plain(rows.where("not hard"), spec).unionByName(hard.groupBy(*ISLAND).applyInPandas(_resolve(spec), MEMBERS))
 
 
 def cut(members: DataFrame, spec: Trace) -> tuple[DataFrame, DataFrame]:
     """(surviving requests, all requests): the first in creation order within the limits."""
-    heads = members.where("pos = 0").select("file_id", "thread", "req", "c_ts", "c_line", "start_found", "end_reason", "truncated", "kept", "n_anchors", F.col("ts_millis").alias("first_ts"), F.col("line_no").alias("first_line"))
-    order = ("c_ts", "file_id", "c_line")
+    heads = members.where("pos = 0").select(*CONTEXT, "req", "c_ts", "start_found", "end_reason", "truncated", "kept", "n_anchors", F.col("ts_millis").alias("first_ts"), F.col("line_no").alias("first_line"))
+    order = ("c_ts", "file_id", "req")
     # at most this many can be tried, so one bounded top-k holds all that can survive
     first = heads.orderBy(*order).limit(spec.limits.examined)
     past = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -270,22 +354,26 @@ def run(entries: DataFrame, files: DataFrame, spec: Trace) -> Result:
     for p in (spec.start, spec.end, spec.contains, spec.excludes):
         if p:
             check_pattern(spark, p)
-    members = folded(entries, spec).cache()
-    live, heads = cut(members, spec)
-    live = live.cache()
+    all_, path = scratch.save(members(entries, spec))
+    some, heads = cut(all_, spec)
+    live, live_path = scratch.save(some)
     total = entries.where(holds(F.col("raw"), spec.id)).count()
-    numbers = live.agg(F.count("*").alias("n"), F.coalesce(F.sum((~F.col("kept")).cast("int")), F.lit(0)).alias("dropped"), F.max(F.struct("c_ts", "file_id", "c_line")).alias("last")).first()
-    tried = heads.count()
-    limited = tried > numbers["n"]
+    numbers = live.agg(F.count("*").alias("n"), F.coalesce(F.sum((~F.col("kept")).cast("int")), F.lit(0)).alias("dropped"), F.max(F.struct("c_ts", "file_id", "req")).alias("last")).first()
+    limited = heads.count() > numbers["n"]
     final = Window.orderBy("first_ts", "file_id", "first_line")  # at most limits.requests rows
     shown = live.where("kept").withColumn("req_no", F.row_number().over(final))
-    rows = members.join(shown.select("file_id", "thread", "req", "req_no"), ["file_id", "thread", "req"])
-    anchor = F.col("join_ts").isNotNull()
+    rows = all_.join(shown.select(*CONTEXT, "req", "req_no"), [*CONTEXT, "req"])
+    anchor = F.col("joined")
     if limited:  # past the cut no anchor is added by expanding
-        late = F.struct("join_ts", F.col("file_id"), F.col("join_line")) > F.struct(*[F.lit(numbers["last"][k]).cast("long") for k in range(3)])
-        anchor = anchor & ~(F.coalesce("by_expand", F.lit(False)) & late)
+        late = F.struct("ts_millis", F.col("file_id"), F.col("line_no")) > F.struct(*[F.lit(numbers["last"][k]).cast("long") for k in range(3)])
+        anchor = anchor & ~(F.col("by_expand") & late)
+    # what is shown is bounded by the limits; it is written, and the members go
+    held, _ = scratch.save(rows.select("req_no", "pos", "file_id", "line_no", "ts_millis", "thread", anchor.alias("anchor")))
+    sizes = held.groupBy("req_no").agg(F.count("*").alias("n_rows"))
+    listed = shown.join(sizes, "req_no").join(files.select("file_id", F.col("path").alias("source")), "file_id")
+    requests, _ = scratch.save(listed.select("req_no", "source", "thread", "start_found", "end_reason", "truncated", "n_rows", "n_anchors"))
+    scratch.drop(spark, path)
+    scratch.drop(spark, live_path)
     named = entries.select("file_id", "line_no", "level", "logger", "message")
-    out = rows.withColumn("anchor", anchor).join(named, ["file_id", "line_no"]).select("req_no", "pos", "file_id", "line_no", "ts_millis", "level", "logger", "thread", "message", "anchor").orderBy("req_no", "pos")
-    sizes = rows.groupBy("req_no").agg(F.count("*").alias("n_rows"))
-    requests = shown.join(sizes, "req_no").join(files.select("file_id", F.col("path").alias("source")), "file_id").select("req_no", "source", "thread", "start_found", "end_reason", "truncated", "n_rows", "n_anchors").orderBy("req_no")
-    return Result(total, limited, numbers["dropped"], requests, out)
+    out = held.join(named, ["file_id", "line_no"]).select("req_no", "pos", "file_id", "line_no", "ts_millis", "level", "logger", "thread", "message", "anchor").orderBy("req_no", "pos")
+    return Result(total, limited, numbers["dropped"], requests.orderBy("req_no"), out)

@@ -1,139 +1,167 @@
-"""Traces against a fold over all contexts in anchor order, with small limits."""
+"""Traces: the rules one by one on written cases, and both ways of finding requests against each other."""
 
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from emberlog.operators import trace
 
 SCHEMA = "file_id long, line_no long, ts_millis long, level string, logger string, thread string, message string, raw string"
+SMALL = trace.Limits(requests=2, examined=3, rows=5, before=2)
 
 
-def case(seed):
-    r = random.Random(seed)
-    out, line = [], 0
-    for _ in range(r.randrange(20, 60)):
-        line += 1
-        words = r.choice(["", "", "S", "E", "S E", "x", "x"])
-        raw = f"{words} {r.choice(['ID', '', ''])} {r.choice(['good', 'bad', '', ''])}"
-        out.append((1, line, r.randrange(0, 40) * 1000 if seed % 2 else line * 1000, "INFO", "l", r.choice(["t", "u", ""] if seed % 3 else ["t"]), words, raw))
-    return out
-
-
-def sequential(rows, spec):
-    """Requests as one loop over the anchors of all contexts."""
-    lim, D = spec.limits, spec.reach_ms
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][2], rows[i][0], rows[i][1]))
-    R = [dict(f=r[0], line=r[1], ts=r[2], th=r[5], s="S" in r[6], e="E" in r[6], a="ID" in r[7], raw=r[7]) for r in (rows[i] for i in order)]
-    keep, made, dropped, tried, truncated = [], {}, 0, 0, False
-
-    def fits(q):
-        text = [x["raw"] for x in q["rows"]]
-        return (not spec.contains or any(spec.contains in x for x in text)) and not (spec.excludes and any(spec.excludes in x for x in text))
-
-    for a in R:
-        if not a["a"]:
-            continue
-        key = (a["f"], a["th"])
-        own = made.get(key, [])
-        mine = [x for x in R if (x["f"], x["th"]) == key]
-        hit = next((q for q in own if q["rows"][0]["line"] <= a["line"] <= q["rows"][-1]["line"]), None)
-        if hit:
-            hit["anchors"].append(a["line"])
-            continue
-        if len(keep) >= lim.requests or tried >= lim.examined:
-            truncated = True
-            continue
-        q = None
-        last = own[-1] if own else None
-        at = mine.index(a)
-        if not a["th"]:
-            q = dict(rows=[a], why="standalone", s=False, cut=False, tail=False)
-        else:
-            before, started, cut = [], a["s"], False
-            for x in [] if started else reversed(mine[:at]):
-                if x["ts"] < a["ts"] - D:
-                    break
-                if last and x["line"] <= last["rows"][-1]["line"]:
-                    if last["tail"]:
-                        q = last
-                    break
-                if x["e"]:
-                    break
-                if x["s"]:
-                    before.insert(0, x)
-                    started = True
-                    break
-                if len(before) >= lim.before:
-                    cut = True
-                    break
-                before.insert(0, x)
-            if q is not None:
-                q["anchors"].append(a["line"])
-                continue
-            begin, after, why, tail = (before[0] if before else a)["ts"], [], "not_found", False
-            for x in mine[at:]:
-                if x["ts"] > begin + D:
-                    break
-                if x is not a and x["s"]:
-                    why = "next_start"
-                    break
-                if len(after) >= lim.rows - len(before):
-                    tail = True
-                    break
-                after.append(x)
-                if x["e"]:
-                    why = "end"
-                    break
-            if not started and why != "end" and not cut and not tail:
-                q = dict(rows=[a], why="standalone", s=False, cut=False, tail=False)
-            else:
-                q = dict(rows=before + after, why=why, s=started, cut=cut or tail, tail=tail)
-        tried += 1
-        q["anchors"] = [a["line"]]
-        made.setdefault(key, []).append(q)
-        if fits(q):
-            keep.append(q)
-        else:
-            dropped += 1
-    keep.sort(key=lambda q: (q["rows"][0]["ts"], q["rows"][0]["f"], q["rows"][0]["line"]))
-    return [(q["why"], q["s"], q["cut"], [x["line"] for x in q["rows"]], sorted(set(q["anchors"]) & {x["line"] for x in q["rows"]})) for q in keep], dropped, truncated
-
-
-@pytest.mark.parametrize("seed", range(10))
-def test_boundary_requests(spark, seed):
-    rows = case(seed)
-    spec = trace.Trace("ID", "boundary", "S", "E", 12_000, limits=trace.Limits(*((4, 6, 5, 3) if seed % 2 else (200, 2000, 1000, 500))))
-    spec = spec.filtered(contains="good" if seed % 4 == 1 else "", excludes="bad" if seed % 5 == 2 else "")
-    files = spark.createDataFrame([(1, "/a.log")], "file_id long, path string")
-    out = trace.run(spark.createDataFrame(rows, SCHEMA), files, spec)
-    members = {}
-    for r in out.rows.collect():
-        members.setdefault(r.req_no, []).append(r)
-    got = [(q.end_reason, q.start_found, q.truncated, [m.line_no for m in members[q.req_no]], sorted(m.line_no for m in members[q.req_no] if m.anchor)) for q in out.requests.collect()]
-    assert (got, out.filtered_out, out.truncated) == sequential(rows, spec)
-    assert out.anchor_total == sum("ID" in r[7] for r in rows)
-
+def entries(spark, rows):
+    """From (line, second, text) or (line, second, text, thread, file): S, E and ID mark starts, ends and anchors."""
+    full = [(*r, "t", 1)[:5] if len(r) == 3 else (*r, 1)[:5] for r in rows]
+    return spark.createDataFrame([(f, line, int(s * 1000), "INFO", "l", thread, x, x) for line, s, x, thread, f in full], SCHEMA)
 
-def test_window_requests(spark):
-    def row(line, ts, raw="x"):
-        return (1, line, ts, "INFO", "l", "t", raw, raw)
 
-    rows = [row(1, 0), row(2, 900, "ID"), row(3, 1500, "ID"), row(4, 2400), row(5, 2600), row(6, 3600, "ID"), row(7, 9000)]
-    spec = trace.window("ID", 1)
-    out = trace.run(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, "/a.log")], "file_id long, path string"), spec)
-    lines = {}
+def shown(spark, rows, spec):
+    """(lines, anchors, reason, start found, truncated) of each request in order, and the result."""
+    files = spark.createDataFrame([(1, "/a.log"), (2, "/b.log")], "file_id long, path string")
+    out = trace.run(entries(spark, rows), files, spec)
+    lines, anchors = {}, {}
     for r in out.rows.collect():
         lines.setdefault(r.req_no, []).append(r.line_no)
-    assert lines == {1: [1, 2, 3, 4], 2: [5, 6]}
-    assert [(q.end_reason, q.n_anchors) for q in out.requests.collect()] == [("window", 2), ("window", 1)]
+        anchors.setdefault(r.req_no, []).extend([r.line_no] * r.anchor)
+    return [(lines[q.req_no], anchors[q.req_no], q.end_reason, q.start_found, q.truncated) for q in out.requests.collect()], out
+
+
+def between(seconds=60, limits=None):
+    return trace.Trace("ID", "boundary", "S", "E", seconds * 1000, limits=limits or trace.Limits())
+
+
+def around(seconds=2, limits=None):
+    return trace.Trace("ID", "window", reach_ms=seconds * 1000, limits=limits or trace.Limits())
+
+
+CASES = {
+    "from start to end": ([(1, 0, "x"), (2, 1, "S"), (3, 2, "ID"), (4, 3, "E"), (5, 4, "x")], [([2, 3, 4], [3], "end", True, False)]),
+    "the next start ends it": ([(1, 0, "S"), (2, 1, "ID"), (3, 2, "S"), (4, 3, "E")], [([1, 2], [2], "next_start", True, False)]),
+    "nothing ends it": ([(1, 0, "S"), (2, 1, "ID"), (3, 2, "x")], [([1, 2, 3], [2], "not_found", True, False)]),
+    "an end alone will do": ([(1, 0, "x"), (2, 1, "ID"), (3, 2, "E")], [([1, 2, 3], [2], "end", False, False)]),
+    "an end before stops the way back": ([(1, 0, "E"), (2, 1, "x"), (3, 2, "ID"), (4, 3, "E")], [([2, 3, 4], [3], "end", False, False)]),
+    "no boundary: alone": ([(1, 0, "x"), (2, 1, "ID"), (3, 2, "ID")], [([2], [2], "standalone", False, False), ([3], [3], "standalone", False, False)]),
+    "a next start alone is no boundary": ([(1, 0, "ID"), (2, 1, "S")], [([1], [1], "standalone", False, False)]),
+    "the anchor is the start": ([(1, 0, "S"), (2, 1, "S ID"), (3, 2, "E")], [([2, 3], [2], "end", True, False)]),
+    "the anchor is the end": ([(1, 0, "S"), (2, 1, "E ID"), (3, 2, "x")], [([1, 2], [2], "end", True, False)]),
+    "the anchor is both": ([(1, 0, "S"), (2, 1, "S E ID"), (3, 2, "x")], [([2], [2], "end", True, False)]),
+    "on the way back a row that is both is an end": ([(1, 0, "S E"), (2, 1, "ID"), (3, 2, "E")], [([2, 3], [2], "end", False, False)]),
+    "on the way on a row that is both is a start": ([(1, 0, "S"), (2, 1, "ID"), (3, 2, "S E")], [([1, 2], [2], "next_start", True, False)]),
+    "anchors of one request": ([(1, 0, "S ID"), (2, 1, "x ID"), (3, 2, "E ID")], [([1, 2, 3], [1, 2, 3], "end", True, False)]),
+    "threads and files are apart": ([(1, 0, "S"), (2, 1, "S", "u"), (3, 2, "ID"), (4, 3, "E", "u"), (5, 4, "E"), (1, 0, "S", "t", 2), (2, 1, "E ID", "t", 2)], [([1, 3, 5], [3], "end", True, False), ([1, 2], [2], "end", True, False)]),
+    "without a thread: alone": ([(1, 0, "S", ""), (2, 1, "ID", ""), (3, 2, "E ID", "")], [([2], [2], "standalone", False, False), ([3], [3], "standalone", False, False)]),
+    "a start out of reach": ([(1, 0, "S"), (2, 61, "ID"), (3, 62, "E")], [([2, 3], [2], "end", False, False)]),
+    "a start just in reach": ([(1, 0, "S"), (2, 60, "ID"), (3, 61, "E")], [([1, 2], [2], "not_found", True, False)]),
+    "time counts from the first row": ([(1, 0, "S"), (2, 30, "ID"), (3, 59, "x"), (4, 61, "E")], [([1, 2, 3], [2], "not_found", True, False)]),
+    "what one request holds the next does not": ([(1, 0, "S"), (2, 50, "ID"), (3, 65, "x"), (4, 70, "ID"), (5, 71, "E")], [([1, 2], [2], "not_found", True, False), ([3, 4, 5], [4], "end", False, False)]),
+    "of one time the lower line comes first": ([(2, 0, "ID"), (1, 0, "S"), (3, 0, "E")], [([1, 2, 3], [2], "end", True, False)]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_between_boundaries(spark, name):
+    rows, want = CASES[name]
+    got, out = shown(spark, rows, between())
+    assert got == want
+    assert (out.anchor_total, out.truncated, out.filtered_out) == (sum("ID" in r[2] for r in rows), False, 0)
+
+
+LIMITED = {
+    "two rows before, then cut": ([(i, i, "x") for i in range(1, 6)] + [(6, 6, "ID"), (7, 7, "E")], [([4, 5, 6, 7], [6], "end", False, True)]),
+    "a start as the row too many is taken": ([(1, 1, "S"), (2, 2, "x"), (3, 3, "x"), (4, 4, "ID"), (5, 5, "E")], [([1, 2, 3, 4, 5], [4], "end", True, False)]),
+    "an end as the row too many is none": ([(1, 1, "E"), (2, 2, "x"), (3, 3, "x"), (4, 4, "ID"), (5, 5, "E")], [([2, 3, 4, 5], [4], "end", False, False)]),
+    "five rows in all": ([(1, 1, "S"), (2, 2, "ID")] + [(i, i, "x") for i in range(3, 9)] + [(9, 9, "E")], [([1, 2, 3, 4, 5], [2], "not_found", True, True)]),
+    "of more requests the first two": ([(i, i, "S ID E") for i in range(1, 6)], [([1], [1], "end", True, False), ([2], [2], "end", True, False)]),
+}
+
+
+@pytest.mark.parametrize("name", LIMITED)
+def test_limits_between_boundaries(spark, name):
+    rows, want = LIMITED[name]
+    got, out = shown(spark, rows, between(limits=SMALL))
+    assert got == want and out.truncated == (sum("ID" in r[2] for r in rows) > 2)
+
+
+def test_an_anchor_right_after_a_full_request_is_counted_there(spark):
+    rows = [(1, 1, "S"), (2, 2, "ID"), (3, 3, "x"), (4, 4, "x"), (5, 5, "x"), (6, 6, "ID"), (7, 7, "E")]
+    got, out = shown(spark, rows, between(limits=SMALL))
+    assert got == [([1, 2, 3, 4, 5], [2], "not_found", True, True)]
+    assert [q.n_anchors for q in out.requests.collect()] == [2] and out.anchor_total == 2
+
+
+AROUND = {
+    "rows within reach": ([(1, 0, "x"), (2, 1, "x"), (3, 3, "ID"), (4, 5, "x"), (5, 5.1, "x")], [([2, 3, 4], [3], "window", False, False)]),
+    "anchors that follow one another": ([(1, 0, "ID"), (2, 2, "ID"), (3, 3, "x"), (4, 4, "x"), (5, 4.5, "x")], [([1, 2, 3, 4], [1, 2], "window", False, False)]),
+    "overlapping ones stay apart": ([(1, 0, "ID"), (2, 1, "x"), (3, 2, "x"), (4, 2.5, "x"), (5, 3.5, "ID")], [([1, 2, 3], [1], "window", False, False), ([4, 5], [5], "window", False, False)]),
+    "without a thread: alone": ([(1, 0, "ID", ""), (2, 1, "ID", "")], [([1], [1], "standalone", False, False), ([2], [2], "standalone", False, False)]),
+}
+
+
+@pytest.mark.parametrize("name", AROUND)
+def test_within_seconds(spark, name):
+    rows, want = AROUND[name]
+    assert shown(spark, rows, around())[0] == want
+
+
+def test_limits_within_seconds(spark):
+    rows = [(i, i / 10, "x") for i in range(1, 10)] + [(10, 1, "ID"), (11, 1.1, "ID")] + [(i, i / 10, "x") for i in range(12, 20)]
+    got, out = shown(spark, rows, around(limits=SMALL))
+    assert got == [([8, 9, 10, 11, 12], [10, 11], "window", False, True)] and not out.truncated
+
+
+def test_filters_drop_requests_and_count_them(spark):
+    rows = [(1, 1, "S ID"), (2, 2, "good E"), (3, 3, "S ID"), (4, 4, "BAD E"), (5, 5, "S ID"), (6, 6, "bad good E")]
+    for contains, excludes, want in (("GOOD", None, [[1, 2], [5, 6]]), (None, "bad", [[1, 2]]), ("good", "bad", [[1, 2]])):
+        got, out = shown(spark, rows, between().filtered(contains, excludes))
+        assert [g[0] for g in got] == want and out.filtered_out == 3 - len(want)
+
+
+def test_dropped_requests_count_as_examined(spark):
+    rows = [(i, i, "S ID E" + " good" * (i in (2, 4))) for i in range(1, 7)]
+    got, out = shown(spark, rows, between(limits=SMALL).filtered("good"))
+    assert [g[0] for g in got] == [[2]] and out.truncated and out.filtered_out == 2 and out.anchor_total == 6
+
+
+def test_requests_come_in_the_order_of_their_first_rows(spark):
+    rows = [(1, 5, "S", "a"), (2, 6, "ID E", "a"), (3, 1, "S", "b"), (4, 8, "ID E", "b"), (1, 1, "S ID E", "a", 2)]
+    assert [g[0] for g in shown(spark, rows, between())[0]] == [[3, 4], [1], [1, 2]]
+
+
+def test_lines_whose_times_run_backwards(spark):
+    # the rows in order of time are 1, 4, 2, 3; the request of anchor 4 spans the lines from 1 to 3
+    rows = [(1, 0, "S"), (4, 1, "ID"), (2, 2, "x"), (3, 3, "E ID")]
+    assert shown(spark, rows, between())[0] == [([1, 4, 2, 3], [4, 3], "end", True, False)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("mode", ["boundary", "window"])
+def test_windows_and_anchors_one_by_one_agree(spark, monkeypatch, seed, mode):
+    r = random.Random(seed)
+    rows = [(i, sorted(r.sample(range(400), 80))[i - 1], f"{r.choice(['', '', 'S', 'E', 'S E', 'x'])} {r.choice(['ID', '', '', ''])} {r.choice(['good', 'bad', ''])}", r.choice("tu")) for i in range(1, 60)]
+    spec = (between(15) if mode == "boundary" else around(6)).filtered("good" if seed % 3 == 1 else "", "bad" if seed % 3 == 2 else "")
+    df = entries(spark, rows)
+    a = sorted(map(tuple, trace.members(df, spec).collect()))
+    grouped = trace._grouped
+    monkeypatch.setattr(trace, "_grouped", lambda x, s: grouped(x, s).withColumn("hard", trace.F.lit(True)))
+    assert a == sorted(map(tuple, trace.members(df, spec).collect())) and a
+
+
+def test_many_anchors_of_one_thread(spark):
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("file_id"), (F.col("id") + 1).alias("line_no"), (F.col("id") * 10).alias("ts_millis"), F.lit("INFO").alias("level"), F.lit("l").alias("logger"), F.lit("t").alias("thread"), F.when(F.col("id") % 4 == 0, "S").otherwise("x").alias("message"), F.lit("ID").alias("raw"))
+    out = trace.run(df, spark.createDataFrame([(1, "/a.log")], "file_id long, path string"), between())
+    assert out.anchor_total == n and out.truncated and out.requests.count() == 200 and out.rows.count() == 800
+    alone = trace.run(df.withColumn("message", F.lit("x")), spark.createDataFrame([(1, "/a.log")], "file_id long, path string"), between())
+    assert not alone.truncated and [q.n_rows for q in alone.requests.collect()] == [1000] * 30
 
 
 def test_identifier_is_literal_and_in_its_case(spark):
     rows = [(1, 1, 0, "INFO", "l", "t", "m", "a.b"), (1, 2, 1, "INFO", "l", "t", "m", "aXb"), (1, 3, 2, "INFO", "l", "t", "m", "A.B")]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert trace.folded(df, trace.window("a.b", 1)).where(F.col("join_ts").isNotNull()).count() == 1
+    assert trace.members(df, trace.window("a.b", 1)).where("joined").count() == 1
 
 
 @pytest.mark.parametrize("bad", [lambda: trace.boundary("", "a", "b"), lambda: trace.boundary("x", "", "b"), lambda: trace.boundary("x", "a", "b", 1441), lambda: trace.window("x", 0), lambda: trace.window(" ", 5)])
