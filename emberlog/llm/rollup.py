@@ -4,11 +4,12 @@ A delta row is (source, lang, tokenizer_version, docs, tokens) with docs and tok
 an insert adds, a delete subtracts, a revision does both. A batch of deltas is aggregated
 and committed under its id; to commit an id again changes nothing, so a batch that was
 sent twice, or whose executors were lost half-way, counts once. Totals are the sum of all
-commits, folded into one snapshot by ``compact``.
+commits; ``compact`` folds them into a snapshot, which counts as a whole or not at all.
 
 Null text has no tokens; null sources and languages are groups of their own. Groups whose
-documents and tokens are all gone leave the totals. Repeated rows count each time. Extra
-columns are ignored.
+documents and tokens are all gone leave the totals. Repeated rows count each time, ties do
+not matter. Extra columns are ignored. An empty batch commits its id and changes no total;
+without any commit there are no totals.
 """
 
 from __future__ import annotations
@@ -47,8 +48,11 @@ def revisions(rows: DataFrame, old: str, new: str, versions: Mapping[str, str] =
 class Rollup:
     """Totals in a folder that all machines share.
 
-    Each commit is a folder named by its batch id, written in full or not at all (it counts
-    from its ``_SUCCESS`` file on). One writer at a time.
+    A commit is a folder ``batch-<id>``, written in full or not at all (it counts from its
+    ``_SUCCESS`` file on). A snapshot is a folder ``snapshot-<number>`` with the sums, the ids
+    of the batches in them and, last of all, a file ``done``. The snapshot of the greatest number
+    that is done counts, with the batches that it does not name; all else is left over from
+    before or from a run that failed, and ``compact`` clears it away. One writer at a time.
     """
 
     SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
@@ -60,68 +64,81 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def _folders(self) -> list[str]:
+    def _listed(self) -> tuple[str | None, list[str], list[str]]:
+        """The snapshot that counts, complete batches, and the names of all folders."""
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+            return None, [], []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path(self.path)))
+        done = [n for n in names if n.startswith("snapshot-") and fs.exists(path(f"{self.path}/{n}/done"))]
+        return max(done, default=None), [n for n in names if n.startswith("batch-") and fs.exists(path(f"{self.path}/{n}/_SUCCESS"))], names
+
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """The snapshot that counts, the ids in it, and the batches beside it."""
+        snapshot, batches, _ = self._listed()
+        ids = {r.id for r in self.spark.read.schema("id string").parquet(f"{self.path}/{snapshot}/ids").collect()} if snapshot else set()
+        return snapshot, ids, [n for n in batches if n.removeprefix("batch-") not in ids]
 
     def committed(self) -> set[str]:
         """Ids of the batches that count."""
-        ids = set()
-        for name in self._folders():
-            ids |= set(name.removeprefix("batch-").removeprefix("upto-").split("+"))
-        return ids
+        _, ids, batches = self._state()
+        return ids | {n.removeprefix("batch-") for n in batches}
 
     def commit(self, batch_id: int | str, rows: DataFrame) -> bool:
         """Add a batch; False, and nothing else, if its id is committed already."""
         name = str(batch_id)
-        if not name.replace("_", "").isalnum():
-            raise ValueError("a batch id holds letters, digits and underscores")
+        if not name.replace("_", "").isalnum() or len(name) > 128:
+            raise ValueError("a batch id holds up to 128 letters, digits and underscores")
         if name in self.committed():
             return False
         sums = rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch-{name}")
+        sums.write.mode("overwrite").parquet(f"{self.path}/batch-{name}")
         return True
 
-    def _sums(self, folders: list[str]) -> DataFrame:
+    def _sums(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        folders = [f"{self.path}/{snapshot}/sums"] * bool(snapshot) + [f"{self.path}/{n}" for n in batches]
         if not folders:
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{n}" for n in folders])
-        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return self.spark.read.schema(self.SCHEMA).parquet(*folders).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens."""
-        return self._sums(self._folders()).where("docs <> 0 or tokens <> 0").withColumnsRenamed({"docs": "n_docs", "tokens": "n_tokens"})
+        snapshot, _, batches = self._state()
+        return self._sums(snapshot, batches).where("docs <> 0 or tokens <> 0").withColumnsRenamed({"docs": "n_docs", "tokens": "n_tokens"})
 
     def compact(self) -> None:
-        """Fold all commits into one folder that still names their ids."""
-        old = self._folders()
-        if len(old) < 2:
-            return
-        name = "upto-" + "+".join(sorted(self.committed()))
+        """Fold all commits into one snapshot that names their ids."""
+        fs, path = self._fs()
+        snapshot, ids, batches = self._state()
+        if batches:
+            name = f"snapshot-{int((snapshot or 'snapshot-0').removeprefix('snapshot-')) + 1:012}"
+            self._sums(snapshot, batches).write.mode("overwrite").parquet(f"{self.path}/{name}/sums")
+            named = sorted(ids | {n.removeprefix("batch-") for n in batches})
+            self.spark.createDataFrame([(i,) for i in named], "id string").write.mode("overwrite").parquet(f"{self.path}/{name}/ids")
+            fs.create(path(f"{self.path}/{name}/done")).close()  # from here on it counts
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove what does not count; to stop half-way does no harm."""
         fs, path = self._fs()
-        self._sums(old).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-        # until the rename only the old folders count, after it they are superseded
-        fs.delete(path(f"{self.path}/{name}.new/_SUCCESS"), False)
-        for n in old:
-            fs.delete(path(f"{self.path}/{n}/_SUCCESS"), False)
-        fs.rename(path(f"{self.path}/{name}.new"), path(f"{self.path}/{name}"))
-        fs.create(path(f"{self.path}/{name}/_SUCCESS")).close()
-        for n in old:
-            fs.delete(path(f"{self.path}/{n}"), True)
+        snapshot, _, batches = self._state()
+        for n in self._listed()[2]:
+            if n != snapshot and n not in batches:
+                fs.delete(path(f"{self.path}/{n}"), True)
 
 
 def history(docs: DataFrame, path: str | None = None) -> Rollup:
-    """A corpus's life in four commits: all documents come; those of fewer than five words
-    go; the others lose their last line; the second batch is sent once more."""
+    """A corpus's life in three commits: all documents come; those of fewer than five words
+    go; all is folded into a snapshot; the others lose their last line. The first two batches
+    are sent once more, one after the snapshot and one at the end."""
     spark = docs.sparkSession
     roll = Rollup(spark, path or store.scratch(spark))
     d = docs.select("source", "lang", F.col("text").cast("string").alias("text"))
     short = tokens("text", VERSIONS["words-1"]) < 5
     roll.commit(1, deltas(d))
     roll.commit(2, deltas(d.where(short), -1))
+    roll.compact()
+    roll.commit(1, deltas(d))
     roll.commit(3, revisions(d.where(~short).withColumn("new", F.regexp_replace("text", r"\n[^\n]*\z", "")), "text", "new"))
     roll.commit(2, deltas(d.where(short), -1))
     return roll

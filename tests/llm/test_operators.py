@@ -765,6 +765,64 @@ def test_half_a_commit_does_not_count(spark, docs, tmp_path):
     assert roll.commit(2, rollup.deltas(docs, -1)) and roll.totals().count() == 0
 
 
+def test_many_batches_fold_into_one_snapshot(spark, docs, tmp_path):
+    roll = rollup.Rollup(spark, str(tmp_path / "r"))
+    roll.commit("first", rollup.deltas(docs))
+    want = sorted(map(tuple, roll.totals().collect()), key=repr)
+    some = tmp_path / "r" / "batch-first"
+    for i in range(1000):  # empty batches with long ids, as a job that runs every hour leaves them
+        (tmp_path / "r" / f"batch-20240101_{i:06}_of_the_hourly_job").mkdir()
+        (tmp_path / "r" / f"batch-20240101_{i:06}_of_the_hourly_job" / "_SUCCESS").touch()
+    roll.compact()
+    assert len(roll.committed()) == 1001 and not roll.commit("20240101_000777_of_the_hourly_job", rollup.deltas(docs)) and not some.exists()
+    assert sorted(map(tuple, roll.totals().collect()), key=repr) == want
+    roll.commit("last", rollup.deltas(docs, -1))
+    roll.compact()
+    assert roll.totals().count() == 0 and len(roll.committed()) == 1002 and len(list((tmp_path / "r").iterdir())) == 1
+    with pytest.raises(ValueError):
+        roll.commit("x" * 129, rollup.deltas(docs))
+
+
+def test_compaction_that_stops_at_any_step(spark, docs, tmp_path):
+    class Stop(Exception):
+        pass
+
+    def stopping(roll, at):
+        """``roll`` whose at-th call of the file system's create and delete raises."""
+        fs, path = roll._fs()
+        seen = [0]
+
+        class Files:
+            def __getattr__(self, name):
+                def call(*a):
+                    if name in ("create", "delete"):
+                        seen[0] += 1
+                        if seen[0] == at:
+                            raise Stop
+                    return getattr(fs, name)(*a)
+
+                return call
+
+        roll._fs = lambda: (Files(), path)
+        return roll
+
+    for at in range(1, 5):
+        where = str(tmp_path / f"r{at}")
+        roll = rollup.Rollup(spark, where)
+        roll.commit(1, rollup.deltas(docs))
+        roll.commit(2, rollup.deltas(docs))
+        want = sorted(map(tuple, roll.totals().collect()), key=repr)
+        try:
+            stopping(rollup.Rollup(spark, where), at).compact()
+        except Stop:
+            pass
+        for _ in range(2):
+            again = rollup.Rollup(spark, where)
+            assert again.committed() == {"1", "2"} and not again.commit(2, rollup.deltas(docs))
+            assert sorted(map(tuple, again.totals().collect()), key=repr) == want
+            again.compact()
+
+
 # 9 -------------------------------------------------------------------------------------
 
 
