@@ -309,7 +309,7 @@ REQUEST = ("file_id", "thread", "first_line", "last_line", "n_rows", "n_anchors"
 
 
 def requests(members: DataFrame, kept_only: bool = False) -> DataFrame:
-    """One row for each request of ``trace.folded``."""
+    """One row for each request of ``trace.members``."""
     rows = members.where("kept") if kept_only else members
     return rows.groupBy("file_id", "thread", "req").agg(
         F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_rows"), F.first("n_anchors").alias("n_anchors"), F.first("end_reason").alias("end_reason"), F.first("start_found").alias("start_found")
@@ -329,7 +329,7 @@ GROUP BY n.file_id, n.thread, i0, ns, ne"""
 
 @query(_FROM_START)
 def q_trace_from_start(spark, sf_dir):
-    return requests(trace.folded(entries(spark, sf_dir), trace.boundary("signup", "^signup", "^purchase", 1440)))
+    return requests(trace.members(entries(spark, sf_dir), trace.boundary("signup", "^signup", "^purchase", 1440)))
 
 
 _TO_END = f"""{_FLAGS}
@@ -343,7 +343,7 @@ SELECT {", ".join(REQUEST)} FROM found"""
 
 
 def _to_end(spark, sf_dir, **words) -> DataFrame:
-    return requests(trace.folded(entries(spark, sf_dir), trace.boundary("purchase", "^signup", "^purchase", 1440).filtered(**words)), kept_only=True)
+    return requests(trace.members(entries(spark, sf_dir), trace.boundary("purchase", "^signup", "^purchase", 1440).filtered(**words)), kept_only=True)
 
 
 @query(_TO_END)
@@ -361,6 +361,44 @@ def q_trace_filter_excludes(spark, sf_dir):
     return _to_end(spark, sf_dir, excludes="] - error ")
 
 
+# what ``trace.run`` shows: limits, totals and the order of requests
+_CREATED = _TO_END.replace("bool_or(r.bad) AS bad", "bool_or(r.bad) AS bad, k.t1 AS c_ts, max(r.line_no) FILTER (r.i = k.i1) AS c_line, min(r.ts_millis) AS first_ts, min_by(r.line_no, r.i) AS first_row").replace("GROUP BY k.file_id, k.thread, k.i1, ps, pe)", "GROUP BY k.file_id, k.thread, k.i1, k.t1, ps, pe)")
+_CREATED = (
+    _CREATED[: _CREATED.rindex("SELECT")].rstrip()
+    + """,
+tried AS (SELECT *, row_number() OVER (ORDER BY c_ts, file_id, c_line) AS nth, coalesce(sum(CAST(bad AS INT)) OVER (ORDER BY c_ts, file_id, c_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS kept_before FROM found),
+live AS (SELECT * FROM tried WHERE nth <= 2000 AND kept_before < 200) """
+)
+
+
+def _run(spark, sf_dir) -> trace.Result:
+    return trace.run(entries(spark, sf_dir), files(spark), trace.boundary("purchase", "^signup", "^purchase", 1440).filtered(contains="] - ERROR "))
+
+
+@query(_CREATED + "SELECT (SELECT count(*) FROM entries WHERE contains(raw, 'purchase')) AS anchor_total, (SELECT count(*) FROM found) > count(*) AS truncated, count(*) FILTER (NOT bad) AS filtered_out, count(*) FILTER (bad) AS n_requests FROM live")
+def q_trace_totals(spark, sf_dir):
+    out = _run(spark, sf_dir)
+    return out.requests.agg(F.count("*").alias("n_requests")).select(F.lit(out.anchor_total).cast("long").alias("anchor_total"), F.lit(out.truncated).alias("truncated"), F.lit(out.filtered_out).cast("long").alias("filtered_out"), "n_requests")
+
+
+@query(_CREATED + "SELECT CAST(row_number() OVER (ORDER BY first_ts, file_id, first_row) AS INT) AS req_no, '/logs/app' || file_id || '.log' AS source, thread, start_found, end_reason, false AS truncated, n_rows, n_anchors FROM live WHERE bad")
+def q_trace_request_order(spark, sf_dir):
+    return _run(spark, sf_dir).requests
+
+
+@query(_CREATED + """, shown AS (SELECT *, CAST(row_number() OVER (ORDER BY first_ts, file_id, first_row) AS INT) AS req_no FROM live WHERE bad)
+SELECT req_no, CAST(row_number() OVER (PARTITION BY req_no ORDER BY r.i) - 1 AS BIGINT) AS pos, r.line_no, r.e AS anchor FROM shown q JOIN numbered r ON r.file_id = q.file_id AND r.thread = q.thread AND r.ts_millis >= q.first_ts AND r.ts_millis <= q.c_ts
+  AND (r.ts_millis, r.line_no) >= (q.first_ts, q.first_row) AND (r.ts_millis, r.line_no) <= (q.c_ts, q.c_line)""")
+def q_trace_request_rows(spark, sf_dir):
+    return _run(spark, sf_dir).rows.select("req_no", "pos", "line_no", "anchor")
+
+
+@query(f"""{E} SELECT CAST(row_number() OVER (ORDER BY ts_millis, file_id, line_no) AS INT) AS req_no, source, thread, 'standalone' AS end_reason, count(*) OVER () > 200 AS limited FROM entries WHERE contains(raw, '"k": 7') QUALIFY req_no <= 200""")
+def q_trace_standalone(spark, sf_dir):
+    out = trace.run(entries(spark, sf_dir), files(spark), trace.boundary('"k": 7', "^no start$", "^no end$", 1))
+    return out.requests.select("req_no", "source", "thread", "end_reason", F.lit(out.truncated).alias("limited"))
+
+
 _W = 3600_000
 
 
@@ -370,7 +408,7 @@ spans AS (SELECT file_id, thread, g, min(ts_millis) - {_W} AS a, max(ts_millis)
 held AS (SELECT r.file_id, r.thread, r.line_no, min(g) AS g FROM entries r JOIN spans s ON r.file_id = s.file_id AND r.thread = s.thread AND r.ts_millis BETWEEN a AND b GROUP BY ALL)
 SELECT s.file_id, s.thread, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_rows, n_anchors, 'window' AS end_reason, false AS start_found FROM held h JOIN spans s USING (file_id, thread, g) GROUP BY s.file_id, s.thread, g, n_anchors""")
 def q_trace_window(spark, sf_dir):
-    return requests(trace.folded(entries(spark, sf_dir), trace.window('"k": 7', 3600)))
+    return requests(trace.members(entries(spark, sf_dir), trace.window('"k": 7', 3600)))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, contains(text, 'the') AS hit, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations),
@@ -379,7 +417,7 @@ SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER
 def q_conversation_requests(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     rows = c.select(F.col("conv_id").alias("file_id"), F.lit("talk").alias("thread"), F.col("turn").alias("line_no"), (F.col("turn") * 1000).alias("ts_millis"), F.col("role").alias("message"), F.coalesce("text", F.lit("")).alias("raw"))
-    members = trace.folded(rows, trace.boundary("the", "^user$", "^assistant$", 1440)).where("start_found")
+    members = trace.members(rows, trace.boundary("the", "^user$", "^assistant$", 1440)).where("start_found")
     return members.groupBy(F.col("file_id").alias("conv_id"), "req").agg(F.min("line_no").alias("first_turn"), F.max("line_no").alias("last_turn"), F.first("n_anchors").alias("n_anchors")).drop("req")
 
 
