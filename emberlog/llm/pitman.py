@@ -54,9 +54,10 @@ FREQUENT, PAIRS = 1 << 19, 1 << 19
 EXACT = 256
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
-#: Distinct words or pairs, and places to be looked up, that a task holds before it passes them on.
-HELD, ASKED = 1 << 20, 1 << 19
-PER_BATCH = 1 << 15
+#: Distinct pairs (twice as many words), or places to be looked up, that a task holds before it
+#: passes them on, and bytes of text and rows handled at once.
+HELD = 1 << 18
+SLICE_BYTES, PER_BATCH = 1 << 19, 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
 PER_BLOCK, PER_ROW = 1 << 18, 1 << 17
 #: Hashes that stand for the end of a document and for its start.
@@ -145,14 +146,14 @@ def word_counts(train: DataFrame) -> DataFrame:
     def run(it):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held, size = [], 0
-        for _, data, off in text.slices(it):
+        for _, data, off in text.slices(it, SLICE_BYTES):
             k, _, n = summed(h := token_hashes(data, off)[0], np.ones(len(h), np.int64))
             held.append((k, n))
             size += len(k)
-            if size > HELD:
+            if size > 2 * HELD:
                 keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
                 held, size = [], 0
-                if len(keys) > HELD:
+                if len(keys) > 2 * HELD:
                     yield from some_rows(schema, keys.view(np.int64), counts)
                     keys, counts = keys[:0], counts[:0]
         keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
@@ -178,7 +179,7 @@ def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
         def out():
             return some_blocks(schema, by_block(pair_keys(all_[0], all_[1]), blocks, *all_))
 
-        for _, data, off in text.slices(it):
+        for _, data, off in text.slices(it, SLICE_BYTES):
             h, first = token_hashes(data, off)
             if not len(h):
                 continue
@@ -621,7 +622,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                     k, r, n = k[order], r[order], n[order]
                     yield from some_blocks(schema, ((b, kind, k, None, n, r) for b, k, n, r in by_block(k, blocks, k, n, r)))
 
-        for part, data, off in text.slices(it):
+        for part, data, off in text.slices(it, SLICE_BYTES):
             docs_ = len(off) - 1
             h, first = token_hashes(data, off)
             w = known.codes(h)
@@ -655,7 +656,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 s = slice(a, a + 4096)
                 facts = np.stack([ids[a : a + 4096].fill_null(0).to_numpy().astype(np.int64), ids[a : a + 4096].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
                 yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [facts.tobytes()], [np.stack([base[s], points[s]]).tobytes()], [None], [rids[s].tobytes()])
-            if total > ASKED:
+            if total > HELD:
                 yield from flush()
                 total = 0
         yield from flush()
