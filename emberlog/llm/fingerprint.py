@@ -8,7 +8,9 @@ the sum is bounded, so that likeness lies in [0, 1]. It is 1 for equal digests.
 
 Null text is the empty text. A text of fewer than three bytes has only empty counters.
 Equal texts have equal digests. Extra columns are ignored. Rows with a null doc_id come
-after all others in ``next_pairs``; rows of equal doc_id are ordered by their text.
+after all others in ``next_pairs``; rows of equal doc_id, or without one, are ordered by a hash
+of their texts, and of rows equal in both each is followed by another but the last. No rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from . import store, text
 BUCKETS = 128
 #: Cost of codes that differ by 0, 1, 2, 3 quartiles (fixed values of the score).
 COSTS = np.array([0, 1, 2, 6], np.int64)
-#: Blocks of neighbouring documents; their bounds and heads are held on the driver.
-MAX_BLOCKS = 4096
+#: Bytes of text in a block of neighbouring documents, about.
+BLOCK_BYTES = 1 << 28
+#: Rows of the sample from which a block's bounds come.
+PER_BLOCK = 8
+#: Rows of equal ones that one step writes out again.
+COPIES = 4096
 
 
 def digest(data: np.ndarray, off: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -100,63 +106,103 @@ def edited(own: str, following: str) -> str:
     return own[: len(own) - cut] + following[:cut]
 
 
+class Blocks:
+    """Ranges of documents in their order: descending doc_id (null last), then a hash of the text.
+
+    ``bounds`` are the first keys (~doc_id, hash) of all blocks but the first.
+    """
+
+    def __init__(self, bounds: list[tuple[int, int]]):
+        self.ids, self.ties = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
+
+    def of(self, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        for x in np.unique(ids[low < high]).tolist():  # an id whose rows are spread over blocks
+            at = np.flatnonzero(ids == x)
+            a, b = int(low[at[0]]), int(high[at[0]])
+            low[at] = a + np.searchsorted(self.ties[a:b], ties[at], "right")
+        return low
+
+
+def _keys(d: DataFrame) -> DataFrame:
+    """doc_id, text, the key (id, tie) by which documents follow one another."""
+    last = F.lit((1 << 63) - 1)
+    return d.select("doc_id", "text", F.coalesce(F.bitwise_not("doc_id"), last).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+
+
 def next_pairs(docs: DataFrame, count: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Each document against its edited text and against the next one in descending doc_id.
 
-    Documents are dealt once, by block of neighbouring doc_ids. The first document of a
+    Documents are dealt once, by block of neighbouring ones. The first document of a
     block is also sent to the block before it (and the very first one to the last block),
-    so each block finds all its successors itself. The bounds and first ids of at most
-    MAX_BLOCKS blocks are all that the driver holds. Rows of one doc_id stay in one block.
+    so each block finds all its successors itself. The driver holds the bounds and first keys
+    of the blocks, which come from a sample; any bounds give the same rows. Of rows equal
+    in doc_id and text one takes part, under the number of them.
     """
-    spark, d = docs.sparkSession, store.documents(docs)
-    count = max(1, min(count or 2 * store.partitions(spark), MAX_BLOCKS))
-    cuts = d.where("doc_id is not null").approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count) if count > 1 else []
-    bounds = np.array(sorted({int(x) for x in cuts}), np.int64)
-
-    def block(ids: pa.Array) -> np.ndarray:
-        at = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, at).astype(np.int64)
+    spark, d = docs.sparkSession, _keys(store.documents(docs))
+    shared, _ = store.save(d.select("id", "tie").groupBy("id", "tie").agg(F.count("*").alias("n")).where("n > 1"))
+    repeated = bool(shared.head(1))
+    one = F.lit(1).cast("long")
+    if repeated:
+        again = d.join(shared, ["id", "tie"]).dropDuplicates(["id", "tie"]).select("doc_id", "text", "id", "tie", "n")
+        d = d.join(shared, ["id", "tie"], "left_anti").select("doc_id", "text", "id", "tie", one.alias("n")).unionByName(again)
+    else:
+        d = d.withColumn("n", one)
+    size = d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    count = max(1, min(count or max(2 * store.partitions(spark), size.bytes // BLOCK_BYTES), size.n))
+    step = max(1, size.n // (count * PER_BLOCK))
+    some = sorted((r.id, r.tie) for r in d.where(F.pmod(F.xxhash64("id", "tie"), F.lit(step)) == 0).select("id", "tie").collect())
+    blocks = Blocks(sorted({some[len(some) * i // count] for i in range(1, count)} if some else ()))
 
     def find(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([pa.array(block(b.column(0))), b.column(0)], names=["block", "doc_id"])
+            ids, ties = (b.column(x).to_numpy() for x in ("id", "tie"))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.of(ids, ties)), b.column("id"), b.column("tie")], names=["block", "id", "tie"])
 
-    tops = {r[0]: r[1] for r in d.select("doc_id").mapInArrow(find, "block long, doc_id long").groupBy("block").agg(F.max("doc_id")).collect()}
-    order = sorted(tops, reverse=True)
+    tops = {r.block: (r.top.id, r.top.tie) for r in d.select("id", "tie").mapInArrow(find, "block long, id long, tie long").groupBy("block").agg(F.min(F.struct("id", "tie")).alias("top")).collect()}
+    order = sorted(tops)
     before = {b: order[i - 1] for i, b in enumerate(order)}  # the block whose last row needs b's first one
 
     def deal(it):
-        schema = pa.schema([("block", pa.int64()), ("tail", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())])
+        schema = pa.schema([("block", pa.int64()), ("tail", pa.int32()), ("id", pa.int64()), ("tie", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("n", pa.int64())])
         for part, _, _ in text.slices(it):
-            ids, body = part.column("doc_id"), part.column("text").fill_null("")
-            own = block(ids)
-            yield text.table(schema, own, np.zeros(len(own), np.int32), ids, body)
-            heads = [i for i, (b, k) in enumerate(zip(own.tolist(), ids.to_pylist(), strict=True)) if tops[b] == k]
+            ids, ties, body = part.column("id"), part.column("tie"), part.column("text").fill_null("")
+            own = blocks.of(ids.to_numpy(), ties.to_numpy())
+            yield text.table(schema, own, np.zeros(len(own), np.int32), ids, ties, part.column("doc_id"), body, part.column("n"))
+            heads = [i for i, (b, *k) in enumerate(zip(own.tolist(), ids.to_pylist(), ties.to_pylist(), strict=True)) if tops[b] == tuple(k)]
             if heads:
                 take = pa.array(heads)
-                yield text.table(schema, [before[own[i]] for i in heads], np.ones(len(heads), np.int32), ids.take(take), body.take(take))
+                yield text.table(schema, [before[own[i]] for i in heads], np.ones(len(heads), np.int32), *(x.take(take) for x in (ids, ties, part.column("doc_id"), body, part.column("n"))))
 
     def compare(it):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-        last = None  # the block's row whose successor is still to come: id, text, digest
-        closed = None  # a block that has got its successor
+        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("times", pa.int64())])
+        last = None  # the block's row whose successor is still to come: block, id, text, digest
         for part, data, off in text.slices(it):
-            own, tail, ids, texts = part.column("block").to_pylist(), part.column("tail").to_pylist(), part.column("doc_id").to_pylist(), text.strings(data, off)
+            own, tail, ids, n, texts = *(part.column(x).to_pylist() for x in ("block", "tail", "doc_id", "n")), text.strings(data, off)
             prints = digest(data, off, buckets)
             out, mine, nexts = [], [], []
             for i, b in enumerate(own):
-                if tail[i] and b == closed:
-                    continue
                 if last is not None and last[0] == b:
-                    out.append((last[1], last[2], edited(last[2], texts[i])))
+                    out.append((last[1], last[2], edited(last[2], texts[i]), 1))
                     mine.append(last[3])
                     nexts.append(prints[i])
-                closed, last = (b, None) if tail[i] else (None, (b, ids[i], texts[i], prints[i]))
+                if tail[i]:
+                    last = None
+                    continue
+                if n[i] > 1:  # equal rows, each but the last one followed by another
+                    out.append((ids[i], texts[i], edited(texts[i], texts[i]), n[i] - 1))
+                    mine.append(prints[i])
+                    nexts.append(prints[i])
+                last = (b, ids[i], texts[i], prints[i])
             if out:
                 new = pa.array([x[2] for x in out], pa.large_string())
                 changed = digest(*text.buffers(new), buckets)
                 mine, nexts = np.array(mine), np.array(nexts)
-                yield text.table(schema, [x[0] for x in out], [len(x[1]) for x in out], [hashlib.sha256(x[2].encode()).hexdigest() for x in out], hexed(mine), hexed(changed), likeness(mine, changed), likeness(mine, nexts))
-
-    dealt = d.mapInArrow(deal, "block long, tail int, doc_id long, text string")
-    return dealt.repartition(store.partitions(spark), "block").sortWithinPartitions("block", "tail", F.desc_nulls_last("doc_id"), "text").mapInArrow(compare, NEXT)
+                yield text.table(schema, [x[0] for x in out], [len(x[1]) for x in out], [hashlib.sha256(x[2].encode()).hexdigest() for x in out], hexed(mine), hexed(changed), likeness(mine, changed), likeness(mine, nexts), [x[3] for x in out])
+
+    dealt = d.mapInArrow(deal, "block long, tail int, id long, tie long, doc_id long, text string, n long")
+    found = dealt.repartitionById(store.partitions(spark), (F.col("block") % store.partitions(spark)).cast("int")).sortWithinPartitions("block", "tail", "id", "tie").mapInArrow(compare, f"{NEXT}, times long")
+    if repeated:
+        found = found.withColumn("step", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / COPIES)))).repartition(store.partitions(spark))
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("times") - COPIES * F.col("step")))))
+    return found.select(*[x.split()[0] for x in NEXT.split(", ")])

@@ -889,23 +889,60 @@ def test_word_encoding_equals_the_library():
 # 10 ------------------------------------------------------------------------------------
 
 
-def test_fingerprints(spark, docs, none):
-    got = fingerprint.next_pairs(docs, count=7).collect()
-    order = sorted(corpus(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    one = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
+def digest_by_rule(x):
+    """(length, q1, q2, codes) of a text by the definition, one triplet after another."""
+    raw, counts = (x or "").encode(), [0] * fingerprint.BUCKETS
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        h = (a * 0x9E3779B1 ^ (b + 1) * 0x85EBCA6B ^ (c + 7) * 0xC2B2AE35) & 0xFFFFFFFF
+        h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+        counts[(h >> 12) % fingerprint.BUCKETS] += 1
+    q1, q2, q3 = (sorted(counts)[fingerprint.BUCKETS * k // 4 - 1] for k in (1, 2, 3))
+    return round(16 * math.log2(len(raw) + 1)), 15 * q1 // max(q3, 1), 15 * q2 // max(q3, 1), [(c > q1) + (c > q2) + (c > q3) for c in counts]
+
+
+def hex_by_rule(x):
+    length, q1, q2, codes = digest_by_rule(x)
+    return f"{length:03x}{q1:x}{q2:x}" + "".join(f"{a * 64 + b * 16 + c * 4 + d:02x}" for a, b, c, d in zip(*[iter(codes)] * 4, strict=True))
+
+
+def likeness_by_rule(x, y):
+    (l, p, q, a), (m, r, t, b) = digest_by_rule(x), digest_by_rule(y)
+    apart = sum([0, 1, 2, 6][abs(i - j)] for i, j in zip(a, b, strict=True)) + min(abs(l - m), 64) + abs(p - r) + abs(q - t)
+    return max(0.0, 1 - apart / (1.625 * fingerprint.BUCKETS))
+
+
+@pytest.mark.parametrize("count", [1, 7, 60])
+def test_fingerprints(spark, docs, none, count):
+    rows = [*corpus(), *[(7, f"one id, text {i}") for i in range(20)], *[(None, f"no id, text {i}") for i in range(20)], *[(None, "no id twice")] * 3]
+    docs = make(spark, rows)
+    got = fingerprint.next_pairs(docs, count=count).collect()
+    ranked = ranked_rows(spark, rows)
+    order = sorted(((k, h, x or "") for k, h, x in ranked), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = collections.Counter()
-    for (k, x), (_, y) in zip(order, [*order[1:], order[0]], strict=True):
-        x, y = x or "", y or ""
+    for (k, _, x), (_, _, y) in zip(order, [*order[1:], order[0]], strict=True):
         cut = len(x) // 3
-        want[k, len(x), hashlib.sha256((x[: len(x) - cut] + y[:cut]).encode()).hexdigest()] += 1
-    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        new = x[: len(x) - cut] + y[:cut]
+        if len(x) < 5000 and len(y) < 5000:
+            want[k, len(x), hashlib.sha256(new.encode()).hexdigest(), hex_by_rule(x), hex_by_rule(new), round(likeness_by_rule(x, new), 9), round(likeness_by_rule(x, y), 9)] += 1
+        else:
+            want[k, len(x), hashlib.sha256(new.encode()).hexdigest()] += 1
+    mine = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
+    short = collections.Counter()
+    for r, n in mine.items():
+        short[r if r in want else r[:3]] += n
+    assert short == want and len(got) == len(rows)
+    one = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
     assert len({one[200 + i] for i in range(5)} | {one[3]}) == 1
     big = [r for r in got if r.n_chars > 300 and r.doc_id and r.doc_id < 40]
     assert np.mean([r.near_edited > r.near_next for r in big]) > 0.9
+
+
+def test_next_of_few_rows(spark, none):
     assert fingerprint.next_pairs(none).count() == 0
     alone = fingerprint.next_pairs(make(spark, [(4, "abcdef")])).collect()
     assert [(r.doc_id, r.edited_sha256) for r in alone] == [(4, hashlib.sha256(b"abcdab").hexdigest())]
+    twice = fingerprint.next_pairs(make(spark, [(4, "abcdef")] * 9000)).groupBy("doc_id", "edited_sha256").count().collect()
+    assert [tuple(r) for r in twice] == [(4, hashlib.sha256(b"abcdab").hexdigest(), 9000)]
 
 
 def test_likeness_bounds():
