@@ -117,15 +117,25 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (high * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed: sorted keys and small counts take a fraction of their size."""
+    return x.nbytes.to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x).view(np.uint8), codec="zstd", asbytes=True)
+
+
+def unpacked(x: pa.BinaryScalar, kind) -> np.ndarray:
+    raw = x.as_buffer()
+    return np.frombuffer(pa.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8), "little"), codec="zstd"), kind)
+
+
 def by_block(keys: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """(block, bytes of each column) with a block's keys ascending; ``keys`` come sorted."""
+    """(block, each column packed) with a block's keys ascending; ``keys`` come sorted."""
     block = block_of(keys, blocks)
     order = np.argsort(block, kind="stable")
     block = block[order]
     edges = np.concatenate([np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), [len(block)]]) if len(block) else np.zeros(1, np.int64)
     columns = [c[order] for c in columns]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield (int(block[a]), *(c[a:b].tobytes() for c in columns))
+        yield (int(block[a]), *(packed(c[a:b]) for c in columns))
 
 
 def some_rows(schema: pa.Schema, *columns) -> Iterator[pa.RecordBatch]:
@@ -199,11 +209,11 @@ def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
     def merge(it):
         for t, edges in graph.whole_groups(it, "block"):
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                u, w, c = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name).slice(a, b - a)]) for name, kind in (("u", np.int64), ("w", np.int64), ("c", np.int32)))
+                u, w, c = (np.concatenate([unpacked(x, kind) for x in t.column(name).slice(a, b - a)]) for name, kind in (("u", np.int64), ("w", np.int64), ("c", np.int32)))
                 u, w, c = fold([(u, w, c.astype(np.int64))])
                 for x in range(0, len(u), PER_ROW):
                     s = slice(x, x + PER_ROW)
-                    yield text.table(schema, [t.column("block")[a].as_py()], [u[s].tobytes()], [w[s].tobytes()], [c[s].tobytes()])
+                    yield text.table(schema, [t.column("block")[a].as_py()], [packed(u[s])], [packed(w[s])], [packed(c[s])])
 
     kind = "block long, u binary, w binary, c binary"
     parts = store.partitions(train.sparkSession)
@@ -213,7 +223,7 @@ def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
 def arrays(b: pa.RecordBatch, *names: str) -> Iterable[tuple[np.ndarray, ...]]:
     """The int64 arrays of each row."""
     for row in zip(*(b.column(x) for x in names), strict=True):
-        yield tuple(np.frombuffer(x.as_buffer(), np.int64) for x in row)
+        yield tuple(unpacked(x, np.int64) for x in row)
 
 
 # seating -----------------------------------------------------------------------------------
@@ -434,14 +444,25 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
 
     def kinds(it):
         schema = pa.schema([("code", pa.int64()), ("after", pa.int64()), ("before", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64())])
+        none = np.zeros(0, np.int64)
+        codes, after, before, ones, twos = none, none, none, 0, 0
+
+        def out():
+            extra = np.zeros((2, len(codes)), np.int64)
+            extra[:, :1] = [[ones], [twos]]
+            return some_rows(schema, codes, after, before, *extra)
+
         for b in it:
             for u, w, c in arrays(b, "u", "w", "c"):
-                us, after = np.unique(u, return_counts=True)
-                ws, before = np.unique(w, return_counts=True)
-                ones = np.zeros(len(us) + len(ws), np.int64)
-                twos = ones.copy()
-                ones[0], twos[0] = (c == 1).sum(), (c == 2).sum()
-                yield from some_rows(schema, np.concatenate([us, ws]), np.concatenate([after, 0 * before]), np.concatenate([0 * after, before]), ones, twos)
+                us, n = np.unique(u, return_counts=True)
+                ws, m = np.unique(w, return_counts=True)
+                codes, at = np.unique(np.concatenate([codes, us, ws]), return_inverse=True)
+                after, before = (np.bincount(at, np.concatenate(x), len(codes)).astype(np.int64) for x in ((after, n, 0 * m), (before, 0 * n, m)))
+                ones, twos = ones + int((c == 1).sum()), twos + int((c == 2).sum())
+                if len(codes) > 2 * HELD:
+                    yield from out()
+                    codes, after, before, ones, twos = none, none, none, 0, 0
+        yield from out()
 
     rows = pairs.mapInArrow(kinds, "code long, after long, before long, ones long, twos long")
     kept, kept_path = store.save(rows.groupBy("code").agg(*[F.sum(x).alias(x) for x in ("after", "before", "ones", "twos")]))
@@ -542,7 +563,7 @@ def gains(model: Model, table) -> DataFrame:
     """Rows (block, kind 0, key, gain, ...) of all pairs of training."""
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("value", pa.binary()), ("n", pa.binary()), ("rid", pa.binary())])
 
-    def packed(u, w, gain):
+    def rows_of(u, w, gain):
         keys = pair_keys(u, w)
         order = np.argsort(keys)
         return some_blocks(schema, ((b, 0, k, g, None, None) for b, k, g in by_block(keys[order], model_blocks, keys[order], gain[order].astype(np.float32))))
@@ -551,7 +572,7 @@ def gains(model: Model, table) -> DataFrame:
 
     def common(u, w, c, t):
         known, free, chance, _, _ = table.value
-        return packed(u, w, gain(c, t, known.guests[u], free[u], chance[w]))
+        return rows_of(u, w, gain(c, t, known.guests[u], free[u], chance[w]))
 
     def twice(it):
         for b in it:
@@ -577,7 +598,7 @@ def gains(model: Model, table) -> DataFrame:
             u, w, c, t = (b.column(x).to_numpy() for x in ("u", "w", "c", "t"))
             guests, f, p = (b.column(x).to_numpy(zero_copy_only=False) for x in ("guests", "free", "chance"))
             at, at0 = np.maximum(u, 0), np.maximum(w, 0)
-            yield from packed(u, w, gain(c, t, np.where(u < 0, guests, known.guests[at]), np.where(u < 0, f, free[at]), np.where(w < 0, p, chance[at0])))
+            yield from rows_of(u, w, gain(c, t, np.where(u < 0, guests, known.guests[at]), np.where(u < 0, f, free[at]), np.where(w < 0, p, chance[at0])))
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"
     few = model.pairs.mapInArrow(rare_once, "u long, w long, c long, t double").unionByName(model.dishes.where("u < 0 or w < 0").select("u", "w", "c", (F.col("ts") / samples).alias("t")))
@@ -655,7 +676,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             for a in range(0, docs_, 4096):
                 s = slice(a, a + 4096)
                 facts = np.stack([ids[a : a + 4096].fill_null(0).to_numpy().astype(np.int64), ids[a : a + 4096].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
-                yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [facts.tobytes()], [np.stack([base[s], points[s]]).tobytes()], [None], [rids[s].tobytes()])
+                yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [packed(facts)], [packed(np.stack([base[s], points[s]]))], [None], [packed(rids[s])])
             if total > HELD:
                 yield from flush()
                 total = 0
@@ -665,7 +686,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
 
     def numbers(t: pa.Table, name: str, at: np.ndarray, kind) -> np.ndarray:
         column = t.column(name).chunk(0)
-        return np.concatenate([np.frombuffer(column[i].as_buffer(), kind) for i in at.tolist()])
+        return np.concatenate([unpacked(column[i], kind) for i in at.tolist()])
 
     def table_of(t: pa.Table, at: np.ndarray, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
         """A block's keys in order and what is known of them; never empty."""
@@ -705,9 +726,9 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                         k, base, points = (np.zeros(len(r)) if x is None else np.bincount(at, x, len(r)) for x in rest_)
                         yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(k).astype(np.int64), base, points)
                 for i in where[3].tolist():
-                    ids, null, tokens, sure = np.frombuffer(t.column("key")[i].as_buffer(), np.int64).reshape(4, -1)
-                    base, points = np.frombuffer(t.column("value")[i].as_buffer(), np.float64).reshape(2, -1)
-                    r = np.frombuffer(t.column("rid")[i].as_buffer(), np.int64)
+                    ids, null, tokens, sure = unpacked(t.column("key")[i], np.int64).reshape(4, -1)
+                    base, points = unpacked(t.column("value")[i], np.float64).reshape(2, -1)
+                    r = unpacked(t.column("rid")[i], np.int64)
                     yield text.table(out_schema, r, pa.array(ids, mask=null.astype(bool)), tokens, sure, base, points)
 
     def rare_words(it):

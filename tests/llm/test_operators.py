@@ -306,7 +306,7 @@ def model_by_word(m, texts):
     rare = {r.code: r for r in m.rare.collect()}
     t = {(r.u, r.w): (r.c, r.ts / m.samples) for r in m.dishes.collect()}
     for b in m.pairs.collect():
-        for u, w, c in zip(*(np.frombuffer(x, np.int64).tolist() for x in (b.u, b.w, b.c)), strict=True):
+        for u, w, c in zip(*(pitman.unpacked(pa.scalar(bytes(x), pa.binary()), np.int64).tolist() for x in (b.u, b.w, b.c)), strict=True):
             t.setdefault((u, w), (c, 1.0))
 
     def chance(u, w):
