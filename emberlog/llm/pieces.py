@@ -11,11 +11,13 @@ segmentation is that of its stretches between those places, one after another; s
 are solved together, position by position, and kept in a bounded cache.
 
 Null text is the empty text and has no pieces. Decoding restores every valid text except
-that markers in it come back as blanks. Rows of equal doc_id are encoded alike.
+that markers in it come back as blanks. Rows of equal doc_id are encoded alike. Columns other
+than doc_id and text are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import deque
@@ -30,8 +32,10 @@ MARK = "▁"
 #: Score of an unknown character below the least score (a fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 CACHE = 300_000
-#: Longer stretches are solved one by one.
+#: Longer stretches share a walk with those of their own length only.
 LONG = 48
+#: Longer ones, as scripts without blanks have, are solved alone, so many bytes at once.
+ALONE, PART = 512, 1 << 15
 
 
 class DoubleArray:
@@ -117,9 +121,13 @@ class Unigram:
         order = sorted(range(len(keys)), key=lambda i: len(keys[i]))
         at = 0
         while at < len(order):
+            if len(keys[order[at]]) > ALONE:  # and so are all that follow
+                for i in order[at:]:
+                    out[i] = self.alone(keys[i])
+                break
             room = max(len(keys[order[at]]), 8)
             to = at
-            while to < len(order) and (len(keys[order[to]]) <= room or len(keys[order[to]]) <= LONG and len(keys[order[to]]) <= 2 * room) and to - at < 20_000:
+            while to < len(order) and len(keys[order[to]]) <= ALONE and (len(keys[order[to]]) <= room or len(keys[order[to]]) <= LONG and len(keys[order[to]]) <= 2 * room) and to - at < 20_000:
                 to += 1
             group = order[at:to]
             for i, ids in zip(group, self.together([keys[i] for i in group]), strict=True):
@@ -181,6 +189,47 @@ class Unigram:
             out.append(np.array(ids[::-1], "<u4"))
         return out
 
+    def alone(self, key: bytes) -> np.ndarray:
+        """Ids of one long stretch: all pieces that begin in a part of it are found at once."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        x, n = np.frombuffer(key, np.uint8), len(key)
+        best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for part in range(0, n, PART):
+            begin = part + np.flatnonzero((x[part : part + PART] & 0xC0) != 0x80)
+            first = x[begin]
+            after = np.minimum(begin + np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))), n)
+            single = np.zeros(len(begin), bool)
+            live, state, at = np.arange(len(begin)), np.zeros(len(begin), np.int32), begin.copy()
+            found = []
+            while len(live):
+                child = base[state] + x[at]
+                on = check[child] == state
+                live, state, at = live[on], child[on], at[on] + 1
+                got = np.flatnonzero(value[state] >= 0)
+                found.append((live[got], at[got], value[state[got]]))
+                single[live[got]] |= at[got] == after[live[got]]
+                on = at < n
+                live, state, at = live[on], state[on], at[on]
+            lone = np.flatnonzero(~single)
+            found.append((lone, after[lone], np.full(len(lone), -1, np.int32)))
+            who, end, what = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((end, who))
+            gain = np.where(what >= 0, self.score[what], self.unknown)[order].tolist()
+            for s, e, p, g in zip(begin[who[order]].tolist(), end[order].tolist(), what[order].tolist(), gain, strict=True):
+                if (total := best[s] + g) > best[e]:
+                    best[e], back[e], piece[e] = total, s, p
+        ids: list[int] = []
+        at = n
+        while at:
+            s = back[at]
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids.extend(int(self.byte[b]) for b in reversed(key[s:at]))
+            at = s
+        return np.array(ids[::-1], "<u4")
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.stretch.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         learn = lambda new: [ids.tobytes() for ids in self.solve([w.encode("utf-8", "replace") for w in new])]

@@ -132,10 +132,15 @@ def strings(data: np.ndarray, off: np.ndarray) -> list[str]:
 
 
 class Cache:
-    """Bounded memory of words in two generations: a word in use is never forgotten."""
+    """Bounded memory of words in two generations: a word in use is never forgotten.
+
+    A word counts once for every ``UNIT`` characters.
+    """
+
+    UNIT = 32
 
     def __init__(self, size: int):
-        self.size = size
+        self.size, self.held = size, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -146,8 +151,10 @@ class Cache:
         gaps = [list(compress(range(len(x)), map(is_, x, repeat(None)))) for x in found]
         wanted = {words[k] for words, at in zip(cut, gaps, strict=True) for k in at}
         if wanted:
-            if len(self.young) + len(wanted) > self.size:
-                self.old, self.young = self.young, {}
+            new = sum(1 + len(w) // self.UNIT for w in wanted)
+            if self.held + new > self.size:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.held += new
             fresh = []
             for w in wanted:
                 if (v := self.old.get(w)) is None:

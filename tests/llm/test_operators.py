@@ -636,6 +636,23 @@ def test_pieces(spark, docs):
     assert collections.Counter(tuple(r) for r in back) == collections.Counter((k, x or "") for k, x in corpus())
 
 
+def test_long_stretches_equal_short_ones(monkeypatch):
+    import time
+
+    m = pieces.Unigram(pieces.default_path())
+    r = random.Random(2)
+    samples = ["".join(r.choice("日本語中文字漢かなカナ龘𠀀éabcxyz.") for _ in range(400)) for _ in range(3)] + ["x" * 900, "龘" * 300, "ab" * 400 + "\n" + "日本" * 300]
+    want = [list(x) for x in m.encode(samples)]
+    for alone, part in ((1, 1 << 15), (1, 7), (1 << 20, 1 << 15)):
+        monkeypatch.setattr(pieces, "ALONE", alone)
+        monkeypatch.setattr(pieces, "PART", part)
+        assert [list(x) for x in pieces.Unigram(pieces.default_path()).encode(samples)] == want
+    monkeypatch.undo()
+    t = time.perf_counter()
+    m.encode(["".join(r.choice("日本語中文字漢かな") for _ in range(30_000))])
+    assert time.perf_counter() - t < 3
+
+
 def test_byte_fallback_and_bad_bytes():
     m = pieces.model(pieces.default_path())
     ids = m.encode(["\n࿿"])[0]
@@ -651,9 +668,10 @@ def shingles(x, size):
     return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize(("size", "percent", "block"), [(3, 85, 512), (5, 80, 4)])
-def test_near_duplicates(spark, docs, monkeypatch, size, percent, block):
+@pytest.mark.parametrize(("size", "percent", "block", "heaviest"), [(3, 85, 512, 1 << 20), (5, 80, 4, 1 << 20), (5, 80, 512, 300)])
+def test_near_duplicates(spark, docs, monkeypatch, size, percent, block, heaviest):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "HEAVIEST", heaviest)
     got = minhash.near_duplicates(docs, size, percent).collect()
     rows = corpus()
     sets, parent = [(k, shingles(x, size)) for k, x in rows], {}
