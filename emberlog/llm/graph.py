@@ -44,14 +44,18 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         now, path = new, new_path
 
 
-def deal(members: DataFrame, key: str, by: str, block: int) -> DataFrame:
+def deal(members: DataFrame, key: str, by: str, block: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:
     """``members`` of groups of two and more, with unit, blk, lo and hi.
 
-    A group of up to ``block`` members is one unit (lo = hi = 0). A larger one is cut by a
-    hash of column ``by`` into blocks, and each pair lo <= hi of them is a unit.
+    A group of up to ``block`` members (and, of a column ``weight``, up to ``heaviest`` in sum)
+    is one unit (lo = hi = 0). A larger one is cut by a hash of column ``by`` into blocks, and
+    each pair lo <= hi of them is a unit.
     """
-    counts = members.groupBy(key).agg(F.count("*").alias("n_members")).where("n_members > 1")
-    cut = members.join(counts, key).withColumn("n_blocks", F.ceil(F.col("n_members") / block).cast("int"))
+    parts = F.ceil(F.count("*") / block)
+    if weight:
+        parts = F.greatest(parts, F.ceil(F.sum(weight) / heaviest))
+    counts = members.groupBy(key).agg(F.count("*").alias("n_members"), parts.cast("int").alias("n_blocks")).where("n_members > 1")
+    cut = members.join(counts, key)
     cut = cut.withColumn("blk", F.pmod(F.xxhash64(by, F.lit(17)), F.col("n_blocks").cast("long")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     cut = cut.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))

@@ -31,8 +31,8 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 MARGIN = 6.5
-#: Members of a bucket or family that one block holds.
-BLOCK = 512
+#: Members of a bucket or family that one block holds, and shingles of a family's block, about.
+BLOCK, HEAVIEST = 512, 1 << 20
 
 _U = np.uint64
 _rank = np.random.default_rng(20240229).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # blocks are dealt on ids alone; the sets follow in one shuffle
     whole = store.documents(docs).join(family.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text").mapInArrow(sets_of, "id long, digest long, shingles binary")
-    dealt = graph.deal(family.select(F.col("component").alias("family"), "id"), "family", "id", BLOCK)
+    sized = family.select(F.col("component").alias("family"), "id").join(reps.select("id", "n_shingles"), "id")
+    dealt = graph.deal(sized, "family", "id", BLOCK, "n_shingles", HEAVIEST).drop("n_shingles")
     units = whole.repartition(n, "id").dropDuplicates(["id", "digest"]).join(dealt, "id").select("unit", "id", "blk", "lo", "hi", "shingles")
     sure = units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(exact, "a long, b long")
     linked_, more = graph.components(sure)
