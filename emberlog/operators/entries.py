@@ -18,25 +18,21 @@ from pyspark.sql import functions as F
 from ..functions.strings import is_blank_line, preview
 from ..sources import scratch
 from .custom import CustomLayout
-from .layouts import parse
+from .layouts import with_header
 
 ENTRY = ("file_id", "line_no", "byte_offset", "end_byte_offset", "ts_millis", "logger", "level", "thread", "message", "raw")
 SAMPLES = 5
 Format = str | CustomLayout
 
 
-def parser(layout: Format) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Functions of a line: its parsed header (or null), and whether it looks like a header."""
-    if isinstance(layout, CustomLayout):
-        return layout.parse, layout.shape
-    return lambda line: parse(layout, line), lambda line: F.lit(False)
-
-
 def headed(lines: DataFrame, layout: Format) -> DataFrame:
     """Lines with head (parsed, or null), broken (a header that cannot be read) and blank."""
-    header, shape = parser(layout)
     value = F.col("value")
-    return lines.withColumn("head", header(value)).withColumn("broken", F.col("head").isNull() & shape(value)).withColumn("blank", is_blank_line(value))
+    if isinstance(layout, CustomLayout):
+        seen = lines.withColumn("head", layout.parse(value)).withColumn("broken", F.col("head").isNull() & layout.shape(value))
+    else:
+        seen = with_header(lines, layout, value).withColumn("broken", F.lit(False))
+    return seen.withColumn("blank", is_blank_line(value))
 
 
 def marked(seen: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import log_millis, month_day_millis
@@ -83,23 +83,47 @@ LAYOUTS = {
 }
 
 PARSED = "struct<ts_millis:bigint,logger:string,level:string,thread:string,message:string>"
-#: Stands between groups while they are cut apart.
-_CUT = "\x01\x02\x01"
+#: Stands between groups while they are cut apart. In a text U+0002 is followed by U+0003 until
+#: then, so that no text holds it.
+_CUT, _HELD, _ESCAPED = "\x01\x02\x01", "\x02", "\x02\x03"
+
+
+def _parts(text: Column, regex: str, count: int) -> Column:
+    """The groups of a text that the (anchored) regex matches, behind an empty one.
+
+    The regex runs once for each line: it rewrites the text into its groups.
+    """
+    spread = F.regexp_replace(F.replace(text, F.lit(_HELD), F.lit(_ESCAPED)), regex, "".join(f"{_CUT}${i}" for i in range(1, count + 1)))
+    return F.split(spread, _CUT, count + 1)
+
+
+def _built(parts: Column, count: int, build: Callable[[Callable[[int], Column]], Column]) -> Column:
+    made = build(lambda i: F.replace(parts[i], F.lit(_ESCAPED), F.lit(_HELD)))
+    return F.when((F.size(parts) == count + 1) & (parts[0] == ""), made)
 
 
 def with_groups(text: Column, regex: str, count: int, build: Callable[[Callable[[int], Column]], Column]) -> Column:
     """``build`` of the groups of a text that the (anchored) regex matches, else null.
 
-    The regex runs once for each line: it rewrites the text into its groups, which are then
-    bound to one variable, however often ``build`` uses them.
+    The groups are bound to one variable, however often ``build`` uses them.
     """
-    spread = F.regexp_replace(text, regex, "".join(f"{_CUT}${i}" for i in range(1, count + 1)))
-    parts = F.split(spread, _CUT, count + 1)
-    return F.element_at(F.transform(F.array(parts), lambda p: F.when((F.size(p) == count + 1) & (p[0] == ""), build(lambda i: p[i]))), 1)
+    return F.element_at(F.transform(F.array(_parts(text, regex, count)), lambda p: _built(p, count, build)), 1)
+
+
+def _shape(layout: str) -> tuple[Layout, int]:
+    x = LAYOUTS[layout]
+    return x, re.compile(x.regex.replace("?+", "?").replace("*+", "*").replace("++", "+").replace("\\z", "\\Z")).groups
 
 
 def parse(layout: str, line: Column) -> Column:
     """Header fields of a line (its end is ignored), or null."""
-    x = LAYOUTS[layout]
-    text = F.regexp_replace(line, r"[\r\n]+\z", "")
-    return with_groups(text, x.regex, re.compile(x.regex.replace("?+", "?").replace("*+", "*").replace("++", "+").replace("\\z", "\\Z")).groups, x.build).cast(PARSED)
+    x, count = _shape(layout)
+    return with_groups(F.regexp_replace(line, r"[\r\n]+\z", ""), x.regex, count, x.build).cast(PARSED)
+
+
+def with_header(rows: DataFrame, layout: str, line: Column, name: str = "head") -> DataFrame:
+    """``rows`` with the same in a column: the groups are bound by a generated row, so that
+    all of it is compiled."""
+    x, count = _shape(layout)
+    cut = rows.withColumn("_groups", F.explode(F.array(_parts(F.regexp_replace(line, r"[\r\n]+\z", ""), x.regex, count))))
+    return cut.withColumn(name, _built(F.col("_groups"), count, x.build).cast(PARSED)).drop("_groups")

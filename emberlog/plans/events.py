@@ -16,7 +16,7 @@ from ..operators import entries as assembly
 from ..operators import search, trace
 from ..operators.custom import define
 from ..operators.filters import QueryFilter
-from ..operators.layouts import LAYOUTS, parse
+from ..operators.layouts import LAYOUTS, parse, with_header
 from ..sources.discovery import log_name_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,7 +184,7 @@ def _line(layout: str) -> Column:
 def _parsed(name: str, layout: str, line: Callable[[], Column] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = entries(spark, sf_dir).select("event_id", (_line(layout) if line is None else line()).alias("line"))
-        return rows.select("event_id", parse(layout, F.col("line")).alias("p")).where("p is not null").select("event_id", "p.*")
+        return with_header(rows, layout, F.col("line"), "p").where("p is not null").select("event_id", "p.*")
 
     query(f"{E} SELECT event_id, ts_millis, logger, level, thread, message FROM entries", name)(run)
 

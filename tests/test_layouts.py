@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.times import iso
 from emberlog.operators.custom import TimePattern, define, scan_groups, try_layout
-from emberlog.operators.layouts import LAYOUTS, parse
+from emberlog.operators.layouts import LAYOUTS, parse, with_header
 
 LINES = {
     "default": "2031-03-09 17:42:05.318[pool-4-thread-9][INFO][org.acme.Cart] - Cart opened - twice",
@@ -66,6 +66,22 @@ def test_messages_may_be_empty_or_hold_odd_characters(spark):
     assert read(spark, "default", "2031-03-09 06:30:00.000[a][INFO][b] - x\u0085y\rz")[0].message == "x\u0085y\rz"
 
 
+def test_any_character_may_stand_in_a_field(spark):
+    line = "2031-03-09 06:30:00.000[a\x01\x02\x01b][INFO][c.\x02\x03d] - \x01\x02\x01 \x02"
+    df = spark.createDataFrame([(line,)], "line string")
+    for p in (read(spark, "default", line)[0], with_header(df, "default", F.col("line")).first().head):
+        assert (p.thread, p.logger, p.message) == ("a\x01\x02\x01b", "c.\x02\x03d", "\x01\x02\x01 \x02")
+    x = define("own", None, r"(?<ts>\d{4}) (?<thread>.*?) (?<message>.*)", "yyyy")
+    assert df.select(x.group(F.lit("2031 a\x01\x02\x01b c"), "thread").alias("t")).first().t == "a\x01\x02\x01b"
+
+
+def test_both_ways_to_parse_agree(spark):
+    df = spark.createDataFrame([(x,) for x in [*LINES.values(), "no", ""]], "line string")
+    for layout in LAYOUTS:
+        both = with_header(df, layout, F.col("line")).select("head", parse(layout, F.col("line")).alias("other")).collect()
+        assert all(r.head == r.other for r in both) and sum(r.head is not None for r in both) == 1
+
+
 def test_group_scanner():
     assert scan_groups(r"(?<ts>\d+) (x)(?<level>\w+)").names == {"ts": 1, "level": 3}
     assert scan_groups(r"[(?<no>a-z[x]](?<ts>.)").names == {"ts": 1}
