@@ -117,25 +117,40 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (high * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """An array's bytes, compressed: sorted keys and small counts take a fraction of their size."""
-    return x.nbytes.to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x).view(np.uint8), codec="zstd", asbytes=True)
-
-
-def unpacked(x: pa.BinaryScalar, kind) -> np.ndarray:
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """An array in few bytes: integers less their least one (or, rising, as steps) in as many bytes
+    as they need, first bytes together, then second ones and so on, compressed."""
+    base = 0
+    if x.dtype.kind == "i" and len(x):
+        base = int(x[0]) if rising else int(x.min())
+        wide = x.astype(np.int64).view(np.uint64)
+        x = np.diff(wide, prepend=wide[:1]) if rising else wide - np.uint64(base % (1 << 64))
+        x = x.astype(np.min_scalar_type(int(x.max())))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    head = (len(x), base % (1 << 64), x.dtype.itemsize)
+    return np.array(head, np.uint64).tobytes() + pa.compress(planes.ravel(), codec="zstd", asbytes=True)
+
+
+def unpacked(x: pa.BinaryScalar, kind, rising: bool = False) -> np.ndarray:
     raw = x.as_buffer()
-    return np.frombuffer(pa.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8), "little"), codec="zstd"), kind)
+    n, base, width = np.frombuffer(raw, np.uint64, 3).tolist()
+    planes = np.frombuffer(pa.decompress(raw.slice(24), n * width, codec="zstd"), np.uint8).reshape(width, n)
+    x = np.ascontiguousarray(planes.T)
+    if np.dtype(kind).kind != "i":
+        return x.view(kind).ravel()
+    x = x.view(f"u{width}").ravel().astype(np.uint64)
+    return ((np.cumsum(x) if rising else x) + np.uint64(base)).view(np.int64).astype(kind, copy=False)
 
 
-def by_block(keys: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """(block, each column packed) with a block's keys ascending; ``keys`` come sorted."""
+def by_block(keys: np.ndarray, blocks: int, *columns: np.ndarray, rising: int = 0) -> Iterator[tuple]:
+    """(block, each column packed), rows of a block as they come; the first ``rising`` columns rise."""
     block = block_of(keys, blocks)
     order = np.argsort(block, kind="stable")
     block = block[order]
     edges = np.concatenate([np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), [len(block)]]) if len(block) else np.zeros(1, np.int64)
     columns = [c[order] for c in columns]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield (int(block[a]), *(packed(c[a:b]) for c in columns))
+        yield (int(block[a]), *(packed(c[a:b], i < rising) for i, c in enumerate(columns)))
 
 
 def some_rows(schema: pa.Schema, *columns) -> Iterator[pa.RecordBatch]:
@@ -560,13 +575,17 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
 
 
 def gains(model: Model, table) -> DataFrame:
-    """Rows (block, kind 0, key, gain, ...) of all pairs of training."""
+    """Rows (block, kind, key, gain, ...) of all pairs of training.
+
+    Kind 5 has no gain: pairs of frequent words seen once, whose gain their words tell.
+    """
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("value", pa.binary()), ("n", pa.binary()), ("rid", pa.binary())])
 
-    def rows_of(u, w, gain):
+    def rows_of(u, w, *gain):
         keys = pair_keys(u, w)
         order = np.argsort(keys)
-        return some_blocks(schema, ((b, 0, k, g, None, None) for b, k, g in by_block(keys[order], model_blocks, keys[order], gain[order].astype(np.float32))))
+        columns = [keys[order], *(g[order].astype(np.float32) for g in gain)]
+        return some_blocks(schema, ((b, 0 if gain else 5, *x, *[None] * (4 - len(x))) for b, *x in by_block(keys[order], model_blocks, *columns, rising=1)))
 
     model_blocks, samples, gain = model.blocks, model.samples, replace(model, frequent=None, free=None, chance=None, rare=None, dishes=None, pairs=None).gain
 
@@ -583,7 +602,7 @@ def gains(model: Model, table) -> DataFrame:
         for b in it:
             for u, w, c in arrays(b, "u", "w", "c"):
                 on = (c == 1) & (u >= 0) & (w >= 0)
-                yield from common(u[on], w[on], c[on], c[on])
+                yield from rows_of(u[on], w[on])
 
     def rare_once(it):
         schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("t", pa.float64())])
@@ -641,7 +660,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                     sets.clear()
                     order = np.argsort(k, kind="stable")
                     k, r, n = k[order], r[order], n[order]
-                    yield from some_blocks(schema, ((b, kind, k, None, n, r) for b, k, n, r in by_block(k, blocks, k, n, r)))
+                    yield from some_blocks(schema, ((b, kind, k, None, n, r) for b, k, n, r in by_block(k, blocks, k, n, r, rising=1)))
 
         for part, data, off in text.slices(it, SLICE_BYTES):
             docs_ = len(off) - 1
@@ -676,7 +695,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             for a in range(0, docs_, 4096):
                 s = slice(a, a + 4096)
                 facts = np.stack([ids[a : a + 4096].fill_null(0).to_numpy().astype(np.int64), ids[a : a + 4096].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
-                yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [packed(facts)], [packed(np.stack([base[s], points[s]]))], [None], [packed(rids[s])])
+                yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [packed(facts.ravel())], [packed(np.stack([base[s], points[s]]).ravel())], [None], [packed(rids[s])])
             if total > HELD:
                 yield from flush()
                 total = 0
@@ -686,25 +705,33 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
 
     def numbers(t: pa.Table, name: str, at: np.ndarray, kind) -> np.ndarray:
         column = t.column(name).chunk(0)
-        return np.concatenate([unpacked(column[i], kind) for i in at.tolist()])
+        return np.concatenate([np.zeros(0, kind), *(unpacked(column[i], kind, name == "key") for i in at.tolist())])
+
+    gain = replace(model, frequent=None, free=None, chance=None, rare=None, dishes=None, pairs=None).gain
 
-    def table_of(t: pa.Table, at: np.ndarray, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """A block's keys in order and what is known of them; never empty."""
-        if not len(at):
-            return np.zeros(1, np.int64), np.zeros((1, width))
-        keys, values = numbers(t, "key", at, np.int64), numbers(t, "value", at, kind).reshape(-1, width)
+    def table_of(t: pa.Table, at: np.ndarray, kind, width: int, plain=()) -> tuple[np.ndarray, np.ndarray]:
+        """A block's keys in order and what is known of them (nan: nothing); never empty."""
+        bare = numbers(t, "key", np.array(plain, np.int64), np.int64)
+        keys = np.concatenate([numbers(t, "key", at, np.int64), bare, np.zeros(int(len(at) + len(plain) == 0), np.int64)])
+        values = np.full((len(keys), width), np.nan, kind)
+        known = numbers(t, "value", at, kind).reshape(-1, width)
+        values[: len(known)] = known
         order = np.argsort(keys, kind="stable")
         return keys[order], values[order]
 
-    def met_pairs(t: pa.Table, known, asked):
-        keys, gain = table_of(t, known, np.float32, 1)
+    def met_pairs(t: pa.Table, known, asked, once):
+        words, free, chance, _, _ = table.value
+        keys, gains_ = table_of(t, known, np.float32, 1, once)
         ask_ = numbers(t, "key", asked, np.int64)
         at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
-        hit = (keys[at] == ask_) & (len(known) > 0)
-        gains_ = gain[at[hit], 0] * numbers(t, "n", asked, np.int32)[hit]
-        return numbers(t, "rid", asked, np.int64)[hit], None, None, gains_
-
-    def met_words(t: pa.Table, known, asked):
+        hit = (keys[at] == ask_) & (len(known) + len(once) > 0)
+        more, key = gains_[at[hit], 0].astype(np.float64), ask_[hit]
+        bare = np.flatnonzero(np.isnan(more))
+        u, w = key[bare] >> 32, key[bare] & 0xFFFFFFFF
+        more[bare] = gain(1, 1, words.guests[u], free[u], chance[w])
+        return numbers(t, "rid", asked, np.int64)[hit], None, None, more * numbers(t, "n", asked, np.int32)[hit]
+
+    def met_words(t: pa.Table, known, asked, _):
         keys, facts = table_of(t, known, np.float64, 3)
         ask_, n = numbers(t, "key", asked, np.int64), numbers(t, "n", asked, np.int32)
         at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
@@ -718,10 +745,10 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
         for t, edges in graph.whole_groups(it, "block"):
             kinds = t.column("kind").to_numpy()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                where = {k: a + np.flatnonzero(kinds[a:b] == k) for k in (0, 1, 2, 3, 4)}
+                where = {k: a + np.flatnonzero(kinds[a:b] == k) for k in range(6)}
                 for met_, known, asked in ((met_pairs, where[0], where[1]), (met_words, where[4], where[2])):
                     if len(asked):
-                        rids, *rest_ = met_(t, known, asked)
+                        rids, *rest_ = met_(t, known, asked, where[5])
                         r, at = np.unique(rids, return_inverse=True)
                         k, base, points = (np.zeros(len(r)) if x is None else np.bincount(at, x, len(r)) for x in rest_)
                         yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(k).astype(np.int64), base, points)
@@ -736,7 +763,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             keys = b.column("code").to_numpy()
             facts = np.stack([b.column(x).to_numpy().astype(np.float64) for x in ("c", "free", "chance")], 1)
             order = np.argsort(keys)
-            found = by_block(keys[order], blocks, keys[order], facts[order].copy().view("V24")[:, 0])
+            found = by_block(keys[order], blocks, keys[order], facts[order].copy().view("V24")[:, 0], rising=1)
             yield from some_blocks(schema, ((block, 4, k, f, None, None) for block, k, f in found))
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"

@@ -335,6 +335,13 @@ def test_scores_follow_the_model_and_chances_sum_to_one(spark, frequent):
         assert len(got) == len(texts) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-5) for r in got)
 
 
+def test_packed_arrays_come_back():
+    r, low, high = np.random.default_rng(0), -(2**63), 2**63 - 1
+    for x, rising in ((r.integers(low, high, 1000), False), (np.sort(r.integers(low, high, 1000)), True), (np.ones(50, np.int32), False), (r.standard_normal(9), False), (r.standard_normal(9).astype(np.float32), False), (np.zeros(0, np.int64), True), (np.array([high, low]), False)):
+        y = pitman.unpacked(pa.scalar(pitman.packed(x, rising), pa.binary()), x.dtype, rising)
+        assert (x == y).all() and y.dtype == x.dtype and len(x) == len(y)
+
+
 def test_word_order_and_copies_matter(spark):
     r = random.Random(12)
     base = [words(50, i, 300) for i in range(60)]
