@@ -16,6 +16,7 @@ from .operators.filters import QueryFilter
 from .operators.layouts import LAYOUTS
 from .sources import discovery, index
 from .sources.formats import FormatStore
+from .sources.paths import Paths
 from .sources.saved import SavedSearches
 
 
@@ -31,8 +32,8 @@ class Engine:
         self.index: index.Index | None = None
 
     def load(self, directory: str, layout: str = "auto", trigrams: bool = False) -> dict:
-        root = os.path.realpath(directory)
-        if not os.path.isdir(root):
+        root = Paths(self.spark).real(directory)
+        if not Paths(self.spark).is_folder(root):
             raise ValueError(f"not a directory: {directory}")
         self.state, self.error = "loading", ""
         try:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import plain_path
+from .paths import Paths
 
 #: File names that are logs, in any case (fixed values).
 NAMES = ("application*.log*", "server*.log*", "spring*.log*", "catalina*.log*", "localhost*.log*", "app*.log*", "*.log", "*.out")
@@ -53,25 +54,16 @@ def log_name_column(name: Column) -> Column:
     return low.rlike(every) & ~low.rlike(r"\.(gz|bz2|xz)$")
 
 
-def find_log_files(root: str) -> list[str]:
+def find_log_files(spark: SparkSession, root: str) -> list[str]:
     """Real paths of the log files below a directory, in order; linked directories are not entered."""
-    found = set()
-    for folder, names, files in os.walk(root, followlinks=False, onerror=lambda _: None):
-        names[:] = [n for n in names if n not in PRUNED]
-        for f in files:
-            if is_log_name(f):
-                path = os.path.realpath(os.path.join(folder, f))
-                if os.path.isfile(path):
-                    found.add(path)
-    return sorted(found)
+    at = Paths(spark)
+    return sorted({at.real(e.path) for e in at.files(root, lambda name: name not in PRUNED) if is_log_name(e.name)})
 
 
 def files_table(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_id (from 1, by path), path, mtime_secs, size."""
-    rows = []
-    for i, p in enumerate(sorted(paths), 1):
-        s = os.stat(p)
-        rows.append((i, p, int(s.st_mtime), s.st_size))
+    at = Paths(spark)
+    rows = [(i, p, (e := at.status(p)).mtime_ms // 1000, e.size) for i, p in enumerate(sorted(paths), 1)]
     return spark.createDataFrame(rows, FILES)
 
 

@@ -7,8 +7,7 @@ leaves nothing. It is used again while the fingerprint of files and layout is th
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import posixpath
 import time
 from dataclasses import dataclass
 
@@ -21,6 +20,7 @@ from ..operators.custom import CustomLayout
 from ..operators.filters import GRAMS
 from ..operators.layouts import LAYOUTS, parse
 from . import discovery, lines, scratch
+from .paths import Paths
 
 KEEP_DAYS, KEEP_NEWEST = 7, 20
 
@@ -33,9 +33,10 @@ class Index:
     path: str | None = None
 
 
-def fingerprint(paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> str:
+def fingerprint(spark: SparkSession, paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> str:
     """Sorted path:mtime (whole seconds):size lines, the trigram option and the layout's own fingerprint."""
-    rows = [f"{p}:{int((s := os.stat(p)).st_mtime)}:{s.st_size}" for p in sorted(paths)]
+    at = Paths(spark)
+    rows = [f"{p}:{(e := at.status(p)).mtime_ms // 1000}:{e.size}" for p in sorted(paths)]
     return "\n".join([*rows, f"trigrams:{int(trigrams)}", "format:" + (layout.fingerprint() if isinstance(layout, CustomLayout) else layout)])
 
 
@@ -50,9 +51,8 @@ def choose_layout(spark: SparkSession, paths: list[str], custom: list[CustomLayo
         raise ValueError(f"no such layout: {wanted}")
     if not paths:
         return "default"
-    with open(sorted(paths)[0], "rb") as f:
-        head = [line for _, line in zip(range(assembly.DETECT_LINES), f, strict=False)]
-    rows = [(1, i, x.rstrip(b"\n").decode("utf-8", "replace")) for i, x in enumerate(head, 1)]
+    head = spark.read.option("lineSep", "\n").text(sorted(paths)[0]).take(assembly.DETECT_LINES)
+    rows = [(1, i, r.value) for i, r in enumerate(head, 1)]
     sample = spark.createDataFrame(rows, "file_id long, line_no long, value string")
     built_in = [(k, lambda c, k=k: parse(k, c)) for k in LAYOUTS]
     best = assembly.detect(sample, [*built_in, *((x.id, x.parse) for x in custom)])
@@ -68,12 +68,12 @@ def read_entries(spark: SparkSession, paths: list[str], layout: str | CustomLayo
 
 def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, path: str, trigrams: bool = False) -> Index:
     """Parse, write and publish; ``trigrams`` adds a column that literal searches try first."""
-    mark = fingerprint(paths, layout, trigrams)
+    at, mark = Paths(spark), fingerprint(spark, paths, layout, trigrams)
     found, skipped, files = read_entries(spark, paths, layout)
     if trigrams:
         found = found.withColumn(GRAMS, trigram_column(ascii_lower(F.col("raw"))))
     new = f"{path}.new"
-    shutil.rmtree(new, ignore_errors=True)
+    at.delete(new)
     try:
         # ranges of time: min/max statistics then prune time conditions; ranges are found on a copy
         found, copy = scratch.save(found)
@@ -82,24 +82,21 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
         files.coalesce(1).write.parquet(f"{new}/files")
         count, samples = assembly.skipped_summary(skipped)
         meta = {"fingerprint": mark, "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples}
-        with open(f"{new}/meta.json", "w", encoding="utf-8") as f:
-            json.dump(meta, f)
+        at.write(f"{new}/meta.json", json.dumps(meta))
     except BaseException:
-        shutil.rmtree(new, ignore_errors=True)
+        at.delete(new)
         raise
-    shutil.rmtree(path, ignore_errors=True)
-    os.replace(new, path)
+    at.publish(new, path)
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/files"), read_meta(path), path)
+    return Index(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/files"), read_meta(spark, path), path)
 
 
-def read_meta(path: str) -> dict:
+def read_meta(spark: SparkSession, path: str) -> dict:
     """The sidecar; broken samples count as none."""
-    with open(f"{path}/meta.json", encoding="utf-8") as f:
-        meta = json.load(f)
+    meta = json.loads(Paths(spark).read(f"{path}/meta.json"))
     samples = meta.get("skipped_samples")
     meta["skipped_samples"] = [tuple(x) for x in samples if isinstance(x, list) and len(x) == 3] if isinstance(samples, list) else []
     return meta
@@ -110,48 +107,46 @@ def in_memory(spark: SparkSession, paths: list[str], layout: str | CustomLayout)
     found, skipped, files = read_entries(spark, paths, layout)
     kept, _ = scratch.save(found)
     count, samples = assembly.skipped_summary(skipped)
-    return Index(kept, files, {"fingerprint": fingerprint(paths, layout), "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples})
+    return Index(kept, files, {"fingerprint": fingerprint(spark, paths, layout), "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples})
 
 
-def needs_rebuild(path: str, paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> bool:
+def needs_rebuild(spark: SparkSession, path: str, paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> bool:
     if not paths:
         return False
     try:
-        return read_meta(path)["fingerprint"] != fingerprint(paths, layout, trigrams)
-    except (OSError, ValueError, KeyError):
+        return not Paths(spark).exists(f"{path}/meta.json") or read_meta(spark, path)["fingerprint"] != fingerprint(spark, paths, layout, trigrams)
+    except (ValueError, KeyError):
         return True
 
 
 def load(spark: SparkSession, home: str, root: str, custom: list[CustomLayout] | None = None, wanted: str = "auto", trigrams: bool = False) -> Index:
     """Discover, choose a layout, and build the index or use the stored one."""
-    paths = discovery.find_log_files(root)
+    paths = discovery.find_log_files(spark, root)
     layout = choose_layout(spark, paths, custom or [], wanted)
-    path = place(home, root)
-    if needs_rebuild(path, paths, layout, trigrams) or not os.path.exists(f"{path}/meta.json"):
-        os.makedirs(home, exist_ok=True)
+    path = place(spark, home, root)
+    if needs_rebuild(spark, path, paths, layout, trigrams) or not Paths(spark).exists(f"{path}/meta.json"):
         out = build(spark, paths, layout, path, trigrams)
     else:
         out = open_index(spark, path)
-    collect_garbage(home, path)
+    collect_garbage(spark, home, path)
     return out
 
 
-def place(home: str, root: str) -> str:
-    return os.path.join(home, root_key(os.path.realpath(root)))
+def place(spark: SparkSession, home: str, root: str) -> str:
+    return posixpath.join(home, root_key(Paths(spark).real(root)))
 
 
-def collect_garbage(home: str, active: str | None = None, now: float | None = None) -> list[str]:
+def collect_garbage(spark: SparkSession, home: str, active: str | None = None, now: float | None = None) -> list[str]:
     """Delete indexes that are old or beyond the newest few, never the active one."""
-    now = now or time.time()
-    found = [(os.stat(p).st_mtime, p) for n in os.listdir(home) if os.path.isdir(p := os.path.join(home, n))] if os.path.isdir(home) else []
-    found.sort(reverse=True)
+    now, at = now or time.time(), Paths(spark)
+    found = sorted(((e.mtime_ms / 1000, e.path) for e in at.listed(home) if e.folder), reverse=True)
     room = KEEP_NEWEST - (active is not None)
     gone = []
     for age, p in found:
-        if active is not None and os.path.abspath(p) == os.path.abspath(active):
+        if active is not None and at.real(p) == at.real(active):
             continue
         if now - age > KEEP_DAYS * 86_400 or room <= 0:
-            shutil.rmtree(p, ignore_errors=True)
+            at.delete(p)
             gone.append(p)
         else:
             room -= 1

@@ -10,7 +10,7 @@ from emberlog.operators import search
 from emberlog.operators.custom import define
 from emberlog.operators.filters import QueryFilter, parse_levels, same_context
 from emberlog.service import Engine
-from emberlog.sources import formats, index, saved
+from emberlog.sources import discovery, formats, index, saved
 
 H = "2026-06-15 00:0{m}:00.000[{t}][{lv}][a.B] - {msg}\n"
 
@@ -149,7 +149,7 @@ def test_trigrams_change_no_result(spark, tmp_path):
     assert "grams" in sieved.index.entries.columns
     for grep in ("STOCK", "st", "é", "É", "t of s", "s.o", "none", ""):
         assert plain.logs(grep=grep) == sieved.logs(grep=grep)
-    assert index.needs_rebuild(sieved.index.path, sorted(str(p) for p in root.iterdir()), "default", False)
+    assert index.needs_rebuild(spark, sieved.index.path, sorted(str(p) for p in root.iterdir()), "default", False)
 
 
 def test_failed_builds_leave_nothing(spark, tmp_path):
@@ -159,14 +159,28 @@ def test_failed_builds_leave_nothing(spark, tmp_path):
     assert not (tmp_path / "ix").exists() and not (tmp_path / "ix.new").exists()
 
 
-def test_index_garbage(tmp_path):
+def test_files_below_a_directory(spark, tmp_path):
+    for name in ("app.log", "x/server1.log.2", "x/y/z.out", "x/notes.txt", "x/app.log.gz", ".git/app.log", "elsewhere/app.log"):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text("x")
+    os.rename(tmp_path / "root" / "elsewhere", tmp_path / "elsewhere")
+    os.symlink(tmp_path / "elsewhere", tmp_path / "root" / "linked")
+    os.symlink(tmp_path / "elsewhere" / "app.log", tmp_path / "root" / "x" / "b.log")
+    found = discovery.find_log_files(spark, str(tmp_path / "root"))
+    assert [os.path.relpath(p, tmp_path) for p in found] == ["elsewhere/app.log", "root/app.log", "root/x/server1.log.2", "root/x/y/z.out"]
+    assert discovery.find_log_files(spark, f"file://{tmp_path}/root") == found and discovery.find_log_files(spark, str(tmp_path / "none")) == []
+    rows = discovery.files_table(spark, found).collect()
+    assert [(r.file_id, r.path, r.mtime_secs, r.size) for r in rows] == [(i, p, int(os.stat(p).st_mtime), 1) for i, p in enumerate(found, 1)]
+
+
+def test_index_garbage(spark, tmp_path):
     for i in range(25):
         (tmp_path / f"i{i}").mkdir()
         os.utime(tmp_path / f"i{i}", (1_000_000 + i, 1_000_000 + i))
     active = str(tmp_path / "i0")
-    gone = index.collect_garbage(str(tmp_path), active, now=1_000_100)
+    gone = index.collect_garbage(spark, str(tmp_path), active, now=1_000_100)
     assert len(gone) == 5 and os.path.isdir(active)
-    assert len(index.collect_garbage(str(tmp_path), active, now=9_000_000)) == 19
+    assert len(index.collect_garbage(spark, str(tmp_path), active, now=9_000_000)) == 19
 
 
 def test_filter_parts():

@@ -67,10 +67,10 @@ def test_glob(pattern, name, want):
     assert discovery.glob_match(pattern, name) is want
 
 
-def test_discovery(tmp_path):
+def test_discovery(spark, tmp_path):
     for p in ("b/app.log", "a.log", ".git/x.log", "node_modules/y.log", "c/readme.md", "c/z.log.gz"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_text("")
-    assert discovery.find_log_files(str(tmp_path)) == [str(tmp_path / "a.log"), str(tmp_path / "b/app.log")]
-    assert discovery.find_log_files(str(tmp_path / "none")) == []
+    assert discovery.find_log_files(spark, str(tmp_path)) == [str(tmp_path / "a.log"), str(tmp_path / "b/app.log")]
+    assert discovery.find_log_files(spark, str(tmp_path / "none")) == []
     assert discovery.browse(str(tmp_path))["directories"] == ["b", "c", "node_modules"]
