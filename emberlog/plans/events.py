@@ -15,9 +15,11 @@ from ..functions import strings, times
 from ..operators import entries as assembly
 from ..operators import search, trace
 from ..operators.custom import define
-from ..operators.filters import QueryFilter
+from ..operators.filters import QueryFilter, same_context
 from ..operators.layouts import LAYOUTS, parse, with_header
+from ..sources import discovery, index, scratch
 from ..sources.discovery import log_name_column
+from ..sources.paths import Paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -421,6 +423,159 @@ def q_conversation_requests(spark, sf_dir):
     return members.groupBy(F.col("file_id").alias("conv_id"), "req").agg(F.min("line_no").alias("first_turn"), F.max("line_no").alias("last_turn"), F.first("n_anchors").alias("n_anchors")).drop("req")
 
 
+# conditions and pages -----------------------------------------------------------------------
+
+
+@query(f"{E} SELECT {_ROW} FROM entries WHERE contains(lower(source), '/logs/app2.log') AND contains(lower(thread), 'exec-1')")
+def q_same_context(spark, sf_dir):
+    # the patterns are quoted literals, found anywhere: exec-1 also stands in exec-10
+    return QueryFilter.of(**same_context("/logs/app2.log", "exec-1")).apply(entries(spark, sf_dir), files(spark)).select(*ROW)
+
+
+@query(f"{E} SELECT {_ROW} FROM entries WHERE ts_millis BETWEEN epoch_ms(TIMESTAMP '2024-01-03 04:05:00') AND epoch_ms(TIMESTAMP '2024-01-06 07:08:59.999')")
+def q_minute_range(spark, sf_dir):
+    since, until = times.minute_range("2024-01-03", "04:05", "2024-01-06", "07:08")
+    return QueryFilter.of(since=since, until=until).apply(entries(spark, sf_dir), files(spark)).select(*ROW)
+
+
+@query(f"{E} SELECT event_id FROM entries WHERE contains(message, '{{\"k\": 5')".replace('\\"', '"'))
+def q_quoted_literal(spark, sf_dir):
+    return entries(spark, sf_dir).where(F.col("message").rlike(strings.quoted('{"k": 5'))).select("event_id")
+
+
+@query(f"{E} SELECT level, count(*) AS total, CAST(ceil(count(*) / 200) AS BIGINT) AS pages FROM entries GROUP BY level")
+def q_page_counts(spark, sf_dir):
+    totals = entries(spark, sf_dir).groupBy("level").count().collect()  # a handful of levels
+    return spark.createDataFrame([(r.level, r["count"], search.pages(r["count"], 200)) for r in totals], "level string, total long, pages long")
+
+
+@query(f"{E} SELECT count(*) AS total, 0 AS n_rows FROM entries WHERE level = 'ERROR'")
+def q_empty_page(spark, sf_dir):
+    total, rows = search.search(entries(spark, sf_dir), files(spark), QueryFilter.of(level="ERROR"), 0, 0)
+    return rows.agg(F.count("*").alias("n_rows")).select(F.lit(total).cast("long").alias("total"), "n_rows")
+
+
+@query(f"{E} SELECT {_ISO.format('ts_millis')} AS timestamp, level, logger, thread, message, source, line_no, substring(raw, 1, 4096) AS raw FROM entries ORDER BY ts_millis, file_id, line_no LIMIT 300")
+def q_shown_rows(spark, sf_dir):
+    return search.shown(search.with_source(search.page(entries(spark, sf_dir), 0, 300), files(spark)), F.col("raw"))
+
+
+# strings ------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '\\\\srv\\s' || page_id WHEN page_id % 3 = 1 THEN 'C:\\s' || page_id ELSE url END AS path FROM pages".replace("\\\\", "\\\\"))
+def q_plain_path(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    given = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("\\\\?\\UNC\\srv\\s"), i)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("\\\\?\\C:\\s"), i)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", strings.path_column(given).alias("path"))
+
+
+@query(r"SELECT doc_id, coalesce(regexp_matches(text, '[\x00-\x1f\x7f]'), false) AS has_control FROM documents")
+def q_control_characters(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(strings.has_control_column(F.col("text")), F.lit(False)).alias("has_control"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(epoch_ms(date_trunc('day', ts)) AS BIGINT) WHEN event_id % 4 = 1 THEN CAST(epoch_ms(date_trunc('minute', ts)) AS BIGINT)
+  WHEN event_id % 4 = 2 THEN CAST(epoch_ms(date_trunc('second', ts)) AS BIGINT) ELSE CAST(epoch_us(ts) // 1000 AS BIGINT) END AS millis FROM events""")
+def q_ui_datetime_lengths(spark, sf_dir):
+    """A date, a minute, a second and a millisecond, as users type them."""
+    size = F.element_at(F.array(F.lit(10), F.lit(16), F.lit(19), F.lit(23)), (F.col("event_id") % 4 + 1).cast("int"))
+    return entries(spark, sf_dir).select("event_id", times.ui_millis(F.substring(spaced(F.col("ts_millis")), F.lit(1), size)).alias("millis"))
+
+
+_ALIASES = ("FATAL", "SEVERE", "WARNING", "CONFIG", "FINE", "FINER", "FINEST", "INFO", "Error")
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'error' WHEN 1 THEN 'error' WHEN 2 THEN 'warn' WHEN 3 THEN 'info' WHEN 4 THEN 'debug' WHEN 5 THEN 'debug' WHEN 6 THEN 'trace' WHEN 7 THEN 'info' ELSE 'error' END AS class FROM events""")
+def q_level_aliases(spark, sf_dir):
+    given = F.element_at(F.array(*[F.lit(x) for x in _ALIASES]), (F.col("event_id") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", strings.level_class(given).alias("class"))
+
+
+# layouts ------------------------------------------------------------------------------------
+
+
+@query("SELECT unnest(['default', 'spring-boot', 'logback', 'iso8601', 'tomcat-juli', 'none of them']) AS line_layout, unnest(['default', 'spring-boot', 'logback', 'iso8601', 'tomcat-juli', 'default']) AS layout")
+def q_chosen_layout(spark, sf_dir):
+    rows = entries(spark, sf_dir)
+    first = rows.orderBy("line_no").limit(assembly.DETECT_LINES).withColumn("nth", F.row_number().over(Window.orderBy("line_no")))
+    found = []
+    for k in [*LAYOUTS, "none of them"]:
+        lines = first.select(F.lit(1).alias("file_id"), F.col("nth").alias("line_no"), (_line(k) if k in LAYOUTS else F.col("message")).alias("value"))
+        found.append((k, assembly.detect(lines, [(x, lambda c, x=x: parse(x, c)) for x in LAYOUTS])))
+    return spark.createDataFrame(found, "line_layout string, layout string")
+
+
+@query(f"{_DOC} SELECT (SELECT count(*) FROM skipped) AS total, file_id, line_no FROM (SELECT * FROM skipped ORDER BY file_id, line_no LIMIT 5)".replace(" SELECT (SELECT", r", skipped AS (SELECT file_id, line_no FROM placed WHERE entry IS NULL AND NOT regexp_matches(value, '^[ \t\r\n]*$')) SELECT (SELECT", 1))
+def q_skipped_summary(spark, sf_dir):
+    count, samples = assembly.skipped_summary(assembly.assemble(_document_lines(spark, sf_dir), "default")[1])
+    return spark.createDataFrame([(count, f, n) for f, n, _ in samples], "total long, file_id long, line_no long")
+
+
+@query(f"""{E}, lines AS (SELECT file_id, line_no, event_id, CASE WHEN event_id % 5 = 0 THEN 'broken' WHEN event_id % 5 = 1 THEN 'more' ELSE 'head' END AS kind FROM entries),
+tied AS (SELECT *, max(CASE WHEN kind = 'head' THEN line_no END) OVER (PARTITION BY file_id ORDER BY line_no) AS entry_line FROM lines)
+SELECT file_id, line_no, kind = 'broken' OR (kind = 'more' AND entry_line IS NULL) AS skipped, entry_line FROM tied""")
+def q_unreadable_headers(spark, sf_dir):
+    """A header of a user's layout with a month 13 is skipped and ends no entry."""
+    x = define("own", None, r"(?<ts>\d{4}/\d\d/\d\d) (?<message>.*)", "yyyy/MM/dd", spark)
+    kind = F.when(F.col("event_id") % 5 == 0, "2024/13/01 x").when(F.col("event_id") % 5 == 1, "more text").otherwise("2024/01/02 x")
+    lines = entries(spark, sf_dir).select("file_id", F.lit(0).cast("long").alias("split"), "line_no", kind.alias("value"))
+    return assembly.marked(assembly.headed(lines, x)).select("file_id", "line_no", "skipped", "entry_line")
+
+
+# files --------------------------------------------------------------------------------------
+
+_FILES = f"""{E}, numbered AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS n FROM entries),
+rendered AS (SELECT *, rtrim(raw, chr(10)) || CASE WHEN event_id % 3 = 0 THEN chr(10) || '  at ' || event_type || chr(10) ELSE chr(10) END AS body FROM (SELECT *, regexp_extract(logger, 'example.(.*).Handler', 1) AS event_type FROM numbered)),
+placed AS (SELECT *, coalesce(sum(octet_length(encode(body))) OVER past, 0) AS byte_offset, coalesce(sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) OVER past, 0) + 1 AS first_line FROM rendered WINDOW past AS (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) """
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> str:
+    """The entries as three log files in the shared folder, some with a second line."""
+    kind = F.regexp_extract("logger", r"example\.(.*)\.Handler", 1)
+    folder = scratch.folder(spark)
+    rows = entries(spark, sf_dir).withColumn("body", F.when(F.col("event_id") % 3 == 0, F.concat(F.regexp_replace("raw", "\n$", ""), F.lit("\n  at "), kind)).otherwise(F.regexp_replace("raw", "\n$", "")))
+    rows.repartition(3, "file_id").sortWithinPartitions("file_id", "line_no").select("body", "file_id").write.partitionBy("file_id").text(folder)
+    at = Paths(spark)
+    for e in list(at.files(folder, lambda name: True)):
+        number = e.path.rsplit("file_id=", 1)[-1].split("/")[0] if "file_id=" in e.path else None
+        if number and e.name.startswith("part-"):
+            at.publish(e.path, f"{folder}/app{number}.log")
+    return folder
+
+
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    paths = discovery.find_log_files(spark, _rendered(spark, sf_dir))
+    found, _, listed = index.read_entries(spark, paths, "default")
+    return found, listed
+
+
+@query(_FILES + "SELECT file_id, CAST(first_line AS BIGINT) AS line_no, CAST(byte_offset AS BIGINT) AS byte_offset, CAST(byte_offset + octet_length(encode(body)) AS BIGINT) AS end_byte_offset, ts_millis, level, logger, thread FROM placed")
+def q_entries_of_files(spark, sf_dir):
+    """Files are found, read in splits, numbered and assembled."""
+    return _read(spark, sf_dir)[0].select("file_id", "line_no", "byte_offset", "end_byte_offset", "ts_millis", "level", "logger", "thread")
+
+
+@query(_FILES + "SELECT file_id, CAST(first_line AS BIGINT) AS line_no, body AS raw FROM placed")
+def q_raw_of_files(spark, sf_dir):
+    return _read(spark, sf_dir)[0].select("file_id", "line_no", "raw")
+
+
+@query(_FILES + "SELECT 'app' || file_id || '.log' AS name, file_id, CAST(sum(octet_length(encode(body))) AS BIGINT) AS size FROM placed GROUP BY file_id")
+def q_discovered_files(spark, sf_dir):
+    paths = discovery.find_log_files(spark, _rendered(spark, sf_dir))
+    return discovery.files_table(spark, paths).select(F.substring_index("path", "/", -1).alias("name"), "file_id", "size")
+
+
+@query(_FILES + "SELECT level, count(*) AS n, CAST(min(ts_millis) AS BIGINT) AS first, CAST(max(octet_length(encode(body))) AS BIGINT) AS longest FROM placed GROUP BY level")
+def q_stored_index(spark, sf_dir):
+    """An index is built, published, found again by its fingerprint and read."""
+    home, logs = scratch.folder(spark), _rendered(spark, sf_dir)
+    index.load(spark, home, logs)
+    ix = index.load(spark, home, logs)
+    return ix.entries.groupBy("level").agg(F.count("*").alias("n"), F.min("ts_millis").alias("first"), F.max(F.octet_length("raw")).cast("long").alias("longest"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and warnings of a time range whose text matches, one page in order."""
     q = QueryFilter.of(level="ERROR,WARN", since="2024-01-02", grep=r'"k": \d')
