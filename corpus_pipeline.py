@@ -66,8 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
-    docs = store.table(spark, sf_dir, "documents")
+    """All stages over the table ``documents``; a stage's copy goes when the next one is written."""
+    docs, old = store.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = store.save(stage(spark, docs, sf_dir))
+        docs, path = store.save(stage(spark, docs, sf_dir))
+        if old:
+            store.drop(spark, old)
+        old = path
     return STAGES[-1][1](spark, docs, sf_dir)
