@@ -10,43 +10,53 @@ from . import fingerprint, minhash, packing, pieces, pitman, rollup, secrets, st
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents``, of their edited texts, and their likeness."""
     return fingerprint.next_pairs(store.table(spark, sf_dir, "documents"))
 
 
 def op1_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of ``embeddings`` at cosine 0.9."""
     return vectors.near_duplicates(store.table(spark, sf_dir, "embeddings"))
 
 
 def op2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines and sentences cut out of ``documents``, with what was cut."""
     return units.listing(units.deduplicated(store.table(spark, sf_dir, "documents")))
 
 
 def op3_pitman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of ``documents`` under a model of all rows but the held-out seventh."""
     return pitman.scores(store.table(spark, sf_dir, "documents"), modulus=7, rest=2)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of ``documents``, learned from the labels outside the held-out fifth."""
     docs = store.table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, store.table(spark, sf_dir, "labels"), modulus=5), modulus=5)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in ``documents``: counts, a digest of the base spans, all spans."""
     return secrets.digests(secrets.scan(store.table(spark, sf_dir, "documents")))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` encoded, decoded and compared."""
     return pieces.round_trips(store.table(spark, sf_dir, "documents"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of ``documents``: three-word shingles, similarity 0.85."""
     return minhash.near_duplicates(store.table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 def op8_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version after a small history of ``documents``."""
     return rollup.history(store.table(spark, sf_dir, "documents")).totals()
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of ``documents`` packed into sequences of 2,048 tokens."""
     return packing.pack(store.table(spark, sf_dir, "documents"))
 
 

@@ -529,6 +529,42 @@ def test_gradients():
         assert math.isclose((ends[0] - ends[1]) / 2e-3, got[name].flat[i], rel_tol=0.05, abs_tol=1e-5), name
 
 
+def test_scores_by_a_plain_loop():
+    data, off = text.buffers(pa.array(["the fool is here and more words", "a b c d", "clown town " * 50, "", "x"], pa.large_string()))
+    w = toxicity.Words(data, off)
+    net = toxicity.Network.start(np.sort(w.hashes)[:5], np.ones(5, np.float32))
+    p, h_ = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    ids = net.ids(w.hashes)
+    ends = np.cumsum(w.size)
+    x = np.array([np.concatenate([p["word"][i], p["char"][w.trigrams[e - n : e]].mean(0)]) for i, e, n in zip(ids, ends, w.size, strict=True)])
+    index, length, doc = w.windows()
+
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    def read(words, at, way):
+        h, out = np.zeros(h_), {}
+        for t in range(len(words)) if way == "f" else reversed(range(len(words))):
+            g, u = x[words[t]] @ p["x"][:, at : at + 3 * h_] + p["xb"][at : at + 3 * h_], h @ p[f"u{way}"]
+            z, r = sigmoid(g[:h_] + u[:h_]), sigmoid(g[h_ : 2 * h_] + u[h_ : 2 * h_])
+            n = np.tanh(g[2 * h_ :] + r * (u[2 * h_ :] + p[f"n{way}"]))
+            out[t] = h = (1 - z) * n + z * h
+        return [out[t] for t in range(len(words))]
+
+    logits = []
+    for row, size in zip(index, length, strict=True):
+        words_ = row[:size].tolist()
+        if not words_:
+            logits.append(p["ob"][0])
+            continue
+        states = np.concatenate([read(words_, 0, "f"), read(words_, 3 * h_, "b")], 1)
+        e = np.tanh(states @ p["a"] + p["ab"]) @ p["v"]
+        weight = np.exp(e - e.max())
+        logits.append(weight / weight.sum() @ states @ p["o"] + p["ob"][0])
+    want = [sigmoid(max(v for v, d in zip(logits, doc, strict=True) if d == k) + 0.3) for k in range(5)]
+    assert np.allclose(toxicity.Model(net, 0.3).scores(data, off), want, atol=1e-5)
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 112, 113, 500):
         data, off = text.buffers(pa.array([" ".join(f"v{i}" for i in range(n))]))
