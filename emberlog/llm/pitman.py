@@ -52,14 +52,16 @@ from . import graph, store, text
 #: Bounds of what is broadcast: words and pairs of words.
 FREQUENT, PAIRS = 1 << 19, 1 << 19
 EXACT = 256
+#: Bits of a hash by which it is looked up.
+DRAWERS = 19
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
-#: Distinct pairs (twice as many words), or places to be looked up, that a task holds before it
-#: passes them on, and bytes of text and rows handled at once.
-HELD = 1 << 18
+#: Distinct words or pairs, and places to be looked up, that a task holds before it passes them
+#: on, and bytes of text and rows handled at once.
+HELD, ASKED = 1 << 19, 1 << 20
 SLICE_BYTES, PER_BATCH = 1 << 19, 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
-PER_BLOCK, PER_ROW = 1 << 18, 1 << 17
+PER_BLOCK, PER_ROW = 1 << 19, 1 << 17
 #: Hashes that stand for the end of a document and for its start.
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B873593CC9E2D51)
 _RARE = -(1 << 63)
@@ -93,10 +95,27 @@ class Frequent:
     count: np.ndarray  # tokens of training
     guests: np.ndarray  # customers as a context
     start: int  # code of the start
+    drawers: np.ndarray  # where the hashes with each value of their first bits begin
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, count: np.ndarray, guests: np.ndarray) -> Frequent:
+        order = np.argsort(hashes)
+        hashes, first = hashes[order], np.arange((1 << DRAWERS) + 1, dtype=np.uint64)
+        drawers = np.append(np.searchsorted(hashes, first[:-1] << np.uint64(64 - DRAWERS)), len(hashes)).astype(np.int32)
+        return cls(hashes, count[order], guests[order], int(np.searchsorted(hashes, START)), drawers)
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, (h | np.uint64(1 << 63)).view(np.int64))
+        drawer = (h >> np.uint64(64 - DRAWERS)).astype(np.int64)
+        at, end = self.drawers[drawer], self.drawers[drawer + 1]
+        out = (h | np.uint64(1 << 63)).view(np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.hashes[at[live]] == h[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
     def before(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The context of each token."""
@@ -175,10 +194,10 @@ def word_counts(train: DataFrame) -> DataFrame:
             k, _, n = summed(h := token_hashes(data, off)[0], np.ones(len(h), np.int64))
             held.append((k, n))
             size += len(k)
-            if size > 2 * HELD:
+            if size > HELD:
                 keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
                 held, size = [], 0
-                if len(keys) > 2 * HELD:
+                if len(keys) > HELD:
                     yield from some_rows(schema, keys.view(np.int64), counts)
                     keys, counts = keys[:0], counts[:0]
         keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
@@ -430,8 +449,7 @@ def frequent_words(words: DataFrame, docs: int, most: int) -> tuple[Frequent, in
     h = np.concatenate([rows.column("w").to_numpy().astype(np.int64).view(np.uint64), [END, START]])
     c = np.concatenate([rows.column("c").to_numpy().astype(np.int64), [docs, 0]])
     guests = np.concatenate([c[:-2], [0, docs]])
-    order = np.argsort(h)
-    return Frequent(h[order], c[order], guests[order], int(np.searchsorted(h[order], START))), least
+    return Frequent.of(h, c, guests), least
 
 
 def _by_code(rows: DataFrame, size: int, *names: str) -> list[np.ndarray]:
@@ -474,7 +492,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
                 codes, at = np.unique(np.concatenate([codes, us, ws]), return_inverse=True)
                 after, before = (np.bincount(at, np.concatenate(x), len(codes)).astype(np.int64) for x in ((after, n, 0 * m), (before, 0 * n, m)))
                 ones, twos = ones + int((c == 1).sum()), twos + int((c == 2).sum())
-                if len(codes) > 2 * HELD:
+                if len(codes) > HELD:
                     yield from out()
                     codes, after, before, ones, twos = none, none, none, 0, 0
         yield from out()
@@ -696,7 +714,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 s = slice(a, a + 4096)
                 facts = np.stack([ids[a : a + 4096].fill_null(0).to_numpy().astype(np.int64), ids[a : a + 4096].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
                 yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [packed(facts.ravel())], [packed(np.stack([base[s], points[s]]).ravel())], [None], [packed(rids[s])])
-            if total > HELD:
+            if total > ASKED:
                 yield from flush()
                 total = 0
         yield from flush()
