@@ -58,7 +58,7 @@ BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 #: Distinct words or pairs, and places to be looked up, that a task holds before it passes them
 #: on, and bytes of text and rows handled at once.
-HELD, ASKED = 1 << 19, 1 << 20
+HELD, ASKED = 1 << 19, 3 << 18
 SLICE_BYTES, PER_BATCH = 1 << 19, 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
 PER_BLOCK, PER_ROW = 1 << 19, 1 << 17
@@ -759,7 +759,18 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             value = np.where(hit, np.log10(np.where(word, facts[at, 2], facts[at, 1])), np.where(word, unknown, 0.0))
         return numbers(t, "rid", asked, np.int64), word & hit, np.where(word, np.log10((c + 1) / size), 0.0), value
 
+    def by_document(rids, *values):
+        r, at = np.unique(rids, return_inverse=True)
+        return r, *(np.zeros(len(r)) if x is None else np.bincount(at, x, len(r)) for x in values)
+
+    def out(held):
+        if held:
+            r, k, base, points = by_document(*map(np.concatenate, zip(*held, strict=True)))
+            yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(k).astype(np.int64), base, points)
+
     def answer(it):
+        """Sums by document of what a task's blocks know, and the documents' own sums."""
+        held: list[tuple] = []
         for t, edges in graph.whole_groups(it, "block"):
             kinds = t.column("kind").to_numpy()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -767,14 +778,18 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 for met_, known, asked in ((met_pairs, where[0], where[1]), (met_words, where[4], where[2])):
                     if len(asked):
                         rids, *rest_ = met_(t, known, asked, where[5])
-                        r, at = np.unique(rids, return_inverse=True)
-                        k, base, points = (np.zeros(len(r)) if x is None else np.bincount(at, x, len(r)) for x in rest_)
-                        yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(k).astype(np.int64), base, points)
+                        held.append(by_document(rids, *rest_))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [by_document(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > HELD // 2:
+                        yield from out(held)
+                        held = []
                 for i in where[3].tolist():
                     ids, null, tokens, sure = unpacked(t.column("key")[i], np.int64).reshape(4, -1)
                     base, points = unpacked(t.column("value")[i], np.float64).reshape(2, -1)
                     r = unpacked(t.column("rid")[i], np.int64)
                     yield text.table(out_schema, r, pa.array(ids, mask=null.astype(bool)), tokens, sure, base, points)
+        yield from out(held)
 
     def rare_words(it):
         for b in it:
