@@ -58,7 +58,7 @@ BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 #: Distinct words or pairs, and places to be looked up, that a task holds before it passes them
 #: on, and bytes of text and rows handled at once.
-HELD, ASKED = 1 << 19, 3 << 18
+HELD, ASKED = 1 << 19, 1 << 19
 SLICE_BYTES, PER_BATCH = 1 << 19, 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
 PER_BLOCK, PER_ROW = 1 << 19, 1 << 17
