@@ -52,6 +52,26 @@ def test_run_equals_its_stages(spark, tmp_path):
     assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr)
 
 
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    line = "These are nine words that stand in two texts.\n"
+    rows = [(1, line + "Own words of one."), (1, line + "Own words of one."), (None, line + "Own words of nobody else here."), (None, line + "Own words of nobody else here."), (2, None), (2, None), (None, None), (3, ""), (4, "word " * 40_000), (5, "ok"), (6, "ok too")]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x or ""), "mine", 7, "again") for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long, removed string, n_units int, cut string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for empty in (False, True):
+        home = tmp_path / str(empty)
+        (docs.where("false") if empty else docs).write.parquet(f"{home}/documents.parquet")
+        labels.write.parquet(f"{home}/labels.parquet")
+        now = spark.read.parquet(f"{home}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[1:]:  # without labels the classifier rejects nothing or all
+            stage(spark, now, str(home)).write.parquet(f"{home}/{name}")
+            now = spark.read.parquet(f"{home}/{name}")
+            if name == "units":
+                got = [(r.doc_id, r.text, r.removed, r.n_units, r.cut) for r in now.collect()]
+        want = [] if empty else [(1, rows[0][1]), (None, "Own words of nobody else here."), (2, None), (None, None), (3, ""), (4, rows[8][1]), (5, "ok"), (6, "ok too")]
+        assert sorted(got, key=repr) == sorted(((*w, "mine", 7, "again") for w in want), key=repr)
+        assert now.select("doc_id").distinct().count() == (0 if empty else 7)
+
+
 def test_every_operator_has_a_query():
     names = list(queries.QUERIES)
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
