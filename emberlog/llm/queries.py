@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, packing, pieces, pitman, rollup, secrets, store, toxicity, units, vectors
+from . import alignment, fingerprint, mining, minhash, packing, pieces, pitman, quality, rollup, secrets, store, toxicity, units, vectors
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(store.table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over ``documents``, their groups, links and the links' counts."""
+    return alignment.align(store.table(spark, sf_dir, "documents"))
+
+
+def op12_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors of ``embeddings`` and their first five positives."""
+    return mining.mine(store.table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of ``documents``, learned from the labels outside the held-out third."""
+    docs = store.table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, store.table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_codes": op1_codes,
     "op2_units": op2_units,
@@ -71,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rollup": op8_rollup,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_alignment": op11_alignment,
+    "op12_mining": op12_mining,
+    "op13_quality": op13_quality,
 }
 
 _LINKS = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -95,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_units": units.ORACLE,
     "op7_minhash": _NEAR,
     "op8_rollup": rollup.ORACLE,
+    "op12_mining": mining.ORACLE,
 }

@@ -105,8 +105,8 @@ def table_keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return text.mix(value ^ text.mix((np.arange(tables, dtype=np.uint64) << np.uint64(20)) + np.uint64(dims))).view(np.int64)
 
 
-def rows_of(column: pa.Array) -> list[np.ndarray | None]:
-    """Each usable vector of a list column, or None."""
+def rows_of(column: pa.Array, zero: bool = False) -> list[np.ndarray | None]:
+    """Each usable vector of a list column, or None; zero vectors only where asked for."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
     values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # null components become nan
@@ -115,7 +115,7 @@ def rows_of(column: pa.Array) -> list[np.ndarray | None]:
     out: list[np.ndarray | None] = []
     for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
         x = values[a:b]
-        out.append(x if b > a and np.isfinite(x).all() and x.any() else None)
+        out.append(x if b > a and np.isfinite(x).all() and (zero or x.any()) else None)
     return out
 
 
