@@ -5,33 +5,34 @@ file and thread. In BOUNDARY mode the request runs from the nearest start patter
 the anchor to the end pattern, or the next start, after it; in WINDOW mode it is the rows
 within some seconds of anchors that follow one another.
 
-Flags (start, end, anchor, contains, excludes) are JVM columns. Rows are cut down to islands:
-stretches of time of a context that follow one another and have an anchor in reach, so that
-nothing in one island bears on another. Inside, running windows give each row its segment
-(what lies between start and end patterns) or its session (anchors with no longer gap than
-the reach), and a segment or session with an anchor is a request. Where that is not all there
-is to it - a segment longer than the reach or than a limit on rows, a session beyond a limit,
-lines whose times run backwards - the island is resolved anchor by anchor over positions in
-sorted arrays, up to as many requests as can be shown. Limits over all contexts are applied in
-the order in which requests are created: those are the first ``MAX_REQUESTS`` kept or
-``MAX_EXAMINED`` tried, found by one bounded top-k.
-
-An anchor without a thread is a request of its own. With a request filter in WINDOW mode a
-request is judged by its final rows; this differs from judging it while it grows only where a
-limit on the number of requests bites.
+Anchors are written first. Rounds take the anchors up to a time, ``FIRST`` times as many as
+requests may be tried, then eight times as many, and so on, until a limit bites or all are
+taken; a round reads the rows of the anchors' stretches of time only, so what is read does
+not grow with the anchors once a limit bites. The rows of a context meet sorted in one
+task, as numbers and flags without texts, and ``spans`` finds its requests; contexts are
+independent but for the limits over all of them.
+
+Those are applied on the driver to the first ``examined`` + 1 requests in the order in
+which they are made, with what the request filter says of each whenever it grows. From the
+anchor on at which a limit bites, no request is made (until an excluded one leaves room
+again): the spans are found once more with these times barred, so that later anchors join
+what there is. In WINDOW mode with an ``excludes`` filter all anchors are one round.
 """
 
+
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import find_ignoring_case, holds
 from ..sources import scratch
+from . import spans
 from .custom import check_pattern
 
 #: Limits (fixed values).
@@ -92,260 +93,225 @@ class Result:
     rows: DataFrame  # req_no, pos, file_id, line_no, ts_millis, level, logger, thread, message, anchor
 
 
-CONTEXT, ISLAND = ("file_id", "thread"), ("file_id", "thread", "island")
+CONTEXT = ("file_id", "thread")
+KEY = ("ts_millis", "file_id", "line_no")
+#: Anchors of the first round for each request that may be tried.
+FIRST = 8
+#: Rows of a context that are held before those far from anchors go.
+HELD = 1 << 20
+
+HEADS = pa.schema(
+    [("file_id", pa.int64()), ("thread", pa.string()), ("req", pa.int64()), ("c_ts", pa.int64()), ("start_found", pa.bool_()), ("end_reason", pa.string()), ("truncated", pa.bool_()), ("n_rows", pa.int64()), ("n_anchors", pa.int64()),
+     ("first_ts", pa.int64()), ("first_line", pa.int64()), ("last_ts", pa.int64()), ("last_line", pa.int64()), ("turn_ts", pa.list_(pa.int64())), ("turn_line", pa.list_(pa.int64())), ("turn_kept", pa.list_(pa.bool_()))]
+)
 #: A row for each member of each request; ``req`` is the line of the anchor that made it.
-MEMBERS = (
-    "file_id long, thread string, req long, c_ts long, start_found boolean, end_reason string, truncated boolean, kept boolean,"
-    " n_anchors long, pos long, line_no long, ts_millis long, joined boolean, by_expand boolean"
-)
-_NAMES = [x.split()[0] for x in MEMBERS.split(",")]
+MEMBERS = pa.schema(
+    [("file_id", pa.int64()), ("thread", pa.string()), ("req", pa.int64()), ("start_found", pa.bool_()), ("end_reason", pa.string()), ("truncated", pa.bool_()), ("kept", pa.bool_()), ("n_anchors", pa.int64()),
+     ("pos", pa.int64()), ("line_no", pa.int64()), ("ts_millis", pa.int64()), ("joined", pa.bool_())]
+)
+_DDL = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>", pa.list_(pa.bool_()): "array<boolean>"}
+
+Key = tuple[int, int, int]
+#: Times (first key, last key or None) in which no request is made.
+Barred = list[tuple[Key, Key | None]]
+
 
+def _schema(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
 
-def flagged(entries: DataFrame, spec: Trace) -> DataFrame:
-    """Entries in reach of an anchor of their context, by island, without their texts."""
+
+def anchors_of(entries: DataFrame, spec: Trace) -> DataFrame:
+    return entries.where(holds(F.col("raw"), spec.id)).select(*CONTEXT, "ts_millis", "line_no")
+
+
+def flagged(entries: DataFrame, anchors: DataFrame, spec: Trace) -> DataFrame:
+    """Entries in reach of an anchor of their context, as numbers and flags."""
+    stretch = F.floor(F.col("ts_millis") / spec.reach_ms)
+    # no request reaches further from an anchor than reach_ms: only its stretch of time and the two beside it count
+    near = anchors.select(*CONTEXT, F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
+    text = [c for c, on in (("message", spec.mode == "boundary"), ("raw", True)) if on]
+    rows = entries.select(*CONTEXT, "ts_millis", "line_no", *text).withColumn("stretch", stretch).join(near, [*CONTEXT, "stretch"])
     none = F.lit(False)
-    rows = entries.select(
-        "file_id",
-        "thread",
-        "line_no",
+    return rows.select(
+        *CONTEXT,
         "ts_millis",
+        "line_no",
         holds(F.col("raw"), spec.id).alias("is_anchor"),
         (find_ignoring_case(F.col("message"), spec.start) if spec.mode == "boundary" else none).alias("is_start"),
         (find_ignoring_case(F.col("message"), spec.end) if spec.mode == "boundary" else none).alias("is_end"),
         (find_ignoring_case(F.col("raw"), spec.contains) if spec.contains else none).alias("has"),
         (find_ignoring_case(F.col("raw"), spec.excludes) if spec.excludes else none).alias("hasnt"),
     )
-    # no request reaches further from an anchor than reach_ms: rows in other stretches of time go
-    stretch = F.floor(F.col("ts_millis") / spec.reach_ms)
-    near = rows.where("is_anchor").select(*CONTEXT, F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
-    order = Window.partitionBy(*CONTEXT).orderBy("stretch")
-    gap = F.coalesce(F.col("stretch") - F.lag("stretch").over(order) > 1, F.lit(True))
-    near = near.withColumn("gap", gap).withColumn("island", F.max(F.when(F.col("gap"), F.col("stretch"))).over(order)).drop("gap")
-    return rows.withColumn("stretch", stretch).join(near, [*CONTEXT, "stretch"]).drop("stretch")
-
-
-def _running(*order: Column | str) -> tuple:
-    """Windows of an island up to a row, and up to the row before it."""
-    w = Window.partitionBy(*ISLAND).orderBy(*order)
-    return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-
-
-
-def _grouped(rows: DataFrame, spec: Trace) -> DataFrame:
-    """Rows with their group (segment or session; null: none) and whether their island is ``hard``."""
-    here, past = _running("ts_millis", "line_no")
-    later, ahead = _running(F.desc("ts_millis"), F.desc("line_no"))
-    rows = rows.withColumn("backwards", F.coalesce(F.col("line_no") < F.max("line_no").over(past), F.lit(False)))
-    if spec.mode == "boundary":
-        opens = F.col("is_start") | F.coalesce(F.lag("is_end").over(Window.partitionBy(*ISLAND).orderBy("ts_millis", "line_no")), F.lit(False))
-        rows = rows.withColumn("opens", opens)
-        rows = rows.withColumn("grp", F.sum(F.col("opens").cast("int")).over(here))
-        rows = rows.withColumn("next_start", F.min(F.when(F.col("is_start"), F.col("ts_millis"))).over(ahead))
-    else:
-        anchored = F.when(F.col("is_anchor"), F.col("ts_millis"))
-        rows = rows.withColumn("before", F.max(anchored).over(here)).withColumn("after", F.min(anchored).over(later))
-        fresh = F.col("is_anchor") & F.coalesce(F.col("ts_millis") - F.max(anchored).over(past) > spec.reach_ms, F.lit(True))
-        rows = rows.withColumn("fresh", fresh).withColumn("grp", F.sum(F.col("fresh").cast("int")).over(here))
-        held = F.when(F.col("ts_millis") - F.col("before") <= spec.reach_ms, F.col("grp")).when(F.col("after") - F.col("ts_millis") <= spec.reach_ms, F.col("grp") + 1)
-        rows = rows.withColumn("grp", held)
-    one = Window.partitionBy(*ISLAND, "grp")
-    rows = rows.withColumn("anchors", F.sum(F.col("is_anchor").cast("long")).over(one)).withColumn("n", F.count("*").over(one))
-    rows = rows.withColumn("first_ts", F.min("ts_millis").over(one)).withColumn("made", F.min(F.when(F.col("is_anchor"), F.struct("ts_millis", "line_no"))).over(one))
-    if spec.mode == "boundary":
-        beyond = (F.max("ts_millis").over(one) - F.col("first_ts") > spec.reach_ms) | (F.col("n") > min(spec.limits.before, spec.limits.rows))
-    else:
-        early = F.sum((F.struct("ts_millis", "line_no") < F.col("made")).cast("int")).over(one)
-        beyond = (F.col("n") > spec.limits.rows) | (early > spec.limits.before)
-    odd = F.col("backwards") | (beyond & (F.col("anchors") > 0) & F.col("grp").isNotNull())
-    return rows.withColumn("odd", odd).withColumn("hard", F.max("odd").over(Window.partitionBy(*ISLAND)) & (F.col("thread") != ""))
-
-
-def _plain(rows: DataFrame, spec: Trace) -> DataFrame:
-    """Members of the requests of islands that their windows decide."""
-    one = Window.partitionBy(*ISLAND, "grp")
-    alone = F.col("thread") == ""
-    if spec.mode == "boundary":
-        rows = rows.withColumn("started", F.max("is_start").over(one)).withColumn("ended", F.max("is_end").over(one))
-        reason = F.when(F.col("ended"), "end").when(F.col("next_start") <= F.col("first_ts") + spec.reach_ms, "next_start").otherwise("not_found")
-        alone = alone | ~(F.col("started") | F.col("ended"))
-    else:
-        rows, reason = rows.withColumn("started", F.lit(False)), F.lit("window")
-    rows = rows.withColumn("alone", alone).where((F.col("anchors") > 0) & F.col("grp").isNotNull() & (F.col("is_anchor") | ~F.col("alone")))
-    rows = rows.withColumn("req", F.when(F.col("alone"), F.col("line_no")).otherwise(F.col("made.line_no")))
-    request = Window.partitionBy(*ISLAND, "req")
-    return rows.select(
-        *CONTEXT,
-        "req",
-        F.when(F.col("alone"), F.col("ts_millis")).otherwise(F.col("made.ts_millis")).alias("c_ts"),
-        (F.col("started") & ~F.col("alone")).alias("start_found"),
-        F.when(F.col("alone"), "standalone").otherwise(reason).alias("end_reason"),
-        F.lit(False).alias("truncated"),
-        ((F.max("has").over(request) if spec.contains else F.lit(True)) & (~F.max("hasnt").over(request) if spec.excludes else F.lit(True))).alias("kept"),
-        F.when(F.col("alone"), 1).otherwise(F.col("anchors")).cast("long").alias("n_anchors"),
-        (F.row_number().over(request.orderBy("ts_millis", "line_no")) - 1).cast("long").alias("pos"),
-        "line_no",
-        "ts_millis",
-        F.col("is_anchor").alias("joined"),
-        F.lit(False).alias("by_expand"),
-    )
 
 
-@dataclass
-class _Found:
-    """A request as positions of an island's sorted rows."""
-
-    at: np.ndarray
-    anchor: int
-    started: bool = False
-    reason: str = "standalone"
-    cut: bool = False
-    full: bool = False
-    edge: int = 0  # WINDOW: last time it covers
-
-
-def _nearest(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the last mark before it (or -1) and the first one at or after it (or n)."""
-    n = len(marks)
-    index = np.arange(n)
-    last = np.maximum.accumulate(np.where(marks, index, -1))
-    first = np.minimum.accumulate(np.where(marks, index, n)[::-1])[::-1]
-    return np.concatenate([[-1], last[:-1]]), np.append(first, n)
-
-
-class _Island:
-    """Sorted arrays of one island."""
-
-    def __init__(self, ts, line, start, end, spec: Trace):
-        self.ts, self.line, self.start, self.spec = ts, line, start, spec
-        self.start_before, self.start_from = _nearest(start)
-        self.end_before, self.end_from = _nearest(end)
-
-    def seen(self, low: int, high: int, top: int) -> int:
-        """The last position in [low, high) whose line is at most ``top``, or -1."""
-        hit = np.flatnonzero(self.line[low:high] <= top)
-        return low + int(hit[-1]) if len(hit) else -1
-
-    def segment(self, a: int, last: _Found | None) -> _Found:
-        """The request that an anchor makes between boundaries, or ``last`` where it goes on."""
-        limits, reach = self.spec.limits, self.spec.reach_ms
-        low = int(np.searchsorted(self.ts, self.ts[a] - reach))
-        begin, started, cut = low, bool(self.start[a]), False
-        if started:
-            begin = a
-        else:
-            ended, began, room = int(self.end_before[a]), int(self.start_before[a]), a - 1 - limits.before
-            taken = self.seen(low, a, self.line[last.at[-1]]) if last else -1
-            stop = max(taken, ended, began, room)
-            if stop >= low:
-                if stop == taken and last.full:
-                    return last
-                started = stop == began and stop not in (taken, ended)
-                cut = stop == room and stop not in (taken, ended, began)
-                begin = stop if started else stop + 1
-        over = int(np.searchsorted(self.ts, self.ts[begin] + reach, "right"))
-        next_, end, full = int(self.start_from[a + 1]), int(self.end_from[a]), a + limits.rows - (a - begin)
-        if end < min(next_, full, over):
-            to, reason = end + 1, "end"
-        elif next_ <= full and next_ < over:
-            to, reason = next_, "next_start"
+def _at_or_after(ts: np.ndarray, line: np.ndarray, file_id: int, key: Key) -> np.ndarray:
+    return (ts > key[0]) | ((ts == key[0]) & ((file_id > key[1]) | ((file_id == key[1]) & (line >= key[2]))))
+
+
+def may_make(ts: np.ndarray, line: np.ndarray, file_id: int, barred: Barred) -> np.ndarray:
+    """Whether each anchor of a file lies outside the barred times (a time ends with its last key)."""
+    free = np.ones(len(ts), bool)
+    for begin, end in barred:
+        past = np.zeros(len(ts), bool) if end is None else _at_or_after(ts, line, file_id, (end[0], end[1], end[2] + 1))
+        free &= ~_at_or_after(ts, line, file_id, begin) | past
+    return free
+
+
+def _near_anchors(rows: spans.Rows, rule: spans.Rule) -> spans.Rows:
+    """Rows that no request can hold go: those with too many rows between them and any anchor."""
+    if rule.sessions and not (np.diff(rows.line) > 0).all():
+        return rows
+    index, a = np.arange(len(rows.ts)), np.flatnonzero(rows.anchor)
+    past = index - np.concatenate([[-rule.rows - 2], a])[np.searchsorted(a, index, "right")]
+    ahead = np.append(a, len(index))[np.searchsorted(a, index)] - index  # an anchor may still follow the last row
+    on = (past <= rule.rows + 1) | (ahead <= rule.before + 2)
+    return spans.Rows(*(x[on] for x in rows))
+
+
+def _contexts(batches, rule: spans.Rule):
+    """(file, thread, rows) of each context of sorted batches."""
+    held: list[spans.Rows] = []
+    who, n = None, 0
+
+    def whole() -> spans.Rows:
+        return spans.Rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file_id, thread = b.column("file_id").to_numpy(), b.column("thread")
+        rows = spans.Rows(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("ts_millis", "line_no", "is_anchor", "is_start", "is_end", "has", "hasnt")))
+        other = pc.not_equal(thread.slice(1), thread.slice(0, len(thread) - 1)).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero((file_id[1:] != file_id[:-1]) | other) + 1).tolist(), b.num_rows]
+        for s, e in zip(edges, edges[1:]):
+            own = (int(file_id[s]), thread[s].as_py())
+            if who is not None and own != who:
+                yield *who, whole()
+                held, n = [], 0
+            who = own
+            held.append(spans.Rows(*(x[s:e] for x in rows)))
+            n += e - s
+            if n > HELD:
+                held = [_near_anchors(whole(), rule)]
+                n = len(held[0].ts) // 2  # looked at again when as many more have come
+    if who is not None:
+        yield *who, whole()
+
+
+def _rule(spec: Trace, most: int | None = None) -> spans.Rule:
+    return spans.Rule(spec.mode == "window", spec.reach_ms, spec.limits.before, spec.limits.rows, bool(spec.contains), bool(spec.excludes), most)
+
+
+def _found(rows: DataFrame, rule: spans.Rule, schema: pa.Schema, out, barred: Barred = []) -> DataFrame:  # noqa: B006
+    """What ``out`` tells of each context's requests."""
+
+    def run(batches):
+        made: list[list] = []
+        for file_id, thread, x in _contexts(batches, rule):
+            t = spans.Thread(x, rule, thread != "", may_make(x.ts[x.anchor], x.line[x.anchor], file_id, barred))
+            found = t.resolve()
+            n = np.bincount(t.owner[t.owner >= 0], minlength=len(found))
+            for k, span in enumerate(found):
+                out(made, file_id, thread, t, k, span, int(n[k]))
+                if len(made) >= 256:
+                    yield _batch(schema, made)
+                    made = []
+        if made:
+            yield _batch(schema, made)
+
+    sorted_rows = rows.repartition("file_id", "thread").sortWithinPartitions("file_id", "thread", "ts_millis", "line_no")
+    return sorted_rows.mapInArrow(run, _schema(schema))
+
+
+def _batch(schema: pa.Schema, made: list[list]) -> pa.RecordBatch:
+    """Records of single values, or of arrays that single values are repeated along."""
+    columns = []
+    for i, f in enumerate(schema):
+        if isinstance(made[0][-1], np.ndarray):
+            sizes = [len(r[-1]) for r in made]
+            if isinstance(made[0][i], np.ndarray):
+                columns.append(pa.array(np.concatenate([r[i] for r in made]), f.type))
+            else:
+                columns.append(pa.array([r[i] for r in made], f.type).take(pa.array(np.repeat(np.arange(len(made)), sizes))))
         else:
-            to, reason = min(full, over), "not_found"
-        filled = reason == "not_found" and full < over
-        if not (started or cut or filled or reason == "end"):
-            return _Found(np.array([a]), a)
-        return _Found(np.arange(begin, to), a, started, reason, cut or filled, filled)
-
-    def session(self, a: int, last: _Found | None) -> _Found:
-        """The request of the rows around an anchor that no earlier one holds."""
-        limits, reach = self.spec.limits, self.spec.reach_ms
-        floor = int(self.line[last.at[-1]]) if last else -1
-        low = int(np.searchsorted(self.ts, self.ts[a] - reach))
-        early = np.arange(max(low, self.seen(low, a, floor) + 1), a)
-        early = early[self.line[early] < self.line[a]]
-        new = _Found(early[-limits.before :] if limits.before else early[:0], a, reason="window", cut=len(early) > limits.before)
-        self.extend(new, int(np.searchsorted(self.ts, self.ts[a])), int(self.ts[a]) + reach, max(floor, int(self.line[a]) - 1))
-        return new
-
-    def extend(self, r: _Found, low: int, upto: int, floor: int) -> None:
-        """Rows from position ``low`` to time ``upto`` below line ``floor``, as far as there is room."""
-        more = np.arange(low, int(np.searchsorted(self.ts, upto, "right")))
-        more = more[self.line[more] > floor]
-        room = self.spec.limits.rows - len(r.at)
-        if len(more) > room:
-            r.cut = r.full = True
-        r.at, r.edge = np.concatenate([r.at, more[:room]]), max(r.edge, upto)
-
-    def requests(self, anchors: np.ndarray) -> tuple[list[_Found], list[list[tuple[int, bool]]]]:
-        """Requests in the order in which they are made, and each one's further anchors."""
-        most, sessions = self.spec.limits.examined + 1, self.spec.mode == "window"
-        found: list[_Found] = []
-        joined: list[list[tuple[int, bool]]] = []
-        low, high = np.empty(most, np.int64), np.empty(most, np.int64)
-        newest = 0  # WINDOW: latest anchor of the last request
-        for a in anchors.tolist():
-            k, line, ts = len(found), self.line[a], int(self.ts[a])
-            if sessions and k and (line <= high[k - 1] or ts - newest <= self.spec.reach_ms):
-                newest = max(newest, ts)
-                joined[-1].append((a, False))
-                if ts + self.spec.reach_ms > found[-1].edge:
-                    self.extend(found[-1], int(np.searchsorted(self.ts, found[-1].edge, "right")), ts + self.spec.reach_ms, int(high[k - 1]))
-                    high[k - 1] = self.line[found[-1].at[-1]]
-                continue
-            over = np.flatnonzero((low[:k] <= line) & (line <= high[:k]))
-            if len(over):
-                joined[over[0]].append((a, False))
-                continue
-            if k == most:
-                continue
-            new = (self.session if sessions else self.segment)(a, found[-1] if k else None)
-            if k and new is found[-1]:
-                joined[-1].append((a, True))
-                continue
-            found.append(new)
-            joined.append([(a, False)])
-            low[k], high[k], newest = self.line[new.at[0]], self.line[new.at[-1]], ts
-        return found, joined
-
-
-def _resolve(spec: Trace):
-    def resolve(island: pd.DataFrame) -> pd.DataFrame:
-        island = island.sort_values(["ts_millis", "line_no"], kind="stable")
-        ts, line, start, end, has, hasnt = (island[c].to_numpy() for c in ("ts_millis", "line_no", "is_start", "is_end", "has", "hasnt"))
-        found, joined = _Island(ts, line, start, end, spec).requests(np.flatnonzero(island["is_anchor"].to_numpy()))
-        parts = []
-        for r, anchors in zip(found, joined, strict=True):
-            by = dict(reversed(anchors))
-            kept = (not spec.contains or bool(has[r.at].any())) and not (spec.excludes and bool(hasnt[r.at].any()))
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "file_id": island["file_id"].iloc[0], "thread": island["thread"].iloc[0], "req": line[r.anchor], "c_ts": ts[r.anchor],
-                        "start_found": r.started, "end_reason": r.reason, "truncated": r.cut, "kept": kept, "n_anchors": len(anchors), "pos": np.arange(len(r.at)),
-                        "line_no": line[r.at], "ts_millis": ts[r.at], "joined": np.isin(r.at, list(by)), "by_expand": [by.get(i, False) for i in r.at.tolist()],
-                    }
-                )
-            )
-        return pd.concat(parts)[_NAMES] if parts else pd.DataFrame(columns=_NAMES)
-
-    return resolve
+            columns.append(pa.array([r[i] for r in made], f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _head(made, file_id, thread, t: spans.Thread, k: int, span: spans.Span, n: int) -> None:
+    r, turns = t.rows, t.turns(k)
+    by = [t.anchors[i] for i, _ in turns]
+    first, last, own = span.at[0], span.at[-1], t.anchors[int(span.by[0])]
+    made.append([file_id, thread, int(r.line[own]), int(r.ts[own]), span.started, span.reason, span.cut, len(span.at), n, int(r.ts[first]), int(r.line[first]), int(r.ts[last]), int(r.line[last]), [int(r.ts[p]) for p in by], [int(r.line[p]) for p in by], [kept for _, kept in turns]])
+
+
+def _members(chosen: frozenset | None):
+    def out(made, file_id, thread, t: spans.Thread, k: int, span: spans.Span, n: int) -> None:
+        r = t.rows
+        req = int(r.line[t.anchors[int(span.by[0])]])
+        if chosen is None or (file_id, thread, req) in chosen:
+            mine = np.isin(span.at, t.anchors[t.owner == k]) if not t.steady else r.anchor[span.at] & (t.owner[np.minimum(np.searchsorted(t.anchors, span.at), len(t.anchors) - 1)] == k)
+            made.append([file_id, thread, req, span.started, span.reason, span.cut, [kept for _, kept in t.turns(k) if kept is not None][-1], n, np.arange(len(span.at)), r.line[span.at], r.ts[span.at], mine])
+
+    return out
 
 
 def members(entries: DataFrame, spec: Trace) -> DataFrame:
-    """A row for each member of each request, before limits over all contexts."""
-    rows, path = scratch.save(_grouped(flagged(entries, spec), spec))
-    hard = rows.where("hard").select(*ISLAND, "line_no", "ts_millis", "is_anchor", "is_start", "is_end", "has", "hasnt")
-    return _plain(rows.where("not hard"), spec).unionByName(hard.groupBy(*ISLAND).applyInPandas(_resolve(spec), MEMBERS))
+    """A row for each member of each request, without the limits over all contexts."""
+    rows, _ = scratch.save(flagged(entries, anchors_of(entries, spec), spec))
+    return _found(rows, _rule(spec), MEMBERS, _members(None))
 
 
-def cut(members: DataFrame, spec: Trace) -> tuple[DataFrame, DataFrame]:
-    """(surviving requests, all requests): the first in creation order within the limits."""
-    heads = members.where("pos = 0").select(*CONTEXT, "req", "c_ts", "start_found", "end_reason", "truncated", "kept", "n_anchors", F.col("ts_millis").alias("first_ts"), F.col("line_no").alias("first_line"))
-    order = ("c_ts", "file_id", "req")
-    # at most this many can be tried, so one bounded top-k holds all that can survive
-    first = heads.orderBy(*order).limit(spec.limits.examined)
-    past = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = first.withColumn("kept_before", F.coalesce(F.sum(F.col("kept").cast("int")).over(past), F.lit(0)))
-    return counted.where(F.col("kept_before") < spec.limits.requests).drop("kept_before"), heads
+@dataclass
+class _Course:
+    """How the limits and the filter go over requests in the order of their making."""
+
+    kept: list[bool]
+    bites: Key | None = None  # an anchor that may not make a request
+    room: Key | None = None  # after a limit bit, an anchor that leaves room again
+    refused: bool = False
+
+
+def _course(heads: list, limits: Limits, since: Key | None) -> _Course:
+    steps = sorted(((ts, h.file_id, line), nth, i, kept) for i, h in enumerate(heads) for nth, (ts, line, kept) in enumerate(zip(h.turn_ts, h.turn_line, h.turn_kept, strict=True)))
+    out, shown, tried = _Course([False] * len(heads)), 0, 0
+    for key, nth, i, kept in steps:
+        if nth == 0 or kept is None:
+            if shown >= limits.requests or tried >= limits.examined:
+                out.bites = key
+                return out
+            if kept is None:
+                continue
+            tried += 1
+        elif kept and not out.kept[i] and shown >= limits.requests:
+            out.refused = True
+            continue
+        shown += kept - out.kept[i]
+        out.kept[i] = kept
+        if nth and not kept and since is not None and key > since and shown < limits.requests and tried < limits.examined:
+            out.room = key
+            return out
+    return out
+
+
+def bar(barred: Barred, course: _Course) -> bool:
+    """Whether a limit bit, or left room again, so that the spans must be found once more."""
+    if course.bites:
+        barred.append((course.bites, None))
+    elif course.room:
+        barred[-1] = (barred[-1][0], course.room)
+    return bool(course.bites or course.room)
+
+
+def _settled(rows: DataFrame, spec: Trace, barred: Barred) -> tuple[list, _Course]:
+    """The requests within the limits; ``barred`` gains the times at which none could be made."""
+    while True:
+        found = _found(rows, _rule(spec, spec.limits.examined + 1), HEADS, _head, barred)
+        # at most this many can be tried, so one bounded top-k holds all that can survive
+        heads = found.orderBy("c_ts", "file_id", "req").limit(spec.limits.examined + 1).collect()
+        course = _course(heads, spec.limits, barred[-1][0] if barred and barred[-1][1] is None else None)
+        if not bar(barred, course):
+            return heads, course
 
 
 def run(entries: DataFrame, files: DataFrame, spec: Trace) -> Result:
@@ -354,26 +320,53 @@ def run(entries: DataFrame, files: DataFrame, spec: Trace) -> Result:
     for p in (spec.start, spec.end, spec.contains, spec.excludes):
         if p:
             check_pattern(spark, p)
-    all_, path = scratch.save(members(entries, spec))
-    some, heads = cut(all_, spec)
-    live, live_path = scratch.save(some)
-    total = entries.where(holds(F.col("raw"), spec.id)).count()
-    numbers = live.agg(F.count("*").alias("n"), F.coalesce(F.sum((~F.col("kept")).cast("int")), F.lit(0)).alias("dropped"), F.max(F.struct("c_ts", "file_id", "req")).alias("last")).first()
-    limited = heads.count() > numbers["n"]
-    final = Window.orderBy("first_ts", "file_id", "first_line")  # at most limits.requests rows
-    shown = live.where("kept").withColumn("req_no", F.row_number().over(final))
-    rows = all_.join(shown.select(*CONTEXT, "req", "req_no"), [*CONTEXT, "req"])
-    anchor = F.col("joined")
-    if limited:  # past the cut no anchor is added by expanding
-        late = F.struct("ts_millis", F.col("file_id"), F.col("line_no")) > F.struct(*[F.lit(numbers["last"][k]).cast("long") for k in range(3)])
-        anchor = anchor & ~(F.col("by_expand") & late)
-    # what is shown is bounded by the limits; it is written, and the members go
-    held, _ = scratch.save(rows.select("req_no", "pos", "file_id", "line_no", "ts_millis", "thread", anchor.alias("anchor")))
-    sizes = held.groupBy("req_no").agg(F.count("*").alias("n_rows"))
-    listed = shown.join(sizes, "req_no").join(files.select("file_id", F.col("path").alias("source")), "file_id")
-    requests, _ = scratch.save(listed.select("req_no", "source", "thread", "start_found", "end_reason", "truncated", "n_rows", "n_anchors"))
-    scratch.drop(spark, path)
-    scratch.drop(spark, live_path)
-    named = entries.select("file_id", "line_no", "level", "logger", "message")
+    entries = entries.withColumn("thread", F.coalesce("thread", F.lit("")))
+    anchors, anchors_path = scratch.save(anchors_of(entries, spec))
+    total, barred = anchors.count(), Barred()
+    wanted = total if spec.mode == "window" and spec.excludes else FIRST * spec.limits.examined
+    while True:
+        until = None if total <= wanted else anchors.select("ts_millis").orderBy("ts_millis").limit(wanted).agg(F.max("ts_millis")).first()[0]
+        some = anchors if until is None else anchors.where(F.col("ts_millis") <= until)
+        reached = entries if until is None else entries.where(F.col("ts_millis") <= until + spec.reach_ms)
+        rows, path = scratch.save(flagged(reached, some, spec))
+        if until is not None:  # anchors past the round's time wait for the next
+            rows = rows.withColumn("is_anchor", F.col("is_anchor") & (F.col("ts_millis") <= until))
+        heads, course = _settled(rows, spec, barred)
+        if barred or until is None:
+            break
+        scratch.drop(spark, path)
+        wanted *= 8
+    if until is not None:
+        rows, more_path = scratch.save(_late(entries, rows, anchors, heads, until, spec))
+        scratch.drop(spark, path)
+        path = more_path
+        heads, course = _settled(rows, spec, barred)
+    shown = sorted((h for h, kept in zip(heads, course.kept, strict=True) if kept), key=lambda h: (h.first_ts, h.file_id, h.first_line))
+    chosen = frozenset((h.file_id, h.thread, h.req) for h in shown)
+    number = spark.createDataFrame([(i, h.file_id, h.thread, h.req, h.start_found, h.end_reason, h.truncated, h.n_rows, h.n_anchors) for i, h in enumerate(shown, 1)], "req_no int, file_id long, thread string, req long, start_found boolean, end_reason string, truncated boolean, n_rows long, n_anchors long")
+    held, _ = scratch.save(_found(rows, _rule(spec, spec.limits.examined + 1), MEMBERS, _members(chosen), barred).join(F.broadcast(number.select("req_no", *CONTEXT, "req")), [*CONTEXT, "req"]).select("req_no", "pos", "file_id", "line_no", "ts_millis", "thread", F.col("joined").alias("anchor")))
+    for p in (path, anchors_path):
+        scratch.drop(spark, p)
+    requests = number.join(files.select("file_id", F.col("path").alias("source")), "file_id").select("req_no", "source", "thread", "start_found", "end_reason", "truncated", "n_rows", "n_anchors")
+    least, most = (min((h.first_ts for h in shown), default=0), max((h.last_ts for h in shown), default=0))
+    named = entries.where(F.col("ts_millis").between(least, most)).select("file_id", "line_no", "level", "logger", "message")
     out = held.join(named, ["file_id", "line_no"]).select("req_no", "pos", "file_id", "line_no", "ts_millis", "level", "logger", "thread", "message", "anchor").orderBy("req_no", "pos")
-    return Result(total, limited, numbers["dropped"], requests.orderBy("req_no"), out)
+    return Result(total, bool(barred) or course.refused, course.kept.count(False), requests.orderBy("req_no"), out)
+
+
+def _late(entries: DataFrame, rows: DataFrame, anchors: DataFrame, heads: list, until: int, spec: Trace) -> DataFrame:
+    """The rows of the contexts that have requests, with the anchors that came after the last round's time."""
+    last: dict[tuple[int, str], int] = {}
+    for h in heads:
+        last[h.file_id, h.thread] = max(last.get((h.file_id, h.thread), -1), h.last_line)
+    own = F.broadcast(entries.sparkSession.createDataFrame([(*k, v) for k, v in last.items()], "file_id long, thread string, last_line long"))  # a row for each request tried at most
+    late = anchors.where(F.col("ts_millis") > until).join(own, [*CONTEXT])
+    if spec.mode == "window":
+        every = anchors.join(own, [*CONTEXT], "left_semi")
+        return flagged(entries.join(own, [*CONTEXT], "left_semi"), every, spec)
+    # no request is made any more, so an anchor counts only within a request's lines
+    inside = late.where("line_no <= last_line").select(*CONTEXT, "ts_millis", "line_no", F.lit(True).alias("is_anchor"), *[F.lit(False).alias(c) for c in ("is_start", "is_end", "has", "hasnt")])
+    kept = rows.join(own, [*CONTEXT], "left_semi")
+    # rows beside the last round's anchors are there already; of them the late anchors are marked
+    marked = kept.join(inside.select(*CONTEXT, "line_no", F.lit(True).alias("is_late")), [*CONTEXT, "line_no"], "left").withColumn("is_anchor", F.col("is_anchor") | F.coalesce("is_late", F.lit(False))).select(inside.columns)
+    return marked.unionByName(inside.join(kept, [*CONTEXT, "line_no"], "left_anti"))

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import Row
 
-from emberlog.operators import trace
+from emberlog.operators import spans, trace
 
 SCHEMA = "file_id long, line_no long, ts_millis long, level string, logger string, thread string, message string, raw string"
 SMALL = trace.Limits(requests=2, examined=3, rows=5, before=2)
@@ -134,17 +136,215 @@ def test_lines_whose_times_run_backwards(spark):
     assert shown(spark, rows, between())[0] == [([1, 4, 2, 3], [4, 3], "end", True, False)]
 
 
-@pytest.mark.parametrize("seed", range(8))
-@pytest.mark.parametrize("mode", ["boundary", "window"])
-def test_windows_and_anchors_one_by_one_agree(spark, monkeypatch, seed, mode):
+def plain(rows, spec):
+    """The rules for one anchor after the other over lists; what ``run`` shows, in the form of ``shown``."""
+    rows = sorted(((int(s * 1000), f, line, t, x) for line, s, x, t, f in ((*r, "t", 1)[:5] if len(r) == 3 else (*r, 1)[:5] for r in rows)))
+    limits, reach, window = spec.limits, spec.reach_ms, spec.mode == "window"
+    made, by, flags = [], {}, {"cut": False}
+
+    def verdict(q):
+        texts = [r[4].lower() for r in q["rows"]]
+        return not (spec.excludes and any(spec.excludes.lower() in x for x in texts)) and (not spec.contains or any(spec.contains.lower() in x for x in texts))
+
+    def shown_now():
+        return sum(q["kept"] for q in made)
+
+    def judge(q):
+        if (spec.contains or spec.excludes) and verdict(q) != q["kept"]:
+            if not q["kept"] and shown_now() >= limits.requests:
+                flags["cut"] = True
+            else:
+                q["kept"] = not q["kept"]
+
+    def more(q, own, low, high, floor):
+        had = len(q["rows"])
+        for r in own:
+            if low <= r[0] <= high and r[2] > floor:
+                if len(q["rows"]) >= limits.rows:
+                    q["cut"] = q["full"] = True
+                    break
+                q["rows"].append(r)
+        q["edge"] = max(q["edge"], high)
+        return len(q["rows"]) > had
+
+    def request(a, own, last):
+        q = {"rows": [], "anchors": {a}, "why": "standalone", "start": False, "cut": False, "full": False, "edge": 0, "latest": a[0], "made": a}
+        p = own.index(a)
+        if not a[3]:
+            return q | {"rows": [a]}
+        floor = last["rows"][-1][2] if last else -1
+        if window:
+            back = []
+            for r in reversed(own[:p]):
+                if r[0] < a[0] - reach or (r[2] < a[2] and r[2] <= floor):
+                    break
+                if r[2] < a[2]:
+                    back.append(r)
+            q |= {"why": "window", "cut": len(back) > limits.before, "rows": back[: limits.before][::-1]}
+            more(q, own, a[0], a[0] + reach, max(floor, a[2] - 1))
+            return q
+        back, cut = [], False
+        for r in reversed(own[:p]) if "S" not in a[4] else ():
+            if r[0] < a[0] - reach:
+                break
+            if last and r[2] <= floor:
+                if last["full"]:
+                    return last
+                break
+            if "E" in r[4]:
+                break
+            if "S" in r[4]:
+                back.append(r)
+                q["start"] = True
+                break
+            if len(back) >= limits.before:
+                cut = True
+                break
+            back.append(r)
+        q["start"] |= "S" in a[4]
+        on, why, full, begin = [], "not_found", False, back[-1][0] if back else a[0]
+        for r in own[p:]:
+            if r[0] > begin + reach:
+                break
+            if r != a and "S" in r[4]:
+                why = "next_start"
+                break
+            if len(on) >= limits.rows - len(back):
+                full = True
+                break
+            on.append(r)
+            if "E" in r[4]:
+                why = "end"
+                break
+        if q["start"] or why == "end" or cut or full:
+            return q | {"rows": back[::-1] + on, "why": why, "cut": cut or full, "full": full}
+        return q | {"rows": [a], "start": False}
+
+    for a in rows:
+        if "ID" not in a[4]:
+            continue
+        key, own = a[1:4:2], [r for r in rows if r[1] == a[1] and r[3] == a[3]]
+        mine = by.setdefault(key, [])
+        last = mine[-1] if mine else None
+        if window and a[3] and last and (a[2] <= last["rows"][-1][2] or a[0] - last["latest"] <= reach):
+            last["anchors"].add(a)
+            last["latest"] = max(last["latest"], a[0])
+            if more(last, own, last["edge"] + 1, a[0] + reach, last["rows"][-1][2]):
+                judge(last)
+            continue
+        inside = [q for q in mine if q["rows"][0][2] <= a[2] <= q["rows"][-1][2]]
+        if inside:
+            inside[0]["anchors"].add(a)
+        elif shown_now() >= limits.requests or len(made) >= limits.examined:
+            flags["cut"] = True
+        else:
+            q = request(a, own, last)
+            if q is last:
+                last["anchors"].add(a)
+                continue
+            mine.append(q)
+            q["kept"] = verdict(q)
+            made.append(q)
+    out = sorted((q for q in made if q["kept"]), key=lambda q: q["rows"][0])
+    return [([r[2] for r in q["rows"]], [r[2] for r in q["rows"] if r in q["anchors"]], q["why"], q["start"], q["cut"]) for q in out], (flags["cut"], sum(not q["kept"] for q in made), [len(q["anchors"]) for q in out])
+
+
+def told(spark, rows, spec):
+    got, out = shown(spark, rows, spec)
+    return got, (out.truncated, out.filtered_out, [q.n_anchors for q in out.requests.collect()])
+
+
+def test_lines_out_of_time_order_far_apart(spark):
+    """A request's lines may span an anchor of quite another time."""
+    far = [(1, 0, "S"), (10, 1, "ID E"), (5, 1000, "ID")]
+    assert told(spark, far, between()) == plain(far, between()) == ([([1, 10], [10], "end", True, False)], (False, 0, [2]))
+    far = [(1, 0, "ID"), (10, 1, "ID"), (5, 1000, "ID")]
+    got, (_, _, n) = told(spark, far, around(10))
+    assert n == [3] and (got, (False, 0, n)) == plain(far, around(10))
+
+
+def some_rows(seed):
+    """Rows of some threads and files, some of them with lines that run against their times."""
     r = random.Random(seed)
-    rows = [(i, sorted(r.sample(range(400), 80))[i - 1], f"{r.choice(['', '', 'S', 'E', 'S E', 'x'])} {r.choice(['ID', '', '', ''])} {r.choice(['good', 'bad', ''])}", r.choice("tu")) for i in range(1, 60)]
-    spec = (between(15) if mode == "boundary" else around(6)).filtered("good" if seed % 3 == 1 else "", "bad" if seed % 3 == 2 else "")
-    df = entries(spark, rows)
-    a = sorted(map(tuple, trace.members(df, spec).collect()))
-    grouped = trace._grouped
-    monkeypatch.setattr(trace, "_grouped", lambda x, s: grouped(x, s).withColumn("hard", trace.F.lit(True)))
-    assert a == sorted(map(tuple, trace.members(df, spec).collect())) and a
+    n = r.choice([30, 60, 90])
+    times = sorted(r.choice([1, 0.5, 7]) * r.randrange(300) for _ in range(n))
+    lines = list(range(1, n + 1))
+    for _ in range(r.choice([0, 0, 3, 12])):
+        i, j = r.randrange(n), r.randrange(n)
+        lines[i], lines[j] = lines[j], lines[i]
+    weights = r.choice([["", "", "S", "E", "S E", "x"], ["x"] * 9 + ["S", "E"], ["x"]])
+    return [(lines[i], times[i], f"{r.choice(weights)} {r.choice(['ID', '', '', ''])} {r.choice(['good', 'bad', '', '', ''])}", r.choice("tttu") if seed % 5 else r.choice(["t", ""]), r.choice([1, 1, 1, 2])) for i in range(n)]
+
+
+@pytest.mark.parametrize("mode", ["boundary", "window"])
+def test_requests_against_the_rules(spark, mode):
+    """Limits, filters that change while requests grow, and lines out of order, all at once."""
+    seen = []
+    for seed in range(9):
+        limits = [SMALL, trace.Limits(requests=3, examined=8, rows=6, before=3), trace.Limits()][seed % 3]
+        spec = (between(15, limits) if mode == "boundary" else around([2, 6, 20][seed % 3], limits)).filtered("good" if seed % 4 in (1, 3) else "", "bad" if seed % 4 in (2, 3) else "")
+        rows = some_rows(seed)
+        assert told(spark, rows, spec) == plain(rows, spec), seed
+        seen.append(plain(rows, spec)[1][0])
+    assert any(seen) and not all(seen)
+
+
+def found(rows, spec, seed):
+    """The spans and their course alone, without Spark."""
+    by = {}
+    for ts, f, line, t, x in sorted((int(s * 1000), f, line, t, x) for line, s, x, t, f in rows):
+        by.setdefault((f, t), []).append((ts, line, "ID" in x, spec.mode == "boundary" and "S" in x, spec.mode == "boundary" and "E" in x, "good" in x and bool(spec.contains), "bad" in x and bool(spec.excludes)))
+    barred = []
+    while True:
+        heads = []
+        for (f, t), own in by.items():
+            x = spans.Rows(*map(np.array, zip(*own, strict=True)))
+            free = trace.may_make(x.ts[x.anchor], x.line[x.anchor], f, barred)
+            thread = spans.Thread(x, trace._rule(spec, spec.limits.examined + 1), t != "", free)
+            for k, q in enumerate(thread.resolve()):
+                turns = thread.turns(k)
+                heads.append((int(x.ts[thread.anchors[int(q.by[0])]]), f, int(x.line[thread.anchors[int(q.by[0])]]), x.line[q.at].tolist(), [int(x.line[p]) for p in q.at if x.anchor[p] and thread.owner[np.searchsorted(thread.anchors, p)] == k], q.reason, q.started, q.cut, int((thread.owner == k).sum()), int(x.ts[q.at[0]]), [(int(x.ts[thread.anchors[i]]), int(x.line[thread.anchors[i]]), kept) for i, kept in turns]))
+        heads = sorted(heads)[: spec.limits.examined + 1]
+        course = trace._course([Row(file_id=h[1], turn_ts=[t[0] for t in h[10]], turn_line=[t[1] for t in h[10]], turn_kept=[t[2] for t in h[10]]) for h in heads], spec.limits, barred[-1][0] if barred and barred[-1][1] is None else None)
+        if not trace.bar(barred, course):
+            break
+    out = sorted((((h[9], h[1], h[3][0]), (h[3], h[4], h[5], h[6], h[7]), h[8]) for h, kept in zip(heads, course.kept, strict=True) if kept), key=lambda o: o[0])
+    return [o[1] for o in out], (bool(barred) or course.refused, course.kept.count(False), [o[2] for o in out])
+
+
+@pytest.mark.parametrize("mode", ["boundary", "window"])
+def test_many_small_cases_against_the_rules(mode):
+    again = 0
+    for seed in range(1500):
+        limits = [SMALL, trace.Limits(requests=2, examined=9, rows=6, before=3), trace.Limits(requests=1, examined=5), trace.Limits()][seed % 4]
+        spec = (between(15, limits) if mode == "boundary" else around([2, 6, 20][seed % 3], limits)).filtered(["", "good", "", "good"][seed // 4 % 4], ["", "", "bad", "bad"][seed // 4 % 4])
+        rows = some_rows(seed)
+        want = plain(rows, spec)
+        assert found(rows, spec, seed) == want, seed
+        again += want[1][0]
+    assert again > 100
+
+
+def test_rounds_read_no_more_than_they_need(spark, monkeypatch):
+    """Few anchors a round, so that limits bite in early rounds and late anchors join what there is."""
+    monkeypatch.setattr(trace, "FIRST", 1)
+    read = []
+    flagged = trace.flagged
+    monkeypatch.setattr(trace, "flagged", lambda e, a, s: read.append(a.count()) or flagged(e, a, s))
+    for seed in range(4):
+        for mode in (between(15, SMALL), around(6, SMALL)):
+            spec = mode.filtered("good" if seed % 2 else "")
+            rows = some_rows(100 + seed)
+            assert told(spark, rows, spec) == plain(rows, spec), seed
+    assert min(read) <= 4
+
+
+def test_rows_far_from_anchors_are_not_held(spark, monkeypatch):
+    monkeypatch.setattr(trace, "HELD", 20)
+    for seed in range(4):
+        for spec in (between(15, SMALL), around(20, SMALL)):
+            rows = some_rows(200 + seed)
+            assert told(spark, rows, spec) == plain(rows, spec), seed
 
 
 def test_many_anchors_of_one_thread(spark):
