@@ -413,6 +413,44 @@ def q_trace_window(spark, sf_dir):
     return requests(trace.members(entries(spark, sf_dir), trace.window('"k": 7', 3600)))
 
 
+# limits on rows: all rows of a file are one thread, at a hundredth of their times
+_QUICK = f"""{E}, numbered AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts_millis // 100, line_no) AS i, count(*) OVER (PARTITION BY file_id) AS n FROM entries),
+a AS (SELECT file_id, i, n FROM numbered WHERE contains(raw, '"k": 7')),"""
+
+
+@query(
+    _QUICK.replace("WITH ev", "WITH RECURSIVE ev")
+    + """
+spans AS (SELECT file_id, min(i) AS made, greatest(min(i) - 500, 1) AS b, least(greatest(min(i) - 500, 1) + 999, any_value(n)) AS z, any_value(n) AS n FROM a GROUP BY file_id
+  UNION ALL SELECT s.file_id, min(a.i), greatest(min(a.i) - 500, 1), least(greatest(min(a.i) - 500, 1) + 999, any_value(s.n)), any_value(s.n) FROM spans s JOIN a ON a.file_id = s.file_id AND a.i > s.z + 501 GROUP BY s.file_id)
+SELECT s.file_id, f.line_no AS first_line, z - b + 1 AS n_rows, (SELECT count(*) FROM a WHERE a.file_id = s.file_id AND a.i BETWEEN s.made AND s.z + 501) AS n_anchors,
+  'not_found' AS end_reason, (made > 501 OR z < s.n) AS truncated FROM spans s JOIN numbered f ON f.file_id = s.file_id AND f.i = b WHERE made > 501 OR z < s.n"""
+)
+def q_trace_rows_cut(spark, sf_dir):
+    rows = entries(spark, sf_dir).withColumn("thread", F.lit("all")).withColumn("ts_millis", F.floor(F.col("ts_millis") / 100))
+    found = trace.members(rows, trace.boundary('"k": 7', "^no start$", "^no end$", 1440)).where("truncated")
+    heads = found.groupBy("file_id", "req").agg(F.min_by("line_no", "pos").alias("first_line"), F.count("*").alias("n_rows"), F.first("n_anchors").alias("n_anchors"), F.first("end_reason").alias("end_reason"), F.first("truncated").alias("truncated"))
+    return heads.drop("req")
+
+
+# a request counts as kept from the anchor on that brings the first row with the word; the first 200 of them stay
+@query(
+    f"""{E}, gaps AS (SELECT *, ts_millis - lag(ts_millis) OVER w > 3600000 AS fresh FROM entries WHERE contains(raw, '"k": 7') WINDOW w AS (PARTITION BY file_id, thread ORDER BY ts_millis, line_no)),
+numbered AS (SELECT *, sum(CASE WHEN fresh IS DISTINCT FROM false THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, thread ORDER BY ts_millis, line_no) AS g FROM gaps),
+sessions AS (SELECT file_id, thread, g, min(ts_millis) AS t0, max(ts_millis) AS t1, arg_min(line_no, (ts_millis, line_no)) AS l0, count(*) AS n_anchors FROM numbered GROUP BY ALL),
+apart AS (SELECT *, lag(t1) OVER (PARTITION BY file_id, thread ORDER BY g) AS past FROM sessions),
+held AS (SELECT s.*, e.line_no, e.ts_millis, e.level FROM apart s JOIN entries e ON e.file_id = s.file_id AND e.thread = s.thread AND e.ts_millis BETWEEN t0 - 3600000 AND t1 + 3600000 AND (past IS NULL OR e.ts_millis > past + 3600000)),
+hits AS (SELECT h.file_id, h.thread, h.g, CASE WHEN h.ts_millis <= t0 + 3600000 THEN (t0, h.file_id, l0) ELSE (SELECT min((a.ts_millis, a.file_id, a.line_no)) FROM numbered a WHERE a.file_id = h.file_id AND a.thread = h.thread AND a.g = h.g AND a.ts_millis >= h.ts_millis - 3600000) END AS k
+  FROM held h WHERE level = 'ERROR'),
+first AS (SELECT file_id, thread, g, min(k) AS k FROM hits GROUP BY ALL ORDER BY k LIMIT 200)
+SELECT '/logs/app' || h.file_id || '.log' AS source, h.thread, min(h.line_no) AS first_line, count(*) AS n_rows, any_value(n_anchors) AS n_anchors FROM held h JOIN first f ON h.file_id = f.file_id AND h.thread = f.thread AND h.g = f.g GROUP BY h.file_id, h.thread, h.g"""
+)
+def q_trace_filter_order(spark, sf_dir):
+    out = trace.run(entries(spark, sf_dir), files(spark), trace.window('"k": 7', 3600).filtered(contains=r"\]\[ERROR\]\["))
+    first = out.rows.groupBy("req_no").agg(F.min("line_no").alias("first_line"))
+    return out.requests.join(first, "req_no").select("source", "thread", "first_line", "n_rows", "n_anchors")
+
+
 @query("""WITH c AS (SELECT conv_id, turn, role, contains(text, 'the') AS hit, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations),
 cut AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, g ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM c)
 SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER (hit) AS n_anchors FROM cut WHERE g > 0 AND past = 0 GROUP BY conv_id, g HAVING count(*) FILTER (hit) > 0""")
