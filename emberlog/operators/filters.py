@@ -11,15 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.strings import ascii_lowered, find_ignoring_case, is_plain, quoted, trigrams
+from ..functions.strings import find_ignoring_case, is_plain, quoted
 from ..functions.times import parse_ui_datetime
+from . import postings as text_index
 from .custom import check_pattern
 
 
-#: Column of an index with the distinct trigrams of the ASCII-lowered text.
-GRAMS = "grams"
-
-
 def parse_levels(text: str | None) -> frozenset[str]:
     return frozenset(x.strip().upper() for x in (text or "").split(",") if x.strip())
 
@@ -61,12 +58,12 @@ class QueryFilter:
             out = out & c
         return out
 
-    def apply(self, entries: DataFrame, files: DataFrame) -> DataFrame:
-        """Source patterns are tried once for each file; the file list joins as a semi-join."""
-        out = entries
-        if GRAMS in entries.columns and is_plain(self.grep) and (wanted := trigrams(ascii_lowered(self.grep))):
-            # only a first sieve: the text itself decides
-            out = out.where(F.size(F.array_intersect(GRAMS, F.array(*[F.lit(g) for g in wanted]))) == len(wanted))
+    def apply(self, entries: DataFrame, files: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+        """Source patterns are tried once for each file; the file list joins as a semi-join.
+
+        With ``postings`` a literal text is looked for only in the blocks that may hold it.
+        """
+        out = text_index.narrowed(entries, postings, self.grep) if is_plain(self.grep) else entries
         out = out.where(self.column())
         if self.source:
             matching = files.where(find_ignoring_case(F.col("path"), self.source)).select("file_id")

@@ -37,11 +37,11 @@ def pages(total: int, limit: int) -> int:
     return -(-total // limit) if limit > 0 else 0
 
 
-def search(entries: DataFrame, files: DataFrame, query: QueryFilter, offset: int = 0, limit: int = DEFAULT_LIMIT) -> tuple[int, DataFrame]:
+def search(entries: DataFrame, files: DataFrame, query: QueryFilter, offset: int = 0, limit: int = DEFAULT_LIMIT, postings: DataFrame | None = None) -> tuple[int, DataFrame]:
     """(total, page). The total counts all matches, whatever the page; a pattern's text is
     read only where the cheaper conditions hold, and a page alone reads ``raw``."""
     query.check(entries.sparkSession)
-    matching = query.apply(entries, files)
+    matching = query.apply(entries, files, postings)
     return matching.count(), with_source(page(matching, offset, limit), files)
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import find_ignoring_case, holds
 from ..sources import scratch
+from . import postings as text_index
 from . import spans
 from .custom import check_pattern
 
@@ -120,8 +121,8 @@ def _schema(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
 
 
-def anchors_of(entries: DataFrame, spec: Trace) -> DataFrame:
-    return entries.where(holds(F.col("raw"), spec.id)).select(*CONTEXT, "ts_millis", "line_no")
+def anchors_of(entries: DataFrame, spec: Trace, postings: DataFrame | None = None) -> DataFrame:
+    return text_index.narrowed(entries, postings, spec.id).where(holds(F.col("raw"), spec.id)).select(*CONTEXT, "ts_millis", "line_no")
 
 
 def flagged(entries: DataFrame, anchors: DataFrame, spec: Trace) -> DataFrame:
@@ -314,14 +315,14 @@ def _settled(rows: DataFrame, spec: Trace, barred: Barred) -> tuple[list, _Cours
             return heads, course
 
 
-def run(entries: DataFrame, files: DataFrame, spec: Trace) -> Result:
-    """Anchors, requests in time order, and their rows."""
+def run(entries: DataFrame, files: DataFrame, spec: Trace, postings: DataFrame | None = None) -> Result:
+    """Anchors (by the text index, if there is one), requests in time order, and their rows."""
     spark = entries.sparkSession
     for p in (spec.start, spec.end, spec.contains, spec.excludes):
         if p:
             check_pattern(spark, p)
     entries = entries.withColumn("thread", F.coalesce("thread", F.lit("")))
-    anchors, anchors_path = scratch.save(anchors_of(entries, spec))
+    anchors, anchors_path = scratch.save(anchors_of(entries, spec, postings))
     total, barred = anchors.count(), Barred()
     wanted = total if spec.mode == "window" and spec.excludes else FIRST * spec.limits.examined
     while True:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings, times
 from ..operators import entries as assembly
-from ..operators import search, trace
+from ..operators import postings, search, trace
 from ..operators.custom import define
 from ..operators.filters import QueryFilter, same_context
 from ..operators.layouts import LAYOUTS, parse, with_header
@@ -275,6 +275,17 @@ def q_trigram_candidates(spark, sf_dir):
     return rows.where(F.size(F.array_intersect("g", F.array(*[F.lit(g) for g in grams]))) == len(grams)).select("event_id")
 
 
+@query(f"""{E} SELECT event_id, ts_millis, source FROM entries WHERE contains(lower(raw), 'purchase {{"k": 77') OR contains(lower(raw), 'exec-93')""")
+def q_grep_indexed(spark, sf_dir):
+    kept, _ = scratch.save(postings.numbered(search.ordered(entries(spark, sf_dir))))
+    path = scratch.folder(spark)
+    postings.write(postings.build(kept), path)
+    grams = spark.read.parquet(path)
+    # a pattern with signs that mean something is searched without the index
+    found = [QueryFilter(grep=g).apply(kept, files(spark), grams) for g in (r'Purchase \{"K": 77', "EXEC-93")]
+    return search.with_source(found[0].unionByName(found[1]).dropDuplicates(["event_id"]), files(spark)).select("event_id", "ts_millis", "source")
+
+
 @query(f"""{E} SELECT event_id, CASE WHEN contains(lower(raw), 'exec-1') THEN 1 WHEN contains(lower(raw), 'error') THEN 2 WHEN contains(lower(raw), '"k": 5') THEN 3 END AS class FROM entries""")
 def q_highlight_class(spark, sf_dir):
     return entries(spark, sf_dir).select("event_id", strings.highlight_class(F.col("raw"), ["EXEC-1", "error", '"k": 5']).alias("class"))

@@ -66,7 +66,7 @@ class Engine:
             return {"loading": True, "total": 0, "items": []}
         ix = self._ready()
         offset, limit = search.number_of(offset, 0), search.number_of(limit, search.DEFAULT_LIMIT)
-        total, rows = search.search(ix.entries, ix.files, QueryFilter.of(**conditions), offset, limit)
+        total, rows = search.search(ix.entries, ix.files, QueryFilter.of(**conditions), offset, limit, ix.postings)
         return {"total": total, "items": [json.loads(x) for x in search.shown(rows, F.col("raw")).toJSON().collect()]}
 
     def detail(self, source: str, line_no, timestamp: str | None = None) -> dict | None:
@@ -79,7 +79,7 @@ class Engine:
         if mode not in ("boundary", "window"):
             raise ValueError("mode is boundary or window")
         spec = trace.boundary(id, start, end, search.number_of(minutes, 10)) if mode == "boundary" else trace.window(id, search.number_of(seconds, 10))
-        out = trace.run(ix.entries, ix.files, spec.filtered(contains, excludes))
+        out = trace.run(ix.entries, ix.files, spec.filtered(contains, excludes), ix.postings)
         rows: dict[int, list] = {}
         for r in out.rows.collect():
             rows.setdefault(r.req_no, []).append(r.asDict())

@@ -12,12 +12,11 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.strings import ascii_lower, root_key, trigram_column
+from ..functions.strings import root_key
 from ..operators import entries as assembly
+from ..operators import postings as text_index
 from ..operators.custom import CustomLayout
-from ..operators.filters import GRAMS
 from ..operators.layouts import LAYOUTS, parse
 from . import discovery, lines, scratch
 from .paths import Paths
@@ -31,6 +30,7 @@ class Index:
     files: DataFrame
     meta: dict
     path: str | None = None
+    postings: DataFrame | None = None
 
 
 def fingerprint(spark: SparkSession, paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> str:
@@ -67,18 +67,19 @@ def read_entries(spark: SparkSession, paths: list[str], layout: str | CustomLayo
 
 
 def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, path: str, trigrams: bool = False) -> Index:
-    """Parse, write and publish; ``trigrams`` adds a column that literal searches try first."""
+    """Parse, write and publish; ``trigrams`` adds an inverted index for literal searches."""
     at, mark = Paths(spark), fingerprint(spark, paths, layout, trigrams)
     found, skipped, files = read_entries(spark, paths, layout)
-    if trigrams:
-        found = found.withColumn(GRAMS, trigram_column(ascii_lower(F.col("raw"))))
     new = f"{path}.new"
     at.delete(new)
     try:
         # ranges of time: min/max statistics then prune time conditions; ranges are found on a copy
         found, copy = scratch.save(found)
-        found.repartitionByRange("ts_millis", "file_id").sortWithinPartitions("ts_millis", "file_id", "line_no").write.parquet(f"{new}/entries")
+        inorder = text_index.numbered(found.repartitionByRange("ts_millis", "file_id").sortWithinPartitions("ts_millis", "file_id", "line_no"))
+        inorder.write.option("parquet.page.row.count.limit", text_index.ROWS).parquet(f"{new}/entries")
         scratch.drop(spark, copy)
+        if trigrams:
+            text_index.write(text_index.build(spark.read.parquet(f"{new}/entries")), f"{new}/postings")
         files.coalesce(1).write.parquet(f"{new}/files")
         count, samples = assembly.skipped_summary(skipped)
         meta = {"fingerprint": mark, "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples}
@@ -91,7 +92,8 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/files"), read_meta(spark, path), path)
+    postings = spark.read.parquet(f"{path}/postings") if Paths(spark).exists(f"{path}/postings") else None
+    return Index(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/files"), read_meta(spark, path), path, postings)
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
