@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import truncated, without_line_end
 from ..functions.times import format_iso
 from .filters import QueryFilter
+from .summary import Summary, answers
 
 ORDER = ("ts_millis", "file_id", "line_no")
 DEFAULT_LIMIT, MAX_LIMIT = 500, 5000
@@ -37,10 +38,16 @@ def pages(total: int, limit: int) -> int:
     return -(-total // limit) if limit > 0 else 0
 
 
-def search(entries: DataFrame, files: DataFrame, query: QueryFilter, offset: int = 0, limit: int = DEFAULT_LIMIT, postings: DataFrame | None = None) -> tuple[int, DataFrame]:
+def search(entries: DataFrame, files: DataFrame, query: QueryFilter, offset: int = 0, limit: int = DEFAULT_LIMIT, postings: DataFrame | None = None, counts: Summary | None = None) -> tuple[int, DataFrame]:
     """(total, page). The total counts all matches, whatever the page; a pattern's text is
-    read only where the cheaper conditions hold, and a page alone reads ``raw``."""
+    read only where the cheaper conditions hold, and a page alone reads ``raw``.
+
+    With ``counts``, levels, files and times are counted there, and a page reads its blocks."""
     query.check(entries.sparkSession)
+    if counts is not None and answers(query) and (found := counts.of(query, entries, files)) is not None:
+        total, offset, limit = found.total(), max(0, offset), max(0, min(limit, MAX_LIMIT))
+        rows, skipped = found.page(offset, limit, total)
+        return total, with_source(page(rows, skipped, limit), files)
     matching = query.apply(entries, files, postings)
     return matching.count(), with_source(page(matching, offset, limit), files)
 

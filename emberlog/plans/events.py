@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings, times
 from ..operators import entries as assembly
-from ..operators import postings, search, trace
+from ..operators import postings, search, summary, trace
 from ..operators.custom import define
 from ..operators.filters import QueryFilter, same_context
 from ..operators.layouts import LAYOUTS, parse, with_header
@@ -286,6 +286,28 @@ def q_grep_indexed(spark, sf_dir):
     return search.with_source(found[0].unionByName(found[1]).dropDuplicates(["event_id"]), files(spark)).select("event_id", "ts_millis", "source")
 
 
+_COUNTED = {  # page: (condition in SQL, the query, offset)
+    1: ("true", QueryFilter(), 3000),
+    2: ("level IN ('ERROR', 'WARN')", QueryFilter(levels=frozenset({"ERROR", "WARN"})), 700),
+    3: ("level = 'INFO' AND ts_millis BETWEEN 1704500000000 AND 1705500000000", QueryFilter(levels=frozenset({"INFO"}), since=1704500000000, until=1705500000000), 50),
+    4: ("file_id IN (2, 3) AND ts_millis >= 1704800000000", QueryFilter(source="app[23]", since=1704800000000), 900),
+}
+
+
+@query(
+    E + " UNION ALL ".join(f"SELECT * FROM (SELECT {k} AS page, count(*) OVER () AS total, event_id FROM entries WHERE {c} ORDER BY ts_millis, file_id, line_no LIMIT 40 OFFSET {o})" for k, (c, _, o) in _COUNTED.items())
+)
+def q_counted_pages(spark, sf_dir):
+    rows, _ = scratch.save(postings.numbered(search.ordered(entries(spark, sf_dir))))
+    path = scratch.folder(spark)
+    summary.write(summary.build(rows), path)
+    counts, pages = summary.Summary(spark.read.parquet(path)), []
+    for k, (_, q, offset) in _COUNTED.items():
+        total, page = search.search(rows, files(spark), q, offset, 40, counts=counts)
+        pages.append(page.select(F.lit(k).alias("page"), F.lit(total).cast("long").alias("total"), "event_id"))
+    return pages[0].unionAll(pages[1]).unionAll(pages[2]).unionAll(pages[3])
+
+
 @query(f"""{E} SELECT event_id, CASE WHEN contains(lower(raw), 'exec-1') THEN 1 WHEN contains(lower(raw), 'error') THEN 2 WHEN contains(lower(raw), '"k": 5') THEN 3 END AS class FROM entries""")
 def q_highlight_class(spark, sf_dir):
     return entries(spark, sf_dir).select("event_id", strings.highlight_class(F.col("raw"), ["EXEC-1", "error", '"k": 5']).alias("class"))

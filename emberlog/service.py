@@ -48,7 +48,7 @@ class Engine:
         out: dict = {"state": self.state, "directory": self.root, "layouts": [{"id": x.id, "name": x.label} for x in LAYOUTS.values()] + [{"id": x.id, "name": x.name} for x in self.formats.list()]}
         if self.index is not None:
             sources = {r.file_id: r.path for r in self.index.files.collect()}
-            out |= search.bounds(self.index.entries).first().asDict()
+            out |= (self.index.counts.bounds() if self.index.counts else search.bounds(self.index.entries)).first().asDict()
             out |= {"log_format": self.index.meta["log_format"], "skipped_lines": self.index.meta["skipped_lines"], "skipped_samples": [{"source": sources.get(f), "line_no": n, "preview": p} for f, n, p in self.index.meta["skipped_samples"]]}
         return out
 
@@ -66,7 +66,7 @@ class Engine:
             return {"loading": True, "total": 0, "items": []}
         ix = self._ready()
         offset, limit = search.number_of(offset, 0), search.number_of(limit, search.DEFAULT_LIMIT)
-        total, rows = search.search(ix.entries, ix.files, QueryFilter.of(**conditions), offset, limit, ix.postings)
+        total, rows = search.search(ix.entries, ix.files, QueryFilter.of(**conditions), offset, limit, ix.postings, ix.counts)
         return {"total": total, "items": [json.loads(x) for x in search.shown(rows, F.col("raw")).toJSON().collect()]}
 
     def detail(self, source: str, line_no, timestamp: str | None = None) -> dict | None:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.strings import root_key
 from ..operators import entries as assembly
 from ..operators import postings as text_index
+from ..operators import summary
 from ..operators.custom import CustomLayout
 from ..operators.layouts import LAYOUTS, parse
 from . import discovery, lines, scratch
@@ -31,6 +32,7 @@ class Index:
     meta: dict
     path: str | None = None
     postings: DataFrame | None = None
+    counts: summary.Summary | None = None
 
 
 def fingerprint(spark: SparkSession, paths: list[str], layout: str | CustomLayout, trigrams: bool = False) -> str:
@@ -78,6 +80,7 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
         inorder = text_index.numbered(found.repartitionByRange("ts_millis", "file_id").sortWithinPartitions("ts_millis", "file_id", "line_no"))
         inorder.write.option("parquet.page.row.count.limit", text_index.ROWS).parquet(f"{new}/entries")
         scratch.drop(spark, copy)
+        summary.write(summary.build(spark.read.parquet(f"{new}/entries")), f"{new}/counts")
         if trigrams:
             text_index.write(text_index.build(spark.read.parquet(f"{new}/entries")), f"{new}/postings")
         files.coalesce(1).write.parquet(f"{new}/files")
@@ -92,8 +95,10 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.parquet(f"{path}/postings") if Paths(spark).exists(f"{path}/postings") else None
-    return Index(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/files"), read_meta(spark, path), path, postings)
+    at = Paths(spark)
+    postings = spark.read.parquet(f"{path}/postings") if at.exists(f"{path}/postings") else None
+    counts = summary.Summary(spark.read.parquet(f"{path}/counts")) if at.exists(f"{path}/counts") else None
+    return Index(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/files"), read_meta(spark, path), path, postings, counts)
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
