@@ -82,9 +82,11 @@ def assemble(lines: DataFrame, layout: Format, sizes: DataFrame | None = None) -
 
 def skipped_summary(skipped: DataFrame) -> tuple[int, list[tuple[int, int, str]]]:
     """How many lines were skipped, and the first few in order."""
-    kept, _ = scratch.save(skipped)
+    kept, copy = scratch.save(skipped)
     first = kept.orderBy("file_id", "line_no").limit(SAMPLES).collect()
-    return kept.count(), [(r.file_id, r.line_no, r.preview) for r in first]
+    count = kept.count()
+    scratch.drop(skipped.sparkSession, copy)
+    return count, [(r.file_id, r.line_no, r.preview) for r in first]
 
 
 DETECT_LINES = 500

@@ -617,7 +617,7 @@ def _rendered(spark: SparkSession, sf_dir: str) -> str:
 
 def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     paths = discovery.find_log_files(spark, _rendered(spark, sf_dir))
-    found, _, listed = index.read_entries(spark, paths, "default")
+    found, _, listed, _ = index.read_entries(spark, paths, "default")
     return found, listed
 
 

@@ -19,7 +19,7 @@ from ..operators import postings as text_index
 from ..operators import summary
 from ..operators.custom import CustomLayout
 from ..operators.layouts import LAYOUTS, parse
-from . import discovery, lines, scratch
+from . import discovery, ingest, lines, scratch
 from .paths import Paths
 
 KEEP_DAYS, KEEP_NEWEST = 7, 20
@@ -61,25 +61,25 @@ def choose_layout(spark: SparkSession, paths: list[str], custom: list[CustomLayo
     return by_id.get(best, best)
 
 
-def read_entries(spark: SparkSession, paths: list[str], layout: str | CustomLayout) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, skipped lines, files) of log files."""
+def read_entries(spark: SparkSession, paths: list[str], layout: str | CustomLayout) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(entries, skipped lines, files, copies to drop) of log files."""
     files = discovery.files_table(spark, paths)
-    found, skipped = assembly.assemble(lines.read(spark, files, sorted(paths), lambda rows: assembly.headed(rows, layout)), layout, files)
-    return found, skipped, files
+    if not paths:
+        return *assembly.assemble(spark.createDataFrame([], lines.LINES), layout, files), files, []
+    found, skipped, copies = ingest.read(spark, files, sorted(paths), lambda rows: assembly.headed(rows, layout))
+    return found, skipped, files, copies
 
 
 def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, path: str, trigrams: bool = False) -> Index:
     """Parse, write and publish; ``trigrams`` adds an inverted index for literal searches."""
     at, mark = Paths(spark), fingerprint(spark, paths, layout, trigrams)
-    found, skipped, files = read_entries(spark, paths, layout)
+    found, skipped, files, copies = read_entries(spark, paths, layout)
     new = f"{path}.new"
     at.delete(new)
     try:
-        # ranges of time: min/max statistics then prune time conditions; ranges are found on a copy
-        found, copy = scratch.save(found)
+        # ranges of time: min/max statistics then prune time conditions
         inorder = text_index.numbered(found.repartitionByRange("ts_millis", "file_id").sortWithinPartitions("ts_millis", "file_id", "line_no"))
         inorder.write.option("parquet.page.row.count.limit", text_index.ROWS).parquet(f"{new}/entries")
-        scratch.drop(spark, copy)
         summary.write(summary.build(spark.read.parquet(f"{new}/entries")), f"{new}/counts")
         if trigrams:
             text_index.write(text_index.build(spark.read.parquet(f"{new}/entries")), f"{new}/postings")
@@ -90,6 +90,9 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
     except BaseException:
         at.delete(new)
         raise
+    finally:
+        for copy in copies:
+            scratch.drop(spark, copy)
     at.publish(new, path)
     return open_index(spark, path)
 
@@ -111,9 +114,11 @@ def read_meta(spark: SparkSession, path: str) -> dict:
 
 def in_memory(spark: SparkSession, paths: list[str], layout: str | CustomLayout) -> Index:
     """An index for this session only."""
-    found, skipped, files = read_entries(spark, paths, layout)
+    found, skipped, files, copies = read_entries(spark, paths, layout)
     kept, _ = scratch.save(found)
     count, samples = assembly.skipped_summary(skipped)
+    for copy in copies:
+        scratch.drop(spark, copy)
     return Index(kept, files, {"fingerprint": fingerprint(spark, paths, layout), "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples})
 
 

@@ -26,7 +26,7 @@ def write(folder, **files):
 
 
 def rows(spark, paths, layout="default"):
-    found, skipped, _ = index.read_entries(spark, paths, layout)
+    found, skipped, _, _ = index.read_entries(spark, paths, layout)
     return found.orderBy("file_id", "line_no").collect(), skipped.orderBy("file_id", "line_no").collect()
 
 
