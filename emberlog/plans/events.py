@@ -611,7 +611,7 @@ def _rendered(spark: SparkSession, sf_dir: str) -> str:
     for e in list(at.files(folder, lambda name: True)):
         number = e.path.rsplit("file_id=", 1)[-1].split("/")[0] if "file_id=" in e.path else None
         if number and e.name.startswith("part-"):
-            at.publish(e.path, f"{folder}/app{number}.log")
+            at.move(e.path, f"{folder}/app{number}.log")
     return folder
 
 

@@ -1,7 +1,11 @@
 """The stored index of a directory: entries as Parquet in time order, and a sidecar.
 
-An index is built beside its place and moved there when it is complete; a failed build
-leaves nothing. It is used again while the fingerprint of files and layout is the same.
+Every build is a version, a folder of its own below the index's place; its sidecar is
+written last and says that it is complete. Then the place's sidecar names it. Nothing is
+moved or replaced before that, so a build that stops anywhere leaves the version before,
+and those who opened that go on reading it: it goes with the build after the next one. Where
+the place's sidecar is missing or torn, the newest complete version counts. An index is used
+again while the fingerprint of files and layout is the same.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 import json
 import posixpath
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +28,7 @@ from . import discovery, ingest, lines, scratch
 from .paths import Paths
 
 KEEP_DAYS, KEEP_NEWEST = 7, 20
+VERSION = "v-"
 
 
 @dataclass
@@ -74,8 +80,9 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
     """Parse, write and publish; ``trigrams`` adds an inverted index for literal searches."""
     at, mark = Paths(spark), fingerprint(spark, paths, layout, trigrams)
     found, skipped, files, copies = read_entries(spark, paths, layout)
-    new = f"{path}.new"
-    at.delete(new)
+    before = _version(spark, path)
+    version = f"{VERSION}{uuid.uuid4().hex}"
+    new = f"{path}/{version}"
     try:
         # ranges of time: min/max statistics then prune time conditions
         inorder = text_index.numbered(found.repartitionByRange("ts_millis", "file_id").sortWithinPartitions("ts_millis", "file_id", "line_no"))
@@ -85,28 +92,60 @@ def build(spark: SparkSession, paths: list[str], layout: str | CustomLayout, pat
             text_index.write(text_index.build(spark.read.parquet(f"{new}/entries")), f"{new}/postings")
         files.coalesce(1).write.parquet(f"{new}/files")
         count, samples = assembly.skipped_summary(skipped)
-        meta = {"fingerprint": mark, "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples}
+        meta = {"fingerprint": mark, "log_format": layout if isinstance(layout, str) else layout.id, "skipped_lines": count, "skipped_samples": samples, "version": version}
         at.write(f"{new}/meta.json", json.dumps(meta))
+        at.write(f"{path}/meta.json", json.dumps(meta))
     except BaseException:
         at.delete(new)
+        if not at.listed(path):
+            at.delete(path)
         raise
     finally:
         for copy in copies:
             scratch.drop(spark, copy)
-    at.publish(new, path)
+    _clear(spark, path, {version, before})
     return open_index(spark, path)
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
+def _complete(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(time, name) of the versions that were written to their end."""
     at = Paths(spark)
-    postings = spark.read.parquet(f"{path}/postings") if at.exists(f"{path}/postings") else None
-    counts = summary.Summary(spark.read.parquet(f"{path}/counts")) if at.exists(f"{path}/counts") else None
-    return Index(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/files"), read_meta(spark, path), path, postings, counts)
+    return [(e.mtime_ms, e.name) for e in at.listed(path) if e.folder and e.name.startswith(VERSION) and at.exists(f"{e.path}/meta.json")]
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The version that the place's sidecar names, or the newest complete one."""
+    at = Paths(spark)
+    try:
+        named = json.loads(at.read(f"{path}/meta.json"))["version"]
+        if at.exists(f"{path}/{named}/meta.json"):
+            return named
+    except Exception:  # noqa: BLE001  missing or torn, as the JVM or the parser says it
+        pass
+    return max(_complete(spark, path), default=(0, None))[1]
+
+
+def _clear(spark: SparkSession, path: str, kept: set[str | None]) -> None:
+    """Complete versions that nobody should still read; others may be in the making."""
+    for _, name in _complete(spark, path):
+        if name not in kept:
+            Paths(spark).delete(f"{path}/{name}")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    at, meta = Paths(spark), read_meta(spark, path)
+    here = f"{path}/{meta['version']}"
+    postings = spark.read.parquet(f"{here}/postings") if at.exists(f"{here}/postings") else None
+    counts = summary.Summary(spark.read.parquet(f"{here}/counts"))
+    return Index(spark.read.parquet(f"{here}/entries"), spark.read.parquet(f"{here}/files"), meta, path, postings, counts)
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
     """The sidecar; broken samples count as none."""
-    meta = json.loads(Paths(spark).read(f"{path}/meta.json"))
+    version = _version(spark, path)
+    if version is None:
+        raise ValueError(f"no index at {path}")
+    meta = json.loads(Paths(spark).read(f"{path}/{version}/meta.json"))
     samples = meta.get("skipped_samples")
     meta["skipped_samples"] = [tuple(x) for x in samples if isinstance(x, list) and len(x) == 3] if isinstance(samples, list) else []
     return meta
@@ -126,7 +165,7 @@ def needs_rebuild(spark: SparkSession, path: str, paths: list[str], layout: str
     if not paths:
         return False
     try:
-        return not Paths(spark).exists(f"{path}/meta.json") or read_meta(spark, path)["fingerprint"] != fingerprint(spark, paths, layout, trigrams)
+        return read_meta(spark, path)["fingerprint"] != fingerprint(spark, paths, layout, trigrams)
     except (ValueError, KeyError):
         return True
 
@@ -136,7 +175,7 @@ def load(spark: SparkSession, home: str, root: str, custom: list[CustomLayout] |
     paths = discovery.find_log_files(spark, root)
     layout = choose_layout(spark, paths, custom or [], wanted)
     path = place(spark, home, root)
-    if needs_rebuild(spark, path, paths, layout, trigrams) or not Paths(spark).exists(f"{path}/meta.json"):
+    if needs_rebuild(spark, path, paths, layout, trigrams) or _version(spark, path) is None:
         out = build(spark, paths, layout, path, trigrams)
     else:
         out = open_index(spark, path)

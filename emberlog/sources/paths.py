@@ -89,8 +89,8 @@ class Paths:
         fs, p = self._at(path)
         fs.delete(p, True)
 
-    def publish(self, new: str, path: str) -> None:
-        """Move a finished folder to its place; what stood there goes first."""
+    def move(self, new: str, path: str) -> None:
+        """Move a file or folder to its place; what stood there goes first."""
         self.delete(path)
         fs, p = self._at(new)
         if not fs.rename(p, self._at(path)[1]):

@@ -242,3 +242,41 @@ def test_stream(spark, tmp_path):
         follow(spark, str(write_to), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts_millis").select("message", "raw").collect()
     assert [(r.message, r.raw) for r in got] == [("one", head(1, "one") + "more\n"), ("two", head(2, "two"))]
+
+
+def test_a_build_that_stops_anywhere_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from emberlog.sources.paths import Paths
+
+    (tmp_path / "logs").mkdir()
+    place, old, new = str(tmp_path / "ix"), write(tmp_path / "logs", a=head(1, "old")), write(tmp_path / "logs", b=head(2, "new"))
+    first = index.build(spark, old, "default", place, trigrams=True)
+    steps = {"n": 0, "stop": 0}
+
+    def stopping(f):
+        def run(self, *a, **k):
+            if "ix" in str(a[0]):
+                steps["n"] += 1
+                if steps["n"] == steps["stop"]:
+                    raise RuntimeError("stopped")
+            return f(self, *a, **k)
+
+        return run
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", stopping(DataFrameWriter.parquet))
+    monkeypatch.setattr(Paths, "write", stopping(Paths.write))
+    for stop in range(1, 7):  # entries, counts, postings, files, the version's sidecar, the place's
+        steps |= {"n": 0, "stop": stop}
+        with pytest.raises(RuntimeError):
+            index.build(spark, old + new, "default", place, trigrams=True)
+        found = index.open_index(spark, place)
+        assert [r.message for r in found.entries.collect()] == ["old"] and [e.name for e in os.scandir(place) if e.is_dir()] == [first.meta["version"]]
+    steps |= {"n": 0, "stop": 0}
+    second = index.build(spark, old + new, "default", place, trigrams=True)
+    assert sorted(r.message for r in second.entries.collect()) == ["new", "old"]
+    assert [r.message for r in first.entries.collect()] == ["old"]  # whoever opened it goes on reading it
+    (tmp_path / "ix" / "meta.json").write_text('{"ver')  # torn: the newest complete version counts
+    assert index.open_index(spark, place).meta["version"] == second.meta["version"]
+    third = index.build(spark, old, "default", place)
+    assert sorted(e.name for e in os.scandir(place) if e.is_dir()) == sorted([second.meta["version"], third.meta["version"]])
