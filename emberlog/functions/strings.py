@@ -124,6 +124,14 @@ def is_uuid(x: str) -> bool:
     return bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", x))
 
 
+def is_format_id_column(x: Column) -> Column:
+    return x.rlike(r"\A[a-z0-9][a-z0-9-]*\z")
+
+
+def is_uuid_column(x: Column) -> Column:
+    return x.rlike(r"\A[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z")
+
+
 def has_control(x: str) -> bool:
     return any(ord(c) < 32 or ord(c) == 127 for c in x)
 

@@ -647,6 +647,35 @@ def q_stored_index(spark, sf_dir):
     return ix.entries.groupBy("level").agg(F.count("*").alias("n"), F.min("ts_millis").alias("first"), F.max(F.octet_length("raw")).cast("long").alias("longest"))
 
 
+@query(_FILES + "SELECT 'app' || file_id || '.log' AS name, CASE file_id WHEN 1 THEN 1 ELSE 2 END AS file_id, CAST(sum(octet_length(encode(body))) AS BIGINT) AS size FROM placed WHERE file_id <> 2 GROUP BY placed.file_id")
+def q_pruned_folders(spark, sf_dir):
+    """One of three files lies in a folder that is not entered."""
+    folder, at = _rendered(spark, sf_dir), Paths(spark)
+    at.write(f"{folder}/node_modules/server.log", "not found either")
+    at.move(f"{folder}/app2.log", f"{folder}/node_modules/app2.log")
+    return discovery.files_table(spark, discovery.find_log_files(spark, folder)).select(F.substring_index("path", "/", -1).alias("name"), "file_id", "size")
+
+
+@query(
+    """WITH x AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events),
+ids AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'fmt-' || event_id WHEN 1 THEN '-' || h WHEN 2 THEN 'Fmt' || event_id WHEN 3 THEN substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21) ELSE substring(h, 1, 8) || '-' || substring(h, 9) END AS id FROM x)
+SELECT event_id, regexp_full_match(id, '[a-z0-9][a-z0-9-]*') AS is_format, regexp_full_match(id, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}') AS is_uuid FROM ids"""
+)
+def q_safe_ids(spark, sf_dir):
+    n, h = F.col("event_id"), F.md5(F.col("event_id").cast("string"))
+    cut = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    given = F.when(n % 5 == 0, F.concat(F.lit("fmt-"), n.cast("string"))).when(n % 5 == 1, F.concat(F.lit("-"), h)).when(n % 5 == 2, F.concat(F.lit("Fmt"), n.cast("string"))).when(n % 5 == 3, cut).otherwise(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 24)))
+    return table(spark, sf_dir, "events").select("event_id", strings.is_format_id_column(given).alias("is_format"), strings.is_uuid_column(given).alias("is_uuid"))
+
+
+@query(f"SELECT '/documents/' || file_id || '.log' AS source, line_no, preview FROM ({ORACLE_SQL['q_skipped_lines']})")
+def q_skipped_sources(spark, sf_dir):
+    """Skipped lines with the paths of their files."""
+    _, skipped = assembly.assemble(_document_lines(spark, sf_dir), "default")
+    listed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("/documents/"), F.col("doc_id").cast("string"), F.lit(".log")).alias("source"))
+    return skipped.join(listed, "file_id").select("source", "line_no", "preview")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and warnings of a time range whose text matches, one page in order."""
     q = QueryFilter.of(level="ERROR,WARN", since="2024-01-02", grep=r'"k": \d')
