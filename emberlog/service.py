@@ -5,7 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import threading
+import uuid
 
+from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -30,22 +33,77 @@ class Engine:
         self.root: str | None = None
         self.state, self.error = "idle", ""
         self.index: index.Index | None = None
+        self._lock = threading.Lock()
+        self._group = ""  # of the jobs of the load that counts; an earlier one's result is dropped
+        self._loader: threading.Thread | None = None
 
     def load(self, directory: str, layout: str = "auto", trigrams: bool = False) -> dict:
+        """Load and wait for it; what goes wrong is raised."""
+        failed: list[BaseException] = []
+        self._begin(directory, layout, trigrams, failed).join()
+        if failed:
+            raise failed[0]
+        return self.meta()
+
+    def start(self, directory: str, layout: str = "auto", trigrams: bool = False) -> dict:
+        """Load in the background; ``meta`` tells how far it is. A load under way is cancelled."""
+        self._begin(directory, layout, trigrams, [])
+        return {"state": "loading"}
+
+    def cancel(self) -> None:
+        """Stop the load under way, its jobs to come included; an index that was ready stays."""
+        with self._lock:
+            group, loader, self._group = self._group, self._loader, ""
+            if self.state == "loading":
+                self.state = "idle" if self.index is None else "ready"
+        if loader is not None and loader.is_alive():
+            self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
+            loader.join(90)
+
+    def _begin(self, directory: str, layout: str, trigrams: bool, failed: list[BaseException]) -> threading.Thread:
         root = Paths(self.spark).real(directory)
         if not Paths(self.spark).is_folder(root):
             raise ValueError(f"not a directory: {directory}")
-        self.state, self.error = "loading", ""
-        try:
-            self.index = index.load(self.spark, os.path.join(self.home, "index"), root, self.formats.list(), layout, trigrams)
-        except BaseException as e:
-            self.state, self.error = "error", str(e)
-            raise
-        self.root, self.state = root, "ready"
-        return self.meta()
+        self.cancel()
+        group = f"load-{uuid.uuid4().hex}"
+
+        def work() -> None:
+            self.spark.sparkContext.setJobGroup(group, f"load {root}")
+            found, error = None, ""
+            try:
+                found = index.load(self.spark, os.path.join(self.home, "index"), root, self.formats.list(), layout, trigrams)
+            except BaseException as e:  # noqa: BLE001  told by the state, and by ``load``
+                failed.append(e)
+                error = str(e)
+            with self._lock:
+                if self._group != group:
+                    return
+                self.state, self.error = ("error", error) if found is None else ("ready", "")
+                if found is not None:
+                    self.index, self.root = found, root
+
+        with self._lock:
+            self._group, self.state, self.error = group, "loading", ""
+            self._loader = InheritableThread(target=work, daemon=True)
+        self._loader.start()
+        return self._loader
+
+    def progress(self) -> dict:
+        """Jobs begun, and tasks done and known, of the load that counts."""
+        tracker, jobs, done, known = self.spark.sparkContext.statusTracker(), 0, 0, 0
+        for job in tracker.getJobIdsForGroup(self._group) if self._group else ():
+            jobs += 1
+            for stage in (info.stageIds if (info := tracker.getJobInfo(job)) else ()):
+                if at := tracker.getStageInfo(stage):
+                    done, known = done + at.numCompletedTasks, known + at.numTasks
+        return {"jobs": jobs, "tasks_done": done, "tasks": known}
 
     def meta(self) -> dict:
         out: dict = {"state": self.state, "directory": self.root, "layouts": [{"id": x.id, "name": x.label} for x in LAYOUTS.values()] + [{"id": x.id, "name": x.name} for x in self.formats.list()]}
+        if self.state == "loading":
+            return out | {"progress": self.progress()}
+        if self.error:
+            out["error"] = self.error
         if self.index is not None:
             sources = {r.file_id: r.path for r in self.index.files.collect()}
             out |= (self.index.counts.bounds() if self.index.counts else search.bounds(self.index.entries)).first().asDict()

@@ -280,3 +280,43 @@ def test_a_build_that_stops_anywhere_leaves_the_version_before(spark, tmp_path,
     assert index.open_index(spark, place).meta["version"] == second.meta["version"]
     third = index.build(spark, old, "default", place)
     assert sorted(e.name for e in os.scandir(place) if e.is_dir()) == sorted([second.meta["version"], third.meta["version"]])
+
+
+def test_loading_in_the_background(spark, tmp_path, monkeypatch):
+    import time
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    write(tmp_path / "a", a=head(1, "first"))
+    write(tmp_path / "b", b=head(2, "second"))
+    engine, load, seen = Engine(spark, str(tmp_path / "home")), index.load, []
+
+    def slow(batches):
+        time.sleep(60)
+        yield from batches
+
+    def slowly(spark, home, root, *rest):
+        if root.endswith("/a"):
+            spark.range(4).mapInArrow(slow, "id long").count()
+        return load(spark, home, root, *rest)
+
+    monkeypatch.setattr(index, "load", slowly)
+    assert engine.start(str(tmp_path / "a")) == {"state": "loading"}
+    begun = time.time()
+    while not seen or not seen[-1]["progress"]["tasks"]:
+        seen.append(engine.meta())
+        assert seen[-1]["state"] == "loading" and engine.logs() == {"loading": True, "total": 0, "items": []} and time.time() < begun + 30
+        time.sleep(0.2)
+    engine.start(str(tmp_path / "b"))  # cancels the first
+    while engine.meta()["state"] == "loading" and time.time() < begun + 50:
+        time.sleep(0.2)
+    assert time.time() < begun + 50 and [i["message"] for i in engine.logs()["items"]] == ["second"] and engine.root.endswith("/b")
+    engine.start(str(tmp_path / "a"))
+    engine.cancel()
+    assert engine.meta()["state"] == "ready" and engine.root.endswith("/b")
+    with pytest.raises(ValueError):
+        engine.start(str(tmp_path / "none"))
+    engine.start(str(tmp_path / "b"), "nothing")
+    while engine.meta()["state"] == "loading":
+        time.sleep(0.1)
+    assert engine.meta()["state"] == "error" and "nothing" in engine.meta()["error"]
