@@ -20,6 +20,8 @@ in the same way. Totals of other dishes are those of the sweep before, as is usu
 Gibbs runs on many machines. Up to ``EXACT`` customers of a dish the numbers S come from their
 recursion, beyond that from a saddle point. Scores use (c - d t), (theta + d t_u) and P(w), each
 averaged over the sampled sweeps, so that P(. | u) sums to one.
+A draw's random numbers come from the sweep and the dish's own keys, so that a table has one
+score however its rows are dealt to partitions and tasks.
 
 Words have codes: the ``FREQUENT`` most frequent ones, which are broadcast, an index, all
 others a negative hash. Pairs of words are counted and looked up by blocks, a hash of both
@@ -28,7 +30,8 @@ their restaurants by broadcast, those of rare words, none of which can be hot, i
 scoring, the most frequent pairs are broadcast too and the others of a document meet the
 model in one shuffle; what comes back is summed by document.
 
-Null text is the empty text, whose only token is the end. Rows are scored one by one, also
+Null text is the empty text, whose only token is the end. Long texts are read whole, in
+slices. Rows are scored one by one, also
 those of equal doc_id; ties do not matter, as nothing is ranked but frequencies, by which
 equal ones fall on the same side. A null doc_id counts as the text '' in the split. With no training
 rows at all every score comes from the uniform parent. Extra columns are ignored.
@@ -290,8 +293,43 @@ class Root:
         return (c - self.root_discount * t + (s + self.root_discount * self.tables) / (self.vocabulary + 1)) / (s + self.customers)
 
 
-def draw(customers: np.ndarray, new, d: float, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, each bit of which depends on all of x's (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Draws:
+    """Random numbers that depend on a seed and a row's own keys, however rows are dealt to tasks."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, seed: Iterable[int], *keys: np.ndarray):
+        self.keys = np.zeros(len(keys[0]), np.uint64)
+        for x in [*(np.array([n], np.uint64) for n in seed), *(k.astype(np.int64).view(np.uint64) for k in keys)]:
+            self.keys = mixed(self.keys + self.STEP + x)
+
+    def of(self, rows: np.ndarray) -> Draws:
+        out = object.__new__(Draws)
+        out.keys = self.keys[rows]
+        return out
+
+    def _open(self, first: int, n: int) -> np.ndarray:
+        """n numbers a row between 0 and 1, without either."""
+        x = mixed(self.keys[:, None] + self.STEP * np.arange(first + 1, first + n + 1, dtype=np.uint64))
+        return ((x >> np.uint64(12)) + 0.5) * 2.0**-52
+
+    def gumbel(self, size: tuple[int, int]) -> np.ndarray:
+        return -np.log(-np.log(self._open(1, size[1])))
+
+    def random(self, n: int) -> np.ndarray:
+        return self._open(0, 1)[:, 0]
+
+
+def draw(customers: np.ndarray, new, d: float, rng: np.random.Generator | Draws, stirling: np.ndarray) -> np.ndarray:
     """Tables of each dish; new(rows, j) is the weight of a new table when j are there."""
+    own = rng.of if isinstance(rng, Draws) else lambda rows: rng
     tables = np.minimum(customers, 1)
     small = np.flatnonzero((customers > 1) & (customers <= EXACT))
     small = small[np.argsort(customers[small], kind="stable")]
@@ -302,11 +340,11 @@ def draw(customers: np.ndarray, new, d: float, rng: np.random.Generator, stirlin
         for x in range(a, b, room):
             some = small[x : min(x + room, b)]
             weight = np.log(new(some[:, None], np.arange(c)[None, :])).cumsum(1) + stirling[c, 1 : c + 1]
-            tables[some] = (weight + rng.gumbel(size=weight.shape)).argmax(1) + 1
+            tables[some] = (weight + own(some).gumbel(size=weight.shape)).argmax(1) + 1
     big = np.flatnonzero(customers > EXACT)
     for x in range(0, len(big), 4096):
         some = big[x : x + 4096]
-        tables[some] = draw_many(customers[some].astype(np.float64), lambda i, j, some=some: new(some[i], j), d, rng, stirling)
+        tables[some] = draw_many(customers[some].astype(np.float64), lambda i, j, some=some: new(some[i], j), d, own(some), stirling)
     return tables
 
 
@@ -347,7 +385,7 @@ class Seatings:
         return self.plain(c, np.minimum(t, c - 0.5)) + self.lack[np.minimum(t.astype(np.int64), len(self.lack)) - 1]
 
 
-def draw_many(c: np.ndarray, new, d: float, rng: np.random.Generator, stirling: np.ndarray, points: int = 64) -> np.ndarray:
+def draw_many(c: np.ndarray, new, d: float, rng: np.random.Generator | Draws, stirling: np.ndarray, points: int = 64) -> np.ndarray:
     """The same for dishes of many customers, on a grid that closes in on where the weight lies."""
     seatings, rows = Seatings(d, stirling), np.arange(len(c))[:, None]
     lo, hi = np.ones((len(c), 1)), c[:, None].copy()
@@ -370,7 +408,7 @@ def draw_many(c: np.ndarray, new, d: float, rng: np.random.Generator, stirling:
     return np.clip(start + np.floor(rng.random(len(c)) * size), 1, c).astype(np.int64)
 
 
-def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, c0: np.ndarray, t0: np.ndarray, z: Root, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
+def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, c0: np.ndarray, t0: np.ndarray, z: Root, rng: np.random.Generator | Draws, stirling: np.ndarray) -> np.ndarray:
     """New numbers of tables of dishes with c customers at t tables.
 
     ``total`` are the tables of each one's restaurant, c0 and t0 the customers and tables of
@@ -388,7 +426,7 @@ def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, c0: np.ndarray, t0: np
     return draw(c, new, z.discount, rng, stirling)
 
 
-def seat_root(c0: np.ndarray, t0: np.ndarray, z: Root, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
+def seat_root(c0: np.ndarray, t0: np.ndarray, z: Root, rng: np.random.Generator | Draws, stirling: np.ndarray) -> np.ndarray:
     rest = z.tables - t0
 
     def new(i, j):
@@ -521,12 +559,11 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
     t0 = np.minimum(c0, 1)
     totals, chances, unknown = np.zeros(size), np.zeros(size), 0.0
 
-    def sweep(seed: list[int], z: Root, shared, sampled: bool):
+    def sweep(seed: int, z: Root, shared, sampled: bool):
         schema = pa.schema([(x, pa.int64()) for x in ("u", "w", "c", "t", "ts")])
 
         def run(it):
             total, c0, t0 = shared.value
-            rng = np.random.default_rng([*seed, TaskContext.get().partitionId()])
             low = log_stirling(z.discount, EXACT)
             for b in it:
                 u, w, c, t, ts = (b.column(x).to_numpy() for x in ("u", "w", "c", "t", "ts"))
@@ -537,7 +574,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
                 if "total" in b.schema.names:
                     for i, (x, code) in enumerate((("total", u), ("c0", w), ("t0", w))):
                         mine[i] = np.where(code < 0, b.column(x).fill_null(0).to_numpy(), mine[i])
-                fresh = seat(c, t, *mine, z, rng, low)
+                fresh = seat(c, t, *mine, z, Draws([seed], u, w), low)
                 yield text.table(schema, u, w, c, fresh, ts + fresh if sampled else ts)
 
         return run
@@ -546,11 +583,10 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
         schema = pa.schema([("code", pa.int64()), ("c", pa.int64()), ("after", pa.int64()), ("before", pa.int64()), ("total", pa.int64()), ("c0", pa.int64()), ("t0", pa.int64()), ("chances", pa.float64()), ("totals", pa.int64())])
 
         def run(it):
-            rng = np.random.default_rng([number, 1, TaskContext.get().partitionId()])
             top = log_stirling(z.root_discount, EXACT)
             for b in it:
                 c0 = b.column("c0").to_numpy()
-                t0 = seat_root(c0, b.column("t0").to_numpy(), z, rng, top)
+                t0 = seat_root(c0, b.column("t0").to_numpy(), z, Draws([number, 1], b.column("code").to_numpy()), top)
                 yield text.table(schema, *(b.column(x) for x in ("code", "c", "after", "before", "total", "c0")), t0, b.column("chances"), b.column("totals"))
 
         return run
@@ -561,7 +597,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
         shared = spark.sparkContext.broadcast((total, c0, t0))
         common = dishes.where("u >= 0 and w >= 0")
         others = dishes.where("u < 0 or w < 0").join(rare.select(F.col("code").alias("u"), "total"), "u", "left").join(rare.select(F.col("code").alias("w"), "c0", "t0"), "w", "left")
-        new, new_path = store.save(common.mapInArrow(sweep([number, 3], z, shared, sampled), kind).unionByName(others.mapInArrow(sweep([number, 4], z, shared, sampled), kind)))
+        new, new_path = store.save(common.mapInArrow(sweep(number, z, shared, sampled), kind).unionByName(others.mapInArrow(sweep(number, z, shared, sampled), kind)))
         store.drop(spark, path)
         shared.unpersist()
         dishes, path = new, new_path
@@ -573,7 +609,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
         moved = moved.select("code", "c", "after", "before", (F.col("after") + F.coalesce("x", zero)).alias("total"), (F.col("before") + F.coalesce("y", zero)).alias("c0"), "t0", "chances", "totals")
         sat, sat_path = store.save(moved.mapInArrow(root_sweep(number, z), rare.schema))
         store.drop(spark, rare_path)
-        t0 = seat_root(c0, np.minimum(t0, c0), z, np.random.default_rng([number, 2]), top)
+        t0 = seat_root(c0, np.minimum(t0, c0), z, Draws([number, 2], np.arange(size)), top)
         sums = sat.agg(F.coalesce(F.sum("c0"), zero).alias("c"), F.coalesce(F.sum("t0"), zero).alias("t")).first()
         z = replace(z, customers=float(sums.c + c0.sum()), tables=float(sums.t + t0.sum()))
         rare, rare_path = sat, sat_path

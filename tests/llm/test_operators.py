@@ -353,6 +353,31 @@ def test_word_order_and_copies_matter(spark):
     assert got[60] > got[61] + 20 and math.isclose(got[60], got[5])
 
 
+@pytest.mark.parametrize("frequent", [5, 1 << 19])
+def test_scores_do_not_depend_on_partitions(spark, frequent):
+    texts = [" ".join(words(90, i, 40)) for i in range(60)] * 3
+    had, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            docs = make(spark, list(enumerate(texts))).repartition(n)
+            m = pitman.train_model(docs.where("doc_id % 3 > 0").select("text"), frequent=frequent)
+            got.append({r.doc_id: r.score for r in pitman.score(docs, m).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-6) for i in range(len(texts)))
+
+
+def test_draws_are_even_and_follow_their_keys():
+    keys = np.arange(20_000)
+    d = pitman.Draws([3], keys, -keys)
+    r, g = d.random(len(keys)), d.gumbel((len(keys), 4))
+    assert abs(r.mean() - 0.5) < 0.01 and abs(r.var() - 1 / 12) < 0.005 and len(np.unique(r)) == len(r)
+    assert abs(g.mean() - 0.5772) < 0.02 and abs(g.var() - math.pi**2 / 6) < 0.05 and abs(np.corrcoef(g.T) - np.eye(4)).max() < 0.03
+    some = np.array([7, 19_999, 7])
+    assert (d.of(some).gumbel((3, 4)) == g[some]).all() and (pitman.Draws([4], keys, -keys).random(len(keys)) != r).all()
+
+
 def test_seating_against_gibbs_of_single_customers():
     r = random.Random(3)
     texts = [" ".join(f"w{min(int(r.expovariate(0.4)), 7)}" for _ in range(8)) for _ in range(14)]
