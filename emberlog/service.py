@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.times import parse_ui_datetime
 from .operators import search, trace
-from .operators.custom import try_layout
+from .operators.custom import CustomLayout, try_layout
 from .operators.filters import QueryFilter
 from .operators.layouts import LAYOUTS
 from .sources import discovery, index
@@ -29,7 +29,7 @@ class Engine:
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.home = spark, home
         self.formats = FormatStore(os.path.join(home, "log-formats.txt"), spark)
-        self.saved = SavedSearches(os.path.join(home, "saved-searches.json"))
+        self.saved = SavedSearches(os.path.join(home, "saved-searches.json"), spark)
         self.root: str | None = None
         self.state, self.error = "idle", ""
         self.index: index.Index | None = None
@@ -111,7 +111,7 @@ class Engine:
         return out
 
     def browse(self, path: str | None = None) -> dict:
-        return discovery.browse(path)
+        return discovery.browse(path, self.spark)
 
     def _ready(self) -> index.Index:
         if self.index is None:
@@ -144,10 +144,52 @@ class Engine:
         requests = [r.asDict() | {"entries": rows[r.req_no]} for r in out.requests.collect()]
         return {"anchor_total": out.anchor_total, "truncated": out.truncated, "filtered_out": out.filtered_out, "requests": requests}
 
+    def saved_searches(self) -> dict:
+        """What is saved, how many items of the file were left out, and why nothing can be saved."""
+        items, skipped, overflow = self.saved.load()
+        return {"file": self.saved.path, "items": [i.record() for i in items], "skipped": skipped, "writable": not (skipped or overflow)}
+
+    def save_search(self, name: str, mode: str = "search", fields: dict[str, str] | None = None) -> dict:
+        return self.saved.upsert(name, mode, fields or {}).record()
+
+    def delete_search(self, id: str) -> bool:
+        """False if there is none of this id."""
+        return self.saved.delete(id)
+
+    def replay(self, id: str, **more) -> dict:
+        """The answer to a saved search or trace; ``more`` goes to ``logs`` or ``session_trace``."""
+        item = next((i for i in self.saved.list() if i.id == id), None)
+        if item is None:
+            raise ValueError(f"no such saved search: {id}")
+        f = item.fields
+        if item.mode == "trace":
+            asked = {"id": f.get("trace-id", ""), "mode": f.get("trace-mode", "boundary"), "start": f.get("trace-start", ""), "end": f.get("trace-end", ""), "minutes": f.get("trace-max-minutes"), "seconds": f.get("trace-window-secs"), "contains": f.get("trace-contains", ""), "excludes": f.get("trace-excludes", "")}
+            return self.session_trace(**(asked | more))
+        asked = {k: f[k] for k in ("level", "logger", "thread", "message", "grep", "source") if k in f} | {"limit": f.get("page-limit")}
+        for k in ("since", "until"):
+            if day := f.get(f"{k}-date"):
+                asked[k] = f"{day} {clock}" if (clock := f.get(f"{k}-time")) else day
+        return self.logs(**(asked | more))
+
+    def log_formats(self) -> dict:
+        """User-defined layouts, and what of their file was left out and why."""
+        now = self.formats.load()
+        return {"file": self.formats.path, "items": [_format(x) for x in now.formats], "skipped_formats": now.skipped_formats, "skipped_lines": now.skipped_lines, "warnings": now.warnings}
+
+    def save_format(self, id: str, name: str | None, pattern: str, timestamp: str) -> dict:
+        return _format(self.formats.upsert(id, name, pattern, timestamp))
+
+    def delete_format(self, id: str) -> bool:
+        return self.formats.delete(id)
+
     def try_format(self, sample: str, pattern: str | None, timestamp: str | None = None, id: str | None = None, name: str | None = None) -> dict:
         return try_layout(self.spark, sample, pattern, timestamp, id, name)
 
 
+def _format(x: CustomLayout) -> dict:
+    return {"id": x.id, "name": x.name, "pattern": x.pattern, "timestamp": x.timestamp}
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="emberlog", description="Search application logs.")
     p.add_argument("--dir", required=True)

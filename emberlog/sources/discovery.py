@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,17 +64,11 @@ def files_table(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, FILES)
 
 
-def browse(path: str | None) -> dict:
+def browse(path: str | None, spark: SparkSession | None = None) -> dict:
     """Sub-directories of a directory, without hidden ones, in any case's order."""
-    here = Path(plain_path(path) if path else os.path.expanduser("~")).absolute()
-    if not here.is_dir():
+    at = Paths(spark or SparkSession.active())
+    here, parent = at.above(plain_path(path) if path else at.home())
+    if not at.is_folder(here):
         raise ValueError(f"not a directory: {path}")
-    names = []
-    for entry in os.scandir(here):
-        try:
-            if not entry.name.startswith(".") and entry.is_dir():
-                names.append(entry.name)
-        except OSError:
-            continue
-    parent = None if here.parent == here else str(here.parent)
-    return {"path": str(here), "parent": parent, "directories": sorted(names, key=lambda n: (n.lower(), n))}
+    names = [e.name for e in at.listed(here) if e.folder and not e.name.startswith(".")]
+    return {"path": here, "parent": parent, "directories": sorted(names, key=lambda n: (n.lower(), n))}
