@@ -4,8 +4,9 @@ A layout is compiled into Columns; no line passes through Python. The group ``ts
 needed, ``level``, ``thread``, ``logger`` and ``message`` are optional. A line whose shape
 matches but whose time cannot be read (or does not exist) is an unreadable header.
 
-Expressions run in the JVM's regular-expression engine without a step budget: bound the
-time of an ingest with a job group and the cluster's own limits.
+Expressions run in the JVM's regular-expression engine, which has no step budget for Spark to
+set. A pattern whose repetitions make it exponential (``ambiguity.explodes``) is refused when it is
+defined; of those that cannot be judged, ``Engine.load`` bounds the time of an ingest.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import has_control, is_format_id, without_line_end
 from ..functions.times import bound, to_millis
+from .ambiguity import explodes
 from .layouts import LAYOUTS, PARSED, with_groups
 
 #: Limits of a definition (fixed values).
@@ -269,6 +271,8 @@ def define(id: str | None, name: str | None, pattern: str | None, timestamp: str
     _needed("timestamp", timestamp, MAX_TIMESTAMP)
     if spark is not None:
         check_pattern(spark, pattern)
+    if explodes(pattern):
+        raise ValueError(f"layout {id}: a repetition of the pattern can read the same text in more than one way, which takes exponential time")
     groups = scan_groups(pattern)
     if "ts" not in groups.names:
         raise ValueError("pattern has no group (?<ts>...)")

@@ -12,7 +12,7 @@ from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.times import parse_ui_datetime
+from .functions.times import minute_range, parse_ui_datetime
 from .operators import search, trace
 from .operators.custom import CustomLayout, try_layout
 from .operators.filters import QueryFilter
@@ -37,10 +37,17 @@ class Engine:
         self._group = ""  # of the jobs of the load that counts; an earlier one's result is dropped
         self._loader: threading.Thread | None = None
 
-    def load(self, directory: str, layout: str = "auto", trigrams: bool = False) -> dict:
-        """Load and wait for it; what goes wrong is raised."""
+    def load(self, directory: str, layout: str = "auto", trigrams: bool = False, seconds: float | None = None) -> dict:
+        """Load and wait for it; what goes wrong is raised, as is that it takes longer than ``seconds``.
+
+        A task inside an expression sees its end late: let the cluster's task reaper
+        (``spark.task.reaper.enabled``) end its executor."""
         failed: list[BaseException] = []
-        self._begin(directory, layout, trigrams, failed).join()
+        loader = self._begin(directory, layout, trigrams, failed)
+        loader.join(seconds)
+        if loader.is_alive():
+            self.cancel()
+            raise ValueError(f"loading {directory} with layout {layout} took longer than {seconds} seconds; its pattern may be to blame")
         if failed:
             raise failed[0]
         return self.meta()
@@ -166,9 +173,8 @@ class Engine:
             asked = {"id": f.get("trace-id", ""), "mode": f.get("trace-mode", "boundary"), "start": f.get("trace-start", ""), "end": f.get("trace-end", ""), "minutes": f.get("trace-max-minutes"), "seconds": f.get("trace-window-secs"), "contains": f.get("trace-contains", ""), "excludes": f.get("trace-excludes", "")}
             return self.session_trace(**(asked | more))
         asked = {k: f[k] for k in ("level", "logger", "thread", "message", "grep", "source") if k in f} | {"limit": f.get("page-limit")}
-        for k in ("since", "until"):
-            if day := f.get(f"{k}-date"):
-                asked[k] = f"{day} {clock}" if (clock := f.get(f"{k}-time")) else day
+        clock = [(f.get(f"{k}-time") or "")[:5] for k in ("since", "until")]
+        asked["since"], asked["until"] = minute_range(f.get("since-date"), clock[0], f.get("until-date"), clock[1])
         return self.logs(**(asked | more))
 
     def log_formats(self) -> dict:

@@ -124,11 +124,11 @@ def test_browse_by_scheme(spark, tmp_path):
 
 def test_engine_keeps_and_replays(spark, tmp_path):
     (tmp_path / "logs").mkdir()
-    (tmp_path / "logs/a.log").write_text("".join(f"2031-03-09 06:30:0{i}.000[main][{x}][a.B] - id {i}\n" for i, x in enumerate(("INFO", "ERROR", "ERROR"))))
+    (tmp_path / "logs/a.log").write_text("".join(f"2031-03-09 06:3{i}:00.000[main][{x}][a.B] - id {i}\n" for i, x in enumerate(("INFO", "ERROR", "ERROR"))))
     e = Engine(spark, str(tmp_path / "home"))
     assert e.saved_searches()["items"] == [] and e.log_formats()["items"] == []
-    one = e.save_search("errors", "search", {"level": "ERROR", "since-date": "2031-03-09", "since-time": "06:30:02", "page-limit": "5"})
-    two = e.save_search("of id", "trace", {"trace-mode": "window", "trace-id": "id 1", "trace-window-secs": "1"})
+    one = e.save_search("errors", "search", {"level": "ERROR", "since-date": "2031-03-09", "since-time": "06:32:40", "until-date": "2031-03-09", "page-limit": "5"})
+    two = e.save_search("of id", "trace", {"trace-mode": "window", "trace-id": "id 1", "trace-window-secs": "60"})
     assert [i["name"] for i in e.saved_searches()["items"]] == ["errors", "of id"] and e.saved_searches()["writable"]
     e.load(str(tmp_path / "logs"))
     assert [r["message"] for r in e.replay(one["id"])["items"]] == ["id 2"]
@@ -138,3 +138,12 @@ def test_engine_keeps_and_replays(spark, tmp_path):
     with pytest.raises(ValueError):
         e.replay(one["id"])
     assert e.save_format("own", None, "(?<ts>.*)", "yyyy")["name"] == "own" and e.delete_format("own") and not e.delete_format("own")
+
+
+def test_a_load_that_takes_too_long_is_stopped(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.log").write_text("2031-03-09 06:30:00.000[main][INFO][a.B] - id\n" * 1000)
+    e = Engine(spark, str(tmp_path / "home"))
+    with pytest.raises(ValueError, match="layout default took longer than 0.01 seconds"):
+        e.load(str(tmp_path / "logs"), "default", seconds=0.01)
+    assert e.meta()["state"] == "idle" and e.load(str(tmp_path / "logs"), "default", seconds=600)["total"] == 1000
