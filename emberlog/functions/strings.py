@@ -52,7 +52,7 @@ def trigram_column(x: Column) -> Column:
 
 
 def without_line_end(x: Column) -> Column:
-    return F.regexp_replace(x, r"[\r\n]+\z", "")
+    return F.when(x.endswith("\n") | x.endswith("\r"), F.regexp_replace(x, r"[\r\n]+\z", "")).otherwise(x)
 
 
 def is_blank_line(x: Column) -> Column:

@@ -62,19 +62,29 @@ def bound(values: list[Column], build: Callable[..., Column]) -> Column:
     return F.element_at(F.transform(F.array(given), lambda a: build(*[a[i] for i in range(len(values))])), 1)
 
 
+def log_places(text: Column) -> list[Column]:
+    """Year to millisecond of the first 23 characters; digits by position, separators ignored."""
+    return [_part(text, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2), (21, 3))]
+
+
 def log_millis(text: Column) -> Column:
-    """Millis of the first 23 characters; digits by position, separators ignored, no range checks."""
-    return bound([_part(text, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2), (21, 3))], to_millis)
+    """Millis of ``log_places``, without range checks."""
+    return bound(log_places(text), to_millis)
 
 
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC"
 
 
-def month_day_millis(text: Column) -> Column:
-    """Millis of ``dd-MMM-yyyy HH:mm:ss.SSS``; null for an unknown month."""
+def month_day_places(text: Column) -> list[Column]:
+    """Year to millisecond of ``dd-MMM-yyyy HH:mm:ss.SSS``; a null month for an unknown one."""
     at = F.position(F.upper(F.substring(text, 4, 3)), F.lit(MONTHS))
     month = F.when((at > 0) & (at % 4 == 1), ((at - 1) / 4 + 1).cast("int"))
-    return bound([_part(text, 8, 4), month, _part(text, 1, 2), _part(text, 13, 2), _part(text, 16, 2), _part(text, 19, 2), _part(text, 22, 3)], to_millis)
+    return [_part(text, 8, 4), month, _part(text, 1, 2), _part(text, 13, 2), _part(text, 16, 2), _part(text, 19, 2), _part(text, 22, 3)]
+
+
+def month_day_millis(text: Column) -> Column:
+    """Millis of ``month_day_places``; null for an unknown month."""
+    return bound(month_day_places(text), to_millis)
 
 
 def millis_of(y: int, m: int, d: int, h: int = 0, mi: int = 0, s: int = 0, ms: int = 0) -> int:

@@ -10,9 +10,9 @@ for each split, so that one large file is as many tasks as it has splits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import is_blank_line, preview
@@ -25,14 +25,17 @@ SAMPLES = 5
 Format = str | CustomLayout
 
 
+def with_head(lines: DataFrame, layout: Format, name: str = "head") -> DataFrame:
+    """Lines with what a layout reads from them (null for no header)."""
+    value = F.col("value")
+    return lines.withColumn(name, layout.parse(value)) if isinstance(layout, CustomLayout) else with_header(lines, layout, value, name)
+
+
 def headed(lines: DataFrame, layout: Format) -> DataFrame:
     """Lines with head (parsed, or null), broken (a header that cannot be read) and blank."""
     value = F.col("value")
-    if isinstance(layout, CustomLayout):
-        seen = lines.withColumn("head", layout.parse(value)).withColumn("broken", F.col("head").isNull() & layout.shape(value))
-    else:
-        seen = with_header(lines, layout, value).withColumn("broken", F.lit(False))
-    return seen.withColumn("blank", is_blank_line(value))
+    broken = F.col("head").isNull() & layout.shape(value) if isinstance(layout, CustomLayout) else F.lit(False)
+    return with_head(lines, layout).withColumn("broken", broken).withColumn("blank", is_blank_line(value))
 
 
 def marked(seen: DataFrame) -> DataFrame:
@@ -92,12 +95,16 @@ def skipped_summary(skipped: DataFrame) -> tuple[int, list[tuple[int, int, str]]
 DETECT_LINES = 500
 
 
-def detect(lines: DataFrame, candidates: list[tuple[str, Callable[[Column], Column]]]) -> str:
-    """The candidate that reads most of the first 500 lines of the first file; ties go to the
+def detect(lines: DataFrame, candidates: list[Format]) -> str:
+    """The id of the layout that reads most of the first 500 lines of the first file; ties go to the
     earlier one, and ``default`` wins if none reads any."""
-    head = lines.where((F.col("file_id") == 1) & (F.col("line_no") <= DETECT_LINES))
     if not candidates:
         return "default"
-    hits = head.agg(*[F.count(read(F.col("value"))).alias(f"n{i}") for i, (_, read) in enumerate(candidates)]).first()
-    best = max(range(len(candidates)), key=lambda i: (hits[i], -i))
-    return candidates[best][0] if hits[best] else "default"
+    few = lines.where((F.col("file_id") == 1) & (F.col("line_no") <= DETECT_LINES)).select("value").limit(DETECT_LINES).collect()
+    head = lines.sparkSession.createDataFrame(few, "value string")
+    # one small compiled plan for each layout
+    counts = [with_head(head, x).agg(F.count("head").alias("n")).select(F.lit(i).alias("i"), "n") for i, x in enumerate(candidates)]
+    hits = {r.i: r.n for r in reduce(DataFrame.unionAll, counts).collect()}
+    best = max(hits, key=lambda i: (hits[i], -i))
+    chosen = candidates[best]
+    return "default" if not hits[best] else chosen.id if isinstance(chosen, CustomLayout) else chosen

@@ -7,6 +7,7 @@ Every query takes the whole table it names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators import entries as assembly
 from ..operators import postings, search, summary, trace
 from ..operators.custom import define
 from ..operators.filters import QueryFilter, same_context
-from ..operators.layouts import LAYOUTS, parse, with_header
+from ..operators.layouts import LAYOUTS, with_header
 from ..sources import discovery, index, scratch
 from ..sources.discovery import log_name_column
 from ..sources.paths import Paths
@@ -201,8 +202,8 @@ FROM (SELECT count(*) AS n FROM events), (SELECT unnest(['default', 'spring-boot
 def q_detect_format(spark, sf_dir):
     rows = entries(spark, sf_dir)
     lines = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("line_layout"), _line(k).alias("line")) for k in LAYOUTS])).alias("x")).select("x.*")
-    hits = lines.groupBy("line_layout").agg(*[F.count(parse(k, F.col("line"))).alias(k) for k in LAYOUTS])
-    return hits.select("line_layout", F.explode(F.array(*[F.struct(F.lit(k).alias("layout"), F.col(f"`{k}`").alias("hits")) for k in LAYOUTS])).alias("x")).select("line_layout", "x.*")
+    hits = [with_header(lines, k, F.col("line")).groupBy("line_layout").agg(F.count("head").alias("hits")).select("line_layout", F.lit(k).alias("layout"), "hits") for k in LAYOUTS]
+    return reduce(DataFrame.unionAll, hits)
 
 
 _HEADER = "2024-01-01 00:00:00.000[main][INFO][a.b] - "
@@ -573,7 +574,7 @@ def q_chosen_layout(spark, sf_dir):
     found = []
     for k in [*LAYOUTS, "none of them"]:
         lines = first.select(F.lit(1).alias("file_id"), F.col("nth").alias("line_no"), (_line(k) if k in LAYOUTS else F.col("message")).alias("value"))
-        found.append((k, assembly.detect(lines, [(x, lambda c, x=x: parse(x, c)) for x in LAYOUTS])))
+        found.append((k, assembly.detect(lines, list(LAYOUTS))))
     return spark.createDataFrame(found, "line_layout string, layout string")
 
 

@@ -23,7 +23,7 @@ from ..operators import entries as assembly
 from ..operators import postings as text_index
 from ..operators import summary
 from ..operators.custom import CustomLayout
-from ..operators.layouts import LAYOUTS, parse
+from ..operators.layouts import LAYOUTS
 from . import discovery, ingest, lines, scratch
 from .paths import Paths
 
@@ -62,8 +62,7 @@ def choose_layout(spark: SparkSession, paths: list[str], custom: list[CustomLayo
     head = spark.read.option("lineSep", "\n").text(sorted(paths)[0]).take(assembly.DETECT_LINES)
     rows = [(1, i, r.value) for i, r in enumerate(head, 1)]
     sample = spark.createDataFrame(rows, "file_id long, line_no long, value string")
-    built_in = [(k, lambda c, k=k: parse(k, c)) for k in LAYOUTS]
-    best = assembly.detect(sample, [*built_in, *((x.id, x.parse) for x in custom)])
+    best = assembly.detect(sample, [*LAYOUTS, *custom])
     return by_id.get(best, best)
 
 
