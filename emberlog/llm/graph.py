@@ -48,12 +48,13 @@ def deal(members: DataFrame, key: str, by: str, block: int, weight: str | None =
     """``members`` of groups of two and more, with unit, blk, lo and hi.
 
     A group of up to ``block`` members (and, of a column ``weight``, up to ``heaviest`` in sum)
-    is one unit (lo = hi = 0). A larger one is cut by a hash of column ``by`` into blocks, and
+    is one unit (lo = hi = 0). No group has more blocks than members. A larger one is cut by a hash of column ``by`` into blocks, and
     each pair lo <= hi of them is a unit.
     """
     parts = F.ceil(F.count("*") / block)
     if weight:
-        parts = F.greatest(parts, F.ceil(F.sum(weight) / heaviest))
+        # more blocks than members would only copy members that are heavy alone
+        parts = F.greatest(parts, F.least(F.ceil(F.sum(weight) / heaviest), F.count("*")))
     counts = members.groupBy(key).agg(F.count("*").alias("n_members"), parts.cast("int").alias("n_blocks")).where("n_members > 1")
     cut = members.join(counts, key)
     cut = cut.withColumn("blk", F.pmod(F.xxhash64(by, F.lit(17)), F.col("n_blocks").cast("long")).cast("int"))

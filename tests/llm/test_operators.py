@@ -1036,3 +1036,12 @@ def test_likeness_bounds():
     d = fingerprint.digest(data, off)
     assert fingerprint.likeness(d, d).tolist() == [1.0] * 5
     assert (d[2] == d[3]).all() and fingerprint.likeness(d[2:3], d[4:5])[0] < 0.6
+
+
+def test_a_group_has_no_more_blocks_than_members(spark):
+    members = spark.createDataFrame([(1, 1, 10_000_000), (1, 2, 10_000_000), (2, 3, 5), (2, 4, 5), (3, 5, 5)], "family long, id long, n long")
+    dealt = [(r.family, r.id, r.lo, r.hi) for r in graph.deal(members, "family", "id", 512, "n", 1 << 20).collect()]
+    assert all(sum(d[1] == i for d in dealt) == 2 for i in (1, 2))
+    assert sorted(d[1] for d in dealt if d[0] != 1) == [3, 4]
+    met = {u: {d[1] for d in dealt if d[0] == 1 and d[2:] == u} for u in {d[2:] for d in dealt if d[0] == 1}}
+    assert {1, 2} in met.values()
