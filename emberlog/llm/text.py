@@ -24,7 +24,7 @@ _LOWER[65:91] += 32
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: The same where new words of a slice are worked out together, without arrays over bytes.
 WORD_SLICE_BYTES = 1 << 21
 
