@@ -602,17 +602,33 @@ rendered AS (SELECT *, rtrim(raw, chr(10)) || CASE WHEN event_id % 3 = 0 THEN ch
 placed AS (SELECT *, coalesce(sum(octet_length(encode(body))) OVER past, 0) AS byte_offset, coalesce(sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) OVER past, 0) + 1 AS first_line FROM rendered WINDOW past AS (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) """
 
 
+#: Rows of a part of a rendered file: what one task sorts.
+PART_ROWS = 250_000
+
+
 def _rendered(spark: SparkSession, sf_dir: str) -> str:
-    """The entries as three log files in the shared folder, some with a second line."""
+    """The entries as three log files in the shared folder, some with a second line.
+
+    Parts in order of lines are sorted and written by as many tasks as there are parts. A log
+    file has one writer, a task that copies the parts one after the other and holds a line.
+    """
     kind = F.regexp_extract("logger", r"example\.(.*)\.Handler", 1)
-    folder = scratch.folder(spark)
+    folder, parts = scratch.folder(spark), scratch.folder(spark)
     rows = entries(spark, sf_dir).withColumn("body", F.when(F.col("event_id") % 3 == 0, F.concat(F.regexp_replace("raw", "\n$", ""), F.lit("\n  at "), kind)).otherwise(F.regexp_replace("raw", "\n$", "")))
-    rows.repartition(3, "file_id").sortWithinPartitions("file_id", "line_no").select("body", "file_id").write.partitionBy("file_id").text(folder)
+    many = 1 + table(spark, sf_dir, "events").count() // PART_ROWS
+    rows.repartitionByRange(many, "file_id", "line_no").sortWithinPartitions("file_id", "line_no").select("body", "file_id").write.partitionBy("file_id").text(parts)
     at = Paths(spark)
-    for e in list(at.files(folder, lambda name: True)):
-        number = e.path.rsplit("file_id=", 1)[-1].split("/")[0] if "file_id=" in e.path else None
-        if number and e.name.startswith("part-"):
-            at.move(e.path, f"{folder}/app{number}.log")
+    for held in at.listed(parts):
+        if held.folder and held.name.startswith("file_id="):
+            number = held.name.removeprefix("file_id=")
+            found = sorted(e.path for e in at.listed(held.path) if e.name.startswith("part-"))
+            # partitions of a union are in the order of its members, and coalesce(1) takes them in turn
+            whole = reduce(DataFrame.unionAll, [spark.read.text(p, lineSep="\n") for p in found])
+            whole.coalesce(1).write.text(f"{folder}/joined-{number}")
+            (one,) = [e.path for e in at.listed(f"{folder}/joined-{number}") if e.name.startswith("part-")]
+            at.move(one, f"{folder}/app{number}.log")
+            at.delete(f"{folder}/joined-{number}")
+    scratch.drop(spark, parts)
     return folder
 
 
