@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import has_control, is_format_id, without_line_end
@@ -26,6 +26,7 @@ from .layouts import LAYOUTS, PARSED
 #: Limits of a definition (fixed values).
 MAX_ID, MAX_NAME, MAX_PATTERN, MAX_TIMESTAMP = 40, 100, 4000, 100
 FIELDS = ("level", "thread", "logger", "message")
+_TIME = ("year", "month", "day", "hour", "minute", "second", "milli")
 _SHORT = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 _LONG = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 _DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -218,6 +219,10 @@ class TimePattern:
         return with_groups(text, self.regex, self.groups, self._millis)
 
     def _millis(self, part: Callable[[int], Column]) -> Column:
+        return bound(self.places(part), _existing)
+
+    def places(self, part: Callable[[int], Column]) -> list[Column]:
+        """Year to millisecond."""
         y, mo, d, mi, s, ms = (self._value(part, f) for f in ("year", "month", "day", "minute", "second", "fraction"))
         if "hour" in self.fields or "half" not in self.fields:
             h = self._value(part, "hour")
@@ -227,7 +232,7 @@ class TimePattern:
             h = F.when((half >= 1) & (half <= 12), half % 12 + F.when(late, 12).otherwise(0))
         else:  # without AM or PM the hour of the day is not known, and counts as 0
             h = F.lit(0)
-        return bound([y, mo, d, h, mi, s, ms], _existing)
+        return [y, mo, d, h, mi, s, ms]
 
 
 def _existing(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, ms: Column) -> Column:
@@ -272,6 +277,43 @@ class CustomLayout:
 
         return with_groups(text, self.regex, max(self.groups.names.values()), build).cast(PARSED)
 
+    def with_header(self, rows: DataFrame, line: Column, name: str = "head") -> DataFrame:
+        """``rows`` with ``parse`` of a line in a column; every step is a projection, which Spark compiles."""
+        count, held = max(self.groups.names.values()), F.col
+
+        def cut(parts: Column, i: int) -> Column:
+            return F.replace(F.get(parts, F.lit(i)), F.lit(_ESCAPED), F.lit(_HELD))
+
+        def fits(parts: Column, count: int) -> Column:
+            return (F.size(parts) == count + 1) & (F.get(parts, F.lit(0)) == "")
+
+        def fields() -> dict[str, Column]:
+            own = {n: cut(held("_head_parts"), self.groups.names[n]) if n in self.groups.names else F.lit("") for n in ("ts", *FIELDS)}
+            return own | {"fits": fits(held("_head_parts"), count) & (held("_head_text") != "")}
+
+        def stamps() -> dict[str, Column]:
+            # only of lines that match: another line's parts are no fields
+            return {"stamps": _parts(F.when(held("_head_fits"), held("_head_ts")), self.times.regex, self.times.groups)}
+
+        def places() -> dict[str, Column]:
+            made = self.times.places(lambda i: cut(held("_head_stamps"), i))
+            return {n: F.when(fits(held("_head_stamps"), self.times.groups), c).cast("int") for n, c in zip(_TIME, made, strict=True)}
+
+        def head() -> dict[str, Column]:
+            made = F.struct(held("_head_ts_millis").alias("ts_millis"), held("_head_logger").alias("logger"), F.upper("_head_level").alias("level"), held("_head_thread").alias("thread"), held("_head_message").alias("message"))
+            return {"head": F.when(held("_head_fits") & held("_head_ts_millis").isNotNull(), made).cast(PARSED)}
+
+        steps = [lambda: {"text": without_line_end(line)}, lambda: {"parts": _parts(held("_head_text"), self.regex, count)}, fields]
+        if self.times.dated():
+            steps += [stamps, places, lambda: {"ts_millis": _existing(*[held(f"_head_{n}") for n in _TIME])}]
+        else:
+            steps += [lambda: {"ts_millis": F.lit(None).cast("long")}]
+        seen = rows
+        for step in [*steps, head]:
+            seen = seen.withColumns({f"_head_{n}": c for n, c in step().items()})
+        # a generated row, as in ``layouts.with_header``
+        return seen.select(*[F.col(f"`{c}`") for c in rows.columns if c != name], F.explode(F.array("_head_head")).alias(name))
+
 
 def _needed(what: str, value: str, longest: int) -> str:
     if not value:

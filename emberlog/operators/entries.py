@@ -28,7 +28,7 @@ Format = str | CustomLayout
 def with_head(lines: DataFrame, layout: Format, name: str = "head") -> DataFrame:
     """Lines with what a layout reads from them (null for no header)."""
     value = F.col("value")
-    return lines.withColumn(name, layout.parse(value)) if isinstance(layout, CustomLayout) else with_header(lines, layout, value, name)
+    return layout.with_header(lines, value, name) if isinstance(layout, CustomLayout) else with_header(lines, layout, value, name)
 
 
 def headed(lines: DataFrame, layout: Format) -> DataFrame:

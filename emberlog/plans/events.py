@@ -242,7 +242,7 @@ def q_custom_format(spark, sf_dir):
     day = F.date_format(times.civil_from_days(F.floor(F.col("ts_millis") / times.DAY_MS)), "dd/MMM/yyyy")
     line = F.concat(day, F.lit(" "), F.substring(times.format_iso(F.col("ts_millis")), 12, 8), F.lit(" <"), F.lower("level"), F.lit("> "), "thread", F.lit(" "), "logger", F.lit("|"), "message", F.lit("\r\n"))
     rows = entries(spark, sf_dir).select("event_id", line.alias("line"))
-    return rows.select("event_id", x.parse(F.col("line")).alias("p")).where("p is not null").select("event_id", "p.*")
+    return x.with_header(rows, F.col("line"), "p").where("p is not null").select("event_id", "p.*")
 
 
 @query("SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")

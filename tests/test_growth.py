@@ -24,3 +24,15 @@ def test_rendered_files_are_sorted_in_parts_of_bounded_size(spark, monkeypatch,
     for r in events.entries(spark, SF).orderBy("file_id", "line_no").collect():
         want[r.file_id] += [r.raw.rstrip("\n")] + (["  at " + r.logger.split(".")[2]] if r.event_id % 3 == 0 else [])
     assert got == want
+
+
+def test_a_custom_layout_runs_its_expression_once_a_line(spark):
+    assert len(re.findall(r"regexp_replace\([^\n]*\\A\(\?:", plan(events.q_custom_format(spark, SF)))) == 1
+
+
+def test_steps_of_a_custom_layout_are_its_plain_column(spark):
+    lines = ["02/Jan/2024 03:04:05 <info> t1 a.B|hello\x02\x03 | x\r\n", "31/Feb/2024 03:04:05 <info> t1 a.B|no such day", "02/Jan/2024 3 <info> t a|time of another shape", "nothing", "", "\n", None, "02/Jan/2024 03:04:05 <> t a|", "02/Jan/2024 23:59:60 <warn> t a|leap", "\x01\x02\x0102/Jan/2024 03:04:05 <warn> t a|m"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    for pattern, ts in ((r"(?<ts>\d\d/\w{3}/\d{4} [\d:]+) <(?<level>\w*)> (?<thread>\S+) (?<logger>[^ |]+)\|(?<message>.*)", "dd/MMM/yyyy HH:mm:ss"), (r"(?<ts>.*?) <(?<level>.*)", "dd/MMM/yyyy HH:mm[:ss]"), (r"(?<ts>\d\d).*", "HH")):
+        x = define("own", None, pattern, ts, spark)
+        assert x.with_header(rows, F.col("line"), "p").orderBy("i").collect() == rows.withColumn("p", x.parse(F.col("line"))).orderBy("i").collect()
