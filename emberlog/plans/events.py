@@ -202,8 +202,10 @@ FROM (SELECT count(*) AS n FROM events), (SELECT unnest(['default', 'spring-boot
 def q_detect_format(spark, sf_dir):
     rows = entries(spark, sf_dir)
     lines = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("line_layout"), _line(k).alias("line")) for k in LAYOUTS])).alias("x")).select("x.*")
-    hits = [with_header(lines, k, F.col("line")).groupBy("line_layout").agg(F.count("head").alias("hits")).select("line_layout", F.lit(k).alias("layout"), "hits") for k in LAYOUTS]
-    return reduce(DataFrame.unionAll, hits)
+    for k in LAYOUTS:  # all layouts read the lines of one scan
+        lines = with_header(lines, k, F.col("line"), f"head {k}").withColumn(f"head {k}", F.col(f"head {k}").isNotNull())
+    hits = lines.groupBy("line_layout").agg(*[F.count_if(f"`head {k}`").alias(k) for k in LAYOUTS])
+    return hits.select("line_layout", F.explode(F.array(*[F.struct(F.lit(k).alias("layout"), F.col(f"`{k}`").alias("hits")) for k in LAYOUTS])).alias("x")).select("line_layout", "x.*")
 
 
 _HEADER = "2024-01-01 00:00:00.000[main][INFO][a.b] - "

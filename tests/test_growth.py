@@ -26,6 +26,10 @@ def test_rendered_files_are_sorted_in_parts_of_bounded_size(spark, monkeypatch,
     assert got == want
 
 
+def test_formats_are_detected_in_one_scan(spark):
+    assert plan(events.q_detect_format(spark, SF)).count("FileScan parquet") == 1
+
+
 def test_a_custom_layout_runs_its_expression_once_a_line(spark):
     assert len(re.findall(r"regexp_replace\([^\n]*\\A\(\?:", plan(events.q_custom_format(spark, SF)))) == 1
 
