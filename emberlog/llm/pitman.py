@@ -25,9 +25,10 @@ score however its rows are dealt to partitions and tasks.
 
 Words have codes: the ``FREQUENT`` most frequent ones, which are broadcast, an index, all
 others a negative hash. Pairs of words are counted and looked up by blocks, a hash of both
-words; a row holds a block's pairs as arrays. Dishes of frequent words meet the totals of
-their restaurants by broadcast, those of rare words, none of which can be hot, in joins. In
-scoring, the most frequent pairs are broadcast too and the others of a document meet the
+words; a row holds a block's pairs as arrays. Dishes of frequent words stay in such rows,
+meet the totals of their restaurants by broadcast and are summed by word within a task; those of
+rare words, none of which can be hot, are single rows and meet them in joins. What blocks know of
+documents is summed by document within a task and goes on as arrays too. In scoring, the most frequent pairs are broadcast too and the others of a document meet the
 model in one shuffle; what comes back is summed by document.
 
 Null text is the empty text, whose only token is the end. Long texts are read whole, in
@@ -65,6 +66,8 @@ HELD, ASKED = 1 << 19, 1 << 19
 SLICE_BYTES, PER_BATCH = 1 << 19, 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
 PER_BLOCK, PER_ROW = 1 << 19, 1 << 17
+#: Codes whose sums are a row, and the power of two of documents that are summed together at most.
+PER_SUM, GROUP = 1 << 14, 8
 #: Hashes that stand for the end of a document and for its start.
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B873593CC9E2D51)
 _RARE = -(1 << 63)
@@ -336,7 +339,7 @@ def draw(customers: np.ndarray, new, d: float, rng: np.random.Generator | Draws,
     sizes, at = np.unique(customers[small], return_index=True)
     edges = [*at.tolist(), len(small)]
     for c, a, b in zip(sizes.tolist(), edges, edges[1:], strict=False):
-        room = max(1, (1 << 20) // c)
+        room = max(1, (1 << 18) // c)
         for x in range(a, b, room):
             some = small[x : min(x + room, b)]
             weight = np.log(new(some[:, None], np.arange(c)[None, :])).cumsum(1) + stirling[c, 1 : c + 1]
@@ -451,7 +454,8 @@ class Model:
     free: np.ndarray  # of frequent words
     chance: np.ndarray  # of frequent words at the root
     rare: DataFrame  # code, c, free, chance
-    dishes: DataFrame  # u, w, c, t: pairs seen twice and more, t summed over the samples
+    common: DataFrame  # block, u, w, c, ts as arrays: pairs of frequent words seen twice and more, ts: tables summed over the samples
+    others: DataFrame  # u, w, c, ts: those of which a word is rare
     pairs: DataFrame  # all pairs, in blocks
     root: Root
     unknown: float  # chance at the root of a word that training lacks
@@ -459,6 +463,15 @@ class Model:
     blocks: int
     samples: int
 
+    @property
+    def dishes(self) -> DataFrame:
+        """u, w, c, ts of all pairs seen twice and more, a row each."""
+        return flat(self.common).unionByName(self.others)
+
+    def alone(self) -> Model:
+        """The numbers without the tables."""
+        return replace(self, frequent=None, free=None, chance=None, rare=None, common=None, others=None, pairs=None)
+
     def gain(self, c, t, guests, free, chance):
         """log10 of how much likelier a pair is than its two words alone make it."""
         return np.log10(1 + (c - self.root.discount * t) / ((self.root.strength + guests) * free * chance))
@@ -468,21 +481,38 @@ def bins(c: str) -> Column:
     return F.floor(F.log2(c) * 16)
 
 
-def cut_off(rows: DataFrame, most: int) -> int:
-    """The least bin of counts c from which on at most ``most`` rows remain (a histogram)."""
+def cut_off(histogram: DataFrame, most: int) -> int:
+    """The least bin from which on at most ``most`` rows remain; histogram: bin, n."""
     least = 1 << 20
-    for r in rows.groupBy(bins("c").alias("bin")).count().orderBy(F.desc("bin")).collect():
-        most -= r["count"]
+    for r in histogram.groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect():
+        most -= r.n
         if most < 0:
             break
         least = r.bin
     return least
 
 
+def array_bins(c: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(c) * 16).astype(np.int64)
+
+
+def flat(common: DataFrame, least: int = 0) -> DataFrame:
+    """u, w, c, ts of the dishes in arrays from a bin of counts on, a row each."""
+    schema = pa.schema([(x, pa.int64()) for x in ("u", "w", "c", "ts")])
+
+    def run(it):
+        for b in it:
+            for x in arrays(b, *schema.names):
+                on = array_bins(x[2]) >= least
+                yield from some_rows(schema, *(y[on] for y in x))
+
+    return common.mapInArrow(run, "u long, w long, c long, ts long")
+
+
 def frequent_words(words: DataFrame, docs: int, most: int) -> tuple[Frequent, int]:
     """The broadcast table and the bin of counts from which on words are in it."""
     own = F.col("w").isin(int(END.view(np.int64)), int(START.view(np.int64)))
-    least = cut_off(words.where(~own), most)
+    least = cut_off(words.where(~own).select(bins("c").alias("bin"), F.lit(1).alias("n")), most)
     rows = words.where((bins("c") >= least) & ~own).select("w", "c").toArrow().combine_chunks()
     h = np.concatenate([rows.column("w").to_numpy().astype(np.int64).view(np.uint64), [END, START]])
     c = np.concatenate([rows.column("c").to_numpy().astype(np.int64), [docs, 0]])
@@ -545,15 +575,16 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
     zero = F.lit(0).cast("long")
     rare, rare_path = store.save(plain.join(kept.where("code < 0"), "code").select("code", "c", "after", "before", F.col("after").alias("total"), F.col("before").alias("c0"), F.lit(1).cast("long").alias("t0"), zero.cast("double").alias("chances"), zero.alias("totals")))
 
-    def twice(it):
+    def rare_twice(it):
         schema = pa.schema([(x, pa.int64()) for x in ("u", "w", "c", "t", "ts")])
         for b in it:
             for u, w, c in arrays(b, "u", "w", "c"):
-                on = c > 1
+                on = (c > 1) & ((u < 0) | (w < 0))
                 yield from some_rows(schema, u[on], w[on], c[on], np.ones(on.sum(), np.int64), np.zeros(on.sum(), np.int64))
 
     kind = "u long, w long, c long, t long, ts long"
-    dishes, path = store.save(pairs.mapInArrow(twice, kind))
+    others, path = store.save(pairs.mapInArrow(rare_twice, kind))
+    common, common_path = pairs, None
     store.drop(spark, words_path, kept_path)
     total, c0 = after.copy(), before.copy()
     t0 = np.minimum(c0, 1)
@@ -579,6 +610,48 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
 
         return run
 
+    def common_sweep(number: int, z: Root, shared, sampled: bool):
+        """Rows of ``common``; then, by ``part`` of the codes, (u) codes, (c) tables beyond the first of their restaurants and (t) of their dishes."""
+        schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), *((x, pa.binary()) for x in ("u", "w", "c", "t", "ts"))])
+
+        def run(it):
+            total, c0, t0 = shared.value
+            low = log_stirling(z.discount, EXACT)
+            up, down = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for b in it:
+                for i, block in enumerate(b.column("block").to_pylist()):
+                    stored = [b.column(x)[i] for x in ("u", "w", "c")]
+                    u, w, c = (unpacked(x, np.int64) for x in stored)
+                    if number:
+                        t, ts = (unpacked(b.column(x)[i], np.int64) for x in ("t", "ts"))
+                    else:  # rows of pairs
+                        on = (c > 1) & (u >= 0) & (w >= 0)
+                        u, w, c = u[on], w[on], c[on]
+                        t, ts = np.ones(len(u), np.int64), np.zeros(len(u), np.int64)
+                        stored = [pa.scalar(packed(x), pa.binary()) for x in (u, w, c)]
+                    if len(u):
+                        fresh = seat(c, t, total[u], c0[w], t0[w], z, Draws([number], u, w), low)
+                        up += np.bincount(u, fresh - 1, size).astype(np.int64)
+                        down += np.bincount(w, fresh - 1, size).astype(np.int64)
+                        yield text.table(schema, [block], [None], *([x.as_py()] for x in stored), [packed(fresh)], [packed(ts + fresh if sampled else ts)])
+            for a in range(0, size, PER_SUM):
+                at = a + np.flatnonzero(up[a : a + PER_SUM] + down[a : a + PER_SUM])
+                if len(at):
+                    yield text.table(schema, [None], [a // PER_SUM], [packed(at, True)], [None], [packed(up[at])], [packed(down[at])], [None])
+
+        return run
+
+    def part_sums(it):
+        """The sums of whole parts, whatever the number of rows of a part."""
+        schema = pa.schema([("part", pa.int64()), ("up", pa.binary()), ("down", pa.binary())])
+        sums: dict[int, np.ndarray] = {}
+        for b in it:
+            for part, u, c, t in zip(b.column("part").to_pylist(), *(b.column(x) for x in ("u", "c", "t")), strict=True):
+                have = sums.setdefault(part, np.zeros((2, PER_SUM), np.int64))
+                have[:, unpacked(u, np.int64, True) - part * PER_SUM] += np.stack([unpacked(c, np.int64), unpacked(t, np.int64)])
+        for part, (up, down) in sums.items():
+            yield text.table(schema, [part], [packed(up)], [packed(down)])
+
     def root_sweep(number: int, z: Root):
         schema = pa.schema([("code", pa.int64()), ("c", pa.int64()), ("after", pa.int64()), ("before", pa.int64()), ("total", pa.int64()), ("c0", pa.int64()), ("t0", pa.int64()), ("chances", pa.float64()), ("totals", pa.int64())])
 
@@ -595,17 +668,24 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
     for number in range(burn_in + samples):
         sampled = number >= burn_in
         shared = spark.sparkContext.broadcast((total, c0, t0))
-        common = dishes.where("u >= 0 and w >= 0")
-        others = dishes.where("u < 0 or w < 0").join(rare.select(F.col("code").alias("u"), "total"), "u", "left").join(rare.select(F.col("code").alias("w"), "c0", "t0"), "w", "left")
-        new, new_path = store.save(common.mapInArrow(sweep(number, z, shared, sampled), kind).unionByName(others.mapInArrow(sweep(number, z, shared, sampled), kind)))
-        store.drop(spark, path)
+        seated, seated_path = store.save(common.mapInArrow(common_sweep(number, z, shared, sampled), "block long, part long, u binary, w binary, c binary, t binary, ts binary"))
+        met = others.join(rare.select(F.col("code").alias("u"), "total"), "u", "left").join(rare.select(F.col("code").alias("w"), "c0", "t0"), "w", "left")
+        new, new_path = store.save(met.mapInArrow(sweep(number, z, shared, sampled), kind))
+        store.drop(spark, path, *([common_path] if common_path else []))
         shared.unpersist()
-        dishes, path = new, new_path
-        more = dishes.where("t > 1")
-        up = more.groupBy(F.col("u").alias("code")).agg(F.sum(F.col("t") - 1).alias("x"))
-        down = more.groupBy(F.col("w").alias("code")).agg(F.sum(F.col("t") - 1).alias("y"))
-        total, c0 = after + _by_code(up, size, "x")[0], before + _by_code(down, size, "y")[0]
-        moved = rare.join(up.where("code < 0"), "code", "left").join(down.where("code < 0"), "code", "left")
+        others, path, common_path = new, new_path, seated_path
+        common = seated.where("block is not null").select("block", "u", "w", "c", "t", "ts")
+        more = others.where("t > 1")
+        less = F.col("t") - 1
+        moves = more.select(F.col("u").alias("code"), less.alias("x"), zero.alias("y")).unionByName(more.select(F.col("w").alias("code"), zero.alias("x"), less.alias("y")))
+        moves = moves.groupBy("code").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        total, c0 = (a + x for a, x in zip((after, before), _by_code(moves, size, "x", "y"), strict=True))
+        whole = seated.where("part is not null").select("part", "u", "c", "t").repartition(-(-size // PER_SUM), "part").mapInArrow(part_sums, "part long, up binary, down binary")
+        for r in whole.collect():
+            at = slice(r.part * PER_SUM, min((r.part + 1) * PER_SUM, size))
+            for have, x in ((total, r.up), (c0, r.down)):
+                have[at] += unpacked(pa.scalar(bytes(x), pa.binary()), np.int64)[: at.stop - at.start]
+        moved = rare.join(moves.where("code < 0"), "code", "left")
         moved = moved.select("code", "c", "after", "before", (F.col("after") + F.coalesce("x", zero)).alias("total"), (F.col("before") + F.coalesce("y", zero)).alias("c0"), "t0", "chances", "totals")
         sat, sat_path = store.save(moved.mapInArrow(root_sweep(number, z), rare.schema))
         store.drop(spark, rare_path)
@@ -622,7 +702,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
     free = (F.lit(z.strength) + F.lit(z.discount / samples) * F.col("totals")) / (F.lit(z.strength) + F.col("c"))
     rare = rare.select("code", "c", free.alias("free"), (F.col("chances") / samples).alias("chance"))
     mine = (z.strength + z.discount * totals / samples) / (z.strength + known.guests)
-    return Model(known, mine, chances / samples, rare, dishes, pairs, z, unknown / samples, int(stats.N), blocks, samples)
+    return Model(known, mine, chances / samples, rare, common, others.select("u", "w", "c", "ts"), pairs, z, unknown / samples, int(stats.N), blocks, samples)
 
 
 # scores ------------------------------------------------------------------------------------
@@ -635,28 +715,28 @@ def gains(model: Model, table) -> DataFrame:
     """
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("value", pa.binary()), ("n", pa.binary()), ("rid", pa.binary())])
 
-    def rows_of(u, w, *gain):
+    def rows_of(u, w, gain):
         keys = pair_keys(u, w)
         order = np.argsort(keys)
-        columns = [keys[order], *(g[order].astype(np.float32) for g in gain)]
-        return some_blocks(schema, ((b, 0 if gain else 5, *x, *[None] * (4 - len(x))) for b, *x in by_block(keys[order], model_blocks, *columns, rising=1)))
+        keys, gain = keys[order], gain[order].astype(np.float32)
+        return some_blocks(schema, ((b, 0, *x, None, None) for b, *x in by_block(keys, model_blocks, keys, gain, rising=1)))
 
-    model_blocks, samples, gain = model.blocks, model.samples, replace(model, frequent=None, free=None, chance=None, rare=None, dishes=None, pairs=None).gain
+    model_blocks, samples, gain = model.blocks, model.samples, model.alone().gain
 
-    def common(u, w, c, t):
-        known, free, chance, _, _ = table.value
-        return rows_of(u, w, gain(c, t, known.guests[u], free[u], chance[w]))
+    # a row of frequent words' pairs is one of a block, sorted by key, as it was counted
 
     def twice(it):
+        known, free, chance, _, _ = table.value
         for b in it:
-            u, w, c, ts = (b.column(x).to_numpy() for x in ("u", "w", "c", "ts"))
-            yield from common(u, w, c, ts / samples)
+            for block, (u, w, c, ts) in zip(b.column("block").to_pylist(), arrays(b, "u", "w", "c", "ts"), strict=True):
+                more = gain(c, ts / samples, known.guests[u], free[u], chance[w]).astype(np.float32)
+                yield text.table(schema, [block], [0], [packed(pair_keys(u, w), True)], [packed(more)], [None], [None])
 
     def once(it):
         for b in it:
-            for u, w, c in arrays(b, "u", "w", "c"):
+            for block, (u, w, c) in zip(b.column("block").to_pylist(), arrays(b, "u", "w", "c"), strict=True):
                 on = (c == 1) & (u >= 0) & (w >= 0)
-                yield from rows_of(u[on], w[on])
+                yield text.table(schema, [block], [5], [packed(pair_keys(u[on], w[on]), True)], [None], [None], [None])
 
     def rare_once(it):
         schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("t", pa.float64())])
@@ -674,17 +754,24 @@ def gains(model: Model, table) -> DataFrame:
             yield from rows_of(u, w, gain(c, t, np.where(u < 0, guests, known.guests[at]), np.where(u < 0, f, free[at]), np.where(w < 0, p, chance[at0])))
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"
-    few = model.pairs.mapInArrow(rare_once, "u long, w long, c long, t double").unionByName(model.dishes.where("u < 0 or w < 0").select("u", "w", "c", (F.col("ts") / samples).alias("t")))
+    few = model.pairs.mapInArrow(rare_once, "u long, w long, c long, t double").unionByName(model.others.select("u", "w", "c", (F.col("ts") / samples).alias("t")))
     few = few.join(model.rare.select(F.col("code").alias("u"), F.col("c").alias("guests"), "free"), "u", "left").join(model.rare.select(F.col("code").alias("w"), "chance"), "w", "left")
     few = few.select("u", "w", "c", "t", F.coalesce("guests", F.lit(0)).alias("guests"), F.coalesce("free", F.lit(1.0)).alias("free"), F.coalesce("chance", F.lit(1.0)).alias("chance"))
-    both = model.dishes.where("u >= 0 and w >= 0")
-    return both.mapInArrow(twice, kind).unionByName(model.pairs.mapInArrow(once, kind)).unionByName(few.mapInArrow(rare, kind))
+    return model.common.mapInArrow(twice, kind).unionByName(model.pairs.mapInArrow(once, kind)).unionByName(few.mapInArrow(rare, kind))
 
 
 def frequent_pairs(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and gains of the most frequent pairs of frequent words."""
-    rows = model.dishes.where("u >= 0 and w >= 0")
-    got = rows.where(bins("c") >= cut_off(rows, most)).select("u", "w", "c", "ts").toArrow().combine_chunks()
+    schema = pa.schema([("bin", pa.int64()), ("n", pa.int64())])
+
+    def histogram(it):
+        n = np.zeros(64 * 16, np.int64)
+        for b in it:
+            for (c,) in arrays(b, "c"):
+                n += np.bincount(array_bins(c), minlength=len(n))
+        yield text.table(schema, np.flatnonzero(n), n[n > 0])
+
+    got = flat(model.common, cut_off(model.common.mapInArrow(histogram, "bin long, n long"), most)).toArrow().combine_chunks()
     u, w, c, ts = (got.column(x).to_numpy() for x in ("u", "w", "c", "ts"))
     keys = pair_keys(u, w)
     order = np.argsort(keys)
@@ -692,6 +779,17 @@ def frequent_pairs(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], gain[order]
 
 
+def by_document(rids: np.ndarray, *values: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    r, at = np.unique(rids, return_inverse=True)
+    return r, *(np.zeros(len(r)) if x is None else np.bincount(at, x, len(r)) for x in values)
+
+
+def by_bucket(buckets: int, rids: np.ndarray, *sums: np.ndarray) -> Iterator[tuple]:
+    """(bucket, rids, sums) packed, one row for all documents of a bucket; rids rise."""
+    three = np.stack(sums, 1).copy().view("V24")[:, 0]
+    return by_block(rids >> GROUP, buckets, rids, three, rising=1)
+
+
 def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs: int = PAIRS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, parts = docs.sparkSession, store.partitions(docs.sparkSession)
@@ -736,7 +834,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             else:
                 at = doc
             rids = rid + np.arange(docs_)
-            rid += docs_
+            rid += -(-docs_ >> GROUP) << GROUP  # a group's documents are of one slice
             if len(keys):
                 held[1].append((keys, rids[at], np.ones(len(keys), np.int32)))
             # n is 1 for a word and 2 for a context
@@ -746,22 +844,22 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 held[2].append((u[~fu], rids[doc[~fu]], np.full((~fu).sum(), 2, np.int32)))
             total += len(keys) + 2 * int((~fw).sum())
             ids = part.column("doc_id")
-            for a in range(0, docs_, 4096):
-                s = slice(a, a + 4096)
-                facts = np.stack([ids[a : a + 4096].fill_null(0).to_numpy().astype(np.int64), ids[a : a + 4096].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
-                yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [packed(facts.ravel())], [packed(np.stack([base[s], points[s]]).ravel())], [None], [packed(rids[s])])
+            for a in range(0, docs_, 1 << GROUP):
+                s = slice(a, a + (1 << GROUP))
+                facts = np.stack([ids[s].fill_null(0).to_numpy().astype(np.int64), ids[s].is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first)[s], sure[s]])
+                yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [packed(facts.ravel())], [packed(np.stack([base[s], points[s]]).ravel())], [None], [packed(rids[s], True)])
             if total > ASKED:
                 yield from flush()
                 total = 0
         yield from flush()
 
-    out_schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    sum_schema = pa.schema([("bucket", pa.int64()), ("rid", pa.binary()), ("facts", pa.binary()), ("sums", pa.binary())])
 
     def numbers(t: pa.Table, name: str, at: np.ndarray, kind) -> np.ndarray:
         column = t.column(name).chunk(0)
         return np.concatenate([np.zeros(0, kind), *(unpacked(column[i], kind, name == "key") for i in at.tolist())])
 
-    gain = replace(model, frequent=None, free=None, chance=None, rare=None, dishes=None, pairs=None).gain
+    gain = model.alone().gain
 
     def table_of(t: pa.Table, at: np.ndarray, kind, width: int, plain=()) -> tuple[np.ndarray, np.ndarray]:
         """A block's keys in order and what is known of them (nan: nothing); never empty."""
@@ -795,17 +893,11 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             value = np.where(hit, np.log10(np.where(word, facts[at, 2], facts[at, 1])), np.where(word, unknown, 0.0))
         return numbers(t, "rid", asked, np.int64), word & hit, np.where(word, np.log10((c + 1) / size), 0.0), value
 
-    def by_document(rids, *values):
-        r, at = np.unique(rids, return_inverse=True)
-        return r, *(np.zeros(len(r)) if x is None else np.bincount(at, x, len(r)) for x in values)
-
     def out(held):
-        if held:
-            r, k, base, points = by_document(*map(np.concatenate, zip(*held, strict=True)))
-            yield from some_rows(out_schema, r, pa.nulls(len(r), pa.int64()), np.zeros(len(r), np.int64), np.rint(k).astype(np.int64), base, points)
+        return some_blocks(sum_schema, ((b, r, None, x) for b, r, x in by_bucket(blocks, *by_document(*map(np.concatenate, zip(*held, strict=True))))) if held else iter(()))
 
     def answer(it):
-        """Sums by document of what a task's blocks know, and the documents' own sums."""
+        """Sums by document of what a task's blocks know, and the documents' own facts and sums."""
         held: list[tuple] = []
         for t, edges in graph.whole_groups(it, "block"):
             kinds = t.column("kind").to_numpy()
@@ -821,10 +913,8 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                         yield from out(held)
                         held = []
                 for i in where[3].tolist():
-                    ids, null, tokens, sure = unpacked(t.column("key")[i], np.int64).reshape(4, -1)
-                    base, points = unpacked(t.column("value")[i], np.float64).reshape(2, -1)
-                    r = unpacked(t.column("rid")[i], np.int64)
-                    yield text.table(out_schema, r, pa.array(ids, mask=null.astype(bool)), tokens, sure, base, points)
+                    first = unpacked(t.column("rid")[i], np.int64, True)[:1] >> GROUP
+                    yield text.table(sum_schema, block_of(first, blocks), [t.column("rid")[i].as_py()], [t.column("key")[i].as_py()], [t.column("value")[i].as_py()])
         yield from out(held)
 
     def rare_words(it):
@@ -837,14 +927,28 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"
     met = gains(model, table).unionByName(model.rare.mapInArrow(rare_words, kind)).unionByName(store.documents(docs).mapInArrow(ask, kind))
-    rows = met.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(answer, "rid long, doc_id long, tokens long, known long, base double, score double")
-    sums = rows.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),  # one row of a document has it, if it has one
-        F.sum("tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    )
+    rows = met.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(answer, "bucket long, rid binary, facts binary, sums binary")
+    out_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def whole(it):
+        """Documents with all their sums, bucket by bucket."""
+        for t, edges in graph.whole_groups(it, "bucket"):
+            plain = t.column("facts").is_null().to_numpy()
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own, met_ = a + np.flatnonzero(~plain[a:b]), a + np.flatnonzero(plain[a:b])
+                rids = np.concatenate([unpacked(t.column("rid")[i], np.int64, True) for i in own.tolist()])
+                ids, null, tokens, known = np.concatenate([unpacked(t.column("facts")[i], np.int64).reshape(4, -1) for i in own.tolist()], 1)
+                base, points = np.concatenate([unpacked(t.column("sums")[i], np.float64).reshape(2, -1) for i in own.tolist()], 1)
+                if len(met_):
+                    order = np.argsort(rids)
+                    r = np.concatenate([unpacked(t.column("rid")[i], np.int64, True) for i in met_.tolist()])
+                    sums = np.concatenate([unpacked(t.column("sums")[i], np.float64).reshape(-1, 3) for i in met_.tolist()])
+                    at = order[np.searchsorted(rids, r, sorter=order)]
+                    more, base_, points_ = (np.bincount(at, x, len(rids)) for x in sums.T)
+                    known, base, points = known + np.rint(more).astype(np.int64), base + base_, points + points_
+                yield from some_rows(out_schema, pa.array(ids, mask=null.astype(bool)), tokens, known, base, points)
+
+    sums = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(whole, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == rest
     return sums.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 

@@ -368,6 +368,33 @@ def test_scores_do_not_depend_on_partitions(spark, frequent):
     assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-6) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize("frequent", [7, 1 << 19])
+def test_dishes_of_frequent_words_are_rows_of_arrays(spark, frequent):
+    texts = [" ".join(words(60, i, 50)) for i in range(60)]
+    m = pitman.train_model(make(spark, list(enumerate(texts))).select("text"), frequent=frequent)
+    c = collections.Counter(p for x in pairs_of(texts) for p in x)
+    dishes = m.dishes.collect()
+    assert len(dishes) == sum(n > 1 for n in c.values()) > 200 and sum(r.c for r in dishes) == sum(n for n in c.values() if n > 1)
+    assert all(m.samples <= r.ts <= m.samples * r.c for r in dishes)
+    # a row for a block and task, however many dishes there are
+    assert m.common.count() <= m.blocks and (m.others.count() == 0) == (frequent > 7)
+
+
+def test_sums_of_documents_travel_as_rows_of_arrays():
+    rids = np.flatnonzero(np.random.default_rng(0).random(200_000) < 0.3)
+    sums = [np.arange(len(rids)) * x for x in (1.0, -0.5, 0.25)]
+    rows = list(pitman.by_bucket(16, rids, *sums))
+    assert len(rows) == len({b for b, _, _ in rows}) <= 16
+    group: dict = {}
+    for b, r, x in rows:
+        r, x = (pitman.unpacked(pa.scalar(y, pa.binary()), kind, rising) for y, kind, rising in ((r, np.int64, True), (x, np.float64, False)))
+        at = np.searchsorted(rids, r)
+        assert (rids[at] == r).all() and (x.reshape(-1, 3).T == [y[at] for y in sums]).all()
+        for g in np.unique(r >> pitman.GROUP).tolist():
+            assert group.setdefault(g, b) == b  # a group's documents meet in one bucket
+    assert sum(len(pitman.unpacked(pa.scalar(r, pa.binary()), np.int64, True)) for _, r, _ in rows) == len(rids)
+
+
 def test_draws_are_even_and_follow_their_keys():
     keys = np.arange(20_000)
     d = pitman.Draws([3], keys, -keys)
