@@ -24,8 +24,8 @@ A draw's random numbers come from the sweep and the dish's own keys, so that a t
 score however its rows are dealt to partitions and tasks.
 
 Words have codes: the ``FREQUENT`` most frequent ones, which are broadcast, an index, all
-others a negative hash. Pairs of words are counted and looked up by blocks, a hash of both
-words; a row holds a block's pairs as arrays. Dishes of frequent words stay in such rows,
+others a negative hash. Words are counted by blocks, by their hashes; pairs of words are counted and looked
+up by blocks, a hash of both words. A row holds a block's words or pairs as arrays. Dishes of frequent words stay in such rows,
 meet the totals of their restaurants by broadcast and are summed by word within a task; those of
 rare words, none of which can be hot, are single rows and meet them in joins. What blocks know of
 documents is summed by document within a task and goes on as arrays too. In scoring, the most frequent pairs are broadcast too and the others of a document meet the
@@ -66,6 +66,8 @@ HELD, ASKED = 1 << 19, 1 << 19
 SLICE_BYTES, PER_BATCH = 1 << 19, 1 << 15
 #: Tokens of a block of pairs, about, and pairs of a stored row.
 PER_BLOCK, PER_ROW = 1 << 19, 1 << 17
+#: Blocks of words of a partition.
+SHARES = 4
 #: Codes whose sums are a row, and the power of two of documents that are summed together at most.
 PER_SUM, GROUP = 1 << 14, 8
 #: Hashes that stand for the end of a document and for its start.
@@ -190,26 +192,50 @@ def some_blocks(schema: pa.Schema, rows: Iterator[tuple]) -> Iterator[pa.RecordB
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """w (hash), n: summed within each task."""
-    schema = pa.schema([("w", pa.int64()), ("n", pa.int64())])
+    """w (hash), c: summed within each task, then by blocks of words, whose rows are arrays."""
+    schema = pa.schema([("block", pa.int64()), ("w", pa.binary()), ("c", pa.binary())])
+    parts = store.partitions(train.sparkSession)
+    blocks = SHARES * parts
+
+    def fold(sets):
+        keys, _, counts = summed(*(np.concatenate(x) for x in zip(*sets, strict=True)))
+        return keys, counts
 
     def run(it):
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held, size = [], 0
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        all_, held, size = none, [], 0
+
+        def out():
+            # as signed numbers in their order, so that each block's rise
+            keys = all_[0].view(np.int64)
+            order = np.argsort(keys)
+            return some_blocks(schema, by_block(keys[order], blocks, keys[order], all_[1][order], rising=1))
+
         for _, data, off in text.slices(it, SLICE_BYTES):
-            k, _, n = summed(h := token_hashes(data, off)[0], np.ones(len(h), np.int64))
-            held.append((k, n))
-            size += len(k)
+            h = token_hashes(data, off)[0]
+            held.append(fold([(h, np.ones(len(h), np.int64))]))
+            size += len(held[-1][0])
             if size > HELD:
-                keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
+                all_ = fold([all_, *held])
                 held, size = [], 0
-                if len(keys) > HELD:
-                    yield from some_rows(schema, keys.view(np.int64), counts)
-                    keys, counts = keys[:0], counts[:0]
-        keys, _, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
-        yield from some_rows(schema, keys.view(np.int64), counts)
+                if len(all_[0]) > HELD:
+                    yield from out()
+                    all_ = none
+        all_ = fold([all_, *held])
+        held = []
+        yield from out()
+
+    def merge(it):
+        schema = pa.schema([("w", pa.int64()), ("c", pa.int64())])
+        for t, edges in graph.whole_groups(it, "block"):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                w = np.concatenate([unpacked(x, np.int64, True) for x in t.column("w").slice(a, b - a)])
+                c = np.concatenate([unpacked(x, np.int64) for x in t.column("c").slice(a, b - a)])
+                yield from some_rows(schema, *fold([(w, c)]))
 
-    return train.select("text").mapInArrow(run, "w long, n long")
+    kind = "block long, w binary, c binary"
+    rows = train.select("text").mapInArrow(store.lean(run), kind).repartition(parts, "block").sortWithinPartitions("block")
+    return rows.mapInArrow(store.lean(merge), "w long, c long")
 
 
 def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
@@ -257,7 +283,52 @@ def pair_counts(train: DataFrame, words, blocks: int) -> DataFrame:
 
     kind = "block long, u binary, w binary, c binary"
     parts = store.partitions(train.sparkSession)
-    return train.select("text").mapInArrow(run, kind).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merge, kind)
+    return train.select("text").mapInArrow(store.lean(run), kind).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(store.lean(merge), kind)
+
+
+def word_pairs(pairs: DataFrame) -> DataFrame:
+    """code, after, before: how many pairs a word begins and ends; ones, twos: in sum, pairs seen once and twice."""
+    names = ("code", "after", "before", "ones", "twos")
+    schema = pa.schema([("block", pa.int64()), *((x, pa.binary()) for x in names[:3]), *((x, pa.int64()) for x in names[3:])])
+    parts = store.partitions(pairs.sparkSession)
+    blocks = SHARES * parts
+
+    def fold(codes, after, before):
+        codes, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return codes, *(np.bincount(at, np.concatenate(x), len(codes)).astype(np.int64) for x in (after, before))
+
+    def run(it):
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        all_, ones, twos = none, 0, 0
+
+        def out():
+            some = by_block(all_[0], blocks, *all_, rising=1)
+            return some_blocks(schema, ((*x, *(n * (i == 0) for n in (ones, twos))) for i, x in enumerate(some)))
+
+        for b in it:
+            for u, w, c in arrays(b, "u", "w", "c"):
+                us, n = np.unique(u, return_counts=True)
+                ws, m = np.unique(w, return_counts=True)
+                all_ = fold(*zip(all_, (us, n, 0 * n), (ws, 0 * m, m), strict=True))
+                ones, twos = ones + int((c == 1).sum()), twos + int((c == 2).sum())
+                if len(all_[0]) > HELD:
+                    yield from out()
+                    all_, ones, twos = none, 0, 0
+        yield from out()
+
+    def merge(it):
+        schema = pa.schema([(x, pa.int64()) for x in names])
+        for t, edges in graph.whole_groups(it, "block"):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                rows = t.slice(a, b - a)
+                sums = fold(*([unpacked(x, np.int64, i == 0) for x in rows.column(name)] for i, name in enumerate(names[:3])))
+                extra = np.zeros((2, len(sums[0])), np.int64)
+                extra[:, 0] = [rows.column(x).to_numpy().sum() for x in names[3:]]
+                yield from some_rows(schema, *sums, *extra)
+
+    kind = "block long, code binary, after binary, before binary, ones long, twos long"
+    rows = pairs.mapInArrow(store.lean(run), kind).repartition(parts, "block").sortWithinPartitions("block")
+    return rows.mapInArrow(store.lean(merge), ", ".join(f"{x} long" for x in names))
 
 
 def arrays(b: pa.RecordBatch, *names: str) -> Iterable[tuple[np.ndarray, ...]]:
@@ -506,7 +577,7 @@ def flat(common: DataFrame, least: int = 0) -> DataFrame:
                 on = array_bins(x[2]) >= least
                 yield from some_rows(schema, *(y[on] for y in x))
 
-    return common.mapInArrow(run, "u long, w long, c long, ts long")
+    return common.mapInArrow(store.lean(run), "u long, w long, c long, ts long")
 
 
 def frequent_words(words: DataFrame, docs: int, most: int) -> tuple[Frequent, int]:
@@ -534,7 +605,7 @@ def _by_code(rows: DataFrame, size: int, *names: str) -> list[np.ndarray]:
 def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """Counts and seating over all rows of ``train``."""
     spark = store.small_batches(train).sparkSession
-    words, words_path = store.save(word_counts(train).groupBy("w").agg(F.sum("n").alias("c")))
+    words, words_path = store.save(word_counts(train))
     end = int(END.view(np.int64))
     stats = words.agg(F.count("*").alias("V"), F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.coalesce(F.max(F.when(F.col("w") == end, F.col("c"))), F.lit(0)).alias("docs")).first()
     known, least = frequent_words(words, stats.docs, frequent)
@@ -543,30 +614,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
     blocks = max(16, int(stats.N) // PER_BLOCK)
     pairs, _ = store.save(pair_counts(train, table, blocks))
 
-    def kinds(it):
-        schema = pa.schema([("code", pa.int64()), ("after", pa.int64()), ("before", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64())])
-        none = np.zeros(0, np.int64)
-        codes, after, before, ones, twos = none, none, none, 0, 0
-
-        def out():
-            extra = np.zeros((2, len(codes)), np.int64)
-            extra[:, :1] = [[ones], [twos]]
-            return some_rows(schema, codes, after, before, *extra)
-
-        for b in it:
-            for u, w, c in arrays(b, "u", "w", "c"):
-                us, n = np.unique(u, return_counts=True)
-                ws, m = np.unique(w, return_counts=True)
-                codes, at = np.unique(np.concatenate([codes, us, ws]), return_inverse=True)
-                after, before = (np.bincount(at, np.concatenate(x), len(codes)).astype(np.int64) for x in ((after, n, 0 * m), (before, 0 * n, m)))
-                ones, twos = ones + int((c == 1).sum()), twos + int((c == 2).sum())
-                if len(codes) > HELD:
-                    yield from out()
-                    codes, after, before, ones, twos = none, none, none, 0, 0
-        yield from out()
-
-    rows = pairs.mapInArrow(kinds, "code long, after long, before long, ones long, twos long")
-    kept, kept_path = store.save(rows.groupBy("code").agg(*[F.sum(x).alias(x) for x in ("after", "before", "ones", "twos")]))
+    kept, kept_path = store.save(word_pairs(pairs))
     seen = kept.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("ones", "twos", "before")], F.coalesce(F.sum((F.col("before") == 1).cast("long")), F.lit(0)).alias("r1"), F.coalesce(F.sum((F.col("before") == 2).cast("long")), F.lit(0)).alias("r2")).first()
     after, before = _by_code(kept, size, "after", "before")
     # a dish has one table to begin with, in its restaurant and at the root
@@ -583,7 +631,7 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
                 yield from some_rows(schema, u[on], w[on], c[on], np.ones(on.sum(), np.int64), np.zeros(on.sum(), np.int64))
 
     kind = "u long, w long, c long, t long, ts long"
-    others, path = store.save(pairs.mapInArrow(rare_twice, kind))
+    others, path = store.save(pairs.mapInArrow(store.lean(rare_twice), kind))
     common, common_path = pairs, None
     store.drop(spark, words_path, kept_path)
     total, c0 = after.copy(), before.copy()
@@ -668,9 +716,9 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
     for number in range(burn_in + samples):
         sampled = number >= burn_in
         shared = spark.sparkContext.broadcast((total, c0, t0))
-        seated, seated_path = store.save(common.mapInArrow(common_sweep(number, z, shared, sampled), "block long, part long, u binary, w binary, c binary, t binary, ts binary"))
+        seated, seated_path = store.save(common.mapInArrow(store.lean(common_sweep(number, z, shared, sampled)), "block long, part long, u binary, w binary, c binary, t binary, ts binary"))
         met = others.join(rare.select(F.col("code").alias("u"), "total"), "u", "left").join(rare.select(F.col("code").alias("w"), "c0", "t0"), "w", "left")
-        new, new_path = store.save(met.mapInArrow(sweep(number, z, shared, sampled), kind))
+        new, new_path = store.save(met.mapInArrow(store.lean(sweep(number, z, shared, sampled)), kind))
         store.drop(spark, path, *([common_path] if common_path else []))
         shared.unpersist()
         others, path, common_path = new, new_path, seated_path
@@ -680,14 +728,14 @@ def train_model(train: DataFrame, frequent: int = FREQUENT, burn_in: int = BURN_
         moves = more.select(F.col("u").alias("code"), less.alias("x"), zero.alias("y")).unionByName(more.select(F.col("w").alias("code"), zero.alias("x"), less.alias("y")))
         moves = moves.groupBy("code").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
         total, c0 = (a + x for a, x in zip((after, before), _by_code(moves, size, "x", "y"), strict=True))
-        whole = seated.where("part is not null").select("part", "u", "c", "t").repartition(-(-size // PER_SUM), "part").mapInArrow(part_sums, "part long, up binary, down binary")
+        whole = seated.where("part is not null").select("part", "u", "c", "t").repartition(-(-size // PER_SUM), "part").mapInArrow(store.lean(part_sums), "part long, up binary, down binary")
         for r in whole.collect():
             at = slice(r.part * PER_SUM, min((r.part + 1) * PER_SUM, size))
             for have, x in ((total, r.up), (c0, r.down)):
                 have[at] += unpacked(pa.scalar(bytes(x), pa.binary()), np.int64)[: at.stop - at.start]
         moved = rare.join(moves.where("code < 0"), "code", "left")
         moved = moved.select("code", "c", "after", "before", (F.col("after") + F.coalesce("x", zero)).alias("total"), (F.col("before") + F.coalesce("y", zero)).alias("c0"), "t0", "chances", "totals")
-        sat, sat_path = store.save(moved.mapInArrow(root_sweep(number, z), rare.schema))
+        sat, sat_path = store.save(moved.mapInArrow(store.lean(root_sweep(number, z)), rare.schema))
         store.drop(spark, rare_path)
         t0 = seat_root(c0, np.minimum(t0, c0), z, Draws([number, 2], np.arange(size)), top)
         sums = sat.agg(F.coalesce(F.sum("c0"), zero).alias("c"), F.coalesce(F.sum("t0"), zero).alias("t")).first()
@@ -726,7 +774,7 @@ def gains(model: Model, table) -> DataFrame:
     # a row of frequent words' pairs is one of a block, sorted by key, as it was counted
 
     def twice(it):
-        known, free, chance, _, _ = table.value
+        known, free, chance = table.value
         for b in it:
             for block, (u, w, c, ts) in zip(b.column("block").to_pylist(), arrays(b, "u", "w", "c", "ts"), strict=True):
                 more = gain(c, ts / samples, known.guests[u], free[u], chance[w]).astype(np.float32)
@@ -746,7 +794,7 @@ def gains(model: Model, table) -> DataFrame:
                 yield from some_rows(schema, u[on], w[on], c[on], c[on].astype(np.float64))
 
     def rare(it):
-        known, free, chance, _, _ = table.value
+        known, free, chance = table.value
         for b in it:
             u, w, c, t = (b.column(x).to_numpy() for x in ("u", "w", "c", "t"))
             guests, f, p = (b.column(x).to_numpy(zero_copy_only=False) for x in ("guests", "free", "chance"))
@@ -754,10 +802,10 @@ def gains(model: Model, table) -> DataFrame:
             yield from rows_of(u, w, gain(c, t, np.where(u < 0, guests, known.guests[at]), np.where(u < 0, f, free[at]), np.where(w < 0, p, chance[at0])))
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"
-    few = model.pairs.mapInArrow(rare_once, "u long, w long, c long, t double").unionByName(model.others.select("u", "w", "c", (F.col("ts") / samples).alias("t")))
+    few = model.pairs.mapInArrow(store.lean(rare_once), "u long, w long, c long, t double").unionByName(model.others.select("u", "w", "c", (F.col("ts") / samples).alias("t")))
     few = few.join(model.rare.select(F.col("code").alias("u"), F.col("c").alias("guests"), "free"), "u", "left").join(model.rare.select(F.col("code").alias("w"), "chance"), "w", "left")
     few = few.select("u", "w", "c", "t", F.coalesce("guests", F.lit(0)).alias("guests"), F.coalesce("free", F.lit(1.0)).alias("free"), F.coalesce("chance", F.lit(1.0)).alias("chance"))
-    return model.common.mapInArrow(twice, kind).unionByName(model.pairs.mapInArrow(once, kind)).unionByName(few.mapInArrow(rare, kind))
+    return model.common.mapInArrow(store.lean(twice), kind).unionByName(model.pairs.mapInArrow(store.lean(once), kind)).unionByName(few.mapInArrow(store.lean(rare), kind))
 
 
 def frequent_pairs(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -771,7 +819,7 @@ def frequent_pairs(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
                 n += np.bincount(array_bins(c), minlength=len(n))
         yield text.table(schema, np.flatnonzero(n), n[n > 0])
 
-    got = flat(model.common, cut_off(model.common.mapInArrow(histogram, "bin long, n long"), most)).toArrow().combine_chunks()
+    got = flat(model.common, cut_off(model.common.mapInArrow(store.lean(histogram), "bin long, n long"), most)).toArrow().combine_chunks()
     u, w, c, ts = (got.column(x).to_numpy() for x in ("u", "w", "c", "ts"))
     keys = pair_keys(u, w)
     order = np.argsort(keys)
@@ -794,13 +842,14 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, parts = docs.sparkSession, store.partitions(docs.sparkSession)
     size = model.tokens + model.root.vocabulary + 1
-    table = spark.sparkContext.broadcast((model.frequent, model.free, model.chance, *frequent_pairs(model, pairs)))
+    table = spark.sparkContext.broadcast((model.frequent, model.free, model.chance))
+    top = spark.sparkContext.broadcast(frequent_pairs(model, pairs))
     blocks, unknown = model.blocks, float(np.log10(model.unknown))
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("value", pa.binary()), ("n", pa.binary()), ("rid", pa.binary())])
 
     def ask(it):
         """Each document's sums (kind 3), and its pairs (1) and rare words (2) that others must look up."""
-        known, free, chance, hot, hot_gain = table.value
+        (known, free, chance), (hot, hot_gain) = table.value, top.value
         bases, lower, lone = np.log10((known.count + 1) / size), np.log10(chance), np.log10(free)
         rid = TaskContext.get().partitionId() << 40
         held, total = {1: [], 2: []}, 0
@@ -872,7 +921,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
         return keys[order], values[order]
 
     def met_pairs(t: pa.Table, known, asked, once):
-        words, free, chance, _, _ = table.value
+        words, free, chance = table.value
         keys, gains_ = table_of(t, known, np.float32, 1, once)
         ask_ = numbers(t, "key", asked, np.int64)
         at = np.minimum(np.searchsorted(keys, ask_), len(keys) - 1)
@@ -926,8 +975,8 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
             yield from some_blocks(schema, ((block, 4, k, f, None, None) for block, k, f in found))
 
     kind = "block long, kind int, key binary, value binary, n binary, rid binary"
-    met = gains(model, table).unionByName(model.rare.mapInArrow(rare_words, kind)).unionByName(store.documents(docs).mapInArrow(ask, kind))
-    rows = met.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(answer, "bucket long, rid binary, facts binary, sums binary")
+    met = gains(model, table).unionByName(model.rare.mapInArrow(store.lean(rare_words), kind)).unionByName(store.documents(docs).mapInArrow(store.lean(ask), kind))
+    rows = met.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(store.lean(answer), "bucket long, rid binary, facts binary, sums binary")
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def whole(it):
@@ -948,7 +997,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                     known, base, points = known + np.rint(more).astype(np.int64), base + base_, points + points_
                 yield from some_rows(out_schema, pa.array(ids, mask=null.astype(bool)), tokens, known, base, points)
 
-    sums = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(whole, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    sums = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(store.lean(whole), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == rest
     return sums.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
