@@ -72,6 +72,7 @@ def whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Ta
 
     def out():
         t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()  # the rows are held once, while a group is worked on
         k = t.column(key).to_numpy()
         return t, np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
 
@@ -82,12 +83,10 @@ def whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Ta
         k = b.column(key).to_numpy()
         if held and k[0] != last:
             yield out()
-            held = []
         cut = int(np.searchsorted(k, k[-1], "left"))
         if cut:
             held.append(b.slice(0, cut))
             yield out()
-            held = []
         held.append(b.slice(cut))
         last = k[-1]
     if held:

@@ -899,6 +899,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 yield text.table(schema, [int(block_of(rids[a : a + 1], blocks)[0])], [3], [packed(facts.ravel())], [packed(np.stack([base[s], points[s]]).ravel())], [None], [packed(rids[s], True)])
             if total > ASKED:
                 yield from flush()
+                store.give_back()
                 total = 0
         yield from flush()
 
@@ -964,6 +965,8 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, rest: int = 2, pairs:
                 for i in where[3].tolist():
                     first = unpacked(t.column("rid")[i], np.int64, True)[:1] >> GROUP
                     yield text.table(sum_schema, block_of(first, blocks), [t.column("rid")[i].as_py()], [t.column("key")[i].as_py()], [t.column("value")[i].as_py()])
+            del t
+            store.give_back()
         yield from out(held)
 
     def rare_words(it):
